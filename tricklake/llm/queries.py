@@ -1,9 +1,12 @@
 """Registered queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from . import substring_dedup
+from . import lm_scoring, minhash_dedup, order_minhash, substring_dedup
 
 QUERIES = {
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
+    "op7_order_minhash": order_minhash.op7_order_minhash,
 }
 
 ORACLES: dict[str, str] = {}
