@@ -1,12 +1,14 @@
 """Registered queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from . import lm_scoring, minhash_dedup, order_minhash, substring_dedup
+from . import lm_scoring, minhash_dedup, order_minhash, piece_codec, substring_dedup, toxicity
 
 QUERIES = {
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op7_order_minhash": order_minhash.op7_order_minhash,
+    "op8_sentencepiece": piece_codec.op8_sentencepiece,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
