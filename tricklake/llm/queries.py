@@ -1,14 +1,22 @@
 """Registered queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from . import lm_scoring, minhash_dedup, order_minhash, piece_codec, substring_dedup, toxicity
+from . import curriculum, line_dedup, lm_scoring, minhash_dedup, order_minhash, piece_codec, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
+    "op1_topk_search": topk_search.op1_topk_search,
+    "op2_warc": warc.op2_warc,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_curriculum_mix": curriculum.op5_curriculum_mix,
     "op6_minhash_dedup": minhash_dedup.op6_minhash_dedup,
     "op7_order_minhash": order_minhash.op7_order_minhash,
     "op8_sentencepiece": piece_codec.op8_sentencepiece,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_topk_search": topk_search.ORACLE,
+    "op5_curriculum_mix": curriculum.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
+}
