@@ -15,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 #: Bounds: labelled documents that the model is fitted on (the first by md5 of their id), and tokens it may hold.
 FIT_ROWS, FIT_TOKENS = 16_000, 20_000
-PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 0.05, 5.0, 0.15, 0.01
+PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 0.05, 4.0, 0.15, 0.01
 STEMS = range(3, 11)
 _SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -213,6 +213,17 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(rows, "doc_id long, score double, passages array<struct<start:int,end:int,log10_e:double,words:string>>")
 
 
+def toxic_score(text: Column, model: ToxicityModel) -> Column:
+    """The score alone, as a column."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([model.probability(*model.features(tokens(t))[1:]) for t in texts], dtype=float)
+
+    return score(text)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents")
