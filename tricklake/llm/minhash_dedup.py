@@ -24,7 +24,7 @@ from .common import WordIds, connected_components, run_hashes, table, word_ids,
 
 COORDS = 48
 #: Posting lists up to this length give all their pairs; longer ones go by leaders and blocks.
-SHORT, LEADERS, BLOCK = 16, 8, 512
+SHORT, LEADERS, BLOCK = 16, 4, 512
 
 
 def match_threshold(similarity: float, coords: int = COORDS) -> int:
