@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,9 @@ class PieceVocabulary:
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.longest = max(map(len, self.ids), default=1)
-        self.stems = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        #: every beginning of a piece -> the piece's (id, score), or None if it is only a beginning
+        self.stems = {p[:k]: self.ids.get(p[:k]) for p in self.ids for k in range(1, len(p) + 1)}
+        self.tails = {p[k:]: self.ids.get(p[k:]) for p in self.ids for k in range(len(p))}
         free = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
         self.units = re.compile(f" *[^ {free}]+| +|[{free}]" if free else " *[^ ]+| +")
 
@@ -92,6 +96,39 @@ def viterbi(chars: str, v: PieceVocabulary) -> Iterator[list[int]]:
                 back = {k: b for k, b in back.items() if k > done}
 
 
+def viterbi_sorted(stretches: list[str], v: PieceVocabulary) -> Iterator[list[int]]:
+    """The same for stretches that fit in the window, where nothing is committed before the end.
+
+    They come sorted, and the states of the beginning that a stretch shares with the one before are kept.
+    """
+    tails, singles = v.tails, v.ids
+    best, back, before = [0.0], [None], ""
+    for chars in stretches:
+        same, n = 0, min(len(before), len(chars))
+        while same < n and before[same] == chars[same]:
+            same += 1
+        del best[same + 1 :], back[same + 1 :]
+        for j in range(same + 1, len(chars) + 1):
+            top, link, i = -math.inf, None, j - 1
+            while i >= 0 and (p := chars[i:j]) in tails:
+                e = tails[p]
+                if e is not None and (s := best[i] + e[1]) >= top:
+                    top, link = s, (i, e[0])
+                i -= 1
+            if chars[j - 1] not in singles:
+                spelled, s = v.spell(chars[j - 1])
+                if best[j - 1] + s > top:
+                    top, link = best[j - 1] + s, (j - 1, spelled)
+            best.append(top)
+            back.append(link)
+        out, at = [], len(chars)
+        while at:
+            at, e = back[at]
+            out += e[::-1] if isinstance(e, list) else (e,)
+        before = chars
+        yield out[::-1]
+
+
 class _Units(dict):
     """Ids (as 32-bit words) of the stretches between certain boundaries; a bounded memo."""
 
@@ -100,19 +137,22 @@ class _Units(dict):
         self.v = v
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) > 250_000:
+        return np.array([i for part in viterbi(unit, self.v) for i in part], np.int32).tobytes()
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the stretches of some texts that are new and fit in the window."""
+        if len(self) > 200_000:
             self.clear()
-        out = np.array([i for part in viterbi(unit, self.v) for i in part], np.int32).tobytes()
-        if len(unit) <= 64:
-            self[unit] = out
-        return out
+        new = sorted({u for units in texts for u in units if u not in self and len(u) <= 2 * self.v.longest})
+        for unit, ids in zip(new, viterbi_sorted(new, self.v)):
+            self[unit] = array("i", ids).tobytes()
 
 
-def encode_text(text: str, units: _Units) -> np.ndarray:
-    """Ids of a whole text; like the library, a blank is put before a text that isn't empty."""
-    if not text:
-        return np.empty(0, np.int32)
-    return np.frombuffer(b"".join(map(units.__getitem__, units.v.units.findall(" " + text))), np.int32)
+def encode_texts(texts: list[str | None], units: _Units) -> list[np.ndarray | None]:
+    """Ids of whole texts; like the library, a blank is put before a text that isn't empty; null stays null."""
+    cut = [units.v.units.findall(" " + t) if t else [] for t in texts]
+    units.learn(cut)
+    return [None if t is None else np.frombuffer(b"".join(map(units.__getitem__, c)), np.int32) for t, c in zip(texts, cut)]
 
 
 def decode_ids(ids: np.ndarray, raw: dict[int, bytes]) -> str:
@@ -126,7 +166,7 @@ def encode(text: Column, model_file: str = MODEL) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         units = _Units(PieceVocabulary(model_file))
         for texts in batches:
-            yield pd.Series([None if t is None else encode_text(t, units) for t in texts], dtype=object)
+            yield pd.Series(encode_texts(list(texts), units), dtype=object)
 
     return run(text)
 
@@ -143,10 +183,29 @@ def decode(ids: Column, model_file: str = MODEL) -> Column:
     return run(ids)
 
 
-def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
-    """Per row of docs(doc_id, text, ...): doc_id, ids, n_pieces (0 for null and empty texts), n_bytes of the text, round_trip (the decoded ids equal the text; null for null)."""
-    ids = docs.select("doc_id", "text", encode(F.col("text"), model_file).alias("ids"))
-    return ids.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.octet_length("text").alias("n_bytes"), (decode(F.col("ids"), model_file) == F.col("text")).alias("round_trip"))
+def encoded(docs: DataFrame, model_file: str = MODEL, slice_rows: int = 1024) -> DataFrame:
+    """Per row of docs(doc_id, text, ...): doc_id, ids, n_pieces (0 for null and empty texts), n_bytes of the text, round_trip (the decoded ids equal the text; null for null).
+
+    One worker encodes and decodes a few rows at a time, so its memory is that of a slice, not of a batch.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _Units(PieceVocabulary(model_file))
+        raw = units.v.raw
+        for batch in batches:
+            for lo in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(lo, slice_rows)
+                texts = part["text"].to_pylist()
+                ids = encode_texts(texts, units)
+                same = [None if t is None else decode_ids(x, raw) == t for t, x in zip(texts, ids)]
+                sizes = [0 if x is None else len(x) for x in ids]
+                flat = np.concatenate([np.empty(0, np.int32), *(x for x in ids if x is not None)])
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in ids]))
+                n_bytes = pa.array([None if t is None else len(t.encode()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], lists, pa.array(sizes, pa.int32()), n_bytes, pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "n_bytes", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, ids array<int>, n_pieces int, n_bytes long, round_trip boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
