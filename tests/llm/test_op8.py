@@ -52,11 +52,17 @@ def test_streaming_equals_the_whole_search(vocab):
         ids = [i for part in P.viterbi(text, vocab) for i in part]
         s, raw = score(ids, vocab)
         assert raw.decode() == text and math.isclose(s, whole(text, vocab), abs_tol=1e-6)
-        a = P.encode_text(text, P._Units(vocab)).tolist()
+        a = P.encode_texts([text], P._Units(vocab))[0].tolist()
         if n:
             assert math.isclose(score(a, vocab)[0], whole(" " + text, vocab), abs_tol=1e-6)
 
 
+def test_sorted_stretches_equal_the_streaming_search(vocab):
+    r = random.Random(2)
+    words = sorted({"".join(r.choice(" thea▁éion漢") for _ in range(r.randint(1, 30))) for _ in range(3000)})
+    assert list(P.viterbi_sorted(words, vocab)) == [[i for part in P.viterbi(w, vocab) for i in part] for w in words]
+
+
 def test_commits_early(vocab):
     first = next(P.viterbi("the " * 5000, vocab))
     assert len(first) < 200
