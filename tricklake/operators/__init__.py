@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators: functions DataFrame -> DataFrame, one module a subject."""

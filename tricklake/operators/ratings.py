@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 INITIAL, K_BASE, BOOST_UNTIL, BOOST, LOW, HIGH, VISIBLE_AFTER, MOST_PAIRS = 1500.0, 24.0, 100, 1.5, 200.0, 3000.0, 10, 60
 SPREAD = 50.0
 
+HISTORY = "session_id long, pool string, id string, before double, delta double, played long, sessions long, after double"
 STATE = "pool string, id string, rating double, boards long, sessions long"
 
 
@@ -103,7 +104,7 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
     spark = rows.sparkSession
     folder = _folder(spark)
     rows.write.partitionBy("session_id").parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     state = spark.createDataFrame([], STATE)
     for i, session in enumerate(sessions_in_order(rows)):
         rated = rate_session(rows.where(F.col("session_id") == session), state, spread)
@@ -113,7 +114,8 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
         rated = spark.read.parquet(f"{folder}/history/s={i}")
         next_state(state, rated.select("pool", "id", "before", "delta", "played")).write.parquet(f"{folder}/state/{i}")
         state = spark.read.parquet(f"{folder}/state/{i}")
-    history = spark.read.schema("session_id long, pool string, id string, before double, delta double, played long, sessions long, after double").option("recursiveFileLookup", True).parquet(f"{folder}/history") if rows.limit(1).count() else spark.createDataFrame([], "session_id long, pool string, id string, before double, delta double, played long, sessions long, after double")
+    there = rows.limit(1).count()
+    history = spark.read.schema(HISTORY).option("recursiveFileLookup", True).parquet(f"{folder}/history") if there else spark.createDataFrame([], HISTORY)
     seen = lambda c, more: F.when(F.col("sessions") + more >= visible_after, F.col(c))
     return history.select("session_id", "pool", "id", "before", "after", seen("before", 0).alias("seen_before"), seen("after", 1).alias("seen_after"))
 

@@ -1 +1,9 @@
-"""See the README for what lives here."""
+"""Registered queries of the bridge library: each module has Q (name -> query) and O (name -> DuckDB SQL)."""
+
+from __future__ import annotations
+
+from . import bidding, canonical, contracts, deals, documents, features, matchpoints, ratings, scoring, tables
+
+MODULES = (tables, documents, canonical, deals, scoring, contracts, matchpoints, ratings, bidding, features)
+QUERIES = {name: run for m in MODULES for name, run in m.Q.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.O.items()}

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Stored tables, record files, JSON documents and web pages."""
