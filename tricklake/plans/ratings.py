@@ -52,8 +52,8 @@ def start_end(spark, sf):
 
 Q["elo5_session_start_end"] = start_end
 Q["elo6_rating_pipeline"] = lambda s, d: rounded(R.rating_pipeline(results(s, d)).select("session_id", "section_id", "Board", "Score_NS", "Pct_NS", "Elo_NS_Start", "Elo_EW_End"), "Pct_NS", "Elo_NS_Start", "Elo_EW_End")
-Q["elo7_staged_pipeline"] = lambda s, d: R.contract_pipeline(X.board_results(s, d)).groupBy("session_id", "Vul", "ContractType").agg(F.count(F.lit(1)).alias("n"), F.sum("Score_EW").alias("score_ew"), F.round(F.avg("Pct_NS"), 6).alias("pct"))
-O["elo7_staged_pipeline"] = X.oracle(f"""SELECT session_id, ['None', 'N_S', 'E_W', 'Both'][{X._VUL} + 1] AS Vul, {BT} AS ContractType, count(*) AS n, -sum(Score_NS) AS score_ew, round(avg(CASE WHEN top > 0 THEN mp / top END), 6) AS pct FROM
+Q["elo7_staged_pipeline"] = lambda s, d: R.contract_pipeline(X.board_results(s, d)).groupBy("session_id", "Vul", "ContractType").agg(F.count(F.lit(1)).alias("n"), F.sum("Score_EW").alias("score_ew"), F.round(F.avg("Pct_NS"), 12).alias("pct"))
+O["elo7_staged_pipeline"] = X.oracle(f"""SELECT session_id, ['None', 'N_S', 'E_W', 'Both'][{X._VUL} + 1] AS Vul, {BT} AS ContractType, count(*) AS n, -sum(Score_NS) AS score_ew, round(avg(CASE WHEN top > 0 THEN mp / top END), 12) AS pct FROM
   (SELECT *, CASE WHEN Score_NS IS NOT NULL THEN (SELECT count(*) FILTER (y.Score_NS < x.Score_NS) + (count(*) FILTER (y.Score_NS = x.Score_NS) - 1) / 2.0 FROM br y WHERE y.session_id = x.session_id AND y.section_id = x.section_id AND y.Board = x.Board) END AS mp,
    count(Score_NS) OVER (PARTITION BY session_id, section_id, Board) - 1 AS top FROM {SPLIT} x) GROUP BY ALL""", "br")
 
