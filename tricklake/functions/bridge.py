@@ -48,10 +48,6 @@ def seat_is_vulnerable(code: Column, seat: Column) -> Column:
     return F.when(seat.isin("N", "S", "NS"), code.bitwiseAND(F.lit(1)) > 0).when(seat.isin("E", "W", "EW"), code.bitwiseAND(F.lit(2)) > 0)
 
 
-def seat_after(seat: Column, steps: int = 1) -> Column:
-    return nth(SEATS, F.pmod(F.instr(F.lit(SEATS), seat) - 1 + steps, F.lit(4)))
-
-
 def hands(pbn: Column) -> Column:
     """array<array<string>>: suits (S, H, D, C) of the seats N, E, S, W of a text that starts with N."""
     return F.transform(F.split(F.substring(pbn, 3, 1000), " ", -1), lambda h: F.split(h, "\\.", -1))

@@ -133,8 +133,10 @@ def rules_that_hold(bits: DataFrame, needs: DataFrame, seats: DataFrame, rules:
     sizes = needs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("size"))
     hit = bits.join(needs, "predicate_id").groupBy("deal_id", "seat", "rule_id").agg(F.count(F.lit(1)).alias("n"))
     out = hit.join(sizes, "rule_id").where("n = size").select("deal_id", "seat", "rule_id")
-    free = rules.join(sizes, "rule_id", "left_anti").select("rule_id")
-    return out.unionByName(seats.select("deal_id", "seat").crossJoin(F.broadcast(free)))  # a rule book's few rules without requirements
+    free = [r.rule_id for r in rules.join(sizes, "rule_id", "left_anti").select("rule_id").distinct().collect()]  # of a rule book, a few
+    if not free:
+        return out
+    return out.unionByName(seats.select("deal_id", "seat", F.explode(F.array(*[F.lit(i) for i in free])).alias("rule_id")))
 
 
 def with_ancestors(rules: DataFrame, most_depth: int = 64) -> DataFrame:

@@ -25,7 +25,9 @@ def expand_macros(sql: str, values: dict[str, str]) -> str:
 def run_sql(df: DataFrame, sql: str, macros: dict[str, str] | None = None, view: str = "self", **args) -> DataFrame:
     """Free SQL over df as the view self; a text without FROM gets one, "self" in quotes is the view too. args are bound as values."""
     sql = expand_macros(sql, macros or {}).strip().rstrip(";").replace(f'"{view}"', view)
-    if not re.search(r"\bfrom\b", sql, re.I):
+    if not re.search(r"\bselect\b", sql, re.I):
+        sql = f"SELECT * {sql}" if re.match("from", sql, re.I) else f"SELECT * FROM {view} {sql}"
+    elif not re.search(r"\bfrom\b", sql, re.I):
         sql = f"FROM {view} {sql}"
     session = df.sparkSession
     name = f"{view}_{abs(hash((id(df), sql)))}"
@@ -38,7 +40,7 @@ def try_sql(df: DataFrame, sql: str, **kw) -> tuple[DataFrame | None, str]:
     try:
         return run_sql(df, sql, **kw), ""
     except Exception as e:  # noqa: BLE001  whatever the parser or analyser says is for the user
-        return None, str(e).splitlines()[0]
+        return None, str(e).strip().splitlines()[0]
 
 
 def run_report(df: DataFrame, prompts: list[tuple[str, list[str]]], macros: dict[str, str] | None = None) -> dict[str, DataFrame]:

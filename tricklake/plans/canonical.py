@@ -45,7 +45,6 @@ def seat_players(b):
     return pairs.where("pair <> 5").withColumn("position", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("id", F.concat_ws("/", "section", "side", F.col("pair").cast("string"), F.col("position").cast("string")))
 
 
-BID = "coalesce(Contract <> 'PASS', false)"
 PL = lambda side, pair, pos: f"CASE WHEN {pair} <> 5 THEN section || '/{side}/' || {pair} || '/{pos}' END"
 reg("can1_simultaneous", simultaneous, f"""SELECT section, board, 'deal ' || deal_id AS deal, Contract, Result, Score_NS, Pair_Number_NS, Pair_Number_EW, {PL('NS', 'Pair_Number_NS', 1)} AS Player_ID_N, {PL('EW', 'Pair_Number_EW', 1)} AS Player_ID_E,
   {PL('NS', 'Pair_Number_NS', 2)} AS Player_ID_S, {PL('EW', 'Pair_Number_EW', 2)} AS Player_ID_W, top AS MP_Top, below + (ties - 1) / 2 AS MP_NS, CASE WHEN top > 0 THEN round((below + (ties - 1) / 2) / top, 8) END AS Pct_NS

@@ -64,7 +64,6 @@ def dd_for_results(spark, sf):
 
 DDR = X.CTES["dd"][1].replace("FROM deal_ids", "FROM (SELECT DISTINCT deal_id, Board FROM br)")
 DD = f"""(SELECT s.*, a.tricks AS DD_Tricks, b.tricks AS DD_Tricks_Dummy FROM {SPLIT} s LEFT JOIN ddr a ON a.deal_id = s.deal_id AND a.seat = D AND a.strain = BidSuit LEFT JOIN ddr b ON b.deal_id = s.deal_id AND b.seat = {nxt('D', 2)} AND b.strain = BidSuit)"""
-PARS = f"""dd AS (SELECT * FROM ddr)"""
 
 
 def with_dd(main):

@@ -97,7 +97,6 @@ def hnd12(spark, sf):
 
 
 reg("hnd12_shapes", hnd12, "SELECT deal_id, " + ", ".join(map(shape_sql, B.SEATS)) + " FROM suits GROUP BY deal_id", "suits")
-_PL = "pl AS (SELECT deal_id, seat % 2 AS side, suit, sum(length(cards))::INTEGER AS n FROM suits GROUP BY ALL)"
 reg("hnd13_longest_suit", lambda s, d: D.add_longest_suit(D.add_suit_lengths(X.deals(s, d))).select("deal_id", "SL_Max_NS", "SL_Max_NS_Col", "SL_Max_EW", "SL_Max_EW_Col"),
     "SELECT deal_id, " + ", ".join(f"max(n) FILTER (side = {i}) AS SL_Max_{p}, 'SL_{p}_' || substr('SHDC', (arg_max(suit, n * 10 - suit) FILTER (side = {i}))::INTEGER + 1, 1) AS SL_Max_{p}_Col" for i, p in enumerate(("NS", "EW")))
     + " FROM (SELECT deal_id, seat % 2 AS side, suit, sum(length(cards))::INTEGER AS n FROM suits GROUP BY ALL) GROUP BY deal_id", "suits")
