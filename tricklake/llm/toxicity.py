@@ -70,7 +70,8 @@ class ToxicityModel:
     weights: dict[str, tuple[float, float]]
     rate: float = 1.0
     log_k: float = 0.0
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0)
+    #: without labels of both kinds nothing is called toxic
+    curve: tuple[float, ...] = (-4.0, 0.0, 0.0)
 
     def __post_init__(self):
         self.memo: dict[bytes, float | None] = {}
