@@ -3,7 +3,12 @@
 Every line is a suffix of its document. Level k names the first 2**k lines of each suffix; suffixes of one name
 are an interval of the suffix array whose longest common prefix is at least 2**k
 lines, and joining the names of a suffix and of the one 2**k lines on gives level k + 1. Only suffixes in
-intervals of two or more go on, so levels shrink. DataFrame functions only.
+intervals of two or more go on, so levels shrink. A window of any length is named by the two names of
+the largest level in it, of its beginning and of its end. DataFrame functions only.
+
+Of all windows with enough characters only the shortest from each line on and the shortest up to each line are
+looked up: in a repeated run with enough characters every line lies in one of the first, or, where too little is left
+behind it, in the shortest window up to the run's end. Their lengths follow from the text alone, so each copy has the same window.
 """
 
 from __future__ import annotations
@@ -25,33 +30,62 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _intervals(rows: DataFrame) -> DataFrame:
-    """rows(d, t, pos, chars, a, b) -> those whose name (a, b) occurs twice or more, with earlier: whether an earlier suffix has it."""
+def _intervals(rows: DataFrame, *more: str) -> DataFrame:
+    """rows(d, t, pos, a, b, more) -> those whose name (a, b) occurs twice or more, with earlier: whether an earlier suffix has it."""
     place = F.struct(*_DOC, "pos")
     names = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    return rows.join(names, ["a", "b"]).select(*_DOC, "pos", "chars", "a", "b", (F.col("first") < place).alias("earlier"))
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """Rows (d, t, pos, lines, chars): each window of 1, 2, 4, 8 ... lines that starts in an earlier place too, over docs(doc_id, text)."""
+    return rows.join(names, ["a", "b"]).select(*_DOC, "pos", *more, "a", "b", (F.col("first") < place).alias("earlier"))
+
+
+def _shortest_windows(level: DataFrame, min_chars: int) -> DataFrame:
+    """Level 0 without lines in stretches of under min_chars characters, with until and since: the end of the shortest window from pos on, the start of the shortest up to pos; null without one."""
+    least = max(min_chars, 1)
+    order = Window.partitionBy(*_DOC).orderBy("pos")
+    # a line counts min_chars at most, so the two searches below reach over less than twice that
+    chars = F.least(F.greatest(F.col("chars"), F.lit(int(min_chars < 1))), F.lit(least)).cast("long")
+    rows = level.withColumns({"chars": chars, "before": F.lag("pos").over(order)}).where("before is null or before < pos")
+    rows = rows.withColumn("stretch", F.sum(F.when(F.col("before") + 1 == F.col("pos"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy(*_DOC, "stretch")
+    rows = rows.withColumn("upto", F.sum("chars").over(one.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"total": F.max("upto").over(one), "lo": F.min("pos").over(one), "hi": F.max("pos").over(one)}).where(F.col("total") >= least)
+    rows = rows.withColumn("ahead", F.col("upto") - F.col("chars"))
+    behind = F.min("pos").over(one.orderBy("ahead").rangeBetween(least, 2 * least - 1))
+    before = F.max("pos").over(one.orderBy("upto").rangeBetween(1 - 2 * least, -least))
+    until = F.coalesce(behind, F.when(F.col("total") - F.col("ahead") >= least, F.col("hi") + 1))
+    since = F.coalesce(before + 1, F.when(F.col("upto") >= least, F.col("lo")))
+    return rows.select(*_DOC, "pos", "a", "b", "earlier", until.alias("until"), since.alias("since"))
+
+
+def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Rows (d, t, start, end) of windows that begin in an earlier place too, over docs(doc_id, text): they cover what all such windows of min_chars characters or more cover."""
     keyed = _keyed(docs.where("text is not null"))
     lines = keyed.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     ids = lines.select(*_DOC, "pos", F.length("line").alias("chars"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    level, size, out = written(_intervals(ids), "suffixes"), 1, None
-    while True:
-        found = level.where("earlier").select(*_DOC, "pos", F.lit(size).alias("lines"), "chars")
-        out = found if out is None else out.unionByName(found)
+    level = written(_shortest_windows(_intervals(ids, "chars"), min_chars), "suffixes")
+    out = level.where("earlier and until = pos + 1").select(*_DOC, F.col("pos").alias("start"), F.col("until").alias("end"))
+    both = F.array(F.struct(F.col("pos").alias("start"), F.col("until").alias("end")), F.struct(F.col("since").alias("start"), (F.col("pos") + 1).alias("end")))
+    windows = level.select(*_DOC, F.explode(both).alias("w")).select(*_DOC, "w.*").where("end - start > 1").distinct()
+    windows = written(windows.withColumn("lines", F.col("end") - F.col("start")), "windows")
+    most, size = windows.agg(F.max("lines")).first()[0] or 0, 1
+    level = level.select(*_DOC, "pos", "a", "b")
+    while size * 2 <= most:
         on = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(size, size)
-        pairs = level.select(*_DOC, "pos", "chars", "a", "b", *(F.first(c).over(on).alias(f"{c}2") for c in ("chars", "a", "b"))).where("a2 is not null")
-        pairs = pairs.select(*_DOC, "pos", (F.col("chars") + F.col("chars2")).alias("chars"), F.xxhash64("a", "a2").alias("a"), F.xxhash64(F.lit(2), "b", "b2").alias("b"))
-        level, size = written(_intervals(pairs), "suffixes"), size * 2
-        if not level.limit(1).count():
-            return out
-
-
-def runs(windows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Maximal runs (d, t, start, end) of the windows that hold at least min_chars characters; runs do not overlap or touch."""
-    w = windows.where(F.col("chars") >= min_chars).groupBy(*_DOC, F.col("pos").alias("start")).agg(F.max(F.col("pos") + F.col("lines")).alias("end"))
+        pairs = level.select(*_DOC, "pos", "a", "b", *(F.first(c).over(on).alias(f"{c}2") for c in "ab")).where("a2 is not null")
+        pairs = pairs.select(*_DOC, "pos", F.xxhash64("a", "a2").alias("a"), F.xxhash64(F.lit(2), "b", "b2").alias("b"))
+        size *= 2
+        level = written(_intervals(pairs).drop("earlier"), "suffixes")
+        mine = windows.where((F.col("lines") >= size) & (F.col("lines") < 2 * size))
+        first = level.select(*_DOC, F.col("pos").alias("start"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+        last = level.select(*_DOC, F.col("pos").alias("second"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        named = mine.join(first, [*_DOC, "start"]).withColumn("second", F.col("end") - size).join(last, [*_DOC, "second"])
+        named = named.select(*_DOC, F.col("start").alias("pos"), "end", F.xxhash64("lines", "a1", "a2").alias("a"), F.xxhash64(F.lit(3), "lines", "b1", "b2").alias("b"))
+        out = out.unionByName(_intervals(named, "end").where("earlier").select(*_DOC, F.col("pos").alias("start"), "end"))
+    return out
+
+
+def runs(windows: DataFrame) -> DataFrame:
+    """Maximal runs (d, t, start, end) of windows(d, t, start, end); runs do not overlap or touch."""
+    w = windows.groupBy(*_DOC, "start").agg(F.max("end").alias("end"))
     order = Window.partitionBy(*_DOC).orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     w = w.withColumn("new", F.when(F.coalesce(reach >= F.col("start"), F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
@@ -61,14 +95,14 @@ def runs(windows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text rewritten, and n_lines, n_deleted added.
 
-    A window of 1, 2, 4, 8 ... consecutive lines that starts at an earlier place
+    A window of any number of consecutive lines that starts at an earlier place
     too (by doc_id, then by line; null ids last) and holds at least min_chars
-    characters is a later copy: its lines are deleted. Lines are cut at line feeds and
+    characters is a later copy: its lines are deleted. So the floor is that of the maximal repeated run. Lines are cut at line feeds and
     compared whole. Null texts stay null with 0 lines; an empty text is one empty
     line and stays. A text all of whose lines go becomes empty. Rows that repeat
     doc_id and text are one document and not each other's copies. All other columns are kept as they are.
     """
-    found = runs(repeated_windows(docs), min_chars)
+    found = runs(repeated_windows(docs, min_chars))
     spans = found.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnsRenamed({"d": "_d", "t": "_t"})
     keyed = docs.withColumns({"_d2": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_t2": F.xxhash64("text")})
     joined = keyed.join(spans, (F.col("_d2") == F.col("_d")) & (F.col("_t2") == F.col("_t")) & F.col("text").isNotNull(), "left")
