@@ -1,8 +1,8 @@
 """Ratings of pairs and players over sessions.
 
 A session reads the ratings as they were at its start and writes them at its end,
-so sessions are worked off in order of date, one job each; within a session everything is joins and
-grouped sums over all its boards. The state and each session's history are tables in the shared folder.
+so sessions are worked off in order of date: one task reads the seats sorted by session
+and holds the state and one session at a time. The history is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,6 @@ INITIAL, K_BASE, BOOST_UNTIL, BOOST, LOW, HIGH, VISIBLE_AFTER, MOST_PAIRS = 1500
 SPREAD = 50.0
 
 HISTORY = "session_id long, pool string, id string, before double, delta double, played long, sessions long, after double"
-STATE = "pool string, id string, rating double, boards long, sessions long"
 
 
 def stratum_scale(ratio: Column) -> Column:
@@ -57,27 +58,52 @@ def _sides(df: DataFrame, side) -> DataFrame:
     return rows.select("session_id", "Date", "board", F.monotonically_increasing_id().alias("row"), "x.pool", "x.ids", "x.pct")
 
 
-def rate_session(rows: DataFrame, state: DataFrame, spread: float) -> DataFrame:
-    """One session: (pool, id, before, delta, played) from rows(board, row, pool, ids, pct) and the state at its start."""
-    n = F.size("ids")
-    seats = rows.withColumn("id", F.explode("ids")).join(state, ["pool", "id"], "left").withColumns({"rating": F.coalesce("rating", F.lit(INITIAL)), "boards": F.coalesce("boards", F.lit(0))})
-    entry = seats.groupBy("board", "pool", "row").agg(F.avg("rating").alias("own"))
-    field = entry.groupBy("board", "pool").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("pairs"), F.stddev_pop("own").alias("dev"))
-    e = seats.join(entry, ["board", "pool", "row"]).join(field, ["board", "pool"])
-    others = F.try_divide(F.col("total") - F.col("own"), F.col("pairs") - 1)
-    expected = 1 / (1 + F.pow(F.lit(10.0), -(F.col("own") - others) / 400))
-    boost = F.when(F.col("boards") < BOOST_UNTIL, BOOST).otherwise(1.0)
-    mean = F.col("total") / F.col("pairs")
-    k = K_BASE * boost * F.sqrt((F.least(F.col("pairs"), F.lit(MOST_PAIRS)) - 1) / 11) * stratum_scale(F.col("dev") / spread) * strength_scale((mean - INITIAL) / spread)
-    delta = F.coalesce(k * (F.col("pct") - expected) / n, F.lit(0.0))
-    return e.groupBy("pool", "id").agg(F.first("rating").alias("before"), F.sum(delta).alias("delta"), F.count("pct").alias("played"))
+def rate_session(seats: pd.DataFrame, state: dict, spread: float) -> pd.DataFrame:
+    """One session: its history rows from seats(session_id, board, row, pool, id, n, pct, has) and the state at its start.
 
-
-def next_state(state: DataFrame, rated: DataFrame) -> DataFrame:
-    """Ratings after a session, within 200 to 3000; others stay."""
-    j = state.join(rated, ["pool", "id"], "full")
-    after = F.when(F.col("before").isNotNull(), F.least(F.lit(HIGH), F.greatest(F.lit(LOW), F.col("before") + F.col("delta")))).otherwise(F.col("rating"))
-    return j.select("pool", "id", after.alias("rating"), (F.coalesce("boards", F.lit(0)) + F.coalesce("played", F.lit(0))).alias("boards"), (F.coalesce("sessions", F.lit(0)) + F.col("before").isNotNull().cast("int")).alias("sessions"))
+    state: pool and id -> (rating, boards, sessions); it becomes the state at the session's end. A null id starts anew each time.
+    """
+    key = seats["pool"] + ("=" + seats["id"]).fillna("")
+    who, keys = pd.factorize(key)
+    rating, boards, sessions = np.array([state.get(k, (INITIAL, 0, 0)) for k in keys], float).T
+    entry = pd.factorize(seats["row"])[0]
+    lead, seen = np.unique(entry, return_index=True)[1], np.unique(who, return_index=True)[1]
+    own = np.bincount(entry, rating[who]) / np.bincount(entry)
+    field = pd.factorize(seats["pool"] + seats["board"])[0][lead]
+    pairs, total = np.bincount(field), np.bincount(field, own)
+    mean = total / pairs
+    dev = np.sqrt(np.bincount(field, (own - mean[field]) ** 2) / pairs)
+    # the rules of stratum_scale and strength_scale
+    ratio, z = dev / spread, (mean - INITIAL) / spread
+    scale = np.where(ratio <= 0.8, 1.0, np.where(ratio >= 1.3, 0.25, 1 - 0.75 * (ratio - 0.8) / 0.5)) * np.where(z >= 0, 1.0, np.where(z <= -2, 0.25, 1 + 0.375 * z))
+    k = K_BASE * np.sqrt((np.minimum(pairs, MOST_PAIRS) - 1) / 11) * scale
+    others = (total[field] - own) / np.maximum(pairs[field] - 1, 1)
+    expected, at, has = 1 / (1 + 10.0 ** (-(own - others) / 400)), field[entry], seats["has"].to_numpy(bool)
+    boost = np.where(boards[who] < BOOST_UNTIL, BOOST, 1.0)
+    move = np.where(has & (pairs[at] > 1), k[at] * boost * (seats["pct"].to_numpy(float) - expected[entry]) / seats["n"].to_numpy(), 0.0)
+    delta, played = np.bincount(who, move), np.bincount(who, has).astype("int64")
+    after = np.where(np.isnan(delta), HIGH, np.clip(rating + delta, LOW, HIGH))
+    state.update((x, s) for x, s in zip(keys, zip(after, boards + played, sessions + 1)) if "=" in x)
+    out = {"session_id": seats["session_id"].iat[0], "pool": seats["pool"].to_numpy()[seen], "id": seats["id"].to_numpy()[seen], "before": rating, "delta": delta}
+    return pd.DataFrame(out | {"played": played, "sessions": sessions.astype("int64"), "after": after})
+
+
+def rate_in_order(batches: Iterator[pd.DataFrame], spread: float) -> Iterator[pd.DataFrame]:
+    """History of seats that come session by session; a session may lie over several batches."""
+    state, parts, session = {}, [], None
+    for batch in batches:
+        ids = batch["session_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            if parts and ids[start] != session:
+                yield rate_session(pd.concat(parts, ignore_index=True), state, spread)
+                parts = []
+            session = ids[start]
+            parts.append(batch.iloc[start:end])
+    if parts:
+        yield rate_session(pd.concat(parts, ignore_index=True), state, spread)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -89,12 +115,6 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ratings-{uuid.uuid4().hex}"
 
 
-def sessions_in_order(rows: DataFrame) -> Iterator:
-    """Session ids by date; the list is one entry a session."""
-    for r in rows.groupBy("session_id").agg(F.min("Date").alias("d")).orderBy("d", "session_id").toLocalIterator():
-        yield r.session_id
-
-
 def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_AFTER) -> DataFrame:
     """History (session_id, pool, id, before, after, seen_before, seen_after) of all sessions in order.
 
@@ -103,19 +123,11 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
     """
     spark = rows.sparkSession
     folder = _folder(spark)
-    rows.write.partitionBy("session_id").parquet(f"{folder}/rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
-    state = spark.createDataFrame([], STATE)
-    for i, session in enumerate(sessions_in_order(rows)):
-        rated = rate_session(rows.where(F.col("session_id") == session), state, spread)
-        after = F.least(F.lit(HIGH), F.greatest(F.lit(LOW), F.col("before") + F.col("delta")))
-        done = rated.join(state.select("pool", "id", "sessions"), ["pool", "id"], "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
-        done.select(F.lit(session).alias("session_id"), "pool", "id", "before", "delta", "played", "sessions", after.alias("after")).write.mode("append").parquet(f"{folder}/history/s={i}")
-        rated = spark.read.parquet(f"{folder}/history/s={i}")
-        next_state(state, rated.select("pool", "id", "before", "delta", "played")).write.parquet(f"{folder}/state/{i}")
-        state = spark.read.parquet(f"{folder}/state/{i}")
-    there = rows.limit(1).count()
-    history = spark.read.schema(HISTORY).option("recursiveFileLookup", True).parquet(f"{folder}/history") if there else spark.createDataFrame([], HISTORY)
+    dates = rows.groupBy("session_id").agg(F.min("Date").alias("first"))
+    seats = rows.select(F.col("session_id").cast("long").alias("session_id"), "board", "row", "pool", F.explode("ids").alias("id"), F.size("ids").alias("n"), "pct", F.col("pct").isNotNull().alias("has"))
+    ordered = seats.join(dates, "session_id").repartition(1).sortWithinPartitions("first", "session_id").drop("first")
+    ordered.mapInPandas(lambda batches: rate_in_order(batches, spread), HISTORY).write.parquet(f"{folder}/history")
+    history = spark.read.schema(HISTORY).parquet(f"{folder}/history")
     seen = lambda c, more: F.when(F.col("sessions") + more >= visible_after, F.col(c))
     return history.select("session_id", "pool", "id", "before", "after", seen("before", 0).alias("seen_before"), seen("after", 1).alias("seen_after"))
 

@@ -14,9 +14,8 @@ Q, O = {}, {}
 
 
 def results(spark, sf):
-    """Board results in six long sessions."""
-    b = X.board_results(spark, sf).withColumn("session_id", F.pmod("session_id", F.lit(6)))
-    b = b.withColumn("Date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("session_id").cast("int")))
+    """Board results with what the ratings read."""
+    b = X.board_results(spark, sf)
     return b.select("session_id", "section_id", "Board", "Date", "Score_NS", *[f"Player_ID_{d}" for d in "NESW"])
 
 
@@ -28,8 +27,8 @@ def rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-Q["elo1_pair_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_pairs(scored(s, d)), visible_after=3), "before", "after", "seen_before", "seen_after")
-Q["elo2_player_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_players(scored(s, d)), visible_after=3), "before", "after", "seen_before", "seen_after")
+Q["elo1_pair_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_pairs(scored(s, d))), "before", "after", "seen_before", "seen_after")
+Q["elo2_player_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_players(scored(s, d))), "before", "after", "seen_before", "seen_after")
 
 
 def scales(spark, sf):
