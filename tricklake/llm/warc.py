@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table, written
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT_BYTES, BLOCK, MOST_HEADER = 16_000_000, 1 << 20, 1 << 16
+SPLIT_BYTES, BLOCK = 16_000_000, 1 << 20
 DATE = "2024-01-01T00:00:00Z"  # constant, so that archives are reproducible
 
 
@@ -114,7 +114,7 @@ class _Window:
 def _member(w: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """The record of the gzip member at an offset: headers, payload, offset behind it; None if there is no WARC record."""
     z, text, pos = zlib.decompressobj(31), bytearray(), at
-    head = -1
+    head, looked = -1, 0
     while not z.eof:
         if pos >= w.base + len(w.data) and not w.more():
             return None
@@ -127,9 +127,9 @@ def _member(w: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
         if head < 0:
             if not (text.startswith(b"WARC/1.") or b"WARC/1.".startswith(bytes(text[:7]))):
                 return None
-            head = text.find(b"\r\n\r\n")
-            if head < 0 and len(text) > MOST_HEADER:
-                return None
+            # a header may be of any length; what came before is searched once
+            head = text.find(b"\r\n\r\n", max(0, looked - 3))
+            looked = len(text)
     pos -= len(z.unused_data)
     if head < 0:
         return None
