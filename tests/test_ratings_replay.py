@@ -10,64 +10,94 @@ import pytest
 from tricklake.operators import ratings as R
 
 
-def replay(rows, players, spread=50.0):
-    """rows: (session, section, board, N, E, S, W, pct); sessions in order."""
+def replay(rows, players, spread=50.0, least=2):
+    """rows: (session, board, N, E, S, W, pct, top); sessions in order. A field is a board of the session in all sections."""
     state, history = {}, []
     for session in sorted({r[0] for r in rows}):
         entries = defaultdict(list)
-        for s, sec, b, n, e, so, w, pct in rows:
+        for s, b, n, e, so, w, pct, top in rows:
             if s == session:
+                size = min(60.0, 1.0 if top is None else top / 2 + 1)
+                scale = math.sqrt(max(size - 1, 1) / 11) if size > 1 else 1.0
                 for pool, pair, x in (("NS", (n, so), pct), ("EW", (e, w), None if pct is None else 1 - pct)):
-                    ids = list(pair) if players else ["_".join(sorted(pair))]
+                    ids = list(pair) if players else ["-".join(sorted(pair))]
                     own = sum(state.get((pool, i), (1500.0, 0, 0))[0] for i in ids) / len(ids)
-                    entries[sec, b, pool].append((ids, own, x))
+                    entries[b, pool].append((ids, own, x, scale))
         delta, played, seen = defaultdict(float), defaultdict(int), set()
-        for (_, _, pool), es in entries.items():
+        for (_, pool), es in entries.items():
             n, total = len(es), sum(e[1] for e in es)
             mean = total / n
             dev = math.sqrt(sum((e[1] - mean) ** 2 for e in es) / n)
-            for ids, own, x in es:
+            for ids, own, x, scale in es:
+                others = (total - own) / (n - 1) if n > 1 else own
+                expected = 1 / (1 + 10 ** (-(own - others) / 400))
+                ratio, z = dev / spread, (mean - 1500) / spread
+                stratum = 1.0 if n == 1 or ratio <= 0.8 else 0.25 if ratio >= 1.3 else 1 - 0.75 * (ratio - 0.8) / 0.5
+                strength = 1.0 if n == 1 or z >= 0 else 0.25 if z <= -2 else 1 + 0.375 * z
                 for i in ids:
                     seen.add((pool, i))
-                    if x is None:
-                        continue
-                    played[pool, i] += 1
-                    if n == 1:
-                        continue
-                    others = (total - own) / (n - 1)
-                    expected = 1 / (1 + 10 ** (-(own - others) / 400))
-                    ratio, z = dev / spread, (mean - 1500) / spread
-                    stratum = 1.0 if ratio <= 0.8 else 0.25 if ratio >= 1.3 else 1 - 0.75 * (ratio - 0.8) / 0.5
-                    strength = 1.0 if z >= 0 else 0.25 if z <= -2 else 1 + 0.375 * z
-                    boost = 1.5 if state.get((pool, i), (0, 0, 0))[1] < 100 else 1.0
-                    delta[pool, i] += 24 * boost * math.sqrt((min(n, 60) - 1) / 11) * stratum * strength * (x - expected) / len(ids)
+                    if x is not None:
+                        played[pool, i] += 1
+                        boost = 1.5 if state.get((pool, i), (0, 0, 0))[1] < 100 else 1.0
+                        delta[pool, i] += 24 * boost * scale * stratum * strength * (x - expected) / len(ids)
         for k in seen:
             r, b, c = state.get(k, (1500.0, 0, 0))
             after = min(3000.0, max(200.0, r + delta[k]))
-            history.append((session, *k, round(r, 6), round(after, 6), round(after, 6) if c + 1 >= 2 else None))
-            state[k] = (after, b + played[k], c + 1)
+            c += played[k] > 0
+            history.append((session, *k, round(r, 6), round(after, 6), round(r, 6) if c >= least else None, round(after, 6) if c >= least else None))
+            state[k] = (after, b + played[k], c)
     return sorted(history, key=str)
 
 
-@pytest.mark.parametrize("players", [False, True])
-def test_three_sessions(spark, players):
+SCHEMA = "session_id long, section_id int, Board int, Player_ID_N string, Player_ID_E string, Player_ID_S string, Player_ID_W string, Pct_NS double, MP_Top long, Date date"
+
+
+def history(df, **more):
+    r = lambda x: None if x is None else round(x, 6)
+    return sorted(((x.session_id, x.pool, x.id, r(x.before), r(x.after), r(x.seen_before), r(x.seen_after)) for x in R.rate(df, visible_after=2, **more).collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def clubs(spark):
+    """Seven sessions of two clubs, of which some players visit the other; two sections, boards with one row, null percentages, tops from none to 200."""
     r = random.Random(6)
     rows = []
-    for s in range(3):
+    for s in range(7):
         for sec in range(2):
             for b in range(8):
-                for _ in range(r.choice([1, 3, 5])):
-                    n, so, e, w = r.sample(range(9), 4)
-                    rows.append((s, sec, b, f"p{n}", f"p{e}", f"p{so}", f"p{w}", r.choice([None, 0.0, 0.25, 0.5, 0.9, 1.0])))
-    df = spark.createDataFrame([(*x, datetime.date(2020, 1, 1 + x[0])) for x in rows], "session_id long, section_id int, Board int, Player_ID_N string, Player_ID_E string, Player_ID_S string, Player_ID_W string, Pct_NS double, Date date")
-    unpivot = R.unpivot_players if players else R.unpivot_pairs
-    got = [(x.session_id, x.pool, x.id, round(x.before, 6), round(x.after, 6), None if x.seen_after is None else round(x.seen_after, 6)) for x in R.rate(unpivot(df), visible_after=2).collect()]
-    assert sorted(got, key=str) == replay(rows, players)
+                for _ in range(r.choice([0, 1, 1, 3])):
+                    at = s % 2 * 6 if s < 5 else 3
+                    n, so, e, w = r.sample(range(at, at + 8 if s >= 3 else at + 5), 4)
+                    rows.append((s, sec, b, f"p{n}", f"p{e}", f"p{so}", f"p{w}", r.choice([None, 0.0, 0.25, 0.5, 0.9, 1.0]), r.choice([None, 1, 12, 200])))
+    df = spark.createDataFrame([(*x, datetime.date(2020, 1, 1 + x[0] // 2)) for x in rows], SCHEMA)
+    return df, [(x[0], *x[2:]) for x in rows]
+
+
+@pytest.mark.parametrize("players", [False, True])
+def test_every_session(clubs, players):
+    df, rows = clubs
+    assert history((R.unpivot_players if players else R.unpivot_pairs)(df)) == replay(rows, players)
+
+
+@pytest.mark.parametrize("seats", [30, 120])
+def test_rounds_and_groups_do_not_change_ratings(clubs, seats):
+    df, rows = clubs
+    assert history(R.unpivot_players(df), group_seats=seats) == replay(rows, True)
+
+
+def test_a_board_with_one_row_and_two_sections_by_hand(spark):
+    day = datetime.date(2020, 1, 1)
+    # alone on board 1: 24 * 1.5 * (1 - 0.5); board 2 in two sections is one field of two: 24 * 1.5 * (0.8 - 0.5) and (0.2 - 0.5)
+    rows = [(1, 0, 1, "a", "c", "b", "d", 1.0, None, day), (1, 0, 2, "a", "c", "b", "d", 0.8, None, day), (1, 1, 2, "e", "g", "f", "h", 0.2, None, day)]
+    got = {x[2]: x[4] for x in history(R.unpivot_pairs(spark.createDataFrame(rows, SCHEMA)))}
+    assert got == {"a-b": 1500 + 18 + 10.8, "c-d": 1500 - 18 - 10.8, "e-f": 1500 - 10.8, "g-h": 1500 + 10.8}
+    # a section of 23 pairs: the square root of 22 / 11
+    one = spark.createDataFrame([(*rows[0][:8], 44, day)], SCHEMA)
+    assert {x[2]: x[4] for x in history(R.unpivot_pairs(one))}["a-b"] == round(1500 + 18 * math.sqrt(2), 6)
 
 
 def test_no_rows(spark):
-    df = spark.createDataFrame([], "session_id long, section_id int, Board int, Player_ID_N string, Player_ID_E string, Player_ID_S string, Player_ID_W string, Pct_NS double, Date date")
-    assert R.rate(R.unpivot_pairs(df)).collect() == []
+    assert R.rate(R.unpivot_pairs(spark.createDataFrame([], SCHEMA))).collect() == []
 
 
 def test_stage_checks(spark):

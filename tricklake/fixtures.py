@@ -18,20 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_pbn(df: DataFrame, deal_id: str = "deal_id") -> DataFrame:
     """Add PBN, the deal of a number: cards ordered by (i + 1) * k mod 10007, thirteen to each seat."""
     k = 1 + (F.col(deal_id) * 7919 + 13) % 10006
-    cards = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(51)), lambda i: F.struct((((i + 1) * F.col("_k")) % 10007).alias("v"), i.alias("i"))))
+    # place and card in one number: the order of the numbers is that of the places, which differ
+    shuffled = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(51)), lambda i: ((i + 1) * F.col("_k")) % 10007 * 52 + i))
 
-    def suit(seat: int, s: int) -> Column:
-        mine = F.filter(F.slice(F.col("_c"), 13 * seat + 1, 13), lambda c: F.floor(c["i"] / 13) == s)
-        return F.array_join(F.transform(F.array_sort(F.transform(mine, lambda c: c["i"])), lambda i: B.nth(B.RANKS, i % 13)), "")
+    def hand(seat: int) -> tuple[Column, Column]:
+        cards = F.array_sort(F.transform(F.slice(F.col("_c"), 13 * seat + 1, 13), lambda c: (c % 52).cast("int")))
+        suits = [F.array_join(F.transform(F.filter(F.col(f"_h{seat}"), lambda c: c.between(13 * s, 13 * s + 12)), lambda c: B.nth(B.RANKS, c - 13 * s)), "") for s in range(4)]
+        return cards, F.concat_ws(".", *suits)
 
-    text = F.concat(F.lit("N:"), F.concat_ws(" ", *[F.concat_ws(".", *[suit(seat, s) for s in range(4)]) for seat in range(4)]))
-    return df.withColumn("_k", k).withColumn("_c", cards).withColumn("PBN", text).drop("_k", "_c")
+    df = df.withColumn("_k", k).withColumn("_c", shuffled).withColumns({f"_h{seat}": hand(seat)[0] for seat in range(4)})
+    return df.withColumn("PBN", F.concat(F.lit("N:"), F.concat_ws(" ", *[hand(seat)[1] for seat in range(4)]))).drop("_k", "_c", *[f"_h{seat}" for seat in range(4)])
+
+
+def deal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(deal_id, Board), one an order."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("deal_id"), (F.col("o_orderkey") % 36 + 1).cast("int").alias("Board"))
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(deal_id, Board, PBN), one a tenth order."""
-    ids = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("deal_id"), (F.col("o_orderkey") / 10 % 36 + 1).cast("int").alias("Board"))
-    return with_pbn(ids)
+    """(deal_id, Board, PBN), one an order."""
+    return with_pbn(deal_ids(spark, sf_dir))
 
 
 def board_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +88,7 @@ def vul_sql(code: str, seat: str) -> str:
 
 #: name: (tables it needs before it, text)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
-    "deal_ids": ((), "SELECT o_orderkey AS deal_id, (o_orderkey // 10 % 36 + 1)::INTEGER AS Board FROM orders WHERE o_orderkey % 10 = 0"),
+    "deal_ids": ((), "SELECT o_orderkey AS deal_id, (o_orderkey % 36 + 1)::INTEGER AS Board FROM orders"),
     "cards": (
         ("deal_ids",),
         """SELECT deal_id, Board, i, (row_number() OVER (PARTITION BY deal_id ORDER BY ((i + 1) * (1 + (deal_id * 7919 + 13) % 10006)) % 10007) - 1) // 13 AS seat, i // 13 AS suit,
@@ -123,11 +129,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT level::INTEGER AS level, strain, dbl, vul, (tricks)::INTEGER AS tricks, {score_sql('level', 'strain', 'dbl', 'vul', '(tricks - 6 - level)')} AS score
   FROM range(1, 8) a(level), (SELECT unnest(['C', 'D', 'H', 'S', 'N']) AS strain), (SELECT unnest(['', 'X', 'XX']) AS dbl), (SELECT unnest([false, true]) AS vul), range(14) e(tricks)""",
     ),
-    # forty sampled layouts a deal, summed up
+    # ten sampled layouts a deal
     "samples": (
         ("deal_ids",),
         """SELECT deal_id, Board, substr('NESW', seat::INTEGER + 1, 1) AS seat, substr('SHDCN', st::INTEGER + 1, 1) AS strain, ((deal_id * 13 + sample * sample * 7 + seat * 3 + st) % 14)::INTEGER AS tricks
-  FROM (SELECT * FROM deal_ids WHERE deal_id % 50 = 0), range(4) a(seat), range(5) b(st), range(40) c(sample)""",
+  FROM deal_ids, range(4) a(seat), range(5) b(st), range(10) c(sample)""",
     ),
 }
 
@@ -147,16 +153,21 @@ def oracle(main: str, *names: str) -> str:
     return ("WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" if order else "") + main
 
 
+def trick_cells(ids: DataFrame) -> DataFrame:
+    """ids(deal_id, Board) -> (deal_id, Board, cells): a made-up trick table, seats N, E, S, W by strains S, H, D, C, N."""
+    def cell(x: int, st: int) -> Column:
+        return F.greatest(F.lit(0), (F.col("deal_id") * 31 + x % 2 * 17 + st * 5) % 14 - ((F.col("deal_id") + st) % 2 if x >= 2 else F.lit(0))).cast("int")
+
+    return ids.select("deal_id", "Board", F.array(*[cell(x, st) for x in range(4) for st in range(5)]).alias("cells"))
+
+
 def dd_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(deal_id, Board, seat, strain, tricks)."""
-    ids = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("deal_id"), (F.col("o_orderkey") / 10 % 36 + 1).cast("int").alias("Board"))
-    grid = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("g")).withColumns({"x": F.floor(F.col("g") / 5), "st": F.col("g") % 5})
-    t = (F.col("deal_id") * 31 + F.col("x") % 2 * 17 + F.col("st") * 5) % 14 - F.when(F.col("x") >= 2, (F.col("deal_id") + F.col("st")) % 2).otherwise(0)
-    return grid.select("deal_id", "Board", B.nth("NESW", F.col("x")).alias("seat"), B.nth("SHDCN", F.col("st")).alias("strain"), F.greatest(F.lit(0), t).cast("int").alias("tricks"))
+    """(deal_id, Board, seat, strain, tricks) of all deals."""
+    rows = trick_cells(deal_ids(spark, sf_dir)).select("deal_id", "Board", F.posexplode("cells").alias("g", "tricks"))
+    return rows.select("deal_id", "Board", B.nth("NESW", F.floor(F.col("g") / 5)).alias("seat"), B.nth("SHDCN", F.col("g") % 5).alias("strain"), "tricks")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(deal_id, Board, seat, strain, tricks) of forty layouts, for every fifth deal."""
-    ids = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("deal_id"), (F.col("o_orderkey") / 10 % 36 + 1).cast("int").alias("Board"))
-    g = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(799))).alias("g")).withColumns({"x": F.floor(F.col("g") / 200), "st": F.floor(F.col("g") / 40) % 5, "n": F.col("g") % 40})
+    """(deal_id, Board, seat, strain, tricks) of ten layouts of every deal."""
+    g = deal_ids(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("g")).withColumns({"x": F.floor(F.col("g") / 50), "st": F.floor(F.col("g") / 10) % 5, "n": F.col("g") % 10})
     return g.select("deal_id", "Board", B.nth("NESW", F.col("x")).alias("seat"), B.nth("SHDCN", F.col("st")).alias("strain"), ((F.col("deal_id") * 13 + F.col("n") * F.col("n") * 7 + F.col("x") * 3 + F.col("st")) % 14).cast("int").alias("tricks"))

@@ -50,7 +50,7 @@ def seat_is_vulnerable(code: Column, seat: Column) -> Column:
 
 def hands(pbn: Column) -> Column:
     """array<array<string>>: suits (S, H, D, C) of the seats N, E, S, W of a text that starts with N."""
-    return F.transform(F.split(F.substring(pbn, 3, 1000), " ", -1), lambda h: F.split(h, "\\.", -1))
+    return F.transform(F.split(F.substring(pbn, F.lit(3), F.length(pbn)), " ", -1), lambda h: F.split(h, "\\.", -1))
 
 
 def count_of(cards: Column, rank: str) -> Column:
@@ -76,16 +76,49 @@ def suit_distribution(cards: Column) -> Column:
     return F.greatest(F.lit(0), 3 - F.length(cards))
 
 
+def score_rule(level: int, strain: int, doubled: int, vulnerable: bool, tricks: int) -> int:
+    """Duplicate score for the declaring side; strain by its place in STRAINS, doubled 0, 1 or 2 times."""
+    over = tricks - 6 - level
+    if over < 0:
+        if not doubled:
+            return over * (100 if vulnerable else 50)
+        # the first undertrick, the second and third, all after them
+        steps = [200] + [300] * 12 if vulnerable else [100, 200, 200] + [300] * 10
+        return -doubled * sum(steps[:-over])
+    per_trick = 20 if strain < 2 else 30
+    trick_points = (per_trick * level + (10 if strain == 4 else 0)) << doubled
+    bonus = 50 if trick_points < 100 else 500 if vulnerable else 300
+    if level >= 6:
+        bonus += (level - 5) * (750 if vulnerable else 500)
+    each = doubled * (200 if vulnerable else 100) if doubled else per_trick
+    return trick_points + bonus + 50 * doubled + over * each
+
+
+#: every score there is, ordered by level, strain, doubling, vulnerability and tricks; made from the rule
+_SCORES = ",".join(str(score_rule(level, strain, doubled, vul, t)) for level in range(1, 8) for strain in range(5) for doubled in range(3) for vul in (False, True) for t in range(14))
+
+#: the best score of any level, ordered by strain, vulnerability and tricks, failing contracts doubled
+_BEST = ",".join(str(max(score_rule(level, strain, int(t < level + 6), vul, t) for level in range(1, 8))) for strain in range(5) for vul in (False, True) for t in range(14))
+
+
 def contract_score(level: Column, strain: Column, doubled: Column, vulnerable: Column, result: Column) -> Column:
-    """Duplicate score of a contract for the declaring side; result is tricks over (or under, negative) the contract; doubled is '', X or XX."""
-    factor = F.when(doubled == "XX", 4).when(doubled == "X", 2).otherwise(1)
-    per = F.when(strain.isin("C", "D"), 20).otherwise(30)
-    base = (per * level + F.when(strain == "N", 10).otherwise(0)) * factor
-    v = lambda yes, no: F.when(vulnerable, yes).otherwise(no)
-    bonus = F.when(base >= 100, v(500, 300)).otherwise(50) + F.when(level == 7, v(1500, 1000)).when(level == 6, v(750, 500)).otherwise(0)
-    insult = F.when(factor == 4, 100).when(factor == 2, 50).otherwise(0)
-    over = result * F.when(factor == 1, per).otherwise(v(100, 50) * factor)
-    n = -result
-    doubled_down = F.when(vulnerable, 300 * n - 100).when(n <= 3, 200 * n - 100).otherwise(300 * n - 400) * F.when(factor == 4, 2).otherwise(1)
-    down = -F.when(factor == 1, n * v(100, 50)).otherwise(doubled_down)
-    return F.when(result >= 0, base + bonus + insult + over).otherwise(down).cast("int")
+    """Duplicate score of a contract for the declaring side; result is tricks over (or under, negative) the contract; doubled is '', X or XX.
+
+    A constant array is looked up, so the expression stays small wherever it is used. Null for results that no trick count gives and unknown strains.
+    """
+    tricks = result + level + 6
+    times = F.when(doubled == "XX", 2).when(doubled == "X", 1).otherwise(0)
+    place = ((((level - 1) * 5 + F.instr(F.lit(STRAINS), strain) - 1) * 3 + times) * 2 + F.when(vulnerable, 1).otherwise(0)) * 14 + tricks
+    known = level.between(1, 7) & tricks.between(0, 13) & (F.instr(F.lit(STRAINS), strain) > 0)
+    return F.when(known, F.get(F.split(F.lit(_SCORES), ",").cast("array<int>"), place.cast("int")))
+
+
+def set_score(level: Column, strain: Column, vulnerable: Column, tricks: Column) -> Column:
+    """Score of a contract that takes so many tricks, doubled if it fails: what theoretical scores and expected values go by."""
+    return contract_score(level, strain, F.when(tricks < level + 6, "X").otherwise(""), vulnerable, tricks - 6 - level)
+
+
+def best_set_score(strain: Column, vulnerable: Column, tricks: Column) -> Column:
+    """The best of the set_scores of all seven levels."""
+    place = ((F.instr(F.lit(STRAINS), strain) - 1) * 2 + F.when(vulnerable, 1).otherwise(0)) * 14 + tricks
+    return F.when((F.instr(F.lit(STRAINS), strain) > 0) & tricks.between(0, 13), F.get(F.split(F.lit(_BEST), ",").cast("array<int>"), place.cast("int")))

@@ -80,13 +80,13 @@ _ALLOWED = re.compile(r"^[A-Za-z_]\w*( *(==|=|<=|>=|<|>|!=) *(\d+|True|False|tru
 
 def seat_features(deals: DataFrame) -> DataFrame:
     """deals(deal_id, Board, PBN) -> per deal and seat: HCP, Total_Points, Losers, SL_s, Balanced, quality flags by suit."""
-    from .deals import QUALITY, balanced, suit_quality
+    from .deals import balanced, suit_flags
 
     rows = deals.select("deal_id", "Board", F.posexplode(B.hands(F.col("PBN"))).alias("_i", "h"))
     add = lambda f: sum((f(F.col("h")[j]) for j in range(1, 4)), f(F.col("h")[0]))
     return rows.select(
         "deal_id", "Board", B.nth(B.SEATS, F.col("_i")).alias("seat"), add(B.suit_hcp).alias("HCP"), add(lambda s: B.suit_hcp(s) + B.suit_distribution(s)).alias("Total_Points"), add(B.suit_losers).alias("Losers"),
-        balanced(F.col("h")).alias("Balanced"), *[F.length(F.col("h")[j]).alias(f"SL_{s}") for j, s in enumerate(B.SUITS)], *[suit_quality(F.col("h")[j], r).alias(f"{k}_{s}") for k, r in QUALITY.items() for j, s in enumerate(B.SUITS)],
+        balanced(F.col("h")).alias("Balanced"), *[F.length(F.col("h")[j]).alias(f"SL_{s}") for j, s in enumerate(B.SUITS)], *[c.alias(f"{k}_{s}") for j, s in enumerate(B.SUITS) for k, c in suit_flags(F.col("h")[j]).items()],
     )
 
 
@@ -109,11 +109,22 @@ def bitmap(truth: DataFrame) -> DataFrame:
     return truth.select("deal_id", "seat", F.posexplode("truth").alias("i", "t")).where("t").select("deal_id", "seat", (F.col("i") + 1).alias("predicate_id"))
 
 
-def stored_bitmap(truth: DataFrame, path: str, fingerprint: str) -> DataFrame:
-    """The bitmap table of this fingerprint of deals and rules, built only if it isn't stored yet."""
+def fingerprint(*sources: DataFrame) -> str:
+    """What tables hold, as a text: rows and the sum of the rows' hashes, whatever their order."""
+    parts = []
+    for df in sources:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[F.to_json(F.struct(*df.columns))]).cast("decimal(38,0)")).alias("h")).first()
+        parts.append(f"{r.n}.{r.h or 0}")
+    return "_".join(parts)
+
+
+def stored_bitmap(deals: DataFrame, predicates: list[str], path: str) -> DataFrame:
+    """The bitmap table of these deals and predicates, stored by the fingerprint of both: it is built anew as soon as one of them has changed."""
     from ..sources.tables import read_through
 
-    return read_through(truth.sparkSession, path, fingerprint, lambda: bitmap(truth))
+    spark = deals.sparkSession
+    key = fingerprint(deals, spark.createDataFrame([(i, p) for i, p in enumerate(predicates)], "i int, p string"))
+    return read_through(spark, path, key, lambda: bitmap(evaluate(seat_features(deals), predicates)))
 
 
 def seat_of_turn(dealer: Column, turn: Column) -> Column:
@@ -139,16 +150,20 @@ def rules_that_hold(bits: DataFrame, needs: DataFrame, seats: DataFrame, rules:
     return out.unionByName(seats.select("deal_id", "seat", F.explode(F.array(*[F.lit(i) for i in free])).alias("rule_id")))
 
 
-def with_ancestors(rules: DataFrame, most_depth: int = 64) -> DataFrame:
-    """rules(rule_id, parent; 0 is the root) -> (rule_id, ancestor) with the rule itself, level by level down the tree."""
+def with_ancestors(rules: DataFrame) -> DataFrame:
+    """rules(rule_id, parent; 0 is the root) -> (rule_id, ancestor) with the rule itself, level by level down to the last; a circle of parents is an error."""
     out = level = rules.select("rule_id", F.col("rule_id").alias("ancestor"), "parent")
     up = rules.select(F.col("rule_id").alias("parent"), F.col("parent").alias("next"))
-    for _ in range(most_depth):
+    while True:
         level = level.join(up, "parent").select("rule_id", F.col("parent").alias("ancestor"), F.col("next").alias("parent"))
-        if not level.limit(1).count():
-            break
+        # a rule book's rows: each level goes to the driver's plan as data, so plans do not grow with the depth
+        rows = level.collect()
+        if not rows:
+            return out.select("rule_id", "ancestor")
+        if any(r.rule_id == r.ancestor for r in rows):
+            raise ValueError("rules are their own ancestors")
+        level = rules.sparkSession.createDataFrame(rows, level.schema)
         out = out.unionByName(level)
-    return out.select("rule_id", "ancestor")
 
 
 def hold_with_ancestors(holds: DataFrame, rules: DataFrame) -> DataFrame:
@@ -172,35 +187,36 @@ def for_four_seats(rules: DataFrame) -> DataFrame:
     return r.withColumns({f"Agg_Expr_Seat_{i}": F.when(F.col("seat") == i, F.col("Expr")) for i in range(1, 5)})
 
 
-def auctions(deals: DataFrame, holds: DataFrame, rules: DataFrame, folder: str, most_bids: int = 24) -> DataFrame:
-    """All auctions a deal can reach: (deal_id, Dealer, auction array).
+def auctions(deals: DataFrame, holds: DataFrame, rules: DataFrame, folder: str, prefixes: bool = False) -> DataFrame:
+    """All auctions a deal can reach: (deal_id, Dealer, auction array); with prefixes also all their beginnings of one bid or more.
 
     The seat to bid takes each rule below the last bid that holds for its hand, if
     its own side made that bid (any rule of the root before the first bid), else it passes; three passes
-    after a bid, or four at the start, end an auction. Openings of 4N or more are not followed. Steps go to tables below folder.
+    after a bid, or four at the start, end an auction. Openings of 4N or more are not followed. Steps go to tables
+    below folder until no auction is open; as each bid goes one rule down the tree, a tree of rules has an end (with_ancestors refuses circles).
     """
     spark = deals.sparkSession
     moves = holds.join(rules.select("rule_id", "parent", "bid"), "rule_id").where("not (parent = 0 and bid >= '4N' and bid < 'p')")
     moves = moves.select("deal_id", (F.instr(F.lit(B.SEATS), F.col("seat")) - 1).alias("turn"), F.col("parent").alias("node"), "rule_id", "bid")
+    path = f"{folder.rstrip('/')}/auctions-{uuid.uuid4().hex}"
+    moves.write.parquet(f"{path}/moves")  # read at every step
+    moves = spark.read.schema(moves.schema).parquet(f"{path}/moves")
     front = deals.select("deal_id", B.dealer_of(F.col("Board")).alias("Dealer"), F.array().cast("array<string>").alias("auction"), F.lit(0).alias("node"), F.lit(-1).alias("bidder"), F.lit(0).alias("passes"))
     front = front.withColumn("turn", F.instr(F.lit(B.SEATS), F.col("Dealer")) - 1)
-    path = f"{folder.rstrip('/')}/auctions-{uuid.uuid4().hex}"
-    done = []
-    for step in range(most_bids):
+    step = 0
+    while True:
         m = front.join(moves, ["deal_id", "turn", "node"], "left")
         mine = F.col("rule_id").isNotNull() & ((F.col("bidder") < 0) | (F.pmod(F.col("turn") - F.col("bidder"), F.lit(2)) == 0))
         m = m.select("deal_id", "Dealer", F.concat("auction", F.array(F.when(mine, F.col("bid")).otherwise("p"))).alias("auction"), F.when(mine, F.col("rule_id")).otherwise(F.col("node")).alias("node"),
                      F.when(mine, F.col("turn")).otherwise(F.col("bidder")).alias("bidder"), F.when(mine, 0).otherwise(F.col("passes") + 1).alias("passes"), F.pmod(F.col("turn") + 1, F.lit(4)).alias("turn")).distinct()
         m.withColumn("over", F.col("passes") == F.when(F.col("bidder") < 0, 4).otherwise(3)).write.parquet(f"{path}/{step}")
         m = spark.read.parquet(f"{path}/{step}")
-        done.append(m.where("over").select("deal_id", "Dealer", "auction"))
         front = m.where("not over").drop("over")
         if not front.limit(1).count():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        step += 1
+    every = spark.read.parquet(*[f"{path}/{i}" for i in range(step + 1)])
+    return (every if prefixes else every.where("over")).select("deal_id", "Dealer", "auction").distinct()
 
 
 def analyse(auction: Column, dealer: Column) -> Column:

@@ -69,31 +69,42 @@ def side_scores(df: DataFrame) -> DataFrame:
     return df.withColumns({"Score_EW": -F.col("Score_NS"), "Score_Declarer": F.when(F.col("Declarer_Pair") == "NS", F.col("Score_NS")).when(F.col("Declarer_Pair") == "EW", -F.col("Score_NS"))})
 
 
-def join_dd(df: DataFrame, dd: DataFrame) -> DataFrame:
-    """Add DD_Tricks and DD_Tricks_Dummy of the contract from dd(deal_id, seat, strain, tricks); one join on the deal against a map a deal."""
-    cells = dd.groupBy("deal_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("seat", "strain"), "tricks"))).alias("_dd"))
-    df = df.join(cells, "deal_id", "left")
-    cell = lambda seat: F.try_element_at("_dd", F.concat(F.col(seat), F.col("BidSuit")))
-    return df.withColumns({"DD_Tricks": cell("Declarer_Direction"), "DD_Tricks_Dummy": cell("Dummy")}).drop("_dd")
+def join_deals(df: DataFrame, deals: DataFrame) -> DataFrame:
+    """Add DD_Tricks and DD_Tricks_Dummy of the contract, and what else deals(deal_id, Board, cells, ...) holds; one join on the deal, one row a deal."""
+    from .scoring import cell_of
+
+    df = df.join(deals.drop("Board"), "deal_id", "left")
+    return df.withColumns({"DD_Tricks": cell_of(F.col("cells"), F.col("Declarer_Direction"), F.col("BidSuit")), "DD_Tricks_Dummy": cell_of(F.col("cells"), F.col("Dummy"), F.col("BidSuit"))}).drop("cells")
 
 
 def dd_score(df: DataFrame) -> DataFrame:
-    """DD_Score_NS: the contract's score at DD_Tricks; 0 when passed out."""
-    s = B.contract_score(F.col("BidLvl"), F.col("BidSuit"), F.col("Dbl"), F.col("Declarer_Vul"), F.col("DD_Tricks") - 6 - F.col("BidLvl"))
-    signed = F.when(F.col("Declarer_Pair") == "NS", s).when(F.col("Declarer_Pair") == "EW", -s)
-    return df.withColumn("DD_Score_NS", F.when(F.col("Contract") == "PASS", 0).otherwise(signed)).withColumn("DD_Score_EW", -F.col("DD_Score_NS"))
+    """DD_Score_Declarer: the score of the contract's level and strain at DD_Tricks, doubled if it fails, whatever the contract's own doubling; DD_Score_Max_Declarer the best of all levels; DD_Score_NS and EW, 0 without a declarer."""
+    df = df.withColumns({
+        "DD_Score_Declarer": B.set_score(F.col("BidLvl"), F.col("BidSuit"), F.col("Declarer_Vul"), F.col("DD_Tricks")),
+        "DD_Score_Max_Declarer": B.best_set_score(F.col("BidSuit"), F.col("Declarer_Vul"), F.col("DD_Tricks")),
+    })
+    own = F.col("DD_Score_Declarer")
+    return df.withColumns({"DD_Score_NS": F.when(F.col("Declarer_Pair") == "NS", own).when(F.col("Declarer_Pair") == "EW", -own).otherwise(0), "DD_Score_EW": F.when(F.col("Declarer_Pair") == "EW", own).when(F.col("Declarer_Pair") == "NS", -own).otherwise(0)})
 
 
 def differences(df: DataFrame) -> DataFrame:
-    """Par_Diff_NS, Par_Diff_EW and DD_Tricks_Diff; needs Par_NS and DD_Tricks."""
-    return df.withColumns({"Par_Diff_NS": F.col("Score_NS") - F.col("Par_NS"), "Par_Diff_EW": F.col("Par_NS") - F.col("Score_NS"), "DD_Tricks_Diff": F.col("Tricks") - F.col("DD_Tricks")})
+    """Par_Diff_NS, Par_Diff_EW and DD_Tricks_Diff; EV_Max_Diff_NS, EV_Max_Diff_EW where the best expected values are there. Needs Par_NS and DD_Tricks."""
+    out = {"Par_Diff_NS": F.col("Score_NS") - F.col("Par_NS"), "Par_Diff_EW": F.col("Par_NS") - F.col("Score_NS"), "DD_Tricks_Diff": F.col("Tricks") - F.col("DD_Tricks")}
+    if "EV_Max_NS" in df.columns:
+        out |= {"EV_Max_Diff_NS": F.col("Score_NS") - F.col("EV_Max_NS"), "EV_Max_Diff_EW": -F.col("Score_NS") - F.col("EV_Max_EW")}
+    return df.withColumns(out)
 
 
 def roles(df: DataFrame) -> DataFrame:
-    """OnLead, NotOnLead, their ids, and whether the declarer's score is at most par for the defence (Defender_Par_GE), a sacrifice (failing, better than par) or par itself."""
-    own_par = F.when(F.col("Declarer_Pair") == "NS", F.col("Par_NS")).otherwise(-F.col("Par_NS"))
-    df = df.withColumns({"OnLead": F.col("LHO"), "NotOnLead": F.col("RHO"), "OnLead_ID": of_seat("Player_ID", F.col("LHO")), "NotOnLead_ID": of_seat("Player_ID", F.col("RHO")), "Dummy_ID": of_seat("Player_ID", F.col("Dummy"))})
-    return df.withColumns({"Defender_Par_GE": F.col("Score_Declarer") <= own_par, "Is_Sacrifice": (F.col("Result") < 0) & (F.col("Score_Declarer") > own_par), "Is_Par_Contract": F.col("Score_Declarer") == own_par})
+    """OnLead, NotOnLead, their ids, the reference to the contract's expected value, and whether the strain's best (Is_Par_Suit) or the contract's theoretical score (Is_Par_Contract) is par, the latter below 0 (Is_Sacrifice), and the declarer's score at most par (Defender_Par_GE). Needs Par_NS and dd_score."""
+    par = F.when(F.col("Declarer_Pair") == "NS", F.col("Par_NS")).otherwise(-F.col("Par_NS"))
+    score = F.when(F.col("Contract") == "PASS", 0).otherwise(F.col("Score_Declarer"))
+    at_par = par == F.col("DD_Score_Declarer")
+    ref = F.concat_ws("_", F.lit("EV"), "Declarer_Pair", "Declarer_Direction", "BidSuit", F.col("BidLvl").cast("string"), F.when(F.col("Declarer_Vul"), "V").otherwise("NV"))
+    return df.withColumns({
+        "OnLead": F.col("LHO"), "NotOnLead": F.col("RHO"), "OnLead_ID": of_seat("Player_ID", F.col("LHO")), "NotOnLead_ID": of_seat("Player_ID", F.col("RHO")), "Dummy_ID": of_seat("Player_ID", F.col("Dummy")), "EV_Score_Col_Declarer": F.when(F.col("BidLvl").isNotNull(), ref),
+        "Is_Par_Suit": par == F.col("DD_Score_Max_Declarer"), "Is_Par_Contract": at_par, "Is_Sacrifice": at_par & (F.col("DD_Score_Declarer") < 0), "Defender_Par_GE": score <= par,
+    })
 
 
 def trick_flags(df: DataFrame) -> DataFrame:
@@ -101,10 +112,12 @@ def trick_flags(df: DataFrame) -> DataFrame:
 
 
 def player_means(df: DataFrame) -> DataFrame:
-    """Mean trick difference of each declarer and mean Defender_Par_GE of each leader, on every row; aggregated first, so a busy player is no hot window."""
-    by = df.where("Declarer_ID is not null").groupBy("Declarer_ID").agg(F.avg("DD_Tricks_Diff").alias("Declarer_Rating"))
-    led = df.where("OnLead_ID is not null").groupBy("OnLead_ID").agg(F.avg(F.col("Defender_Par_GE").cast("int")).alias("Defender_OnLead_Rating"))
-    return df.join(by, "Declarer_ID", "left").join(led, "OnLead_ID", "left")
+    """Mean trick difference of each declarer and mean Defender_Par_GE of each leader and other defender, on every row; aggregated first, so a busy player is no hot window. Rows without such a player have their own mean."""
+    good = F.avg(F.col("Defender_Par_GE").cast("int"))
+    for key, mean, name in (("Declarer_ID", F.avg("DD_Tricks_Diff"), "Declarer_Rating"), ("OnLead_ID", good, "Defender_OnLead_Rating"), ("NotOnLead_ID", good, "Defender_NotOnLead_Rating")):
+        by = df.groupBy(F.col(key).alias("_k")).agg(mean.alias(name))
+        df = df.join(by, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    return df
 
 
 def parse_dates(df: DataFrame, column: str) -> DataFrame:

@@ -135,29 +135,31 @@ def add_longest_suit(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-# fixed values: (least length, least points) choices, or least sum of length and points
+# fixed values: choices of (least length, least points, least sum of both); one choice must hold
 QUALITY = {
-    "Biddable": ((5, 0), (4, 3)), "Rebiddable": ((6, 0), (5, 3)), "Twice_Rebiddable": ((7, 0), (6, 3)), "Strong_Rebiddable": ((6, 9),), "Solid": ((0, 9),),
-    "At_Best_Partial_Stop_In": 4, "Partial_Stop_In": 4, "Partial_Stop_Likely_Stop_In": 5, "At_Best_Stop_In": 6, "At_Best_Likely_Stop_In": 5, "Likely_Stop_In": 6, "Stop_In": 7, "Two_Stops_In": 8,
+    "Biddable": ((5, 0, 0), (4, 3, 0)), "Rebiddable": ((6, 0, 0), (5, 3, 0)), "Twice_Rebiddable": ((7, 0, 0), (6, 3, 0)), "Strong_Rebiddable": ((6, 9, 0),), "Solid": ((0, 9, 0),),
+    "Partial_Stop_In": ((0, 0, 4),), "Likely_Stop_In": ((0, 0, 5),), "Stop_In": ((0, 4, 0), (0, 0, 6)), "At_Best_Stop_In": ((0, 0, 7),), "Two_Stops_In": ((0, 0, 8),),
 }
+#: fixed values: flags that hold where the sum of length and points is below a bound
+QUALITY_BELOW = {"At_Best_Partial_Stop_In": 4}
 FORCING = ("Forcing_One_Round", "Opponents_Cannot_Play_Undoubled_Below_2N", "Forcing_To_2N", "Forcing_To_3N")
 
 
-def suit_quality(cards: Column, rule) -> Column:
-    """Whether a suit meets a rule of QUALITY."""
+def suit_flags(cards: Column, rules: dict | None = None) -> dict[str, Column]:
+    """The flags of a suit: those of a table of choices, by default QUALITY and QUALITY_BELOW."""
     n, p = F.length(cards), B.suit_hcp(cards)
-    if isinstance(rule, int):
-        return n + p >= rule
-    out = F.lit(False)
-    for least, points in rule:
-        out = out | ((n >= least) & (p >= points))
-    return out
+    out = {}
+    for name, choices in (QUALITY if rules is None else rules).items():
+        out[name] = F.lit(False)
+        for length, points, total in choices:
+            out[name] = out[name] | ((n >= length) & (p >= points) & (n + p >= total))
+    return out | ({name: n + p < bound for name, bound in QUALITY_BELOW.items()} if rules is None else {})
 
 
 def add_suit_quality(df: DataFrame, rules: dict | None = None) -> DataFrame:
     """rule_d_s flags for each rule of a table, and the constant forcing flags by seat."""
     h = B.hands(F.col("PBN"))
-    flags = {f"{k}_{d}_{s}": suit_quality(h[i][j], r) for k, r in (rules or QUALITY).items() for i, d in enumerate(B.SEATS) for j, s in enumerate(B.SUITS)}
+    flags = {f"{k}_{d}_{s}": c for i, d in enumerate(B.SEATS) for j, s in enumerate(B.SUITS) for k, c in suit_flags(h[i][j], rules).items()}
     return df.withColumns(flags | {f"{k}_{d}": F.lit(True) for k in FORCING for d in B.SEATS})
 
 

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOARD = ["session_id", "section_id", "Board"]
+#: a board over all sections that play the same deal
+DEAL = ["session_id", "deal_id", "Board"]
 
 
 def frequencies(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -> DataFrame:
     """(keys, score, n) without null scores."""
-    return df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    # null scores go after the count: a filter before it would repeat the whole rule of the score
+    return df.groupBy(*keys, F.col(score).alias("score")).agg(F.count(score).alias("n")).where("n > 0")
 
 
 def score_frequencies(freq: DataFrame, keys: list[str] = BOARD) -> DataFrame:
@@ -33,10 +36,18 @@ def matchpoints(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS")
     return df.join(f, [*keys, score], "left")
 
 
-def board_top(df: DataFrame) -> DataFrame:
-    """Rows whose board has a top above 0; a given Given_Top lowers it."""
-    if "Given_Top" in df.columns:
-        df = df.withColumn("MP_Top", F.when(F.col("MP_Top").isNotNull(), F.least("MP_Top", "Given_Top")))
+def board_top(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -> DataFrame:
+    """Rows whose board has a top (scores less one, a given MP_Top if that is lower) above 0.
+
+    Percentages that are given make the matchpoints anew, rounded to two places; else given matchpoints of both sides make the top, their rounded sum.
+    """
+    n = df.where(F.col(score).isNotNull()).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_top"))
+    df = df.join(n, keys, "left")
+    df = df.withColumn("MP_Top", F.least("MP_Top", "_top") if "MP_Top" in df.columns else F.col("_top")).drop("_top")
+    if {"Pct_NS", "Pct_EW"} <= set(df.columns):
+        df = df.withColumns({f"MP_{p}": F.round(F.col(f"Pct_{p}") * F.col("MP_Top"), 2) for p in ("NS", "EW")})
+    elif {"MP_NS", "MP_EW"} <= set(df.columns):
+        df = df.withColumn("MP_Top", F.round(F.col("MP_NS") + F.col("MP_EW")).cast("long"))
     return df.where("MP_Top > 0")
 
 
@@ -67,18 +78,24 @@ def hypothetical(df: DataFrame, freq: DataFrame, score: str, keys: list[str] = B
     return df.withColumn("Hypo_Pct", F.when(f.isNotNull(), F.when(same > 0, exact).otherwise(F.try_divide(below, pairs)))).drop("field")
 
 
-def beaten(df: DataFrame, freq: DataFrame, value: str, out: str, keys: list[str] = BOARD, distinct: bool = False) -> DataFrame:
-    """out: field scores below the value, equal ones half; with distinct each score counts once and the result is a share of the distinct scores (of 1 at least). Null values give 0, or a null share."""
+def beaten(df: DataFrame, freq: DataFrame, value: str, out: str, keys: list[str] = BOARD) -> DataFrame:
+    """out: the share of the field's distinct scores (of 1 at least) that are below the value, equal ones half; null for null values."""
     x, f = F.col(value), F.col("field")
-    weight = (lambda s: F.lit(1.0)) if distinct else (lambda s: s["n"].cast("double"))
-    points = _sum(f, lambda s: F.when(s["score"] < x, weight(s)).when(s["score"] == x, weight(s) / 2).otherwise(0.0))
+    points = _sum(f, lambda s: F.when(s["score"] < x, 1.0).when(s["score"] == x, 0.5).otherwise(0.0))
     df = df.join(fields(freq, keys), keys, "left")
-    points = F.when(x.isNotNull() & f.isNotNull(), F.try_divide(points, F.greatest(F.lit(1), F.size(f)))) if distinct else F.coalesce(points, F.lit(0.0))
-    return df.withColumn(out, points).drop("field")
+    return df.withColumn(out, F.when(x.isNotNull() & f.isNotNull(), F.try_divide(points, F.greatest(F.lit(1), F.size(f))))).drop("field")
+
+
+def all_pairs(df: DataFrame, value: str, out: str, keys: list[str] = DEAL, score: str = "Score_NS") -> DataFrame:
+    """out: over all rows of the board, scores below the value count 1, equal ones a half. A null value or score counts as 0."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    freq = df.groupBy(*keys, zero(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    points = _sum(F.col("field"), lambda s: F.when(s["score"] < zero(value), s["n"].cast("double")).when(s["score"] == zero(value), s["n"] / 2).otherwise(0.0))
+    return df.join(fields(freq, keys), keys, "left").withColumn(out, points).drop("field")
 
 
-def own_score_matchpoints(df: DataFrame, columns: list[str], score: str = "Score_NS", keys: list[str] = BOARD) -> DataFrame:
-    """MP_c for each column c: over the board's rows, 1, a half or 0 as the row's c is above, equal to or below the row's own score, summed; null compares as 0."""
+def own_score_matchpoints(df: DataFrame, columns: list[str], score: str = "Score_NS", keys: list[str] = DEAL) -> DataFrame:
+    """MP_c for each column c: over the rows of the session's deal and board, in all sections, 1, a half or 0 as the row's c is above, equal to or below the row's own score, summed; null compares as 0."""
     points = lambda c: F.when(F.col(c) > F.col(score), 1.0).when(F.col(c) == F.col(score), 0.5).otherwise(0.0)
     by = df.groupBy(*keys).agg(*[F.sum(points(c)).alias(f"MP_{c}") for c in columns])
     return df.join(by, keys)
@@ -98,9 +115,14 @@ def capped(mp: Column, top: Column) -> Column:
 
 def best_of(columns: list[str], top: Column) -> Column:
     """Best of a family of matchpoint columns as a share of top: null counts 0, at most 1, 0 where top is 0."""
-    best = F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
+    best = F.greatest(F.lit(0.0), *[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
     return F.when(top > 0, F.least(F.try_divide(best, top), F.lit(1.0))).otherwise(0.0)
 
 
-def difference(a: Column, b: Column) -> Column:
-    return F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))
+def differences(df: DataFrame) -> DataFrame:
+    """Six differences a row: Pct less EV_Pct_Max, Pct less DD_Pct_Max and DD_Pct_Max less EV_Pct_Max of both sides; null counts as 0."""
+    less = lambda a, b: F.coalesce(F.col(a), F.lit(0.0)) - F.coalesce(F.col(b), F.lit(0.0))
+    out = {}
+    for p in ("NS", "EW"):
+        out |= {f"EV_Pct_Max_Diff_{p}": less(f"Pct_{p}", f"EV_Pct_Max_{p}"), f"DD_Pct_Max_Diff_{p}": less(f"Pct_{p}", f"DD_Pct_Max_{p}"), f"DD_EV_Pct_Max_Diff_{p}": less(f"DD_Pct_Max_{p}", f"EV_Pct_Max_{p}")}
+    return df.withColumns(out)

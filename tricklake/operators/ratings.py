@@ -1,13 +1,13 @@
 """Ratings of pairs and players over sessions.
 
-A session reads the ratings as they were at its start and writes them at its end,
-so sessions are worked off in order of date: one task reads the seats sorted by session
-and holds the state and one session at a time. The history is a table in the shared folder.
+A session reads the ratings as they were at its start and writes them at its end, so sessions that share
+somebody are rated in order of date. Sessions are taken in rounds of whole dates. In a round
+those that share somebody, directly or through others, form a group; groups are rated side by side, a group's sessions in order. A
+round reads and writes the state of those alone who play in it. History and state are tables in the shared folder.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +15,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+from .graph import components
+
 # fixed values of the rating rules
 INITIAL, K_BASE, BOOST_UNTIL, BOOST, LOW, HIGH, VISIBLE_AFTER, MOST_PAIRS = 1500.0, 24.0, 100, 1.5, 200.0, 3000.0, 10, 60
 SPREAD = 50.0
+#: seats that one group, which is one task, should not pass; a single date is never divided
+GROUP_SEATS = 250_000
+#: state tables are merged into one when there are more
+MOST_STATES = 8
 
-HISTORY = "session_id long, pool string, id string, before double, delta double, played long, sessions long, after double"
+HISTORY = "session_id long, pool string, id string, before double, after double, sessions long, first date, boards long"
 
 
 def stratum_scale(ratio: Column) -> Column:
@@ -41,8 +48,11 @@ def spread_seed(df: DataFrame, column: str) -> float:
 
 
 def unpivot_pairs(df: DataFrame) -> DataFrame:
-    """Board results with Pct_NS -> one row a result and side: session_id, Date, board, pool, ids (one sorted pair id), pct."""
-    side = lambda p, pct: F.struct(F.lit(p).alias("pool"), F.array(F.array_join(F.array_sort(F.array(*[F.col(f"Player_ID_{d}") for d in p])), "_")).alias("ids"), pct.alias("pct"))
+    """Board results with Pct_NS -> one row a result and side: session_id, Date, board, pool, ids (one sorted pair id), pct, scale.
+
+    scale grows with the size of the section: Section_Pairs, else Num_Pairs, else half of MP_Top and one, at most sixty; 1 without any.
+    """
+    side = lambda p, pct: F.struct(F.lit(p).alias("pool"), F.array(pair_id(p)).alias("ids"), pct.alias("pct"))
     return _sides(df, side)
 
 
@@ -52,16 +62,26 @@ def unpivot_players(df: DataFrame) -> DataFrame:
     return _sides(df, side)
 
 
+def pair_id(side: str) -> Column:
+    """Both player ids in order, joined; null if one is."""
+    both = [F.col(f"Player_ID_{d}") for d in side]
+    return F.concat(F.array_min(F.array(*both)), F.lit("-"), F.array_max(F.array(*both)))
+
+
 def _sides(df: DataFrame, side) -> DataFrame:
-    board = F.concat_ws("-", F.col("section_id").cast("string"), F.col("Board").cast("string"))
-    rows = df.select("session_id", "Date", board.alias("board"), F.explode(F.array(side("NS", F.col("Pct_NS")), side("EW", 1 - F.col("Pct_NS")))).alias("x"))
-    return rows.select("session_id", "Date", "board", F.monotonically_increasing_id().alias("row"), "x.pool", "x.ids", "x.pct")
+    size = next((F.col(c) for c in ("Section_Pairs", "Num_Pairs") if c in df.columns), F.col("MP_Top") / 2 + 1 if "MP_Top" in df.columns else F.lit(None))
+    size = F.coalesce(F.nanvl(size.cast("double"), F.lit(1.0)), F.lit(1.0))
+    size = F.when(size == float("inf"), 1.0).otherwise(F.least(size, F.lit(float(MOST_PAIRS))))
+    scale = F.when(size > 1, F.sqrt(F.greatest(size - 1, F.lit(1.0)) / 11)).otherwise(1.0)
+    rows = df.select("session_id", "Date", F.col("Board").alias("board"), scale.alias("scale"), F.explode(F.array(side("NS", F.col("Pct_NS")), side("EW", 1 - F.col("Pct_NS")))).alias("x"))
+    return rows.select("session_id", "Date", "board", F.monotonically_increasing_id().alias("row"), "x.pool", "x.ids", "x.pct", "scale")
 
 
 def rate_session(seats: pd.DataFrame, state: dict, spread: float) -> pd.DataFrame:
-    """One session: its history rows from seats(session_id, board, row, pool, id, n, pct, has) and the state at its start.
+    """One session: its history rows from seats(session_id, board, row, pool, id, n, pct, scale) and the state at its start.
 
     state: pool and id -> (rating, boards, sessions); it becomes the state at the session's end. A null id starts anew each time.
+    The field of a result is its board in the whole session, all sections together. Alone on a board, one is measured against oneself.
     """
     key = seats["pool"] + ("=" + seats["id"]).fillna("")
     who, keys = pd.factorize(key)
@@ -69,74 +89,119 @@ def rate_session(seats: pd.DataFrame, state: dict, spread: float) -> pd.DataFram
     entry = pd.factorize(seats["row"])[0]
     lead, seen = np.unique(entry, return_index=True)[1], np.unique(who, return_index=True)[1]
     own = np.bincount(entry, rating[who]) / np.bincount(entry)
-    field = pd.factorize(seats["pool"] + seats["board"])[0][lead]
+    field = pd.factorize(seats["pool"] + seats["board"].astype(str))[0][lead]
     pairs, total = np.bincount(field), np.bincount(field, own)
     mean = total / pairs
     dev = np.sqrt(np.bincount(field, (own - mean[field]) ** 2) / pairs)
     # the rules of stratum_scale and strength_scale
     ratio, z = dev / spread, (mean - INITIAL) / spread
-    scale = np.where(ratio <= 0.8, 1.0, np.where(ratio >= 1.3, 0.25, 1 - 0.75 * (ratio - 0.8) / 0.5)) * np.where(z >= 0, 1.0, np.where(z <= -2, 0.25, 1 + 0.375 * z))
-    k = K_BASE * np.sqrt((np.minimum(pairs, MOST_PAIRS) - 1) / 11) * scale
-    others = (total[field] - own) / np.maximum(pairs[field] - 1, 1)
-    expected, at, has = 1 / (1 + 10.0 ** (-(own - others) / 400)), field[entry], seats["has"].to_numpy(bool)
-    boost = np.where(boards[who] < BOOST_UNTIL, BOOST, 1.0)
-    move = np.where(has & (pairs[at] > 1), k[at] * boost * (seats["pct"].to_numpy(float) - expected[entry]) / seats["n"].to_numpy(), 0.0)
-    delta, played = np.bincount(who, move), np.bincount(who, has).astype("int64")
-    after = np.where(np.isnan(delta), HIGH, np.clip(rating + delta, LOW, HIGH))
-    state.update((x, s) for x, s in zip(keys, zip(after, boards + played, sessions + 1)) if "=" in x)
-    out = {"session_id": seats["session_id"].iat[0], "pool": seats["pool"].to_numpy()[seen], "id": seats["id"].to_numpy()[seen], "before": rating, "delta": delta}
-    return pd.DataFrame(out | {"played": played, "sessions": sessions.astype("int64"), "after": after})
-
-
-def rate_in_order(batches: Iterator[pd.DataFrame], spread: float) -> Iterator[pd.DataFrame]:
-    """History of seats that come session by session; a session may lie over several batches."""
-    state, parts, session = {}, [], None
-    for batch in batches:
-        ids = batch["session_id"].to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
-        for start, end in zip(cuts, cuts[1:]):
-            if start == end:
-                continue
-            if parts and ids[start] != session:
-                yield rate_session(pd.concat(parts, ignore_index=True), state, spread)
-                parts = []
-            session = ids[start]
-            parts.append(batch.iloc[start:end])
-    if parts:
-        yield rate_session(pd.concat(parts, ignore_index=True), state, spread)
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="ratings-")
-    return f"{base.rstrip('/')}/ratings-{uuid.uuid4().hex}"
-
-
-def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_AFTER) -> DataFrame:
+    damp = np.where(ratio <= 0.8, 1.0, np.where(ratio >= 1.3, 0.25, 1 - 0.75 * (ratio - 0.8) / 0.5)) * np.where(z >= 0, 1.0, np.where(z <= -2, 0.25, 1 + 0.375 * z))
+    damp = np.where(pairs > 1, damp, 1.0)
+    others = np.where(pairs[field] > 1, (total[field] - own) / np.maximum(pairs[field] - 1, 1), own)
+    expected, at, pct = 1 / (1 + 10.0 ** (-(own - others) / 400)), field[entry], seats["pct"].to_numpy(float)
+    boost, has = np.where(boards[who] < BOOST_UNTIL, BOOST, 1.0), ~np.isnan(pct)
+    move = np.where(has, K_BASE * damp[at] * seats["scale"].to_numpy(float) * boost * (pct - expected[entry]) / seats["n"].to_numpy(), 0.0)
+    after, played = np.clip(rating + np.bincount(who, move), LOW, HIGH), np.bincount(who, has).astype("int64")
+    boards, sessions = boards.astype("int64") + played, sessions.astype("int64") + (played > 0)
+    state.update((x, s) for x, s in zip(keys, zip(after, boards, sessions)) if "=" in x)
+    return pd.DataFrame({"session_id": seats["session_id"].iat[0], "pool": seats["pool"].to_numpy()[seen], "id": seats["id"].to_numpy()[seen], "before": rating, "after": after, "sessions": sessions, "first": seats["first"].iat[0], "boards": boards})
+
+
+def rate_group(seats: pd.DataFrame, spread: float) -> Iterator[pd.DataFrame]:
+    """History of a group of sessions, in order of date and id; seats carry the state at the round's start."""
+    seats = seats.sort_values(["first", "session_id"], kind="stable", ignore_index=True)
+    known = seats[seats["rating"].notna()].drop_duplicates(["pool", "id"])
+    state = {f"{r.pool}={r.id}": (r.rating, r.boards, r.sessions) for r in known.itertuples()}
+    for _, part in seats.groupby(["first", "session_id"], sort=False):
+        yield rate_session(part, state, spread)
+
+
+def _latest(states: list[DataFrame]) -> DataFrame:
+    """The last state of each id; later tables are later rounds."""
+    every = None
+    for n, s in enumerate(states):
+        s = s.select("pool", "id", "rating", "boards", "sessions", F.lit(n).alias("n"))
+        every = s if every is None else every.unionByName(s)
+    last = every.groupBy("pool", "id").agg(F.max_by(F.struct("rating", "boards", "sessions"), "n").alias("s"))
+    return last.select("pool", "id", "s.rating", "s.boards", "s.sessions")
+
+
+def _groups(seats: DataFrame, folder: str) -> DataFrame:
+    """(session_id, g): sessions that share a pool's id, directly or through others. Sessions without ids have none."""
+    link = F.struct(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("a"), F.concat("pool", F.lit("="), "id").alias("b"))
+    links = seats.where("id is not null").select(F.xxhash64(link["a"]).alias("a"), F.xxhash64(link["b"]).alias("b"), "session_id").distinct()
+    # equal hashes would only make a group larger
+    found = components(links.select("a", "b"), folder)
+    return links.select("session_id", "a").distinct().join(found, F.col("a") == F.col("v")).select("session_id", F.col("component").alias("g"))
+
+
+def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_AFTER, group_seats: int = GROUP_SEATS) -> DataFrame:
     """History (session_id, pool, id, before, after, seen_before, seen_after) of all sessions in order.
 
-    seen_*: null until the id has played visible_after sessions. A session whose
-    rows carry several dates is one session at its first date. Null percentages enter the field means but change no rating.
+    seen_*: null until the id has played visible_after sessions, this one included;
+    a session without a percentage for it does not count. A session whose rows carry several dates is one session
+    at its first date. Null percentages enter the field means but change no rating. group_seats sets how much one task
+    takes; it does not change results. Without rows there is no history.
     """
     spark = rows.sparkSession
-    folder = _folder(spark)
-    dates = rows.groupBy("session_id").agg(F.min("Date").alias("first"))
-    seats = rows.select(F.col("session_id").cast("long").alias("session_id"), "board", "row", "pool", F.explode("ids").alias("id"), F.size("ids").alias("n"), "pct", F.col("pct").isNotNull().alias("has"))
-    ordered = seats.join(dates, "session_id").repartition(1).sortWithinPartitions("first", "session_id").drop("first")
-    ordered.mapInPandas(lambda batches: rate_in_order(batches, spread), HISTORY).write.parquet(f"{folder}/history")
-    history = spark.read.schema(HISTORY).parquet(f"{folder}/history")
-    seen = lambda c, more: F.when(F.col("sessions") + more >= visible_after, F.col(c))
-    return history.select("session_id", "pool", "id", "before", "after", seen("before", 0).alias("seen_before"), seen("after", 1).alias("seen_after"))
-
-
-def session_start_end(df: DataFrame, history: DataFrame) -> DataFrame:
-    """Elo_p_Start, Elo_p_End of both pairs on every board result."""
-    for p in ("NS", "EW"):
-        mine = history.where(F.col("pool") == p).select("session_id", F.col("id").alias(f"Pair_ID_{p}"), F.col("before").alias(f"Elo_{p}_Start"), F.col("after").alias(f"Elo_{p}_End"))
-        df = df.withColumn(f"Pair_ID_{p}", F.array_join(F.array_sort(F.array(*[F.col(f"Player_ID_{d}") for d in p])), "_")).join(mine, ["session_id", f"Pair_ID_{p}"], "left")
+    folder = shared_folder(spark, "ratings")
+    # sessions without any date come first
+    dates = rows.groupBy("session_id").agg(F.coalesce(F.min(F.col("Date").cast("date")), F.lit("0001-01-01").cast("date")).alias("first"))
+    seats = rows.select(F.col("session_id").cast("long").alias("session_id"), "board", "row", "pool", F.explode("ids").alias("id"), F.size("ids").alias("n"), F.col("pct").cast("double").alias("pct"), "scale").join(dates, "session_id")
+    # by date, so that a round reads its own files
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seats.repartitionByRange(parts, "first", "session_id").sortWithinPartitions("first", "session_id").write.parquet(f"{folder}/seats")
+    seats = spark.read.schema(seats.schema).parquet(f"{folder}/seats")
+    days = [(r["first"], r["n"]) for r in seats.groupBy("first").agg(F.count(F.lit(1)).alias("n")).orderBy("first").collect()]  # one row a date
+    states, at, n, width, limit = [], 0, 0, group_seats, None
+    while at < len(days):
+        end, size = at, 0
+        while end < len(days) and (end == at or size + days[end][1] <= width):
+            size += days[end][1]
+            end += 1
+        own = F.col("first").between(F.lit(days[at][0]), F.lit(days[end - 1][0]))
+        part = seats.where(own)
+        if size <= group_seats:
+            part, largest = part.withColumn("g", F.lit(0).cast("long")), size
+        else:
+            groups = _groups(part, folder)
+            groups.write.parquet(f"{folder}/groups-{n}-{width}")
+            groups = spark.read.schema(groups.schema).parquet(f"{folder}/groups-{n}-{width}")
+            part = part.join(groups, "session_id", "left").withColumn("g", F.coalesce("g", F.xxhash64("session_id")))
+            largest = part.groupBy("g").count().agg(F.max("count")).first()[0]
+        if largest > group_seats and end - at > 1:  # too large a group: fewer dates from now on
+            limit, width = width, max(1, width // 2)
+            continue
+        now = part
+        if states:
+            touched = part.where("id is not null").select("pool", "id").distinct()
+            now = part.join(_latest(states).join(touched, ["pool", "id"], "left_semi"), ["pool", "id"], "left")
+        else:
+            now = part.withColumns({"rating": F.lit(None).cast("double"), "boards": F.lit(None).cast("long"), "sessions": F.lit(None).cast("long")})
+        now.groupBy("g").applyInPandas(lambda pdf: pd.concat(list(rate_group(pdf, spread)), ignore_index=True), HISTORY).write.parquet(f"{folder}/history/{n}")
+        done = spark.read.schema(HISTORY).parquet(f"{folder}/history/{n}")
+        last = done.where("id is not null").groupBy("pool", "id").agg(F.max_by(F.struct(F.col("after").alias("rating"), "boards", "sessions"), F.struct("first", "session_id")).alias("s"))
+        last.select("pool", "id", "s.*").write.parquet(f"{folder}/state/{n}")
+        states.append(spark.read.parquet(f"{folder}/state/{n}"))
+        if len(states) > MOST_STATES:
+            _latest(states).write.parquet(f"{folder}/state/to-{n}")
+            states = [spark.read.parquet(f"{folder}/state/to-{n}")]
+        at, n = end, n + 1
+        if limit is None or width * 2 < limit:
+            width *= 2
+    if not n:
+        return spark.createDataFrame([], "session_id long, pool string, id string, before double, after double, seen_before double, seen_after double")
+    history = spark.read.schema(HISTORY).parquet(*[f"{folder}/history/{i}" for i in range(n)])
+    seen = lambda c: F.when(F.col("sessions") >= visible_after, F.col(c))
+    return history.select("session_id", "pool", "id", "before", "after", seen("before").alias("seen_before"), seen("after").alias("seen_after"))
+
+
+def session_start_end(df: DataFrame, pairs: DataFrame | None = None, players: DataFrame | None = None) -> DataFrame:
+    """Elo_p_Start and Elo_p_End of both pairs and Elo_d_Start and Elo_d_End of the four players on every board result, from their histories; null until they are seen."""
+    jobs = [(p, p, pair_id(p), pairs) for p in ("NS", "EW") if pairs is not None] + [(d, "NS" if d in "NS" else "EW", F.col(f"Player_ID_{d}"), players) for d in "NESW" if players is not None]
+    for name, pool, who, history in jobs:
+        mine = history.where((F.col("pool") == pool) & F.col("id").isNotNull()).select("session_id", F.col("id").alias("_id"), F.col("seen_before").alias(f"Elo_{name}_Start"), F.col("seen_after").alias(f"Elo_{name}_End"))
+        df = df.withColumn("_id", who).join(mine, ["session_id", "_id"], "left").drop("_id")
     return df
 
 
@@ -156,30 +221,40 @@ def stage(name: str, needs: list[str], gives: list[str], run):
     return apply
 
 
-def rating_pipeline(df: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """Board results -> top, percentages, pair ratings, start and end columns."""
+def rating_pipeline(df: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_AFTER) -> DataFrame:
+    """Board results -> top, percentages, pair ratings, player ratings, start and end columns of both."""
     from . import matchpoints as M
 
+    pairs = stage("pair ratings", ["Pct_NS", "Date"], ["Elo_NS_Start", "Elo_EW_End"], lambda d: session_start_end(d, pairs=rate(unpivot_pairs(d), spread, visible_after)))
+    players = stage("player ratings", ["Pct_NS", "Date"], ["Elo_N_Start", "Elo_W_End"], lambda d: session_start_end(d, players=rate(unpivot_players(d), spread, visible_after)))
     stages = [
         stage("matchpoints", ["session_id", "section_id", "Board", "Score_NS"], ["MP_NS", "MP_Top"], M.matchpoints),
-        stage("percentages", ["MP_NS", "MP_Top"], ["Pct_NS"], M.percentages),
-        stage("ratings", ["Pct_NS", "Date"], ["Elo_NS_Start"], lambda d: session_start_end(d, rate(unpivot_pairs(d), spread))),
+        stage("percentages", ["MP_NS", "MP_Top"], ["Pct_NS"], M.percentages), pairs, players,
     ]
     for s in stages:
         df = df.transform(s)
     return df
 
 
-def contract_pipeline(df: DataFrame) -> DataFrame:
-    """Board results -> dealer, vulnerability, contract parts, scores by side, results, flags, matchpoints: the full augmentation without a trick table."""
+def contract_pipeline(df: DataFrame, deals: DataFrame | None = None) -> DataFrame:
+    """Board results -> dealer, vulnerability, contract parts, scores by side, results, flags, matchpoints.
+
+    With deals(deal_id, Board, cells, Par_NS, EV_Max_NS, EV_Max_EW), a row a deal, also trick table, theoretical scores, par, expected values and roles: the full augmentation.
+    """
     from . import contracts as C
     from . import deals as D
     from . import matchpoints as M
 
-    for s in (
+    stages = [
         stage("dealer", ["Board"], ["Dealer"], D.add_dealer), stage("vulnerability", ["Board"], ["Vul", "iVul"], D.add_vulnerability), stage("contract", ["Contract"], ["BidLvl", "Declarer_Pair"], C.split_contract),
-        stage("scores", ["BidLvl"], ["Score_NS", "Score_EW"], C.side_scores), stage("tricks", ["Result"], ["Tricks_From_Result"], C.tricks_from_result), stage("flags", ["Result"], ["OverTricks"], C.trick_flags),
+        stage("scores", ["BidLvl"], ["Score_NS", "Score_EW", "Score_Declarer"], C.side_scores), stage("tricks", ["Result"], ["Tricks_From_Result"], C.tricks_from_result), stage("flags", ["Result"], ["OverTricks"], C.trick_flags),
         stage("matchpoints", ["Score_NS"], ["MP_NS", "MP_Top"], M.matchpoints), stage("percentages", ["MP_NS"], ["Pct_NS"], M.percentages),
-    ):
+    ]
+    if deals is not None:
+        stages += [
+            stage("trick table, par, expected values", ["deal_id", "BidSuit"], ["DD_Tricks", "Par_NS", "EV_Max_NS"], lambda d: C.join_deals(d, deals)), stage("theoretical scores", ["DD_Tricks"], ["DD_Score_Declarer"], C.dd_score),
+            stage("differences", ["Par_NS", "EV_Max_NS", "Tricks"], ["Par_Diff_NS", "EV_Max_Diff_NS"], C.differences), stage("roles", ["DD_Score_Declarer", "Par_NS"], ["Is_Par_Contract", "Defender_Par_GE"], C.roles),
+        ]
+    for s in stages:
         df = df.transform(s)
     return df

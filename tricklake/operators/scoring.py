@@ -22,9 +22,26 @@ def score_table(spark: SparkSession) -> DataFrame:
 
 
 def score_lists(spark: SparkSession) -> DataFrame:
-    """(level, strain, vul, scores): undoubled scores at 0 to 13 tricks, 70 rows."""
-    t = score_table(spark).where("dbl = ''").groupBy("level", "strain", "vul").agg(F.sort_array(F.collect_list(F.struct("tricks", "score"))).alias("s"))
-    return t.select("level", "strain", "vul", F.transform("s", lambda x: x["score"]).alias("scores"))
+    """(strain, nv, v): per level the scores at 0 to 13 tricks, failing contracts doubled, 5 rows."""
+    t = score_table(spark).where("dbl = ''").groupBy("strain", "level", "vul").agg(F.sort_array(F.collect_list(F.struct("tricks", "score_set"))).alias("s"))
+    t = t.groupBy("strain", "vul").agg(F.sort_array(F.collect_list(F.struct("level", F.transform("s", lambda x: x["score_set"]).alias("s")))).alias("s"))
+    rows = F.transform("s", lambda x: x["s"])
+    return t.groupBy("strain").agg(F.max(F.when(~F.col("vul"), rows)).alias("nv"), F.max(F.when(F.col("vul"), rows)).alias("v"))
+
+
+CELLS = [(seat, strain) for seat in B.SEATS for strain in B.TRICK_STRAINS]
+
+
+def deal_cells(dd: DataFrame) -> DataFrame:
+    """dd(deal_id, Board, seat, strain, tricks) -> (deal_id, Board, cells): one row a deal, tricks in the order of CELLS, null where there are none."""
+    cell = lambda seat, strain: F.max(F.when((F.col("seat") == seat) & (F.col("strain") == strain), F.col("tricks")))
+    return dd.groupBy("deal_id", "Board").agg(F.array(*[cell(*c) for c in CELLS]).alias("cells"))
+
+
+def cell_of(cells: Column, seat: Column, strain: Column) -> Column:
+    """The tricks of a seat and strain; null for unknown ones."""
+    known = (F.instr(F.lit(B.SEATS), seat) > 0) & (F.instr(F.lit(B.TRICK_STRAINS), strain) > 0)
+    return F.when(known, F.get(cells, (F.instr(F.lit(B.SEATS), seat) - 1) * 5 + F.instr(F.lit(B.TRICK_STRAINS), strain) - 1))
 
 
 def pair_tricks(dd: DataFrame) -> DataFrame:
@@ -36,15 +53,15 @@ def with_levels(dd: DataFrame) -> DataFrame:
     return dd.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(7))))
 
 
-def contract_scores(dd: DataFrame, who: str = "seat") -> DataFrame:
-    """Score of every level for each seat (or side) and strain of a trick table, at the board's vulnerability."""
-    vul = B.seat_is_vulnerable(B.vul_code(F.col("Board")), F.col(who))
-    return with_levels(dd).withColumn("score", B.contract_score(F.col("level"), F.col("strain"), F.lit(""), vul, F.col("tricks") - 6 - F.col("level")))
-
-
-def best_scores(dd: DataFrame) -> DataFrame:
-    """Per deal, side and level the best score of both seats over all strains."""
-    return contract_scores(dd).groupBy("deal_id", B.side_of(F.col("seat")).alias("side"), "level").agg(F.max("score").alias("score"))
+def contract_scores(cells: DataFrame) -> DataFrame:
+    """cells(deal_id, Board, cells) -> a row for each seat, side and strain: the scores S1 to S7 of the levels, failing ones doubled, and their best."""
+    c = F.col("cells")
+    rows = [F.struct(F.lit(who).alias("who"), F.lit(strain).alias("strain"), (c[i * 5 + j] if len(who) == 1 else F.greatest(c[i * 5 + j], c[(i + 2) * 5 + j])).alias("tricks"))
+            for i, who in [*enumerate(B.SEATS), (0, "NS"), (1, "EW")] for j, strain in enumerate(B.TRICK_STRAINS)]
+    r = cells.select("deal_id", "Board", F.explode(F.array(*rows)).alias("r")).select("deal_id", "Board", "r.*")
+    vul = B.seat_is_vulnerable(B.vul_code(F.col("Board")), F.col("who"))
+    r = r.withColumns({f"S{n}": B.set_score(F.lit(n), F.col("strain"), vul, F.col("tricks")) for n in range(1, 8)})
+    return r.withColumn("best", F.greatest(*[f"S{n}" for n in range(1, 8)]))
 
 
 def making_and_sacrifice(dd: DataFrame) -> DataFrame:
@@ -58,18 +75,25 @@ def making_and_sacrifice(dd: DataFrame) -> DataFrame:
 
 
 def par(dd: DataFrame) -> DataFrame:
-    """(deal_id, par_score for NS, contracts) of a trick table with Board giving dealer and vulnerability.
+    """(deal_id, par_score for NS, contracts) of a trick table, long or with cells, with Board giving dealer and vulnerability. Other columns of a table with cells are kept.
 
     Every contract stands for its score if made, doubled if not. From the highest
     bid down, a side's bid is worth what the opponents leave of it: they pass or take their best higher bid. The side that deals speaks first;
     each seat may pass in turn. contracts: all that give exactly par, as level, strain, X, side and result; none for a passed-out board.
     """
-    sides = contract_scores(pair_tricks(dd), "side")
-    vul = B.seat_is_vulnerable(B.vul_code(F.col("Board")), F.col("side"))
-    over = F.col("tricks") - 6 - F.col("level")
-    value = B.contract_score(F.col("level"), F.col("strain"), F.when(over >= 0, "").otherwise("X"), vul, over)
-    sides = sides.withColumns({"value": F.when(F.col("side") == "NS", value).otherwise(-value), "rank": F.col("level") * 5 + F.instr(F.lit(B.STRAINS), F.col("strain")), "over": over})
-    by = sides.groupBy("deal_id", "Board").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("side").alias("side"), "value", "level", "strain", "over")), asc=False).alias("bids"))
+    by = (dd if "cells" in dd.columns else deal_cells(dd)).withColumn("_code", B.vul_code(F.col("Board")))
+    tricks = F.array(*[F.greatest(F.col("cells")[side * 5 + B.TRICK_STRAINS.index(s)], F.col("cells")[(side + 2) * 5 + B.TRICK_STRAINS.index(s)]) for s in B.STRAINS for side in (0, 1)])
+    by = by.withColumn("_tricks", tricks)
+
+    def bid(i: Column) -> Column:
+        """The i-th of 70: levels and strains from the top, NS before EW."""
+        level, place, ns = (7 - F.floor(i / 10)).cast("int"), (4 - F.floor(i % 10 / 2)).cast("int"), i % 2 == 0
+        strain, over = B.nth(B.STRAINS, place), F.get("_tricks", place * 2 + i % 2) - 6 - level
+        value = B.set_score(level, strain, F.col("_code").bitwiseAND(F.when(ns, 1).otherwise(2)) > 0, over + 6 + level)
+        return F.struct((level * 5 + place + 1).alias("rank"), F.when(ns, "NS").otherwise("EW").alias("side"), F.when(ns, value).otherwise(-value).alias("value"), level.alias("level"), strain.alias("strain"), over.alias("over"))
+
+    # sides without tricks in a strain cannot bid it
+    by = by.withColumn("bids", F.filter(F.transform(F.sequence(F.lit(0), F.lit(69)), bid), lambda b: b["over"].isNotNull())).drop("_tricks", "_code")
 
     # sorted by descending rank, NS before EW within a rank; best values over strictly higher bids are kept until the rank changes
     start = F.struct(F.lit(-99999).alias("ns"), F.lit(99999).alias("ew"), F.lit(-99999).alias("ns_at"))
@@ -90,7 +114,23 @@ def par(dd: DataFrame) -> DataFrame:
     best = best.withColumn("par_score", score)
     text = lambda b: F.concat(b["level"].cast("string"), b["strain"], F.when(b["over"] < 0, "X").otherwise(""), F.lit(" "), b["side"], F.lit(" "), b["over"].cast("string"))
     par_bids = F.when(F.col("par_score") == 0, F.array().cast("array<string>")).otherwise(F.transform(F.filter("bids", lambda b: b["value"] == F.col("par_score")), text))
-    return best.select("deal_id", "par_score", F.sort_array(par_bids).alias("contracts"))
+    return best.withColumn("contracts", F.sort_array(par_bids)).drop("bids", "best") if "cells" in dd.columns else best.select("deal_id", "par_score", F.sort_array(par_bids).alias("contracts"))
+
+
+def same_par(one: Column, two: Column) -> Column:
+    """Whether two arrays of par contracts (as of par) mean the same: strain, doubling, side and tricks taken agree; 3N +1 is 4N 0."""
+    def plain(text: Column) -> Column:
+        part = F.split(text, " ")
+        return F.concat_ws(" ", F.substring(part[0], F.lit(2), F.length(part[0])), part[1], (F.substring(part[0], 1, 1).cast("int") + part[2].cast("int")).cast("string"))
+
+    return F.sort_array(F.transform(one, plain)) == F.sort_array(F.transform(two, plain))
+
+
+def differing_pars(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Deals of two par tables (deal_id, par_score, contracts) whose score or contracts differ, or that one of them lacks."""
+    a, b = (t.select("deal_id", F.col("par_score").alias(f"score_{n}"), F.col("contracts").alias(f"contracts_{n}")) for t, n in ((one, "one"), (two, "two")))
+    same = F.coalesce((F.col("score_one") == F.col("score_two")) & same_par(F.col("contracts_one"), F.col("contracts_two")), F.lit(False))
+    return a.join(b, "deal_id", "full").where(~same)
 
 
 def differing(one: DataFrame, two: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -111,35 +151,54 @@ def trick_histograms(samples: DataFrame) -> DataFrame:
     return by.withColumn("probs", F.transform("_c", lambda c: c / F.col("trials"))).drop("_c")
 
 
+def ev_lists(hist: DataFrame) -> DataFrame:
+    """hist(..., strain, probs) with nv and v: per level the mean score over the trick probabilities, rounded to six places."""
+    mean = lambda s: F.round(F.aggregate(F.zip_with("probs", s, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x), 6)
+    both = hist.join(F.broadcast(score_lists(hist.sparkSession)), "strain")
+    return both.withColumns({v: F.transform(v, mean) for v in ("nv", "v")})
+
+
 def expected_values(hist: DataFrame) -> DataFrame:
-    """Per deal, seat, strain, level and vulnerability: the mean score over the trick probabilities, rounded to six places."""
-    lists = F.broadcast(score_lists(hist.sparkSession))
-    both = hist.join(lists, "strain")
-    ev = F.aggregate(F.zip_with("probs", "scores", lambda p, s: p * s), F.lit(0.0), lambda a, x: a + x)
-    return both.select("deal_id", "Board", "seat", "strain", "level", "vul", F.round(ev, 6).alias("ev"))
+    """Per deal, seat, strain: NV1 to NV7 and V1 to V7, the expected values of the levels."""
+    e = ev_lists(hist)
+    return e.select("deal_id", "Board", "seat", "strain", *[F.col(v)[n - 1].alias(f"{v.upper()}{n}") for v in ("nv", "v") for n in range(1, 8)])
 
 
 def _order() -> Column:
-    """Generation order: side, seat, strain (spades first), level."""
-    return F.instr(F.lit("NSEW"), F.col("seat")) * 1000 + F.instr(F.lit(B.TRICK_STRAINS), F.col("strain")) * 10 + F.col("level")
+    """Generation order of a seat and strain: side, seat, strain (spades first)."""
+    return F.instr(F.lit("NSEW"), F.col("seat")) * 100 + F.instr(F.lit(B.TRICK_STRAINS), F.col("strain"))
+
+
+def _best_level(evs: Column) -> Column:
+    """The best (ev, o, level) of a list of levels; o orders ties: the first in generation order is largest."""
+    return F.array_max(F.transform(evs, lambda e, i: F.struct(e.alias("ev"), (-(_order() * 10 + i)).alias("o"), (i + 1).alias("level"))))
 
 
-def best_contracts(ev: DataFrame) -> DataFrame:
-    """Best expected value and its contract per deal and vulnerability at five grains: deal, side, seat, strain, seat and strain; ties go to the first in generation order."""
-    rows = ev.withColumns({"side": B.side_of(F.col("seat")), "o": -_order()})
-    top = F.max(F.struct("ev", "o", "level", F.col("strain").alias("st"), F.col("seat").alias("se"))).alias("top")
+def best_contracts(evs: DataFrame) -> DataFrame:
+    """evs of ev_lists -> best expected value and its contract per deal and vulnerability at five grains: deal, side, seat, strain, seat and strain; ties go to the first in generation order."""
+    both = F.explode(F.array(F.struct(F.lit(False).alias("vul"), _best_level(F.col("nv")).alias("b")), F.struct(F.lit(True).alias("vul"), _best_level(F.col("v")).alias("b"))))
+    rows = evs.select("deal_id", "seat", "strain", B.side_of(F.col("seat")).alias("side"), both.alias("x")).select("*", "x.vul", "x.b")
+    top = F.max(F.struct("b.ev", "b.o", "b.level", F.col("strain").alias("st"), F.col("seat").alias("se"))).alias("top")
     keys = ["deal_id", "vul"]
     sets = [keys, [*keys, "side"], [*keys, "seat"], [*keys, "strain"], [*keys, "seat", "strain"]]
     g = rows.groupingSets([[F.col(c) for c in s] for s in sets], "deal_id", "vul", "side", "seat", "strain").agg(top)
     return g.select("deal_id", "vul", "side", "seat", "strain", "top.ev", F.concat(F.col("top.level").cast("string"), "top.st", F.lit(" "), "top.se").alias("contract"))
 
 
-def applicable_ev(ev: DataFrame) -> DataFrame:
-    """The expected values at the board's own vulnerability: per deal the best of each side, and the side whose best is higher (NS on ties)."""
-    mine = ev.where(F.col("vul") == B.seat_is_vulnerable(B.vul_code(F.col("Board")), F.col("seat")))
-    side = B.side_of(F.col("seat"))
-    by = mine.groupBy("deal_id").agg(F.max(F.when(side == "NS", F.col("ev"))).alias("EV_NS"), F.max(F.when(side == "EW", F.col("ev"))).alias("EV_EW"))
-    return by.withColumn("EV_Side", F.when(F.col("EV_NS") >= F.col("EV_EW"), "NS").otherwise("EW"))
+def applicable_ev(evs: DataFrame) -> DataFrame:
+    """evs of ev_lists at the board's own vulnerability -> per deal the best of each side and its contract, the best of all and its side (NS on ties)."""
+    own = F.when(B.seat_is_vulnerable(B.vul_code(F.col("Board")), F.col("seat")), F.col("v")).otherwise(F.col("nv"))
+    rows = evs.select("deal_id", "seat", "strain", _best_level(own).alias("b"))
+    top = lambda p: F.max(F.when(B.side_of(F.col("seat")) == p, F.struct("b.ev", "b.o", F.concat(F.col("b.level").cast("string"), "strain", F.lit(" "), "seat").alias("contract"))))
+    by = rows.groupBy("deal_id").agg(top("NS").alias("n"), top("EW").alias("e"))
+    side = F.when(F.col("n.ev") >= F.col("e.ev"), "NS").otherwise("EW")
+    return by.select("deal_id", F.col("n.ev").alias("EV_Max_NS"), F.col("e.ev").alias("EV_Max_EW"), F.col("n.contract").alias("EV_Contract_NS"), F.col("e.contract").alias("EV_Contract_EW"), F.greatest("n.ev", "e.ev").alias("EV_Max"), side.alias("EV_Side"))
+
+
+def declarer_ev(df: DataFrame) -> DataFrame:
+    """EV_Max_Declarer and its contract: those of the declarer's side; EW's where no side declares."""
+    ns = F.col("Declarer_Pair") == "NS"
+    return df.withColumns({"EV_Max_Declarer": F.when(ns, F.col("EV_Max_NS")).otherwise(F.col("EV_Max_EW")), "EV_Contract_Declarer": F.when(ns, F.col("EV_Contract_NS")).otherwise(F.col("EV_Contract_EW"))})
 
 
 def type_of_tricks(tricks: Column, strain: Column) -> Column:

@@ -108,7 +108,18 @@ def with_holds(main, recursive=False):
 
 reg("bid4_evaluate", lambda s, d: truth(s, d).select("deal_id", "seat", F.array_join(F.transform("truth", lambda t: F.when(t, "1").otherwise("0")), "").alias("truth")),
     f"SELECT deal_id, seat, {' || '.join(f'CASE WHEN {sql_of(p)} THEN 1 ELSE 0 END' for p in PREDICATES)} AS truth FROM {FEATURES}", "suits")
-reg("bid5_bitmap", lambda s, d: R.stored_bitmap(truth(s, d), folder(s, "bitmap"), "v1"), f"SELECT * FROM {BITS}", "suits")
+
+
+def stored(spark, sf):
+    """Stored for other predicates first, then for the deals with one more, then twice as wanted: three tables, the last one read."""
+    path, deals = folder(spark, "bitmap"), X.deals(spark, sf)
+    R.stored_bitmap(deals, PREDICATES[:1], path)
+    R.stored_bitmap(deals.unionByName(deals.limit(1)), PREDICATES, path)
+    R.stored_bitmap(deals, PREDICATES, path)
+    return R.stored_bitmap(deals, PREDICATES, path)
+
+
+reg("bid5_bitmap", stored, f"SELECT * FROM {BITS}", "suits")
 
 
 def turns(spark, sf):
@@ -151,17 +162,24 @@ reg("bid11_auctions", lambda s, d: reached(s, d).select("deal_id", "Dealer", F.a
 
 
 def analysed(spark, sf):
-    a = reached(spark, sf).withColumn("x", R.analyse(F.col("auction"), F.col("Dealer")))
-    return a.select("deal_id", F.array_join("auction", "-").alias("auction"), "x.opener", "x.declarer", "x.leader", "x.over", F.concat_ws(" ", F.coalesce("x.contract", F.lit("?")), F.lit("by"), F.coalesce("x.declarer", F.lit("nobody"))).alias("description"))
+    """A row for each beginning of each auction, with the candidates of the seat to bid next."""
+    a = R.auctions(X.deals(spark, sf), holding(spark, sf), rules(spark), folder(spark, "auctions"), prefixes=True)
+    a = a.withColumn("x", R.analyse(F.col("auction"), F.col("Dealer")))
+    a = a.withColumn("next", R.seat_of_turn(F.col("Dealer"), F.size("auction") + 1))
+    c = R.candidates(truth(spark, sf), holding(spark, sf), rules(spark).where("parent = 0")).select("deal_id", F.col("seat").alias("next"), F.array_join(F.transform("rules", lambda r: r.cast("string")), ",").alias("candidates"))
+    text = F.when(F.col("x.over"), F.concat_ws(" ", "x.contract", F.lit("by"), F.coalesce("x.declarer", F.lit("nobody")))).otherwise(F.concat(F.lit("open, opened by "), F.coalesce("x.opener", F.lit("nobody"))))
+    return a.join(c, ["deal_id", "next"]).select("deal_id", F.array_join("auction", "-").alias("auction"), "x.opener", "x.declarer", "x.leader", "x.over", "candidates", text.alias("description"))
 
 
 W = lambda i: f"substr('NESW', ({i})::INTEGER % 4 + 1, 1)"
 # in these auctions only one side bids; the declarer is the first of it to name the last strain
-reg("bid12_auction_rows", analysed, with_holds(REACH + f""", w AS (SELECT *, instr('NESW', Dealer) - 1 AS d0, string_split(auction, '-') AS l FROM z),
+reg("bid12_auction_rows", analysed, with_holds(REACH + f""", w AS (SELECT DISTINCT deal_id, (Board - 1) % 4 AS d0, passes = CASE WHEN bidder < 0 THEN 4 ELSE 3 END AS over, rtrim(auction, '-') AS auction, string_split(rtrim(auction, '-'), '-') AS l FROM a WHERE auction <> ''),
 y AS (SELECT *, list_filter(l, lambda b: b <> 'p') AS bids FROM w),
-v AS (SELECT *, bids[len(bids)] AS top, list_position(list_transform(l, lambda b: b <> 'p' AND substr(b, 2, 1) = substr(bids[len(bids)], 2, 1)), true) AS named, list_position(list_transform(l, lambda b: b <> 'p'), true) AS opened FROM y)
-SELECT deal_id, auction, CASE WHEN len(bids) > 0 THEN {W('d0 + opened - 1')} END AS opener, CASE WHEN len(bids) > 0 THEN {W('d0 + named - 1')} END AS declarer, CASE WHEN len(bids) > 0 THEN {W('d0 + named')} END AS leader, true AS over,
-  CASE WHEN len(bids) = 0 THEN 'PASS by nobody' ELSE top || {W('d0 + named - 1')} || ' by ' || {W('d0 + named - 1')} END AS description FROM v""", True))
+v AS (SELECT *, bids[len(bids)] AS top, list_position(list_transform(l, lambda b: b <> 'p' AND substr(b, 2, 1) = substr(bids[len(bids)], 2, 1)), true) AS named, list_position(list_transform(l, lambda b: b <> 'p'), true) AS opened FROM y),
+c AS (SELECT f.deal_id, f.seat, coalesce(string_agg(h.rule_id::VARCHAR, ',' ORDER BY h.rule_id) FILTER (h.rule_id IN (SELECT rule_id FROM book WHERE parent = 0)), '') AS candidates FROM f LEFT JOIN holds h ON h.deal_id = f.deal_id AND h.seat = f.seat GROUP BY ALL)
+SELECT v.deal_id, auction, CASE WHEN len(bids) > 0 THEN {W('d0 + opened - 1')} END AS opener, CASE WHEN len(bids) > 0 THEN {W('d0 + named - 1')} END AS declarer, CASE WHEN len(bids) > 0 THEN {W('d0 + named')} END AS leader, over, candidates,
+  CASE WHEN NOT over THEN 'open, opened by ' || CASE WHEN len(bids) > 0 THEN {W('d0 + opened - 1')} ELSE 'nobody' END WHEN len(bids) = 0 THEN 'PASS by nobody' ELSE top || {W('d0 + named - 1')} || ' by ' || {W('d0 + named - 1')} END AS description
+FROM v JOIN c ON c.deal_id = v.deal_id AND c.seat = {W('d0 + len(l)')}""", True))
 
 
 def auctions_of_results(spark, sf):

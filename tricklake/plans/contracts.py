@@ -52,14 +52,9 @@ SD = "CASE WHEN D IN ('N', 'S') THEN Score_NS WHEN D IN ('E', 'W') THEN -Score_N
 reg("fin7_side_scores", lambda s, d: C.side_scores(split(s, d).drop("Score_NS")).select(*KEYS, "Contract", "Score_NS", "Score_EW", "Score_Declarer"), f"SELECT {K}, Contract, Score_NS, -Score_NS AS Score_EW, {SD} AS Score_Declarer FROM {SPLIT}", "br")
 
 
-def dd_for_results(spark, sf):
-    """A trick table of the results' own deals, by the same formula."""
-    ids = X.board_results(spark, sf).select("deal_id", "Board").distinct()
-    from ..functions import bridge as B
-
-    grid = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("g")).withColumns({"x": F.floor(F.col("g") / 5), "st": F.col("g") % 5})
-    t = (F.col("deal_id") * 31 + F.col("x") % 2 * 17 + F.col("st") * 5) % 14 - F.when(F.col("x") >= 2, (F.col("deal_id") + F.col("st")) % 2).otherwise(0)
-    return grid.select("deal_id", "Board", B.nth("NESW", F.col("x")).alias("seat"), B.nth("SHDCN", F.col("st")).alias("strain"), F.greatest(F.lit(0), t).cast("int").alias("tricks"))
+def result_deals(spark, sf):
+    """(deal_id, Board, cells) of the results' own deals, by the same formula."""
+    return X.trick_cells(X.board_results(spark, sf).select("deal_id", "Board").distinct())
 
 
 DDR = X.CTES["dd"][1].replace("FROM deal_ids", "FROM (SELECT DISTINCT deal_id, Board FROM br)")
@@ -77,40 +72,65 @@ def with_dd_par(main):
 
 
 def joined(spark, sf):
-    return C.side_scores(C.join_dd(split(spark, sf), dd_for_results(spark, sf)))
+    return C.side_scores(C.join_deals(split(spark, sf), result_deals(spark, sf)))
 
 
 def with_pars(spark, sf):
-    dd = dd_for_results(spark, sf)
-    return C.differences(joined(spark, sf).join(S.par_sides(S.par(dd)).select("deal_id", "Par_NS"), "deal_id", "left"))
+    """Results with trick counts, par and theoretical scores; trick table and par come from one row a deal."""
+    deals = S.par_sides(S.par(result_deals(spark, sf))).select("deal_id", "Board", "cells", "Par_NS")
+    return C.differences(C.dd_score(C.side_scores(C.join_deals(split(spark, sf), deals))))
 
 
 reg("fin8_dd_tricks", lambda s, d: joined(s, d).select(*KEYS, "Contract", "DD_Tricks", "DD_Tricks_Dummy"), with_dd(f"SELECT {K}, Contract, DD_Tricks, DD_Tricks_Dummy FROM {DD}"))
-DDS = f"CASE WHEN Contract = 'PASS' THEN 0 WHEN bid THEN CASE WHEN D IN ('N', 'S') THEN 1 ELSE -1 END * {X.score_sql('BidLvl', 'BidSuit', 'Dbl', sv('D'), '(DD_Tricks - 6 - BidLvl)')} END"
-reg("fin9_dd_score", lambda s, d: C.dd_score(joined(s, d)).select(*KEYS, "Contract", "DD_Score_NS", "DD_Score_EW"), with_dd(f"SELECT {K}, Contract, {DDS} AS DD_Score_NS, -({DDS}) AS DD_Score_EW FROM {DD}"))
-reg("fin10_differences", lambda s, d: with_pars(s, d).select(*KEYS, "Contract", "Par_Diff_NS", "Par_Diff_EW", "DD_Tricks_Diff"), with_dd_par(f"SELECT {K}, Contract, Score_NS - par_score AS Par_Diff_NS, par_score - Score_NS AS Par_Diff_EW, Tricks - DD_Tricks AS DD_Tricks_Diff FROM {DD} x LEFT JOIN b ON b.deal_id = x.deal_id"))
-OP = "CASE WHEN D IN ('N', 'S') THEN par_score WHEN D IN ('E', 'W') THEN -par_score END"
-ROLES = f"""(SELECT x.*, {nxt('D', 1)} AS OnLead, {nxt('D', 3)} AS NotOnLead, {pick(nxt('D', 1))} AS OnLead_ID, {pick(nxt('D', 3))} AS NotOnLead_ID, {pick(nxt('D', 2))} AS Dummy_ID, {pick('D')} AS Declarer_ID,
-  {SD} <= {OP} AS Defender_Par_GE, Result < 0 AND {SD} > {OP} AS Is_Sacrifice, {SD} = {OP} AS Is_Par_Contract, Tricks - DD_Tricks AS DD_Tricks_Diff FROM {DD} x LEFT JOIN b ON b.deal_id = x.deal_id)"""
-reg("fin11_roles", lambda s, d: C.roles(with_pars(s, d)).select(*KEYS, "Contract", "OnLead", "NotOnLead", "OnLead_ID", "NotOnLead_ID", "Dummy_ID", "Defender_Par_GE", "Is_Sacrifice", "Is_Par_Contract"),
-    with_dd_par(f"SELECT {K}, Contract, OnLead, NotOnLead, OnLead_ID, NotOnLead_ID, Dummy_ID, Defender_Par_GE, Is_Sacrifice, Is_Par_Contract FROM {ROLES}"))
 
 
-def results_samples(spark, sf):
-    """Sampled layouts of the results' deals: forty a cell."""
-    dd = dd_for_results(spark, sf)
-    rows = dd.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    return rows.withColumn("tricks", ((F.col("deal_id") * 13 + F.col("n") * F.col("n") * 7 + F.col("tricks")) % 14).cast("int")).drop("n")
+def dds(level):
+    """The score of a level in the contract's strain at the tricks of the trick table; failing ones are doubled."""
+    return f"CASE WHEN bid THEN {X.score_sql(level, 'BidSuit', f'(CASE WHEN DD_Tricks < {level} + 6 THEN {chr(39)}X{chr(39)} ELSE {chr(39)}{chr(39)} END)', sv('D'), f'(DD_Tricks - 6 - {level})')} END"
+
+
+MAXS = f"greatest({', '.join(dds(str(n)) for n in range(1, 8))})"
+SIGN = "CASE WHEN D IN ('N', 'S') THEN 1 ELSE -1 END"
+reg("fin9_dd_score", lambda s, d: C.dd_score(joined(s, d)).select(*KEYS, "Contract", "DD_Score_Declarer", "DD_Score_Max_Declarer", "DD_Score_NS", "DD_Score_EW"),
+    with_dd(f"SELECT {K}, Contract, own AS DD_Score_Declarer, m AS DD_Score_Max_Declarer, CASE WHEN D IS NULL THEN 0 ELSE own * {SIGN} END AS DD_Score_NS, CASE WHEN D IS NULL THEN 0 ELSE -own * {SIGN} END AS DD_Score_EW FROM (SELECT *, {dds('BidLvl')} AS own, {MAXS} AS m FROM {DD})"))
+
+
+def ev_diffs(spark, sf):
+    evs = S.applicable_ev(S.ev_lists(result_histograms(spark, sf)))
+    b = C.join_deals(split(spark, sf), S.par_sides(S.par(result_deals(spark, sf))).select("deal_id", "Board", "cells", "Par_NS"))
+    return C.differences(C.side_scores(b.join(evs, "deal_id", "left"))).select(*KEYS, "Contract", "Par_Diff_NS", "Par_Diff_EW", "DD_Tricks_Diff", *[F.round(f"EV_Max_Diff_{p}", 6).alias(f"EV_Max_Diff_{p}") for p in ("NS", "EW")])
 
 
 HIST = "h AS (SELECT deal_id, seat, strain, t, count(*)::DOUBLE / 40 AS p FROM (SELECT *, ((deal_id * 13 + n * n * 7 + tricks) % 14)::INTEGER AS t FROM ddr, range(40) x(n)) GROUP BY ALL)"
+RSET = "CASE WHEN t < level + 6 THEN 'X' ELSE '' END"
+REV = f"""g AS (SELECT h.deal_id, h.seat, round(sum(p * score), 6) AS ev FROM h JOIN (SELECT DISTINCT deal_id, Board FROM br) d ON d.deal_id = h.deal_id JOIN scores s ON s.strain = h.strain AND s.tricks = t AND s.dbl = {RSET} AND s.vul = {sv('h.seat')} GROUP BY h.deal_id, h.seat, h.strain, level),
+q AS (SELECT deal_id, max(ev) FILTER (seat IN ('N', 'S')) AS ens, max(ev) FILTER (seat IN ('E', 'W')) AS eew FROM g GROUP BY deal_id)"""
+Q["fin10_differences"] = ev_diffs
+O["fin10_differences"] = with_dd_par(f", {HIST}, scores AS ({X.CTES['scores'][1]}), {REV} SELECT {K.replace('session_id', 'x.session_id')}, Contract, Score_NS - par_score AS Par_Diff_NS, par_score - Score_NS AS Par_Diff_EW, Tricks - DD_Tricks AS DD_Tricks_Diff, round(Score_NS - ens, 6) AS EV_Max_Diff_NS, round(-Score_NS - eew, 6) AS EV_Max_Diff_EW FROM {DD} x LEFT JOIN b ON b.deal_id = x.deal_id LEFT JOIN q ON q.deal_id = x.deal_id")
+# the declarer's par is East-West's where nobody declares; a passed-out board scores 0
+OP = "CASE WHEN D IN ('N', 'S') THEN par_score ELSE -par_score END"
+ROLES = f"""(SELECT *, own_par = best_in_strain AS Is_Par_Suit, own_par = own_dds AS Is_Par_Contract, own_par = own_dds AND own_dds < 0 AS Is_Sacrifice FROM (
+  SELECT x.*, {nxt('D', 1)} AS OnLead, {nxt('D', 3)} AS NotOnLead, {pick(nxt('D', 1))} AS OnLead_ID, {pick(nxt('D', 3))} AS NotOnLead_ID, {pick(nxt('D', 2))} AS Dummy_ID, {pick('D')} AS Declarer_ID, {OP} AS own_par, {dds('BidLvl')} AS own_dds, {MAXS} AS best_in_strain,
+  'EV_' || {DSIDE} || '_' || D || '_' || BidSuit || '_' || BidLvl || '_' || CASE WHEN {sv('D')} THEN 'V' ELSE 'NV' END AS EV_Score_Col_Declarer,
+  CASE WHEN Contract = 'PASS' THEN 0 ELSE {SD} END <= {OP} AS Defender_Par_GE, Tricks - DD_Tricks AS DD_Tricks_Diff FROM {DD} x LEFT JOIN b ON b.deal_id = x.deal_id))"""
+FLAGS = ["Contract", "OnLead", "NotOnLead", "OnLead_ID", "NotOnLead_ID", "Dummy_ID", "EV_Score_Col_Declarer", "Defender_Par_GE", "Is_Sacrifice", "Is_Par_Contract", "Is_Par_Suit"]
+reg("fin11_roles", lambda s, d: C.roles(with_pars(s, d)).select(*KEYS, *FLAGS), with_dd_par(f"SELECT {K}, {', '.join(FLAGS)} FROM {ROLES}"))
+
+
+def result_histograms(spark, sf):
+    """Stored trick probabilities of the results' deals, (deal_id, Board, seat, strain, probs): of forty layouts half take one count and half another."""
+    from ..functions import bridge as B
+
+    rows = result_deals(spark, sf).select("deal_id", "Board", F.posexplode("cells").alias("g", "tricks"))
+    one = (F.col("deal_id") * 13 + F.col("tricks")) % 14
+    probs = F.array(*[F.when((one == t) | (one == (t + 7) % 14), 0.5).otherwise(0.0) for t in range(14)])
+    return rows.select("deal_id", "Board", B.nth("NESW", F.floor(F.col("g") / 5)).alias("seat"), B.nth("SHDCN", F.col("g") % 5).alias("strain"), probs.alias("probs"))
 
 
 def probabilities(spark, sf):
-    """P(t) of the contract's own declarer and strain, and its expected value."""
-    hist = S.trick_histograms(results_samples(spark, sf))
-    hist = hist.select("deal_id", F.col("seat").alias("Declarer_Direction"), F.col("strain").alias("BidSuit"), "probs")
-    return split(spark, sf).join(hist, ["deal_id", "Declarer_Direction", "BidSuit"], "left")
+    """P(t) of the contract's own declarer and strain."""
+    h = result_histograms(spark, sf).select("deal_id", F.col("seat").alias("Declarer_Direction"), F.col("strain").alias("BidSuit"), "probs")
+    return split(spark, sf).join(h, ["deal_id", "Declarer_Direction", "BidSuit"], "left")
 
 
 reg("fin12_trick_probabilities", lambda s, d: probabilities(s, d).select(*KEYS, "Contract", *[F.col("probs")[t].alias(f"P_{t}") for t in range(14)]),
@@ -120,19 +140,22 @@ reg("fin12_trick_probabilities", lambda s, d: probabilities(s, d).select(*KEYS,
 def contract_ev(spark, sf):
     from ..functions import bridge as B
 
-    sc = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: B.contract_score(F.col("BidLvl"), F.col("BidSuit"), F.col("Dbl"), F.col("Declarer_Vul"), t - 6 - F.col("BidLvl")))
+    sc = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: B.set_score(F.col("BidLvl"), F.col("BidSuit"), F.col("Declarer_Vul"), t))
     ev = F.aggregate(F.zip_with("probs", sc, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
     rule = B.contract_score(F.col("BidLvl"), F.col("BidSuit"), F.col("Dbl"), F.col("Declarer_Vul"), F.col("Result"))
-    return probabilities(spark, sf).select(*KEYS, "Contract", F.round(ev, 6).alias("EV_Declarer"), F.when(F.col("BidLvl").isNotNull(), rule).alias("Computed_Score_Declarer"))
+    out = probabilities(spark, sf).withColumns({"EV_Score_Declarer": F.round(ev, 6), "Computed_Score_Declarer": F.when(F.col("Contract") == "PASS", 0).otherwise(rule)})
+    sign = lambda p: F.when(F.col("Declarer_Pair") == p, F.col("EV_Score_Declarer")).otherwise(-F.col("EV_Score_Declarer"))
+    return out.select(*KEYS, "Contract", "EV_Score_Declarer", "Computed_Score_Declarer", sign("NS").alias("EV_Score_NS"), sign("EW").alias("EV_Score_EW"))
 
 
 reg("fin13_contract_ev", contract_ev,
-    with_dd("").rstrip() + f",\n{HIST},\nscores AS ({X.CTES['scores'][1]}),\nx AS (SELECT *, {DVUL} AS V FROM {SPLIT}),\ne AS (SELECT DISTINCT deal_id, D, BidSuit, BidLvl, Dbl, V FROM x WHERE bid),\n"
-    "f AS (SELECT e.*, round(sum(p * score), 6) AS ev FROM e JOIN h ON h.deal_id = e.deal_id AND h.seat = D AND h.strain = BidSuit JOIN scores s ON s.level = BidLvl AND s.strain = BidSuit AND s.dbl = e.Dbl AND s.vul = V AND s.tricks = t GROUP BY ALL)\n"
-    f"SELECT {', '.join('x.' + k for k in KEYS)}, Contract, ev AS EV_Declarer, {SD} AS Computed_Score_Declarer FROM x LEFT JOIN f ON f.deal_id = x.deal_id AND f.D = x.D AND f.BidSuit = x.BidSuit AND f.BidLvl = x.BidLvl AND f.Dbl = x.Dbl".replace(f"{SD} AS", f"{SD.replace('D IN', 'x.D IN')} AS"))
+    with_dd("").rstrip() + f",\n{HIST},\nscores AS ({X.CTES['scores'][1]}),\nx AS (SELECT *, {DVUL} AS V FROM {SPLIT}),\ne AS (SELECT DISTINCT deal_id, D, BidSuit, BidLvl, V FROM x WHERE bid),\n"
+    f"f AS (SELECT e.*, round(sum(p * score), 6) AS ev FROM e JOIN h ON h.deal_id = e.deal_id AND h.seat = D AND h.strain = BidSuit JOIN scores s ON s.level = BidLvl AND s.strain = BidSuit AND s.dbl = {RSET} AND s.vul = V AND s.tricks = t GROUP BY ALL)\n"
+    f"SELECT {', '.join('x.' + k for k in KEYS)}, Contract, ev AS EV_Score_Declarer, CASE WHEN Contract = 'PASS' THEN 0 ELSE {SD.replace('D IN', 'x.D IN')} END AS Computed_Score_Declarer, CASE WHEN x.D IN ('N', 'S') THEN ev ELSE -ev END AS EV_Score_NS, CASE WHEN x.D IN ('N', 'S') THEN -ev ELSE ev END AS EV_Score_EW FROM x LEFT JOIN f ON f.deal_id = x.deal_id AND f.D = x.D AND f.BidSuit = x.BidSuit AND f.BidLvl = x.BidLvl")
 reg("fin14_trick_flags", lambda s, d: C.trick_flags(X.board_results(s, d)).select(*KEYS, "Result", "OverTricks", "JustMade", "UnderTricks"), f"SELECT {K}, Result, Result > 0 AS OverTricks, Result = 0 AS JustMade, Result < 0 AS UnderTricks FROM br", "br")
-reg("fin15_player_means", lambda s, d: C.player_means(C.roles(C.declarer_id(with_pars(s, d)))).select(*KEYS, "Declarer_ID", "OnLead_ID", F.round("Declarer_Rating", 8).alias("Declarer_Rating"), F.round("Defender_OnLead_Rating", 8).alias("Defender_OnLead_Rating")),
-    with_dd_par(f"SELECT {K}, Declarer_ID, OnLead_ID, CASE WHEN Declarer_ID IS NOT NULL THEN round(avg(DD_Tricks_Diff) OVER (PARTITION BY Declarer_ID), 8) END AS Declarer_Rating, CASE WHEN OnLead_ID IS NOT NULL THEN round(avg(Defender_Par_GE::INTEGER) OVER (PARTITION BY OnLead_ID), 8) END AS Defender_OnLead_Rating FROM {ROLES}"))
+MEANS = {"Declarer_Rating": ("DD_Tricks_Diff", "Declarer_ID"), "Defender_OnLead_Rating": ("Defender_Par_GE::INTEGER", "OnLead_ID"), "Defender_NotOnLead_Rating": ("Defender_Par_GE::INTEGER", "NotOnLead_ID")}
+reg("fin15_player_means", lambda s, d: C.player_means(C.roles(C.declarer_id(with_pars(s, d)))).select(*KEYS, "Declarer_ID", "OnLead_ID", "NotOnLead_ID", *[F.round(m, 8).alias(m) for m in MEANS]),
+    with_dd_par(f"SELECT {K}, Declarer_ID, OnLead_ID, NotOnLead_ID, {', '.join(f'round(avg({v}) OVER (PARTITION BY {k}), 8) AS {m}' for m, (v, k) in MEANS.items())} FROM {ROLES}"))
 reg("fin16_parse_dates", lambda s, d: C.parse_dates(X.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 17 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("t")), "t").select("o_orderkey", "Date"),
     "SELECT o_orderkey, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE END AS Date FROM orders")
 reg("fin17_viewpoint", lambda s, d: C.viewpoint(split(s, d), "NS", 3, "N").select(*KEYS, "Contract", *[f"Boards_{x}" for x in ("We_Played", "I_Declared", "Partner_Declared", "We_Declared", "Opponent_Declared")]),

@@ -104,18 +104,15 @@ metric("hnd14_distribution_points", D.add_distribution_points, DP, prefix="DP")
 metric("hnd15_total_points", D.add_total_points, f"{HCP} + {DP}", prefix="Total_Points")
 
 
-def quality_sql(rule) -> str:
-    if isinstance(rule, int):
-        return f"length(cards) + {HCP} >= {rule}"
-    return " OR ".join(f"(length(cards) >= {a} AND ({HCP}) >= {b})" for a, b in rule)
-
-
 def hnd16(spark, sf):
     rows = D.suits_long(X.deals(spark, sf))
-    return rows.select("deal_id", "seat", "suit", *[D.suit_quality(F.col("cards"), r).alias(k) for k, r in D.QUALITY.items()], *[F.lit(True).alias(k) for k in D.FORCING])
+    return rows.select("deal_id", "seat", "suit", *[c.alias(k) for k, c in D.suit_flags(F.col("cards")).items()], *[F.lit(True).alias(k) for k in D.FORCING])
 
 
-reg("hnd16_suit_quality", hnd16, "SELECT deal_id, substr('NESW', seat::INTEGER + 1, 1) AS seat, substr('SHDC', suit::INTEGER + 1, 1) AS suit, " + ", ".join(f"({quality_sql(r)}) AS {k}" for k, r in D.QUALITY.items()) + ", " + ", ".join(f"true AS {k}" for k in D.FORCING) + " FROM suits", "suits")
+# n: length of the suit, p: its high card points
+reg("hnd16_suit_quality", hnd16, f"""SELECT deal_id, substr('NESW', seat::INTEGER + 1, 1) AS seat, substr('SHDC', suit::INTEGER + 1, 1) AS suit, n > 4 OR (n = 4 AND p > 2) AS Biddable, n > 5 OR (n = 5 AND p > 2) AS Rebiddable,
+  n > 6 OR (n = 6 AND p > 2) AS Twice_Rebiddable, n > 5 AND p > 8 AS Strong_Rebiddable, p > 8 AS Solid, n + p < 4 AS At_Best_Partial_Stop_In, NOT n + p < 4 AS Partial_Stop_In, n + p > 4 AS Likely_Stop_In, p > 3 OR n + p > 5 AS Stop_In,
+  n + p > 6 AS At_Best_Stop_In, n + p > 7 AS Two_Stops_In, true AS Forcing_One_Round, true AS Opponents_Cannot_Play_Undoubled_Below_2N, true AS Forcing_To_2N, true AS Forcing_To_3N FROM (SELECT *, length(cards) AS n, {HCP} AS p FROM suits)""", "suits")
 _SHAPE = "string_agg(length(cards)::VARCHAR, '' ORDER BY length(cards) DESC) FILTER (seat = {i})"
 reg("hnd17_balanced", lambda s, d: D.add_balanced(X.deals(s, d)).select("deal_id", *[f"Balanced_{x}" for x in B.SEATS]),
     "SELECT deal_id, " + ", ".join(f"{_SHAPE.format(i=i)} IN ('4333', '4432') OR ({_SHAPE.format(i=i)} IN ('5332', '5422') AND bool_or(length(cards) = 5 AND suit >= 2) FILTER (seat = {i})) AS Balanced_{d}" for i, d in enumerate(B.SEATS)) + " FROM suits GROUP BY deal_id", "suits")

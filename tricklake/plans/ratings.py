@@ -8,7 +8,9 @@ from .. import fixtures as X
 from ..operators import matchpoints as M
 from ..operators import query as Y
 from ..operators import ratings as R
-from .scoring import BT, SPLIT
+from ..operators import scoring as S
+from .contracts import HIST, REV, ROLES, SIGN, result_deals, result_histograms, with_dd_par
+from .scoring import BT
 
 Q, O = {}, {}
 
@@ -23,12 +25,12 @@ def scored(spark, sf):
     return M.percentages(M.matchpoints(results(spark, sf)))
 
 
-def rounded(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+def rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
 
 
-Q["elo1_pair_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_pairs(scored(s, d))), "before", "after", "seen_before", "seen_after")
-Q["elo2_player_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_players(scored(s, d))), "before", "after", "seen_before", "seen_after")
+Q["elo1_pair_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_pairs(scored(s, d))))
+Q["elo2_player_ratings"] = lambda s, d: rounded(R.rate(R.unpivot_players(scored(s, d))))
 
 
 def scales(spark, sf):
@@ -43,18 +45,36 @@ Q["elo4_spread_seed"] = lambda s, d: (lambda e: e.groupBy("event_type").agg(F.co
 O["elo4_spread_seed"] = "SELECT event_type, count(*) AS n, round((SELECT stddev_pop(value) FROM events), 6) AS spread FROM events GROUP BY event_type"
 
 
+WHO = ["NS", "EW", *"NESW"]
+
+
 def start_end(spark, sf):
     b = scored(spark, sf)
-    out = R.session_start_end(b, R.rate(R.unpivot_pairs(b)))
-    return rounded(out.select("session_id", "Board", "Pair_ID_NS", "Pair_ID_EW", "Elo_NS_Start", "Elo_NS_End", "Elo_EW_Start", "Elo_EW_End"), "Elo_NS_Start", "Elo_NS_End", "Elo_EW_Start", "Elo_EW_End")
+    out = R.session_start_end(b, R.rate(R.unpivot_pairs(b)), R.rate(R.unpivot_players(b)))
+    return rounded(out.select("session_id", "Board", *[f"Player_ID_{d}" for d in "NESW"], *[f"Elo_{w}_{e}" for w in WHO for e in ("Start", "End")]))
 
 
 Q["elo5_session_start_end"] = start_end
-Q["elo6_rating_pipeline"] = lambda s, d: rounded(R.rating_pipeline(results(s, d)).select("session_id", "section_id", "Board", "Score_NS", "Pct_NS", "Elo_NS_Start", "Elo_EW_End"), "Pct_NS", "Elo_NS_Start", "Elo_EW_End")
-Q["elo7_staged_pipeline"] = lambda s, d: R.contract_pipeline(X.board_results(s, d)).groupBy("session_id", "Vul", "ContractType").agg(F.count(F.lit(1)).alias("n"), F.sum("Score_EW").alias("score_ew"), F.round(F.avg("Pct_NS"), 12).alias("pct"))
-O["elo7_staged_pipeline"] = X.oracle(f"""SELECT session_id, ['None', 'N_S', 'E_W', 'Both'][{X._VUL} + 1] AS Vul, {BT} AS ContractType, count(*) AS n, -sum(Score_NS) AS score_ew, round(avg(CASE WHEN top > 0 THEN mp / top END), 12) AS pct FROM
-  (SELECT *, CASE WHEN Score_NS IS NOT NULL THEN (SELECT count(*) FILTER (y.Score_NS < x.Score_NS) + (count(*) FILTER (y.Score_NS = x.Score_NS) - 1) / 2.0 FROM br y WHERE y.session_id = x.session_id AND y.section_id = x.section_id AND y.Board = x.Board) END AS mp,
-   count(Score_NS) OVER (PARTITION BY session_id, section_id, Board) - 1 AS top FROM {SPLIT} x) GROUP BY ALL""", "br")
+Q["elo6_rating_pipeline"] = lambda s, d: rounded(R.rating_pipeline(results(s, d)).select("session_id", "section_id", "Board", "Score_NS", "Pct_NS", "MP_Top", *[f"Elo_{w}_{e}" for w in WHO for e in ("Start", "End")]))
+
+
+def augmented(spark, sf):
+    """The full augmentation, summed up by session, vulnerability and contract type."""
+    pars = S.par_sides(S.par(result_deals(spark, sf))).select("deal_id", "Board", "cells", "Par_NS")
+    evs = S.applicable_ev(S.ev_lists(result_histograms(spark, sf))).select("deal_id", "EV_Max_NS", "EV_Max_EW")
+    out = R.contract_pipeline(X.board_results(spark, sf), pars.join(evs, "deal_id"))
+    yes = lambda c: F.count(F.when(F.col(c), 1))
+    return out.groupBy("session_id", "Vul", "ContractType").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("Score_EW").alias("score_ew"), F.round(F.avg("Pct_NS"), 12).alias("pct"), F.sum("Par_Diff_NS").alias("par_diff"), F.sum("DD_Tricks_Diff").alias("tricks_diff"), F.sum("DD_Score_NS").alias("dd_score"),
+        F.round(F.avg("EV_Max_Diff_NS"), 6).alias("ev_diff"), yes("Is_Par_Contract").alias("at_par"), yes("Is_Sacrifice").alias("sacrifices"), yes("Defender_Par_GE").alias("defended"))
+
+
+Q["elo7_staged_pipeline"] = augmented
+O["elo7_staged_pipeline"] = with_dd_par(f""", {HIST}, scores AS ({X.CTES['scores'][1]}), {REV}
+SELECT x.session_id, ['None', 'N_S', 'E_W', 'Both'][{X._VUL} + 1] AS Vul, {BT} AS ContractType, count(*) AS n, -sum(Score_NS) AS score_ew, round(avg(CASE WHEN top > 0 THEN mp / top END), 12) AS pct, sum(Score_NS - -CASE WHEN D IN ('N', 'S') THEN -own_par ELSE own_par END) AS par_diff, sum(DD_Tricks_Diff) AS tricks_diff,
+  sum(CASE WHEN D IS NULL THEN 0 ELSE own_dds * {SIGN} END) AS dd_score, round(avg(Score_NS - ens), 6) AS ev_diff, count(*) FILTER (Is_Par_Contract) AS at_par, count(*) FILTER (Is_Sacrifice) AS sacrifices, count(*) FILTER (Defender_Par_GE) AS defended FROM
+  (SELECT *, CASE WHEN Score_NS IS NOT NULL THEN (SELECT count(*) FILTER (y.Score_NS < z.Score_NS) + (count(*) FILTER (y.Score_NS = z.Score_NS) - 1) / 2.0 FROM br y WHERE y.session_id = z.session_id AND y.section_id = z.section_id AND y.Board = z.Board) END AS mp,
+   count(Score_NS) OVER (PARTITION BY session_id, section_id, Board) - 1 AS top FROM {ROLES} z) x LEFT JOIN q ON q.deal_id = x.deal_id GROUP BY ALL""")
 
 FREE = "SELECT Contract, count(*) AS n, avg(Score_NS) AS mean WHERE Score_NS > :least GROUP BY Contract"
 Q["qry1_user_sql"] = lambda s, d: Y.run_sql(X.board_results(s, d), FREE.replace("SELECT", "SELECT", 1).replace(" WHERE", ' FROM "self" WHERE'), least=100).select("Contract", "n", F.round("mean", 6).alias("mean"))

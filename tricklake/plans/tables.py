@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..sources import tables as S
+from ..sources.folders import shared_folder as folder
 
 Q, O = {}, {}
 
@@ -18,12 +16,6 @@ def reg(name, run, sql, *ctes):
     O[name] = X.oracle(sql, *ctes)
 
 
-def folder(spark, name):
-    """A place for what a query stores: the shared folder of the session, or a local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tricklake-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-
-
 orders = lambda s, d: X.table(s, d, "orders")
 reg("src1_save", lambda s, d: S.save(orders(s, d).select("o_orderkey", "o_totalprice"), folder(s, "save")), "SELECT o_orderkey, o_totalprice FROM orders")
 
@@ -88,21 +80,21 @@ reg("src10_compaction", merged, "SELECT o_orderkey, o_custkey, " + ", ".join(f"C
 
 
 def cache(spark, sf):
-    """Two of three deals, some without results, some without dealer."""
+    """Two of three deals, some without results, some without dealer; a deal for every three orders."""
     o = orders(spark, sf).where("o_orderkey % 3 <> 0")
     k = F.col("o_orderkey")
-    return o.select(F.concat(F.lit("d"), (k % 500).cast("string")).alias("PBN"), F.when(k % 7 > 0, F.substring(F.lit("NESW"), (k % 4 + 1).cast("int"), F.lit(1))).alias("Dealer"), k.alias("key"), F.when(k % 5 > 0, k % 100).alias("par"), (k % 11).alias("trials")).groupBy("PBN", "Dealer").agg(F.max("par").alias("par"), F.max("trials").alias("trials"))
+    return o.select(F.concat(F.lit("d"), F.floor(k / 3).cast("string")).alias("PBN"), F.when(k % 7 > 0, F.substring(F.lit("NESW"), (k % 4 + 1).cast("int"), F.lit(1))).alias("Dealer"), k.alias("key"), F.when(k % 5 > 0, k % 100).alias("par"), (k % 11).alias("trials")).groupBy("PBN", "Dealer").agg(F.max("par").alias("par"), F.max("trials").alias("trials"))
 
 
-CACHE = "(SELECT 'd' || o_orderkey % 500 AS PBN, CASE WHEN o_orderkey % 7 > 0 THEN substr('NESW', (o_orderkey % 4 + 1)::INTEGER, 1) END AS Dealer, max(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 100 END) AS par, max(o_orderkey % 11) AS trials FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2)"
+CACHE = "(SELECT 'd' || o_orderkey // 3 AS PBN, CASE WHEN o_orderkey % 7 > 0 THEN substr('NESW', (o_orderkey % 4 + 1)::INTEGER, 1) END AS Dealer, max(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 100 END) AS par, max(o_orderkey % 11) AS trials FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2)"
 
 
 def new_rows(spark, sf):
     k = F.col("o_orderkey")
-    return orders(spark, sf).where("o_orderkey % 4 = 1").select(F.concat(F.lit("d"), (k % 600).cast("string")).alias("PBN"), F.substring(F.lit("NESW"), (k % 3 + 1).cast("int"), F.lit(1)).alias("Dealer"), F.when(k % 6 > 0, k % 50).alias("par")).groupBy("PBN", "Dealer").agg(F.max("par").alias("par"))
+    return orders(spark, sf).where("o_orderkey % 4 = 1").select(F.concat(F.lit("d"), F.floor(k / 3 + k % 5 / 4).cast("string")).alias("PBN"), F.substring(F.lit("NESW"), (k % 3 + 1).cast("int"), F.lit(1)).alias("Dealer"), F.when(k % 6 > 0, k % 50).alias("par")).groupBy("PBN", "Dealer").agg(F.max("par").alias("par"))
 
 
-NEW = "(SELECT 'd' || o_orderkey % 600 AS PBN, substr('NESW', (o_orderkey % 3 + 1)::INTEGER, 1) AS Dealer, max(CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 50 END) AS par FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1, 2)"
+NEW = "(SELECT 'd' || floor(o_orderkey / 3 + o_orderkey % 5 / 4)::BIGINT AS PBN, substr('NESW', (o_orderkey % 3 + 1)::INTEGER, 1) AS Dealer, max(CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 50 END) AS par FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1, 2)"
 reg("src11_upsert", lambda s, d: S.upsert(cache(s, d), new_rows(s, d), ["PBN", "Dealer"]),
     f"""SELECT c.PBN, c.Dealer, coalesce(n.par, c.par) AS par, c.trials FROM {CACHE} c LEFT JOIN {NEW} n ON c.PBN = n.PBN AND c.Dealer = n.Dealer UNION ALL
   SELECT n.PBN, n.Dealer, coalesce(n.par, f.par), f.trials FROM {NEW} n LEFT JOIN {CACHE} c ON c.PBN = n.PBN AND c.Dealer = n.Dealer

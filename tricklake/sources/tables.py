@@ -146,7 +146,7 @@ def parse_records(texts: DataFrame) -> DataFrame:
 
     Fields: bn board, dl dealer, vu vulnerability code, ct contract (or PASS), sc score, mb bid! (a bang marks an alert) repeated, pc card repeated.
     """
-    fields = F.transform(F.regexp_extract_all("value", F.lit(r"(\w\w\|[^|]*)\|"), F.lit(1)), lambda f: F.struct(F.substring(f, 1, 2).alias("k"), F.substring(f, 4, 100).alias("v")))
+    fields = F.transform(F.regexp_extract_all("value", F.lit(r"(\w\w\|[^|]*)\|"), F.lit(1)), lambda f: F.struct(F.substring(f, 1, 2).alias("k"), F.substring(f, F.lit(4), F.length(f)).alias("v")))
     df = texts.withColumn("_f", fields)
     every = lambda k: F.transform(F.filter("_f", lambda f: f["k"] == k), lambda f: f["v"])
     one = lambda k: F.try_element_at(every(k), F.lit(1))
