@@ -10,8 +10,7 @@ def brute(rows, least):
             docs[d is None, d or 0, t] = t.split("\n")
     keys = sorted(docs, key=lambda k: k[:2])
     gone = {k: set() for k in keys}
-    h = 1
-    while h <= max(map(len, docs.values()), default=0):
+    for h in range(1, max(map(len, docs.values()), default=0) + 1):
         seen = set()
         for k in keys:
             ls = docs[k]
@@ -20,7 +19,6 @@ def brute(rows, least):
                 if w in seen and sum(map(len, w)) >= least:
                     gone[k] |= set(range(i, i + h))
                 seen.add(w)
-        h *= 2
     out = []
     for d, t in rows:
         if t is None:
@@ -50,6 +48,14 @@ def test_runs_and_odd_rows(spark):
     assert got(spark, [], 10) == []
 
 
+def test_columns_of_clashing_names(spark):
+    rows = [(1, "a" * 50, 1, 2, 3, "x", 9, 8), (2, "a" * 50 + "\nrest", 4, 5, 6, "y", 7, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d int, t int, _d2 int, spans string, n_lines int, row int")
+    out = D.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "d", "t", "_d2", "spans", "row", "n_lines", "n_deleted"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a" * 50, 1, 2, 3, "x", 8, 1, 0), (2, "rest", 4, 5, 6, "y", 6, 2, 1)]
+
+
 def test_oracle(spark):
     con = duckdb.connect()
     con.sql("create view documents as select * from read_parquet('/root/testdata/sf0.001/documents.parquet')")

@@ -99,24 +99,28 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     too (by doc_id, then by line; null ids last) and holds at least min_chars
     characters is a later copy: its lines are deleted. So the floor is that of the maximal repeated run. Lines are cut at line feeds and
     compared whole. Null texts stay null with 0 lines; an empty text is one empty
-    line and stays. A text all of whose lines go becomes empty. Rows that repeat
-    doc_id and text are one document and not each other's copies. All other columns are kept as they are.
+    line and stays. A text all of whose lines go becomes empty. Texts of any length are taken whole. Rows that repeat
+    doc_id and text are one document and not each other's copies; of copies with equal doc_id and other texts the order of the texts' hashes decides. An
+    empty table gives none. All other columns are kept as they are, whatever their names, but for n_lines and n_deleted, which are replaced.
     """
     found = runs(repeated_windows(docs, min_chars))
-    spans = found.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnsRenamed({"d": "_d", "t": "_t"})
-    keyed = docs.withColumns({"_d2": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_t2": F.xxhash64("text")})
-    joined = keyed.join(spans, (F.col("_d2") == F.col("_d")) & (F.col("_t2") == F.col("_t")) & F.col("text").isNotNull(), "left")
-    lines, spans = _lines(F.col("text")), F.col("_spans")
+    spans = found.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    own = lambda c: F.col(f"`{c}`")
+    keyed = docs.select(F.struct(*map(own, docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("t"))
+    joined = keyed.join(spans, list(_DOC), "left")
+    text, spans = F.col("row.text"), F.col("spans")
+    lines = _lines(text)
     # what lies between two runs, before the first and after the last
     after = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.element_at(spans, F.greatest(k, F.lit(1)))["end"])
     until = lambda k: F.when(k == F.size(spans), F.size(lines)).otherwise(F.element_at(spans, F.least(k + 1, F.size(spans)))["start"])
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda k: F.slice(lines, after(k) + 1, until(k) - after(k))))
     gone = F.aggregate(spans, F.lit(0), lambda s, x: s + x["end"] - x["start"])
-    out = {
-        "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_deleted": F.coalesce(gone, F.lit(0)).cast("long"),
-        "text": F.when(spans.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    }
-    return joined.withColumns(out).drop("_d", "_t", "_d2", "_t2", "_spans")
+    kept = F.when(spans.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    return joined.select(
+        *[(kept if c == "text" else F.col("row")[c]).alias(c) for c in others],
+        F.when(text.isNotNull(), F.size(lines)).otherwise(0).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_deleted"),
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +128,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+# equal lines of two places lie on a diagonal; unbroken stretches of one diagonal are the maximal runs that two places share
 ORACLE = """
-WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-k AS (SELECT 1 AS h UNION ALL SELECT h * 2 FROM k WHERE h * 2 <= (SELECT max(len(l)) FROM d)),
-w AS (SELECT doc_id, h, i, l[i:i + h - 1] AS lines, len(array_to_string(l[i:i + h - 1], '')) AS chars FROM (SELECT doc_id, l, h, unnest(range(1, len(l) + 2 - h)) AS i FROM d, k)),
-f AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY h, lines) AS first FROM w),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + h)) AS i FROM f WHERE first < (doc_id, i) AND chars >= 40),
-x AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+p AS (SELECT a.doc_id, a.i, length(a.line) AS chars, b.doc_id AS other, a.i - b.i AS diagonal FROM w a JOIN w b ON a.line = b.line AND (b.doc_id, b.i) < (a.doc_id, a.i)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY i) AS run FROM p),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY doc_id, other, diagonal, run) AS whole FROM r),
+x AS (SELECT doc_id, list(DISTINCT i) AS gone FROM s WHERE whole >= 40 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted,
   sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda y, j: NOT list_contains(gone, j)) END, chr(10))) AS kept_sha256
 FROM d LEFT JOIN x ON d.doc_id = x.doc_id
