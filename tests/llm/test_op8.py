@@ -68,6 +68,31 @@ def test_commits_early(vocab):
     assert len(first) < 200
 
 
+def test_keeps_a_bounded_window(vocab):
+    r = random.Random(3)
+    text = "".join(r.choice("ethanoirs") for _ in range(40000))  # one word
+    g, most, parts = P.viterbi(text, vocab), 0, 0
+    for _ in g:
+        most, parts = max(most, len(g.gi_frame.f_locals["back"]) if g.gi_frame else 0), parts + 1
+    assert most < 10 * vocab.longest and parts > 4000
+
+
+def test_scores_of_another_library(vocab):
+    """Unigram search of the tokenizers package with the same pieces and scores."""
+    from tokenizers import models
+
+    pieces = sorted(vocab.ids.items(), key=lambda x: x[1][0])
+    other = models.Unigram([("\0", -1e9), *((p, s) for p, (_, s) in pieces)], unk_id=0, byte_fallback=False)
+    r = random.Random(4)
+    letters = [p for p in vocab.ids if len(p) == 1 and p.isalpha() and p.isascii()]
+    for n in (1, 3, 8, 15, 40, 200):
+        for _ in range(40):
+            text = "".join(r.choice(letters) for _ in range(n))
+            theirs = sum(vocab.ids[t.value][1] for t in other.tokenize(text))
+            ids = [i for part in P.viterbi(text, vocab) for i in part]
+            assert math.isclose(score(ids, vocab)[0], theirs, abs_tol=1e-6)
+
+
 def test_round_trip(spark, vocab):
     rows = [(1, None), (2, ""), (3, "  two  blanks "), (3, "  two  blanks "), (4, "▁mark\t\r\n<0x41>"), (5, "x" * 30000), (6, "漢字 𝄞 é"), (None, "null id")]
     df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, ids string")

@@ -1,9 +1,10 @@
 """Encoding and decoding with a SentencePiece vocabulary by streaming Viterbi.
 
-The pieces of the file get log scores by rank; the best segmentation of a text is
-found in a window as long as the longest piece, and ids are committed as soon as the backpointer
-paths of all live boundaries meet in one. No piece goes on behind a word's end, so at each word start
-all paths meet, and what lies between two such boundaries is remembered.
+The pieces of the file get log scores by rank. The search goes through a text and keeps the scores of a window as long as
+the longest piece alone; as soon as the backpointer paths of all boundaries in the window meet in one boundary, the ids up
+to it are committed and forgotten. As no piece goes on behind a word's end, all paths meet at each word start, and what lies between
+two such places is a search of its own, whose ids are remembered. A stretch that fits in the window can commit nothing before
+its end; many of those are searched together. Longer ones are searched one by one, with the meeting of paths tested at each step.
 """
 
 from __future__ import annotations
@@ -59,45 +60,54 @@ class PieceVocabulary:
 
 
 def viterbi(chars: str, v: PieceVocabulary) -> Iterator[list[int]]:
-    """Ids of the best segmentation, in parts, each as soon as it is certain.
+    """Ids of the best segmentation, in parts, each as soon as it is certain. Equal scores go to the longer last piece.
 
-    best holds the boundaries of the window alone; back holds those since the last
-    commit. Equal scores go to the longer last piece.
+    best holds the window's boundaries. back, kids and heirs hold those on paths that survive: the way back,
+    the number of boundaries that come directly from one, and their sum, which is the only child when the number is 1. A boundary
+    that leaves the window without children dies, and so may those before it; a root outside of the window with one child is certain.
     """
-    best, back, done = {0: 0.0}, {}, 0
-    n, ids, stems, longest = len(chars), v.ids, v.stems, v.longest
-    for i in range(n):
-        x = best.pop(i)
-        j = i + 1
-        while j <= n and (p := chars[i:j]) in stems:
-            if (e := ids.get(p)) is not None and (j not in best or x + e[1] > best[j]):
-                best[j] = x + e[1]
-                back[j] = (i, e[0])
-            j += 1
-        if chars[i] not in ids:
-            spelled, s = v.spell(chars[i])
-            if i + 1 not in best or x + s > best[i + 1]:
-                best[i + 1] = x + s
-                back[i + 1] = (i, spelled)
-        if i - done >= 2 * longest and i % longest == 0 or i == n - 1:
-            live = set(best)  # boundaries that later pieces can start from
-            while len(live) > 1:
-                top = max(live)
-                live.discard(top)
-                live.add(back[top][0])
-            meet = live.pop()
-            if meet > done:
-                out, at = [], meet
-                while at > done:
-                    at, e = back[at]
-                    out.append(e if isinstance(e, list) else [e])
-                yield [k for part in reversed(out) for k in part]
-                done = meet
-                back = {k: b for k, b in back.items() if k > done}
+    tails, singles, longest, n = v.tails, v.ids, v.longest, len(chars)
+    best, back, kids, heirs, root = {0: 0.0}, {}, {0: 0}, {0: 0}, 0
+    for j in range(1, n + 1):
+        top, i = -math.inf, j - 1
+        while i in best and (p := chars[i:j]) in tails:
+            if (e := tails[p]) is not None and (s := best[i] + e[1]) >= top:
+                top, at, ids = s, i, [e[0]]
+            i -= 1
+        if chars[j - 1] not in singles:
+            spelled, s = v.spell(chars[j - 1])
+            if (s := best[j - 1] + s) > top:
+                top, at, ids = s, j - 1, spelled
+        best[j], back[j], kids[j], heirs[j] = top, (at, ids), 0, 0
+        kids[at] += 1
+        heirs[at] += j
+        old = j - longest
+        if old < 0:
+            continue
+        del best[old]
+        while not kids[old]:
+            parent = back.pop(old)[0]
+            del kids[old], heirs[old]
+            kids[parent] -= 1
+            heirs[parent] -= old
+            old = parent
+        sure: list[int] = []
+        while root not in best and kids[root] == 1:
+            child = heirs.pop(root)
+            del kids[root]
+            sure += back.pop(child)[1]
+            root = child
+        if sure:
+            yield sure
+    rest, at = [], n
+    while at > root:
+        at, ids = back[at]
+        rest.append(ids)
+    yield [i for part in reversed(rest) for i in part]
 
 
 def viterbi_sorted(stretches: list[str], v: PieceVocabulary) -> Iterator[list[int]]:
-    """The same for stretches that fit in the window, where nothing is committed before the end.
+    """The same for stretches no longer than the window, where nothing is committed before the end.
 
     They come sorted, and the states of the beginning that a stretch shares with the one before are kept.
     """
@@ -143,7 +153,7 @@ class _Units(dict):
         """Remember the stretches of some texts that are new and fit in the window."""
         if len(self) > 200_000:
             self.clear()
-        new = sorted({u for units in texts for u in units if u not in self and len(u) <= 2 * self.v.longest})
+        new = sorted({u for units in texts for u in units if u not in self and len(u) <= self.v.longest})
         for unit, ids in zip(new, viterbi_sorted(new, self.v)):
             self[unit] = array("i", ids).tobytes()
 
@@ -186,7 +196,8 @@ def decode(ids: Column, model_file: str = MODEL) -> Column:
 def encoded(docs: DataFrame, model_file: str = MODEL, slice_rows: int = 1024) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, ids, n_pieces (0 for null and empty texts), n_bytes of the text, round_trip (the decoded ids equal the text; null for null).
 
-    One worker encodes and decodes a few rows at a time, so its memory is that of a slice, not of a batch.
+    Each row stands for itself: null doc_ids stay, repeated rows get equal ids, an empty table gives no rows, other columns are left out.
+    Texts of any length are encoded whole; of equally good segmentations that with the longer last piece is taken. One worker encodes and decodes a few rows at a time, so its memory is that of a slice, not of a batch.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
