@@ -28,6 +28,7 @@ def check(spark, rows, k=10):
 
 def test_odd_rows_and_ties(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(S, "STRIPE_ROWS", 130)
     monkeypatch.setattr(S, "QUERY_ROWS", 2)
     r = np.random.default_rng(1)
     rows = [(i * 10, r.normal(size=8).tolist()) for i in range(200)]
@@ -38,14 +39,38 @@ def test_odd_rows_and_ties(spark, monkeypatch):
     check(spark, [])
 
 
+def best(rows, q, k, without=None):
+    full = rows @ q
+    order = [i for i in np.lexsort((np.arange(len(rows)), -full)) if i != without][:k]
+    return order, full[order].tolist()
+
+
 def test_lists_stop_early():
     r = np.random.default_rng(2)
     rows = np.floor(r.normal(size=(5000, 3)) * 1000).astype(np.int64)
     lists, q = S.SortedLists(np.arange(5000), rows), np.array([3, -7, 2])
-    full = rows @ q
-    ids, scores = lists.top(q, 10)
-    want = np.lexsort((np.arange(5000), -full))[:10]
-    assert ids.tolist() == want.tolist() and scores.tolist() == full[want].tolist()
+    ids, scores, share = lists.top(q, 10)
+    assert (ids.tolist(), scores.tolist()) == best(rows, q, 10) and share < 0.7
+    # a bar that other blocks have set closes rows earlier, and all of them if it is out of reach
+    order, full = best(rows, q, 10, without=7)
+    ids, scores, less = lists.top(q, 10, full[-1], without=7)
+    assert (ids.tolist(), scores.tolist()) == (order, full) and less <= share
+    ids, _, least = lists.top(q, 10, full[0] + 1)
+    assert not len(ids) and least <= less
+
+
+def test_stops_only_when_no_other_row_can_qualify():
+    r = np.random.default_rng(3)
+    for width, k in ((1, 3), (2, 1), (6, 10), (24, 5)):
+        rows = np.floor(r.normal(size=(700, width)) * 20).astype(np.int64)  # many ties
+        lists = S.SortedLists(np.arange(700), rows)
+        for _ in range(20):
+            q = np.floor(r.normal(size=width) * 20).astype(np.int64)
+            ids, scores, share = lists.top(q, k)
+            assert (ids.tolist(), scores.tolist()) == best(rows, q, k) and 0 <= share <= 1
+            bar = scores[-1]
+            ids, scores, _ = lists.top(q, k, bar)
+            assert (ids.tolist(), scores.tolist()) == best(rows, q, k)
 
 
 def test_oracle(spark):
