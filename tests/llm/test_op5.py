@@ -63,6 +63,21 @@ def test_schedule_is_sorted_and_follows_the_weights(spark):
     assert len(early) > 1.5 * len(late)  # s0's weight falls
 
 
+def test_the_query_s_rows_come_in_training_order(spark):
+    rows = C.op5_curriculum_mix(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    place = [2.0 if r.first_position is None else r.first_position for r in rows]
+    assert place == sorted(place) and (place[-1] == 2.0) == any(r.taken == 0 for r in rows)
+    assert all((r.first_position is None) == (r.taken == 0) for r in rows) and len(rows) == docs.count()
+    readings = C.schedule(C.mix(docs)).collect()
+    taken, first = defaultdict(int), {}
+    for r in readings:
+        taken[r.doc_id] += r.words
+        first.setdefault(r.doc_id, r.position)
+    assert {r.doc_id: r.taken for r in rows if r.taken} == dict(taken)
+    assert all(math.isclose(r.first_position, first[r.doc_id], abs_tol=1e-6) for r in rows if r.taken)
+
+
 def test_oracle(spark):
     con = duckdb.connect()
     documents = pa.table({"doc_id": [r[0] for r in ROWS], "text": [r[1] for r in ROWS], "source": [r[2] for r in ROWS]})  # noqa: F841

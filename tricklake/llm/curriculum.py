@@ -88,16 +88,28 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share
     return d.withColumn("passes", passes).select("doc_id", "size", "source_size", "target", F.aggregate("passes", F.lit(0).cast("long"), lambda s, p: s + p["words"]).alias("taken"), "passes", "source", "row")
 
 
+def first_position(passes: Column) -> Column:
+    """The training time at which a document is first read; null if it is not."""
+    return F.try_element_at(passes, F.lit(1))["position"]
+
+
+def in_order(rows: DataFrame, position: Column) -> DataFrame:
+    """Rows range-sorted by a position, then by doc_id and size; rows without one come last. Equal positions may lie in several ranges, so none is hot."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.coalesce(position, F.lit(2.0)), F.col("doc_id"), F.col("size")]
+    return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
 def schedule(mixed: DataFrame) -> DataFrame:
-    """The training order: one row per reading (position, doc_id, words, row), range-sorted by position."""
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = mixed.select("doc_id", "row", F.explode("passes").alias("p")).select("p.position", "doc_id", "p.words", "row")
-    return rows.repartitionByRange(parts, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    """The training order: one row per reading (position, doc_id, size, words, row), range-sorted by position."""
+    rows = mixed.select("doc_id", "size", "row", F.explode("passes").alias("p")).select("p.position", "doc_id", "size", "p.words", "row")
+    return in_order(rows, F.col("position"))
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.try_element_at("passes", F.lit(1))["position"]
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round(first, 6).alias("first_position"))
+    """Documents in training order, range-sorted by the position of their first reading."""
+    mixed = mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", first_position(F.col("passes")).alias("first_position"))
+    return in_order(mixed, F.col("first_position")).withColumn("first_position", F.round("first_position", 6))
 
 
 ORACLE = """
