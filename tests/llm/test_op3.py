@@ -19,12 +19,15 @@ def test_forward_is_the_sum_of_all_segmentations():
     lat = L.Lattice(scores)
     for text in (b"", b"a", b"abab", b"babbaab"):
         assert math.isclose(math.exp(lat.forward(text)[-1]), segmentations(text, scores), rel_tol=1e-12)
+    words = [(b"aab", 1.0), (b"abab", 2.0), (b"ababba", 0.5), (b"b", 3.0), (b"b", 3.0), (b"babba", 1.0)]
     into, slow = {}, {}
-    lat.expect(b"abab", 2.0, into)
+    lat.expect(words, into)
+    together = list(lat.marginals(w for w, _ in words))
     lat.SHORT = 0
-    lat.expect(b"abab", 2.0, slow)
-    assert math.isclose(sum(len(k) * v for k, v in into.items()), 8.0)  # each segmentation covers the text
-    assert all(math.isclose(into[k], slow[k]) for k in into)
+    lat.expect(words, slow)
+    assert math.isclose(sum(len(k) * v for k, v in into.items()), sum(len(w) * c for w, c in words))  # each segmentation covers the text
+    assert into.keys() == slow.keys() and all(math.isclose(into[k], slow[k]) for k in into)
+    assert all(math.isclose(x, lat.forward(w)[-1]) and math.isclose(math.exp(x), segmentations(w, scores)) for x, (w, _) in zip(together, words))
     assert lat.forward(b"ab" * 30000)[-1] < -1000  # no underflow
     assert lat.forward(b"c")[-1] == -math.inf
 
@@ -53,18 +56,66 @@ def test_odd_rows(spark, monkeypatch):
     assert L.lm_scores(spark.createDataFrame([], "doc_id long, text string"), F.lit(False)).collect() == []
 
 
-def test_learned_scores_beat_the_vocabulary_s_own_on_held_out_words(spark):
+def vocabulary():
+    """The file's pieces that fit in one marked word, by rank."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=L.MODEL)
+    weights = {}
+    for i in range(3, sp.get_piece_size()):
+        piece = bytes([i - 3]) if i < 259 else sp.id_to_piece(i).encode()
+        if b"\xe2\x96\x81" not in piece[1:] and not any(c in piece for c in b" \t\n\v\f\r"):
+            weights[piece] = weights.get(piece, 0) + 1 / (i + 10)
+    for b in range(256):
+        weights.setdefault(bytes([b]), 1 / (len(weights) + 10))
+    total = sum(weights.values())
+    return {p: w / total for p, w in weights.items()}
+
+
+def uses(word, chances):
+    """Probability of a word and the expected uses of its pieces, by sums over all pairs of offsets."""
+    n = len(word)
+    a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for j in range(1, n + 1):
+        a[j] = sum(a[i] * chances.get(word[i:j], 0.0) for i in range(j))
+    for i in range(n - 1, -1, -1):
+        b[i] = sum(chances.get(word[i:j], 0.0) * b[j] for j in range(i + 1, n + 1))
+    return a[n], [(word[i:j], a[i] * chances[word[i:j]] * b[j] / a[n]) for i in range(n) for j in range(i + 1, n + 1) if word[i:j] in chances]
+
+
+def test_scores_against_brute_force(spark):
+    """Training and scores of whole documents, worked out word by word."""
+    rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "The dog and the cat", "", None, "ünïcode wörds ü", "dogs dogs dogs", "a strange xylophone", "on and on", "cat", "held out mat of dogs"])]
+    chances, held = vocabulary(), {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    assert held
+    tokens = {i: (t or "").encode().lower().split() for i, t in rows}
+    c = Counter(w for i, ws in tokens.items() if i not in held for w in ws)
+    for _ in range(L.ROUNDS):
+        n = Counter()
+        for w, k in c.items():
+            for piece, e in uses(b"\xe2\x96\x81" + w, chances)[1]:
+                n[piece] += k * e
+        total = sum(n.values()) + 0.1 * len(chances)
+        chances = {p: (n[p] + 0.1) / total for p in chances}
+    ends = len(rows) - len(held)
+    end = (ends + 1) / (sum(c.values()) + ends + 2)
+    got = {r.doc_id: r.score for r in L.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()}
+    for i, ws in tokens.items():
+        want = math.log10(end) + sum(math.log10((1 - end) * uses(b"\xe2\x96\x81" + w, chances)[0]) for w in ws)
+        assert math.isclose(got[i], want, rel_tol=1e-9), i
+
+
+def test_each_round_scores_held_out_words_better(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)
     train, held = Counter(), Counter()
     for d, t in rows:
         (held if zlib.crc32(str(d).encode()) % 7 == 2 else train).update((t or "").encode().lower().split())
-    prior = L.vocabulary()
-    learned = L.learn_scores(spark.createDataFrame(list(train.items()), "word binary, c long"), prior)
-    assert math.isclose(sum(map(math.exp, learned.values())), 1.0, rel_tol=1e-9)
-
-    def total(scores):
+    words = spark.createDataFrame(sorted(train.items()), "word binary, c long").coalesce(1)
+    scores, totals = L.vocabulary(), []
+    for _ in range(L.ROUNDS + 1):
+        assert math.isclose(sum(map(math.exp, scores.values())), 1.0, rel_tol=1e-9)
         lattice = L.Lattice(scores)
-        return sum(c * lattice.forward(L.MARK + w)[-1] for w, c in held.items())
-
-    assert total(learned) > 0.8 * total(prior)
+        totals.append(sum(c * lattice.forward(L.MARK + w)[-1] for w, c in held.items()))
+        scores = L.learn_scores(words, scores)
+    assert totals == sorted(totals) and totals[1] > 0.8 * totals[0]

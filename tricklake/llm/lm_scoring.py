@@ -10,7 +10,7 @@ words' lattices: the recursion runs once for each distinct word of the corpus.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 END = b""  # a token that no word can equal
 CHUNK_BYTES, CHUNK_DOCS = 16_000_000, 8_000
+#: rounds of expectation maximisation
+ROUNDS = 3
 
 
 def vocabulary(model_file: str = MODEL) -> dict[bytes, float]:
@@ -50,15 +52,21 @@ def vocabulary(model_file: str = MODEL) -> dict[bytes, float]:
 
 
 class Lattice:
-    """Forward and backward recursions over all segmentations of one marked word."""
+    """Forward and backward recursions over all segmentations of marked words.
+
+    Words come sorted; up to SHORT bytes they share the states of common beginnings, which are
+    kept on a stack. Longer ones go alone, in log space, with the memory of their length.
+    """
 
     #: Up to this many bytes no product of piece probabilities underflows.
     SHORT = 40
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
-        self.chances = {p: math.exp(s) for p, s in scores.items()}
         self.stems = {p[:i] for p in scores for i in range(1, len(p) + 1)}
+        #: every end of a piece -> the piece's probability, or None if it is only an end
+        chances = {p: math.exp(s) for p, s in scores.items()}
+        self.tails = {p[i:]: chances.get(p[i:]) for p in scores for i in range(len(p))}
 
     def edges(self, text: bytes, i: int) -> Iterator[tuple[int, bytes, float]]:
         j, n, stems, scores = i + 1, len(text), self.stems, self.scores
@@ -71,25 +79,73 @@ class Lattice:
         """Log probability of reaching each byte offset, over all segmentations; the memory is the text's length."""
         a = [-math.inf] * (len(text) + 1)
         a[0] = 0.0
-        exp, log1p = math.exp, math.log1p
-        scores, stems, n = self.scores, self.stems, len(text)
-        for i in range(n):
+        for i in range(len(text)):
             if (x := a[i]) == -math.inf:
                 continue
-            j = i + 1
-            while j <= n and (p := text[i:j]) in stems:
-                s = scores.get(p)
-                if s is not None:
-                    s += x
-                    y = a[j]
-                    a[j] = s if y == -math.inf else (y + log1p(exp(s - y)) if y > s else s + log1p(exp(y - s)))
-                j += 1
+            for j, _, s in self.edges(text, i):
+                s, y = s + x, a[j]
+                a[j] = s if y == -math.inf else max(y, s) + math.log1p(math.exp(-abs(y - s)))
         return a
 
-    def expect(self, text: bytes, weight: float, into: dict[bytes, float]) -> None:
-        """Add the expected number of uses of each piece, times weight."""
-        if len(text) <= self.SHORT:
-            return self._expect_short(text, weight, into)
+    def marginals(self, words: Iterable[bytes]) -> Iterator[float]:
+        """Log probability of each word."""
+        tails, a, before = self.tails, [1.0], b""
+        for word in words:
+            if len(word) > self.SHORT:
+                yield self.forward(word)[-1]
+                continue
+            same = _shared(before, word)
+            del a[same + 1 :]
+            for j in range(same + 1, len(word) + 1):
+                total, i = 0.0, j - 1
+                while i >= 0 and (p := word[i:j]) in tails:
+                    if (c := tails[p]) is not None:
+                        total += a[i] * c
+                    i -= 1
+                a.append(total)
+            before = word
+            yield math.log(a[-1]) if a[-1] > 0 else -math.inf
+
+    def expect(self, words: Iterable[tuple[bytes, float]], into: dict[bytes, float]) -> None:
+        """Add the expected uses of each piece over words with weights.
+
+        A boundary of a common beginning is reached from behind by all words that share it; so what comes
+        back is added up on the stack and handed on when the boundary leaves it.
+        """
+        tails, a, back, ways, before = self.tails, [1.0], [0.0], [[]], b""
+
+        def leave(size: int) -> None:
+            while len(a) > size:
+                a.pop()
+                if b := back.pop():
+                    for i, p, c in ways[-1]:
+                        c *= b
+                        back[i] += c
+                        into[p] = into.get(p, 0.0) + a[i] * c
+                ways.pop()
+
+        for word, weight in words:
+            if len(word) > self.SHORT:
+                self._expect_long(word, weight, into)
+                continue
+            same = _shared(before, word)
+            leave(same + 1)
+            for j in range(same + 1, len(word) + 1):
+                total, i, own = 0.0, j - 1, []
+                while i >= 0 and (p := word[i:j]) in tails:
+                    if (c := tails[p]) is not None:
+                        total += a[i] * c
+                        own.append((i, p, c))
+                    i -= 1
+                a.append(total)
+                back.append(0.0)
+                ways.append(own)
+            if a[-1] > 0:
+                back[-1] += weight / a[-1]
+            before = word
+        leave(1)
+
+    def _expect_long(self, text: bytes, weight: float, into: dict[bytes, float]) -> None:
         a, n = self.forward(text), len(text)
         b = [-math.inf] * n + [0.0]
         for i in range(n - 1, -1, -1):
@@ -107,25 +163,12 @@ class Lattice:
                             into[p] = into.get(p, 0.0) + weight * math.exp(e)
 
 
-    def _expect_short(self, text: bytes, weight: float, into: dict[bytes, float]) -> None:
-        n, chances, stems, uses = len(text), self.chances, self.stems, []
-        a, b = [0.0] * (n + 1), [0.0] * (n + 1)
-        a[0] = 1.0
-        for i in range(n):
-            x, j = a[i], i + 1
-            while j <= n and (p := text[i:j]) in stems:
-                c = chances.get(p)
-                if c is not None:
-                    a[j] += x * c
-                    uses.append((i, j, p, c))
-                j += 1
-        if a[n] <= 0:
-            return
-        b[n] = weight / a[n]
-        for i, j, p, c in reversed(uses):
-            c *= b[j]
-            b[i] += c
-            into[p] = into.get(p, 0.0) + a[i] * c
+def _shared(one: bytes, two: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(one), len(two))
+    if one[:n] == two[:n]:
+        return n
+    return next(i for i in range(n) if one[i] != two[i])
 
 
 def word_postings(docs: DataFrame, postings: bool) -> DataFrame:
@@ -193,13 +236,11 @@ def word_postings(docs: DataFrame, postings: bool) -> DataFrame:
 
 
 def learn_scores(words: DataFrame, scores: dict[bytes, float], floor: float = 0.1) -> dict[bytes, float]:
-    """One round of expectation maximisation over words(word, c): new log scores; what comes to the driver is one row a piece."""
+    """One round of expectation maximisation over words(word, c), sorted in each partition: new log scores; what comes to the driver is one row a piece."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, into = Lattice(scores), {}
-        for pdf in batches:
-            for word, c in zip(pdf["word"], pdf["c"]):
-                lattice.expect(MARK + bytes(word), float(c), into)
+        into: dict[bytes, float] = {}
+        Lattice(scores).expect(((MARK + bytes(word), float(c)) for pdf in batches for word, c in zip(pdf["word"], pdf["c"])), into)
         yield pd.DataFrame({"piece": list(into), "n": list(into.values())})
 
     uses = words.where("c > 0 and word <> x''").mapInPandas(rows, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -208,18 +249,21 @@ def learn_scores(words: DataFrame, scores: dict[bytes, float], floor: float = 0.
     return {p: math.log((n.get(p, 0.0) + floor) / total) for p in scores}
 
 
-def lm_scores(docs: DataFrame, held_out, model_file: str = MODEL) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out, model_file: str = MODEL, rounds: int = ROUNDS) -> DataFrame:
     """Score each row's whole text by a word model and by the subword lattice, both learned from the rows where held_out is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (both log10). Null and empty texts are one end token. A row with a null
     held_out expression (null doc_id) counts as training. Repeated rows are scored
-    each and count each. Without training rows all counts are 0 and the scores are the prior's. Other columns are ignored.
+    each and count each. An empty table gives no rows. The lattice's scores start from the vocabulary's and
+    go through some rounds of expectation maximisation over all training words. Without training rows all counts are 0 and the scores are the prior's. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    words = written(word_postings(docs, False).groupBy("word").agg(F.sum("c").alias("c")), "words")
+    words = written(word_postings(docs, False).groupBy("word").agg(F.sum("c").alias("c")).sortWithinPartitions("word"), "words")
     n, v, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.expr("word = x''"), F.col("c"))), F.lit(0))).first()
-    scores = learn_scores(words, vocabulary(model_file))
+    scores = vocabulary(model_file)
+    for _ in range(rounds):
+        scores = learn_scores(words, scores)
     # the end is one more piece beside the words' pieces
     end = math.log((ends + 1) / (n + 2))
     go_on = math.log1p(-(ends + 1) / (n + 2))
@@ -227,7 +271,8 @@ def lm_scores(docs: DataFrame, held_out, model_file: str = MODEL) -> DataFrame:
     def marginal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(scores)
         for pdf in batches:
-            p = [end if not w else go_on + lattice.forward(MARK + bytes(w))[-1] for w in pdf["word"]]
+            found = lattice.marginals(MARK + bytes(w) for w in pdf["word"])
+            p = [p + go_on if w else end for w, p in zip(pdf["word"], found)]
             yield pd.DataFrame({"word": pdf["word"], "c": pdf["c"], "logp": np.array(p, float) / math.log(10)})
 
     logs = words.mapInPandas(marginal, "word binary, c long, logp double")
