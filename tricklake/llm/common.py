@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.graph import components
+from ..sources.folders import shared_folder
 
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 _MUL1, _MUL2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jsc.isDefined():
-            return jsc.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="tricklake-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has used before, in the folder that driver and executors share."""
+    return shared_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,12 +37,16 @@ def shuffle_parts(df: DataFrame, least: int = 1) -> int:
 
 
 class WordIds(dict):
-    """64-bit id of a word (bytes); a bounded memo in front of the hash."""
+    """64-bit id of a word (bytes) under a seed; a bounded memo in front of the hash."""
+
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
 
@@ -102,23 +92,5 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """Components of the graph of links(a, b): rows (v, component), component being the smallest vertex reachable.
-
-    Each round takes the least label among neighbours (aggregated before the
-    shuffle, so a vertex with very many links is no hot spot), then jumps to the
-    label's own label; tables in the shared folder cut the lineage. It stops when
-    no label changes. A graph without links gives no rows.
-    """
-    edges = written(
-        links.select("a", "b").where("a <> b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges"
-    )
-    labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
-    while True:
-        near = edges.join(labels, edges.b == labels.v).groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jump = step.select(F.col("v").alias("w"), F.col("mid").alias("jumped"))
-        new = written(step.join(jump, step.mid == jump.w).select("v", "old", F.least("mid", "jumped").alias("component")), "cc-labels")
-        changed = new.where("old <> component").limit(1).count()
-        labels = new.select("v", "component")
-        if not changed:
-            return labels
+    """Components of the graph of links(a, b): rows (v, component), component being the smallest vertex reachable."""
+    return components(links, scratch(links.sparkSession, "cc"))

@@ -3,9 +3,10 @@
 Each 50-word window is represented by the least hash among the short shingles it
 holds (its fingerprint), so equal windows have equal fingerprints and a stretch of
 neighbouring windows shares one. The index is a list of immutable runs, bucketed
-and sorted by fingerprint; a batch is merge-joined with every run (no shuffle of
-the runs), windows below shared fingerprints are verified by a 128-bit digest of
-all their words, the batch becomes a run, and runs are compacted when there are many.
+and sorted by fingerprint, with the smallest document of each. A batch becomes a run and is merge-joined with every older run (no shuffle
+of the runs); runs are compacted when there are many. What the merges find is verified: the windows below shared fingerprints
+are compared by two independent 64-bit digests of all their words. The index holds no words; verification reads the
+texts of those documents, old and new, that hold a shared fingerprint, once for all batches of a call.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import remove
 from .common import WordIds, run_hashes, scratch, sliding_min, table, word_ids, written
 
 WINDOW, SHINGLE = 50, 16
+#: Batches that a corpus is taken in, runs that may stand side by side, pending rows of one fingerprint that one task may take.
+BATCHES, MOST_RUNS, HOT_ROWS = 4, 2, 5000
 
 
 def _fingerprints(ids: np.ndarray, window: int, shingle: int) -> np.ndarray:
@@ -50,45 +54,55 @@ def fingerprint_rows(docs: DataFrame, window: int = WINDOW, shingle: int = SHING
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (fp, doc_id) in the shared folder; all runs have the same buckets, so merging them needs no shuffle."""
+    """Sorted immutable runs (fp, lo, hi) in the shared folder, lo and hi being the smallest and largest doc_id of the run; all have the same buckets, so merging them needs no shuffle."""
 
-    def __init__(self, spark: SparkSession, buckets: int, most_runs: int = 3):
-        self.spark, self.buckets, self.most_runs, self.runs = spark, buckets, most_runs, []
+    def __init__(self, spark: SparkSession, buckets: int, most_runs: int = MOST_RUNS):
+        self.spark, self.buckets, self.most_runs = spark, buckets, most_runs
+        self.folder = scratch(spark, "fingerprint-index")
+        self.runs: list[str] = []
+        self.compactions = 0
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", scratch(self.spark, "run")).saveAsTable(name))
+        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def rows(self) -> DataFrame | None:
-        """All runs together."""
-        out = None
-        for name in self.runs:
-            run = self.spark.table(name)
-            out = run if out is None else out.unionByName(run)
-        return out
-
     def merge(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of rows (fp, doc_id) as a run and merge it with each older run; rows (fp) found in several documents, at least one of them new."""
-        name = self._write(batch)
-        new = self.spark.table(name).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        """Add a batch of rows (fp, doc_id) as a run and merge it with each older run; rows (fp) found in several documents, at least one of them new.
+
+        A fingerprint that very many documents hold is one row a run, aggregated before the shuffle.
+        """
+        name = self._write(batch.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+        new = self.spark.table(name)
         found = new.where("lo < hi").select("fp")
         for old in self.runs:
-            found = found.unionByName(new.join(self.spark.table(old), "fp", "left_semi").select("fp"))
+            both = new.alias("n").join(self.spark.table(old).alias("o"), "fp")
+            found = found.unionByName(both.where("least(n.lo, o.lo) < greatest(n.hi, o.hi)").select("fp"))
         self.runs.append(name)
-        return written(found.distinct(), "shared-fps")
+        found = written(found.distinct(), "shared-fps")
+        self._compact()
+        return found
 
-    def compact(self) -> None:
+    def _compact(self) -> None:
         """Merge all runs into one when there are more than most_runs."""
         if len(self.runs) > self.most_runs:
-            merged = self._write(self.rows())
+            rows = None
             for name in self.runs:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            self.runs = [merged]
+                run = self.spark.table(name)
+                rows = run if rows is None else rows.unionByName(run)
+            merged = self._write(rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+            self._drop(self.runs)
+            self.runs, self.compactions = [merged], self.compactions + 1
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.folder}/{name}")
 
     def close(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        """Drop the runs; nothing may read the index afterwards."""
+        self._drop(self.runs)
+        remove(self.spark, self.folder)
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,6 +128,21 @@ def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
 _PENDING = "doc_id long, tag long, start int, n int, fp long, h binary"
 
 
+def _rows(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, fp: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Windows -> spans of those that a smaller document among them holds too (h null), and the others with their digests."""
+    late = _later(h1, h2, doc)
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos, fp, h1, h2, late = (x[order] for x in (doc, tag, pos, fp, h1, h2, late))
+    cut, start, n = _spans(doc[late], tag[late], pos[late])
+    yield pd.DataFrame({"doc_id": doc[late][cut], "tag": tag[late][cut], "start": start, "n": n, "fp": None, "h": None})
+    doc, tag, pos, fp, h1, h2 = (x[~late] for x in (doc, tag, pos, fp, h1, h2))
+    if len(doc):
+        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1] + 1) | (fp[1:] != fp[:-1])])
+        end = np.r_[cut[1:], len(doc)]
+        packed = [h1[i:j].tobytes() + h2[i:j].tobytes() for i, j in zip(cut, end)]
+        yield pd.DataFrame({"doc_id": doc[cut], "tag": tag[cut], "start": pos[cut], "n": end - cut, "fp": fp[cut], "h": packed})
+
+
 def candidate_windows(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text, fps): the windows below the shared fingerprints fps.
 
@@ -123,44 +152,38 @@ def candidate_windows(docs: DataFrame, window: int = WINDOW, shingle: int = SHIN
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordIds()
+        memo, other = WordIds(), WordIds(1)
         for pdf in batches:
             got = []
             for doc, tag, text, fps in zip(pdf["doc_id"], pdf["tag"], pdf["text"], pdf["fps"]):
-                ids = word_ids(text.encode().split(), memo)
+                words = text.encode().split()
+                ids = word_ids(words, memo)
                 m = _fingerprints(ids, window, shingle)
                 pos = np.flatnonzero(np.isin(m, np.asarray(fps, np.int64)))
                 if len(pos):
-                    got.append((np.full(len(pos), doc, np.int64), np.full(len(pos), tag, np.int64), pos, m[pos], run_hashes(ids, window, 1)[pos], run_hashes(ids, window, 2)[pos]))
+                    got.append((np.full(len(pos), doc, np.int64), np.full(len(pos), tag, np.int64), pos, m[pos], run_hashes(ids, window, 1)[pos], run_hashes(word_ids(words, other), window, 2)[pos]))
             if not got:
                 continue
-            doc, tag, pos, fp, h1, h2 = (np.concatenate(x) for x in zip(*got))
-            late = _later(h1, h2, doc)
-            order = np.lexsort((pos, tag, doc))
-            doc, tag, pos, fp, h1, h2, late = (x[order] for x in (doc, tag, pos, fp, h1, h2, late))
-            cut, start, n = _spans(doc[late], tag[late], pos[late])
-            yield pd.DataFrame({"doc_id": doc[late][cut], "tag": tag[late][cut], "start": start, "n": n, "fp": None, "h": None})
-            doc, tag, pos, fp, h1, h2 = (x[~late] for x in (doc, tag, pos, fp, h1, h2))
-            if not len(doc):
-                continue
-            cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1] + 1) | (fp[1:] != fp[:-1])])
-            end = np.r_[cut[1:], len(doc)]
-            packed = [h1[i:j].tobytes() + h2[i:j].tobytes() for i, j in zip(cut, end)]
-            yield pd.DataFrame({"doc_id": doc[cut], "tag": tag[cut], "start": pos[cut], "n": end - cut, "fp": fp[cut], "h": packed})
+            yield from _rows(*(np.concatenate(x) for x in zip(*got)))
 
     return docs.mapInPandas(rows, _PENDING)
 
 
+def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The windows of pending rows: doc_id, tag, position, fingerprint, both digests."""
+    n = pdf["n"].to_numpy()
+    h = np.frombuffer(b"".join(pdf["h"]), np.uint64)
+    off = np.repeat(np.cumsum(2 * n) - 2 * n, n) + (inner := np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    each = lambda c: np.repeat(pdf[c].to_numpy(), n)
+    return each("doc_id"), each("tag"), each("start") + inner, each("fp").astype(np.int64), h[off], h[off + np.repeat(n, n)]
+
+
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pending windows sorted by fp -> spans (doc_id, tag, start, n) of those that a smaller document holds too."""
     rest = None
 
     def done(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy()
-        h = np.frombuffer(b"".join(pdf["h"]), np.uint64)
-        off = np.repeat(np.cumsum(2 * n) - 2 * n, n) + (inner := np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        h1, h2 = h[off], h[off + np.repeat(n, n)]
-        doc, tag, pos = np.repeat(pdf["doc_id"].to_numpy(), n), np.repeat(pdf["tag"].to_numpy(), n), np.repeat(pdf["start"].to_numpy(), n) + inner
+        doc, tag, pos, _, h1, h2 = _unpack(pdf)
         late = np.flatnonzero(_later(h1, h2, doc))
         late = late[np.lexsort((pos[late], tag[late], doc[late]))]
         cut, start, size = _spans(doc[late], tag[late], pos[late])
@@ -176,13 +199,32 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done(rest)
 
 
-def repeated_spans(docs: DataFrame, index: FingerprintIndex, shared: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Verify: spans (doc_id, tag, start, n) of windows of docs that also start in a document of smaller id; docs holds the indexed documents."""
-    holders = index.rows().join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pending rows of hot fingerprints -> what candidate_windows gives: spans that are settled within the batch, and what still is pending."""
+    for pdf in batches:
+        if len(pdf):
+            yield from _rows(*_unpack(pdf))
+
+
+def repeated_spans(docs: DataFrame, fps: DataFrame, shared: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Verify: spans (doc_id, tag, start, n) of windows of docs that also start in a document of smaller id.
+
+    fps(fp, doc_id) holds the documents' fingerprints, shared(fp) those in question. A fingerprint that leaves many pending rows is thinned
+    out in several tasks before one task settles it.
+    """
+    holders = fps.join(shared, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
     found = written(candidate_windows(texts.join(holders, "doc_id"), window, shingle), "windows")
-    pending = found.where("h is not null").repartition("fp").sortWithinPartitions("fp").select("doc_id", "tag", "start", "n", "fp", "h")
-    return found.where("h is null").select("doc_id", "tag", "start", "n").unionByName(pending.mapInPandas(_settle, "doc_id long, tag long, start int, n int"))
+    settled, pending = found.where("h is null"), found.where("h is not null")
+    hot = written(pending.groupBy("fp").count().where(F.col("count") > hot_rows).select("fp"), "hot")
+    if hot.limit(1).count():
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+        many = pending.join(hot, "fp", "left_semi").repartition("fp", salt)
+        thin = written(many.mapInPandas(_thin, _PENDING), "thinned")
+        settled = settled.unionByName(thin.where("h is null"))
+        pending = pending.join(hot, "fp", "left_anti").unionByName(thin.where("h is not null"))
+    pending = pending.repartition("fp").sortWithinPartitions("fp").select("doc_id", "tag", "start", "n", "fp", "h")
+    return settled.select("doc_id", "tag", "start", "n").unionByName(pending.mapInPandas(_settle, "doc_id long, tag long, start int, n int"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -224,41 +266,40 @@ def word_digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_words long, whole_sha256 string, kept_sha256 string")
 
 
-def ingest(docs: DataFrame, index: FingerprintIndex, bounds: list[int], window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Feed docs to the index in batches of ascending doc_id, cut after each of bounds; the union of all batches' repeated spans.
+def ingest(fps: DataFrame, index: FingerprintIndex, bounds: list[int]) -> DataFrame:
+    """Feed fps(fp, doc_id) to the index in batches of ascending doc_id, cut after each of bounds; the distinct fingerprints (fp) that several documents hold, of which one at least is of these batches.
 
-    A window of a batch is repeated if a smaller doc_id, indexed before or in the
-    same batch, has a window with the same words.
+    An index that holds earlier documents finds what these batches share with them too.
     """
-    spans, lower = None, None
+    shared, lower = None, None
     for upper in [*bounds, None]:
-        part = docs if lower is None else docs.where(F.col("doc_id") > lower)
+        part = fps if lower is None else fps.where(F.col("doc_id") > lower)
         part = part if upper is None else part.where(F.col("doc_id") <= upper)
-        shared = index.merge(fingerprint_rows(part, window, shingle))
-        known = docs if upper is None else docs.where(F.col("doc_id") <= upper)
-        found = written(repeated_spans(known, index, shared, window, shingle), "spans")
-        spans = found if spans is None else spans.unionByName(found)
-        index.compact()
+        found = index.merge(part)
+        shared = found if shared is None else shared.unionByName(found)
         lower = upper
-    return spans
+    return written(shared.distinct(), "shared")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, batches: int = BATCHES, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DataFrame]:
     """Remove every word covered by a window whose words also start in a document with a smaller doc_id.
 
     Returns (per-row digests: doc_id, n_words, n_removed, kept_sha256; the texts
     that changed: doc_id, kept_text). Null or empty texts have no words; a null
     doc_id is neither smaller nor larger than any, so its text stays whole. Rows
     repeating a doc_id do not remove each other. Columns beside doc_id and text
-    are ignored. A text shorter than the window stays whole.
+    are ignored. A text shorter than the window stays whole, texts of any length are read to their end; an empty
+    table gives no rows. The number of batches and of runs does not change results.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000)).first()[0]
-    index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spans = ingest(docs, index, sorted(set(cuts or [])) if batches > 1 else [], window, shingle)
-    changed = written(remove_spans(docs, spans, window), "kept")
+    index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), most_runs)
+    fps = written(fingerprint_rows(docs, window, shingle), "fingerprints")
+    shared = ingest(fps, index, sorted(set(cuts or [])) if batches > 1 else [])
+    spans = written(repeated_spans(docs, fps, shared, window, shingle), "spans")
     index.close()
+    changed = written(remove_spans(docs, spans, window), "kept")
     marks = changed.select("doc_id", "whole_sha256", "n_removed", F.col("kept_sha256").alias("new_sha256")).distinct()
     base = word_digests(docs)
     digests = base.join(marks, ["doc_id", "whole_sha256"], "left").select(
