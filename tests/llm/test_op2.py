@@ -48,6 +48,22 @@ def test_foreign_bytes_and_empty_archives():
     assert list(W.records_in(io.BytesIO(b""), 0, 0)) == []
 
 
+def test_damaged_records_are_told(spark, tmp_path):
+    whole = W._record("response", 1, "u", b"some payload", "A" * 32, None)
+    short = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nbody\r\n\r\n")
+    long = W._record("response", 2, "u", bytes(range(256)) * 200, "A" * 32, None)
+    (tmp_path / "a.warc.gz").write_bytes(whole + short + whole + long[:-30])
+    for split in (20, 1 << 20):
+        got = W.read_warc(W.list_archives(spark, f"file://{tmp_path}/*"), split).orderBy("offset").collect()
+        assert [(r.warc_type, r.payload is None, r.digest_ok) for r in got] == [("response", False, False), ("response", True, False), ("response", False, False), ("response", True, False)]
+
+
+def test_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    manifest = W.written(W.write_warc(df, f"file://{tmp_path}/w"), "m")
+    assert manifest.count() == 0 and W.read_warc(manifest).count() == 0
+
+
 def test_given_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in W.op2_warc(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)

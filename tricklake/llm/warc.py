@@ -58,12 +58,12 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     Payload: html in UTF-8, null as empty. Of pages with equal payloads of at least
     least_bytes the one with the largest page_id is the response, the others revisit it.
     Null page_ids are smaller than all others; where all ids of a payload are null,
-    or several rows have the largest, each of these is a response. A retried task
-    writes a new file; only files of the manifest count.
+    or several rows have the largest, each of these is a response. Payloads and urls of any length are written whole, a null url as urn:none; an empty table
+    gives no file; other columns are ignored. A retried task writes a new file; only files of the manifest count.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("sha1", F.sha1("payload"))
-    # ids and digests alone are shuffled to find a payload's response; a payload that very many pages share is aggregated before
+    # a payload that very many pages share is aggregated before the shuffle; the pages then meet the responses by digest, payloads and all, and adaptive execution divides a common one
     latest = pages.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     marked = pages.join(latest, "sha1", "left")
 
@@ -111,18 +111,22 @@ class _Window:
         self.base = at
 
 
-def _member(w: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The record of the gzip member at an offset: headers, payload, offset behind it; None if there is no WARC record."""
+def _member(w: _Window, at: int) -> tuple[dict[str, str], bytes | None, int] | None:
+    """The record of the gzip member at an offset: headers, payload, offset behind it; None if there is no WARC record.
+
+    The payload is None where the member breaks off, is damaged or is shorter than its header says.
+    """
     z, text, pos = zlib.decompressobj(31), bytearray(), at
-    head, looked = -1, 0
-    while not z.eof:
+    head, looked, whole = -1, 0, True
+    while whole and not z.eof:
         if pos >= w.base + len(w.data) and not w.more():
-            return None
+            whole = False
+            break
         chunk = w.data[pos - w.base : pos - w.base + (4096 if head < 0 else BLOCK)]
         try:
             text += z.decompress(chunk)
         except zlib.error:
-            return None
+            whole = False
         pos += len(chunk)
         if head < 0:
             if not (text.startswith(b"WARC/1.") or b"WARC/1.".startswith(bytes(text[:7]))):
@@ -130,18 +134,19 @@ def _member(w: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
             # a header may be of any length; what came before is searched once
             head = text.find(b"\r\n\r\n", max(0, looked - 3))
             looked = len(text)
-    pos -= len(z.unused_data)
     if head < 0:
         return None
     fields = dict(line.split(": ", 1) for line in text[:head].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
     length = fields.get("Content-Length", "")
-    if not length.isdigit() or "WARC-Type" not in fields or len(text) < head + 4 + int(length):
+    if "WARC-Type" not in fields:
         return None
-    return fields, bytes(text[head + 4 : head + 4 + int(length)]), pos
+    if not whole or not length.isdigit() or len(text) < head + 4 + int(length):
+        return fields, None, at + 1
+    return fields, bytes(text[head + 4 : head + 4 + int(length)]), pos - len(z.unused_data)
 
 
 def records_in(file, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, compressed size, headers, payload) of the records of an archive that start in [start, end)."""
+    """(offset, compressed size, headers, payload) of the records of an archive that start in [start, end); payload None for damaged ones, after which the search goes on."""
     w, at = _Window(file, start), start
     while at < end:
         hit = w.data.find(MAGIC, at - w.base)
@@ -168,7 +173,8 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of archives(path, n_bytes): path, offset, size, warc_type, headers, payload, digest_ok.
 
     digest_ok: the payload's SHA-1 is the header's (null where there is none or the
-    record is a revisit). Bytes that are no WARC member are skipped, empty archives give nothing.
+    record is a revisit). Bytes that are no WARC member are skipped, empty archives and tables give nothing. A record with a header whose
+    body breaks off or is damaged has a null payload and is not digest_ok. Headers and payloads may be of any length; an archive listed twice is read twice. Other columns are ignored.
     """
     ranges = archives.select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(split_bytes))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("n_bytes")).alias("end"))
@@ -187,9 +193,9 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 with fs.open_input_file(at) as file:
                     for offset, size, fields, payload in records_in(file, start, end):
                         kind, digest = fields["WARC-Type"], fields.get("WARC-Payload-Digest")
-                        ok = None if kind == "revisit" or not digest else digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                        ok = False if payload is None else None if kind == "revisit" or not digest else digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
                         rows.append((path, offset, size, kind, list(fields.items()), payload, ok))
-                        held += len(payload) + 500
+                        held += len(payload or b"") + 500
                         if held > 4_000_000:
                             yield pack(rows)
                             rows, held = [], 0
