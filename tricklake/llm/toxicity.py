@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Bounds: labelled documents that the model is fitted on (the first by md5 of their id), and tokens it may hold.
-FIT_ROWS, FIT_TOKENS = 16_000, 20_000
+#: Labelled documents that the model is fitted on at most (the first by md5 of their id); what it holds and what reaches the driver is bounded by them.
+FIT_ROWS = 16_000
 PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 0.05, 4.0, 0.15, 0.01
 STEMS = range(3, 11)
 _SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -105,7 +105,7 @@ class ToxicityModel:
     def evidence(log10_e: list[float]) -> tuple[float, float]:
         """Of the best segment, and of the number of significant ones."""
         many = sum(e <= math.log10(SIGNIFICANT) for e in log10_e)
-        return min(30.0, max(-3.0, -min(log10_e, default=3.0))), math.log1p(min(many, 50))
+        return min(30.0, max(-3.0, -min(log10_e, default=3.0))), math.log1p(many)
 
     def probability(self, best: float, many: float) -> float:
         z = self.curve[0] + self.curve[1] * best + self.curve[2] * many
@@ -133,7 +133,7 @@ def _log_odds(fit: DataFrame, units) -> dict[str, tuple[float, float]]:
     mass = PRIOR * (n0 + n1)
     odds = F.log((F.col("toxic") + prior) / (n1 + mass - F.col("toxic") - prior)) - F.log((F.col("clean") + prior) / (n0 + mass - F.col("clean") - prior))
     z = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    rows = by.select("unit", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "unit").limit(FIT_TOKENS).collect()
+    rows = by.select("unit", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= LEAST_Z).collect()  # of the fitted documents' tokens
     return {r.unit: (float(r.odds), float(r.z)) for r in rows}
 
 
@@ -159,7 +159,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """docs(doc_id, text), labels(doc_id, toxic): fitted on at most fit_rows labelled documents, so what reaches the driver is bounded.
 
-    A document labelled more than once is toxic if any label says so; null labels don't count.
+    A document labelled more than once is toxic if any label says so; null labels and null ids don't count, null texts are left out. Rows that repeat a doc_id count each.
+    Of the weights of a token's beginnings the surest is taken, of equally sure ones the longest. Without labels of both kinds, as in an empty table, nothing is called toxic. Other columns are ignored.
     """
     sample = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows)
@@ -168,14 +169,16 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> T
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                words = tokens(text)
-                scores = [s for _, _, s in model.segments(words)]
-                out.append((int(toxic), len(words), max(scores, default=0.0), sorted(scores, reverse=True)[:50], sum(h > 0 for _, h in model.hits(words))))
-            yield pd.DataFrame(out, columns=["toxic", "n", "best", "scores", "hits"])
+            words = [tokens(t) for t in pdf["text"]]
+            best = [max((s for _, _, s in model.segments(w)), default=0.0) for w in words]
+            yield pd.DataFrame({"toxic": pdf["toxic"].astype(int), "n": [len(w) for w in words], "best": best, "hits": [sum(h > 0 for _, h in model.hits(w)) for w in words]})
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [model.features(tokens(t))[1:] for t in pdf["text"]]
+            yield pd.DataFrame({"toxic": pdf["toxic"].astype(int), "best": [b for b, _ in x], "many": [m for _, m in x]})
 
-    seen = fit.mapInPandas(scan, "toxic int, n long, best double, scores array<double>, hits long").toPandas()
+    seen = fit.mapInPandas(scan, "toxic int, n long, best double, hits long").toPandas()
     clean = seen[seen["toxic"] == 0]
     if len(clean) and len(seen) > len(clean):
         # rate: a clean token's weights w solve E[exp(rate * w)] = 1, the default being -DRIFT
@@ -189,8 +192,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> T
         model.rate = (lo + hi) / 2
         x = model.rate * clean["best"].to_numpy() - np.log(np.maximum(clean["n"].to_numpy(), 1))
         model.log_k = float(x.mean()) - 0.5772156649015329
-        x = np.array([model.evidence([model.log10_e(s, n) for s in ss]) for n, ss in zip(seen["n"], seen["scores"])])
-        model.curve = _logistic(np.column_stack([np.ones(len(seen)), x]), (seen["toxic"] > 0).to_numpy(float))
+        seen = fit.mapInPandas(weigh, "toxic int, best double, many double").toPandas()
+        model.curve = _logistic(np.column_stack([np.ones(len(seen)), seen[["best", "many"]].to_numpy()]), (seen["toxic"] > 0).to_numpy(float))
     return model
 
 
@@ -198,7 +201,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, score (0 to 1), passages (start and end in tokens, log10 of the expected number, the words).
 
     Null and empty texts have no tokens and get the score of a text without any
-    hit. Each row is scored by its whole text alone; repeated rows get equal scores.
+    hit. Each row is scored by its whole text alone, however long; repeated rows get equal scores, null doc_ids stay. An empty table gives no rows, other columns are left out.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
