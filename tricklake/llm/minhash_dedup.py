@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     distinct k-word shingles; component_id is the smallest doc_id reachable by
     links. Texts that are null or without words have no shingles and no links. A
     null doc_id links with nothing: its component_id is null and it is kept. Rows
-    that repeat a doc_id are one vertex. Other columns are ignored.
+    that repeat a doc_id are one vertex. Equal sets are linked whatever their
+    texts. Texts of any length are taken whole; an empty table gives no rows. Other columns are ignored.
     """
     least = match_threshold(num / den, coords)
     prefix = coords - least + 1
