@@ -21,29 +21,44 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is REJECT or more go; the model learns from the labels of the documents given."""
+    """Documents whose toxicity is REJECT or more go; the model learns from the labels of the documents given.
+
+    Null and empty texts have the score of a text without hits, null doc_ids are scored like others, repeated rows share their fate, a score of REJECT itself goes. An empty table gives no rows.
+    """
     model = fit_model(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxic_score(F.col("text"), model) < REJECT)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go from the texts; n_chars follows. Documents stay, even if all their lines went."""
+    """Later copies of repeated line runs go from the texts; n_chars follows. Documents stay, even if all their lines went.
+
+    Null texts stay null with a null n_chars, null doc_ids count as last, rows that repeat doc_id and text are one document, of equal runs that of the smaller doc_id stays. An empty table gives no rows.
+    """
     return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document of smallest id stays."""
+    """Of each group of near copies (five words, similarity 0.8) the document of smallest id stays.
+
+    Texts that are null or without words and null doc_ids are in no group and stay; rows that repeat a doc_id stay or go together. An empty table gives no rows.
+    """
     gone = near_duplicates(docs, k=5, num=80, den=100).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each reading that the curriculum makes of a document, in training order; a document may be read twice or not at all."""
+    """One row for each reading that the curriculum makes of a document, in training order; a document may be read twice or not at all.
+
+    Documents without words are not read. A null source is a source like others, the last; null doc_ids count as one id; repeated rows are read each. An empty table gives no rows.
+    """
     return schedule(mix(docs)).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every reading's text."""
+    """Piece ids of every reading's text.
+
+    Null texts have null ids, empty ones none; each row is encoded for itself, repeated or not. An empty table gives no rows.
+    """
     return encoded(docs)
 
 
