@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..operators import canonical as N
 from ..sources import documents as D
+from ..sources import pages as G
 
 Q, O = {}, {}
 
 
-def reg(name, run, sql):
+def reg(name, run, sql, *ctes):
     Q[name] = run
-    O[name] = sql
+    O[name] = X.oracle(sql, *ctes) if ctes else sql
 
 
 # a nested document a customer: nation and region inside, orders as a list
@@ -76,7 +77,27 @@ def made(spark, sf):
 
 reg("web1_embedded_json", lambda s, d: made(s, d).select("page_id", D.embedded_json(F.col("html"), "id long, n long").alias("j")).select("page_id", "j.id", "j.n"), "SELECT o_custkey AS page_id, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS id, CASE WHEN o_custkey % 4 > 0 THEN count(*) END AS n FROM orders GROUP BY o_custkey")
 reg("web2_result_links", lambda s, d: D.result_links(made(s, d)), "SELECT o_custkey AS page_id, o_orderkey::INTEGER AS n, concat_ws(', ', o_orderkey, o_orderpriority, (o_orderkey % 100) || ',5', 'x', 'go c') AS label, (o_orderkey % 9)::VARCHAR AS club FROM orders")
-reg("web3_results_table", lambda s, d: D.results_table(made(s, d)), "SELECT o_custkey AS page_id, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 THEN 'NS' ELSE 'EW' END AS section, o_orderkey::INTEGER AS place, o_orderpriority AS name, (o_orderkey % 100) + 0.5 AS score FROM orders")
+
+
+def tables(spark, sf):
+    """A results table a customer; its columns stand in one of three orders under one of several titles, some rows are no results."""
+    o = X.table(spark, sf, "orders")
+    k, form = F.col("o_orderkey"), F.col("o_custkey") % 3
+    value = {"place": F.when(k % 7 == 0, "-").otherwise((k % 50).cast("string")), "pair": (k % 90).cast("string"), "name": F.concat(F.lit("<b>A &amp; "), F.col("o_orderpriority"), F.lit("</b>")), "points": F.when(k % 11 == 0, "").otherwise(F.concat((k % 300).cast("string"), F.lit(",5"))), "score": (k % 100).cast("string")}
+    orders_of = [("place", "pair", "name", "points", "score"), ("name", "score", "place", "points", "pair"), ("pair", "points", "place", "name", "score")]
+    titles = [{"place": "Pos", "pair": "No", "name": "Players", "points": "MPs", "score": "Score%"}, {"place": "Position", "pair": "Pair", "name": "Players", "points": "Matchpoints", "score": "Score"}, {"place": "pos", "pair": "no", "name": "Players", "points": "mp", "score": "Score"}]
+    tr = lambda cells, tag: F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit(f"<{tag}> "), c, F.lit(f" </{tag}>"))], F.lit("</tr>\n"))
+    pick = lambda f: F.when(form == 0, f(0)).when(form == 1, f(1)).otherwise(f(2))
+    row = pick(lambda i: tr([value[c] for c in orders_of[i]], "td"))
+    by = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("rows"))
+    head = pick(lambda i: tr([F.lit(titles[i][c]) for c in orders_of[i]], "th"))
+    section = lambda t: F.lit(f"<tr><td>{t}</td></tr>")
+    body = F.array_join(F.transform("rows", lambda x, i: F.concat(F.when(i == 0, F.concat(section("North / South"), head)).when(i == 2, F.concat(section("East / West"), head)).otherwise(""), x["r"], F.lit("<tr><td>9</td></tr>"))), "")
+    return by.select(F.col("o_custkey").alias("page_id"), F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
+
+
+reg("web3_results_table", lambda s, d: D.results_table(tables(s, d)), """SELECT o_custkey AS page_id, CASE WHEN r <= 2 THEN 'NS' ELSE 'EW' END AS section, (o_orderkey % 50)::INTEGER AS place, (o_orderkey % 90)::INTEGER AS pair, 'A & ' || o_orderpriority AS name, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 300 + 0.5 END AS points, (o_orderkey % 100)::DOUBLE AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE o_orderkey % 7 > 0""")
 reg("web4_info_table", lambda s, d: made(s, d).select("page_id", D.info_table(F.col("html")).alias("m")).select("page_id", F.col("m")["event_name_"].alias("event"), F.col("m")["place"].alias("place")), "SELECT DISTINCT o_custkey AS page_id, 'E' || o_custkey AS event, 'Here' AS place FROM orders")
 
 
@@ -95,6 +116,78 @@ PARA = "regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)"
 reg("web6_page_summary", lambda s, d: D.page_summary(pages(s, d)),
     f"""SELECT page_id, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, {TX("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {TX("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS heading, len({PARA})::INTEGER AS n_paragraphs,
   len(regexp_extract_all(html, '<li[ >]'))::INTEGER AS n_items, len(regexp_extract_all(array_to_string(list_transform({PARA}, lambda x: {TX('x')}), ' '), '\\S+'))::INTEGER AS n_words FROM pages""")
+# pages of the French provider, made from orders: a customer is a page, its orders are the rows
+WEEK = ["Lundi", "Mardi", "Mercredi"]
+DATE = lambda: F.concat(F.element_at(F.array(*[F.lit(x) for x in WEEK]), (F.col("o_custkey") % 3 + 1).cast("int")), F.lit(" "), (F.col("o_custkey") % 28 + 1).cast("string"), F.lit(" Juillet 2024"))
+DATE_SQL = f"{WEEK}[o_custkey % 3 + 1] || ' ' || o_custkey % 28 + 1 || ' Juillet 2024'"
+EVENT = lambda: F.concat(F.lit("Simultané du Roy n°"), F.col("o_custkey").cast("string"))
+
+
+def of_orders(spark, sf, row, page, url):
+    """One page a customer: page(rows joined) with a row for each order."""
+    o = X.table(spark, sf, "orders")
+    by = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row(F.col("o_orderkey")).alias("r")))).alias("rows"), F.count(F.lit(1)).alias("n"))
+    return by.select(F.col("o_custkey").alias("page_id"), url.alias("url"), page(F.array_join(F.transform("rows", lambda x: x["r"]), "\n")).alias("html"))
+
+
+def cat(*parts):
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+URL = lambda: cat("https://r.example/?p=x&tr=", F.col("o_custkey"), "&cl=", F.col("o_custkey") % 97)
+reg("web6_tournaments", lambda s, d: G.tournaments(of_orders(s, d, lambda k: cat(F.when(k % 9 > 0, cat('<div class="col-4 p-0 text-left h5"> ', F.when(k % 5 == 0, F.lit("bientôt")).otherwise(cat("le Lundi ", k % 28 + 1, " Mai 2023")), "</div>")).otherwise(""), '<a class="x" href="?p=clubs&res=sim&tr=', k, '"><b>T ', k % 10, "</b></a>"), lambda b: cat("<html>", b, "</html>"), URL())),
+    """SELECT d.page_id, CASE WHEN d.k % 5 > 0 THEN 'Lundi ' || d.k % 28 + 1 || ' Mai 2023' END AS Date, a.k::VARCHAR AS Tournament_ID, 'T ' || a.k % 10 AS Tournament_Name FROM
+  (SELECT o_custkey AS page_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey % 9 > 0) d JOIN
+  (SELECT o_custkey AS page_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) a ON a.page_id = d.page_id AND a.i = d.i""")
+reg("web6_clubs", lambda s, d: G.clubs(of_orders(s, d, lambda k: F.when(F.col("o_custkey") % 4 == 0, cat("cl=", k % 3)).otherwise(cat('<a href="?p=club&res=sim&tr=1&cl=', k, '">Club de ', k % 7, "</a>")), lambda b: cat("<h1>", EVENT(), "</h1><p>", DATE(), "</p>", b), URL())),
+    f"""SELECT page_id, Date, Tournament_ID, Event_Name, Club_ID, Club_Name FROM (SELECT o_custkey AS page_id, {DATE_SQL} AS Date, o_custkey::VARCHAR AS Tournament_ID, 'Simultané du Roy n°' || o_custkey AS Event_Name, o_orderkey::VARCHAR AS Club_ID, 'Club de ' || o_orderkey % 7 AS Club_Name FROM orders WHERE o_custkey % 4 > 0
+  UNION ALL SELECT DISTINCT o_custkey, {DATE_SQL}, o_custkey::VARCHAR, 'Simultané du Roy n°' || o_custkey, (o_orderkey % 3)::VARCHAR, 'Club ' || o_orderkey % 3 FROM orders WHERE o_custkey % 4 = 0)""")
+
+
+def ranking_row(k):
+    cells = [k % 60, cat(k % 100, ",25"), cat(k % 300, ".5"), F.when(k % 3 == 0, "").otherwise((k % 9).cast("string"))]
+    numbers = cat(*[x for c in cells for x in ('<div class="col-3 h6">', c, "</div>")])
+    link = F.when(k % 10 == 0, F.lit("no link")).otherwise(cat('<a href="?p=route&sc=', F.element_at(F.array(*map(F.lit, "ABC")), (k % 3 + 1).cast("int")), "&eq=", k % 40, '">DUPONT', k % 5, "&nbsp;-&nbsp;MARTIN</a>"))
+    return cat('<div class="row text-center raye p-0 py-1"><div class="col-md-5">', numbers, '</div><div class="col-md-7"><div class="d-none d-sm-block">', k, " - ", k + 1, "</div>", link, "</div></div>")
+
+
+reg("web6_ranking", lambda s, d: G.ranking(of_orders(s, d, ranking_row, lambda b: cat("<h1>", EVENT(), '</h1><div class="col-4 p-0 text-left h5"> ', DATE(), ' </div><div class="col p-0 py-2 h3">', F.col("n"), " paires - ", F.col("n") % 3, " clubs</div>", b), URL())),
+    f"""SELECT o_custkey AS page_id, (o_orderkey % 60)::INTEGER AS Rank, o_orderkey % 100 + 0.25 AS Percent, o_orderkey % 300 + 0.5 AS Points, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 9 END::DOUBLE AS Bonus, o_orderkey::VARCHAR AS Player1_ID, (o_orderkey + 1)::VARCHAR AS Player2_ID, 'DUPONT' || o_orderkey % 5 AS Player1_Name, 'MARTIN' AS Player2_Name,
+  ['A', 'B', 'C'][o_orderkey % 3 + 1] AS Section, (o_orderkey % 40)::VARCHAR AS Team_Number, 'Simultané du Roy n°' || o_custkey AS Event_Name, {DATE_SQL} AS Date, n AS Team_Count, n % 3 AS Club_Count, o_custkey::VARCHAR AS Event_ID, (o_custkey % 97)::VARCHAR AS Club_ID FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE o_orderkey % 10 > 0""")
+FR = ["SA", "P", "♥", "K", "T"]
+
+
+def route_row(k):
+    """A round's opponents before every third board; a contract and a lead for each board, in the order of the board numbers, which is that of the orders."""
+    foe = F.when(k % 3 == 0, cat('<div class="row"><div class="col adv"><b>', F.when(k % 2 == 0, "NS").otherwise("EO"), "</b> ", k % 50, " DURAND-B - PETIT (", k % 90 + 10, ",50 %)</div></div>\n")).otherwise("")
+    board = cat('<div class="row"><div class="col-1"><a href="#">', k, '</a></div><div class="col-2 text-right"> ', F.when(k % 13 == 0, F.lit("Score")).otherwise((k % 900 - 400).cast("string")), ' </div><div class="col-4 text-right">', k % 200, ",5 (", k % 100, ",25 %)</div></div>\n")
+    called = cat('<div class="col contrat">', F.element_at(F.array(*map(F.lit, "NESO")), (k % 4 + 1).cast("int")), " : ", k % 7 + 1, F.element_at(F.array(*map(F.lit, FR)), (k % 5 + 1).cast("int")), F.when(k % 3 == 0, "=").when(k % 3 == 1, "+1").otherwise("-2"), "</div>", '<div class="col entame">', F.element_at(F.array(*map(F.lit, ["♠R", "♥ 10", "♦D", "♣V"])), (k % 4 + 1).cast("int")), "</div>\n")
+    return cat(foe, board, F.when(k % 13 == 0, "").otherwise(called))
+
+
+reg("web6_route", lambda s, d: G.route(of_orders(s, d, route_row, lambda b: cat("<h1>", EVENT(), "</h1><h2>LEROY - MOREL (EO", F.col("o_custkey") % 300, " B)</h2>", b), URL())),
+    f"""SELECT o_custkey AS page_id, k::INTEGER AS Board, (k % 900 - 400)::INTEGER AS Score, k % 200 + 0.5 AS Matchpoints, k % 100 + 0.25 AS Percentage, ['N', 'E', 'S', 'W'][k % 4 + 1] AS Declarer, k % 7 + 1 || ['N', 'S', 'H', 'D', 'C'][k % 5 + 1] || ['N', 'E', 'S', 'W'][k % 4 + 1] AS Contract, [0, 1, -2][k % 3 + 1]::INTEGER AS Result, ['SK', 'H10', 'DQ', 'CJ'][k % 4 + 1] AS Lead,
+  'LEROY - MOREL' AS Pair_Names, 'EW' AS Pair_Direction, o_custkey % 300 AS Pair_Number, 'B' AS Section, 'Simultané du Roy n°' || o_custkey AS Event_Name, o_custkey::VARCHAR AS Tournament_ID, (o_custkey % 97)::VARCHAR AS Club_ID, CASE f % 2 WHEN 0 THEN 'NS' WHEN 1 THEN 'EW' END AS Opponent_Pair_Direction, f % 50 AS Opponent_Pair_Number, CASE WHEN f IS NOT NULL THEN 'DURAND-B - PETIT' END AS Opponent_Pair_Names
+  FROM (SELECT *, o_orderkey AS k, max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders) WHERE k % 13 > 0""")
+
+
+def board_pages(spark, sf):
+    """One page a deal, with the hands in the pages' order and French honours."""
+    x = X.deals(spark, sf)
+    k, n = F.col("deal_id"), F.col("deal_id") % 36 + 1
+    hands = F.split(F.substring("PBN", F.lit(3), F.length("PBN")), " ")
+    suits = F.flatten(F.array(*[F.split(hands[i], "\\.", -1) for i in (0, 3, 1, 2)]))
+    cards = F.array_join(F.transform(suits, lambda c: F.concat(F.lit('<div class="flex-grow-1 ms-3 gros">&nbsp;'), F.when(c == "", "-").otherwise(F.translate(c, "KQJ", "RDV")), F.lit("</div>"))), "\n")
+    kind = F.when(k % 5 == 0, F.lit("&nbsp;SA")).otherwise(cat('<span class="', F.element_at(F.array(*map(F.lit, ["pique", "coeur", "carreau", "trefle"])), (k % 4 + 1).cast("int")), '">s</span>'))
+    html = cat('<div class="col p-0 h2">Simultané n°', k % 9, '</div><div class="col p-0 h3">Leroy&nbsp;-&nbsp;Morel&nbsp;(', k % 77, "&nbsp;C)</div>", F.when(k % 17 == 0, "").otherwise(cat('<div class="col-8 p-0 h2">Donne ', n, "</div>")), '<div class="col-4">Top = ', k % 30, '</div><div class="col-4">Donneur : ',
+               F.element_at(F.array(*map(F.lit, ["Nord", "Est", "Sud", "Ouest", "?"])), (k % 5 + 1).cast("int")), '</div><div class="col-4">Vulnérabilité : ', F.element_at(F.array(*map(F.lit, ["Personne", "Nord-Sud", "Est-Ouest", "Tous"])), (k % 4 + 1).cast("int")), '</div><span class="gros">Contrat (', F.element_at(F.array(*map(F.lit, "NESO")), (k % 4 + 1).cast("int")), ") : ", k % 7 + 1, kind, "</span><br>",
+               "<p>Entame : ♥ D — x</p><p>Résultat : ", F.when(k % 3 == 0, F.lit("=")).otherwise(cat("-", k % 5)), '</p><div class="col">contre <span class="paires">EO&nbsp;: BON - JEAN-LE (', k % 55, '&nbsp;C)</span></div><div class="row colorise"><div class="col-3"> ', k % 700 - 300, " </div></div>", cards)
+    return x.select(k.alias("page_id"), cat("https://r.example/?p=d&tr=", k % 99, "&cl=", k % 98).alias("url"), html.alias("html"))
+
+
+reg("web6_boards", lambda s, d: G.boards(board_pages(s, d)), """SELECT deal_id AS page_id, (deal_id % 36 + 1)::INTEGER AS Board, PBN, (deal_id % 30)::INTEGER AS MP_Top, CASE WHEN deal_id % 5 < 4 THEN substr('NESW', (deal_id % 5 + 1)::INTEGER, 1) ELSE substr('NESW', (deal_id % 36 % 4 + 1)::INTEGER, 1) END AS Dealer, ['None', 'N_S', 'E_W', 'Both'][deal_id % 4 + 1] AS Vul, substr('NESW', (deal_id % 4 + 1)::INTEGER, 1) AS Declarer, 'HQ' AS Lead,
+  deal_id % 7 + 1 || CASE WHEN deal_id % 5 = 0 THEN 'N' ELSE substr('SHDC', (deal_id % 4 + 1)::INTEGER, 1) END || substr('NESW', (deal_id % 4 + 1)::INTEGER, 1) AS Contract, CASE WHEN deal_id % 3 = 0 THEN 0 ELSE -(deal_id % 5) END::INTEGER AS Result, (deal_id % 700 - 300)::INTEGER AS Score, 'Simultané n°' || deal_id % 9 AS Event_Name, 'Leroy - Morel' AS Team_Name, deal_id % 77 AS Pair_Number, 'C' AS Section,
+  (deal_id % 99)::VARCHAR AS Tournament_ID, (deal_id % 98)::VARCHAR AS Club_ID, 'EW' AS Opponent_Pair_Direction, deal_id % 55 AS Opponent_Pair_Number, 'BON - JEAN-LE' AS Opponent_Pair_Names, 'C' AS Opponent_Pair_Section FROM deals WHERE deal_id % 17 > 0""", "deals")
 reg("web7_url_ids", lambda s, d: pages(s, d).select("page_id", *D.url_ids(F.col("url"))),
     "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '/([a-z]{2})/\\d+', 1) AS lang, try_cast(regexp_extract(url, '/[a-z]{2}/(\\d+)', 1) AS INTEGER) AS number, try_cast(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INTEGER) AS page FROM pages")
 MONTH = {int(v): k for k, v in N.FRENCH_MONTHS.items()}

@@ -150,17 +150,32 @@ def result_links(pages: DataFrame) -> DataFrame:
     return keep_first(df.withColumn("label", label), ["page_id", "n"], [F.col("pos")]).select("page_id", "n", "label", "club")
 
 
+# fixed values: header texts of the columns of a results table, first match wins
+HEADERS = {"place": ("pos", "position"), "pair": ("no", "pair"), "name": ("players",), "points": ("matchpoints", "mp", "mps"), "score": ("score%", "score")}
+
+
 def results_table(pages: DataFrame) -> DataFrame:
-    """Table rows under section headers (North / South, East / West): section, place, name, score; rows whose place is no number are skipped."""
+    """Table rows under section headers (North / South, East / West): section, place, pair, name, points, score.
+
+    A row whose cells name the players and the score gives the columns of the rows after it, by HEADERS. Rows before any header,
+    with too few cells or whose place is no number are skipped, as are those whose pair, points or score is no number; empty points and scores are 0.
+    """
     rows = pages.select("page_id", F.posexplode(all_matches(F.col("html"), r"(?s)<tr[^>]*>(.*?)</tr>")).alias("pos", "row"))
     cells = F.transform(all_matches(F.col("row"), r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), text_of)
     df = rows.withColumn("c", cells)
-    head = F.when(F.col("c")[0].rlike("(?i)north\\s*/\\s*south"), "NS").when(F.col("c")[0].rlike("(?i)east\\s*/\\s*west"), "EW")
-    head = F.when(F.size("c") > 0, head)
-    w = Window.partitionBy("page_id").orderBy("pos")
-    df = df.withColumn("section", F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda i: F.try_element_at("c", F.lit(i))
-    return df.select("page_id", "section", at(1).try_cast("int").alias("place"), at(2).alias("name"), F.replace(at(3), F.lit(","), F.lit(".")).try_cast("double").alias("score")).where("place is not null")
+    whole, low = F.array_join("c", " "), F.transform("c", F.lower)
+    head = F.when(whole.rlike(r"(?i)north\s*/\s*south"), "NS").when(whole.rlike(r"(?i)east\s*/\s*west"), "EW")
+    titles = F.contains(whole, F.lit("Players")) & F.contains(whole, F.lit("Score"))
+    # places from 1; 0 where no alias is there
+    place = lambda names: F.coalesce(*[F.when(F.array_contains(low, n), F.array_position(low, F.lit(n)).cast("int")) for n in names], F.lit(0))
+    at = F.when(titles, F.struct(*[place(names).alias(k) for k, names in HEADERS.items()]))
+    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # a page's rows
+    df = df.withColumns({"section": F.last(head, ignorenulls=True).over(w), "at": F.last(at, ignorenulls=True).over(w), "other": head.isNotNull() | titles})
+    df = df.where(~F.coalesce("other", F.lit(False)) & F.col("section").isNotNull() & (F.least(*[F.col(f"at.{k}") for k in HEADERS]) > 0) & (F.greatest(*[F.col(f"at.{k}") for k in HEADERS]) <= F.size("c")))
+    cell = lambda k: F.get("c", F.col(f"at.{k}") - 1)
+    number = lambda k: F.when(cell(k) == "", 0.0).otherwise(F.replace(cell(k), F.lit(","), F.lit(".")).try_cast("double"))
+    out = df.select("page_id", "section", F.when(cell("place").rlike(r"^\d+$"), cell("place").try_cast("int")).alias("place"), cell("pair").try_cast("int").alias("pair"), F.replace(cell("name"), F.lit("&amp;"), F.lit("&")).alias("name"), number("points").alias("points"), number("score").alias("score"))
+    return out.where("place is not null and pair is not null and points is not null and score is not null")
 
 
 def info_table(html: Column) -> Column:
