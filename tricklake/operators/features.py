@@ -82,13 +82,19 @@ def categories(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encode(df: DataFrame, columns: list[str], cats: DataFrame, strict: bool = True) -> DataFrame:
-    """column_code for each column: the value's code; null gets the index after the last. Unknown values are an error if strict, else like null."""
+    """column_code for each column: the value's code; null gets the index after the last. Unknown values are an error if strict, else like null.
+
+    Two jobs for all columns: the number of categories of each, and the first unknown value of any.
+    """
+    sizes = {r.feature: r["count"] for r in cats.where(F.col("feature").isin(columns)).groupBy("feature").count().collect()}
+    if strict:
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])).alias("r")).select("r.*").where("value is not null").distinct()
+        unknown = rows.join(cats, ["feature", "value"], "left_anti").limit(1).collect()
+        if unknown:
+            raise ValueError(f"{unknown[0].feature} has values that are no category")
     for c in columns:
         mine = cats.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
-        if strict and df.where(F.col(c).isNotNull()).join(mine, c, "left_anti").limit(1).count():
-            raise ValueError(f"{c} has values that are no category")
-        size = cats.where(F.col("feature") == c).count()
-        df = df.join(mine, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(size)))
+        df = df.join(mine, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(sizes.get(c, 0))))
     return df
 
 
@@ -120,6 +126,44 @@ def feature_rows(df: DataFrame, row_id: str, numeric: list[str], categorical: li
     return coded.select(row_id, cont.alias("continuous"), F.array(*[F.col(f"{c}_code").cast("int") for c in categorical]).alias("codes"), F.col(target).alias("target"))
 
 
+def raw_shards(df: DataFrame, row_id: str, numeric: list[str], categorical: list[str], target: str, rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Shards of so many rows in order of an integer row_id, each with codes of its own: (shard, row_id, continuous, codes, target) and the vocabularies (shard, feature, value, code).
+
+    A shard's codes number its own values from 0; null is the number after the last.
+    """
+    from pyspark.sql import Window
+
+    from ..sources.tables import with_index
+
+    d = with_index(df, [row_id], "_n").withColumn("shard", F.floor(F.col("_n") / rows).cast("int")).drop("_n")
+    seen = d.select("shard", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in categorical])).alias("r")).select("shard", "r.*").where("value is not null").distinct()
+    vocabulary = seen.withColumn("code", F.row_number().over(Window.partitionBy("shard", "feature").orderBy("value")) - 1)
+    sizes = vocabulary.groupBy("shard").agg(*[F.count(F.when(F.col("feature") == c, 1)).alias(f"_size_{c}") for c in categorical])
+    out = d.join(sizes, "shard", "left")
+    for c in categorical:
+        mine = vocabulary.where(F.col("feature") == c).select("shard", F.col("value").alias(c), F.col("code").alias(f"_code_{c}"))
+        out = out.join(mine, ["shard", c], "left")
+    codes = F.array(*[F.coalesce(f"_code_{c}", f"_size_{c}", F.lit(0)).cast("int") for c in categorical])
+    cont = F.array(*[clean_number(as_number(df, c)).cast("float") for c in numeric])
+    return out.select("shard", row_id, cont.alias("continuous"), codes.alias("codes"), F.col(target).alias("target")), vocabulary
+
+
+def manifest(shards: DataFrame, row_id: str) -> DataFrame:
+    """(shard, n, first_id, last_id): what each shard holds."""
+    return shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first_id"), F.max(row_id).alias("last_id"))
+
+
+def global_codes(shards: DataFrame, vocabulary: DataFrame, cats: DataFrame, categorical: list[str]) -> DataFrame:
+    """Shards with the codes of cats instead of each shard's own; what stands for null in a shard gets the index after the last, values that are no category too."""
+    sizes = {r.feature: r["count"] for r in cats.groupBy("feature").count().collect()}
+    table = vocabulary.join(cats.withColumnRenamed("code", "to"), ["feature", "value"], "left").select("shard", "feature", "code", "to")
+    for i, c in enumerate(categorical):
+        mine = table.where(F.col("feature") == c).select("shard", F.col("code").alias("_from"), F.col("to").alias(f"_to_{c}"))
+        shards = shards.withColumn("_from", F.col("codes")[i]).join(mine, ["shard", "_from"], "left").drop("_from")
+    codes = F.array(*[F.coalesce(f"_to_{c}", F.lit(sizes.get(c, 0))).cast("int") for c in categorical])
+    return shards.withColumn("codes", codes).drop(*[f"_to_{c}" for c in categorical])
+
+
 def train_classifier(df: DataFrame, numeric: list[str], target: str, hidden: int = 16, seed: int = 7, iterations: int = 40):
     """Multi-layer perceptron on scaled numeric features; (fitted pipeline, labels)."""
     from pyspark.ml import Pipeline
@@ -168,7 +212,7 @@ def strict_codes(df: DataFrame, column: str, codes: dict[str, int]) -> DataFrame
 
 
 def recentre(df: DataFrame, probability: str, spread: float, bins: int = 2000) -> DataFrame:
-    """Shift and stretch logits so that probabilities have mean one half and the given deviation.
+    """Shift and stretch logits so that probabilities have mean one half and the given deviation; null stays null.
 
     The bisection runs over a table of binned logits, whose size is the number of bins.
     """
@@ -197,19 +241,22 @@ def recentre(df: DataFrame, probability: str, spread: float, bins: int = 2000) -
         heat = (a + b) / 2
         a, b = (heat, b) if moments(shift_for(heat), heat)[1] > spread else (a, heat)
     heat = (a + b) / 2
-    return df.withColumn("Recentred", 1 / (1 + F.exp(-(logit - shift_for(heat)) / heat)))
+    return df.withColumn("Recentred", F.when(F.col(probability).isNotNull(), 1 / (1 + F.exp(-(logit - shift_for(heat)) / heat))))
 
 
 def regression_quality(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """One row: counts, moments, errors, shares over, under and within 0.01, MAE, RMSE, MAE over deviation, a label for the variance ratio."""
-    e = F.col(pred) - F.col(y)
-    share = lambda c: F.avg(F.when(e.isNotNull(), c.cast("int")))
+    """One row: counts, moments and ranges of rows with both values, errors (truth less prediction), numbers and shares over (prediction above truth), under and within 0.01, MAE, RMSE, MAE over deviation, a label for the ratio of deviations."""
+    e = F.col(y) - F.col(pred)
+    n = lambda c: F.count(F.when(c, 1))
     q = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(y).isNull(), 1)).alias("null_y"), F.count(F.when(F.col(pred).isNull(), 1)).alias("null_pred"), F.avg(y).alias("mean_y"), F.stddev_samp(y).alias("std_y"), F.avg(pred).alias("mean_pred"), F.stddev_samp(pred).alias("std_pred"),
-        F.avg(e).alias("mean_error"), F.stddev_samp(e).alias("std_error"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), share(e > 0.01).alias("over"), share(e < -0.01).alias("under"), share(F.abs(e) <= 0.01).alias("within"),
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(y).isNull(), 1)).alias("null_y"), F.count(F.when(F.col(pred).isNull(), 1)).alias("null_pred"), F.count(e).alias("n_errors"),
+        *[f(F.when(e.isNotNull(), F.col(c))).alias(f"{k}_{name}") for name, c in (("y", y), ("pred", pred)) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))],
+        F.avg(e).alias("mean_error"), F.stddev_pop(e).alias("std_error"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), n(e < 0).alias("over"), n(e > 0).alias("under"), n(F.abs(e) < 0.01).alias("within"),
     )
+    q = q.withColumns({f"{k}_pct": F.try_divide(F.col(k) * 100, F.col("n_errors")) for k in ("over", "under", "within")})
     ratio = F.try_divide(F.col("std_pred"), F.col("std_y"))
-    return q.withColumns({"mae_over_std": F.try_divide(F.col("mae"), F.col("std_y")), "variance": F.when(ratio < 0.8, "narrow").when(ratio > 1.2, "wide").otherwise("alike"), "r_mse": F.round("mae", 6)})
+    label = F.when(ratio.isNull(), "unknown").when(ratio < 0.3, "severe underfit").when(ratio < 0.5, "moderate underfit").when(ratio <= 1.2, "healthy").otherwise("possibly overfit")
+    return q.withColumns({"mae_over_std": F.try_divide(F.col("mae"), F.col("std_y")), "variance": label, "r_mse": F.round("mae", 6)})
 
 
 def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -217,7 +264,7 @@ def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def classification_quality(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """Per class: support, precision, recall, f1; and on each row accuracy, the majority class's share and the lift over it."""
+    """Per class: support, precision, recall, f1; and on each row their means over the classes, the number of classes, accuracy, the majority class's share and the lift over it."""
     from pyspark.sql import Window
 
     c = confusion(df, y, pred)
@@ -227,6 +274,7 @@ def classification_quality(df: DataFrame, y: str, pred: str) -> DataFrame:
     k = k.withColumns({"precision": F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), F.lit(0.0)), "recall": F.coalesce(F.try_divide(F.col("hits"), F.col("support")), F.lit(0.0))})
     every = Window.partitionBy(F.lit(0))  # one row a class
     k = k.withColumns({"f1": F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)), "accuracy": F.sum("hits").over(every) / F.sum("support").over(every), "majority": F.max("support").over(every) / F.sum("support").over(every)})
+    k = k.withColumns({f"macro_{c}": F.avg(c).over(every) for c in ("precision", "recall", "f1")}).withColumn("n_classes", F.count(F.lit(1)).over(every))
     return k.withColumn("lift", F.try_divide(F.col("accuracy"), F.col("majority")))
 
 

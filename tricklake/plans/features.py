@@ -64,13 +64,22 @@ reg("mlf5_validation", lambda s, d: (lambda r: r[0].select("c_custkey", "c_name"
 
 
 def shards(spark, sf):
-    t = table(spark, sf)
+    """Shards of a hundred rows with codes of their own, stored, read back, given the global codes, with their manifest."""
+    t, num, cat = table(spark, sf), ["c_nationkey", "n_orders", "in_credit"], ["segment", "priority"]
+    rows, vocabulary = M.raw_shards(t, "c_custkey", num, cat, "n_orders", 100)
     path = folder(spark, "shards")
-    M.write_shards(M.feature_rows(t, "c_custkey", ["c_nationkey", "n_orders", "in_credit"], ["segment", "priority"], "n_orders", M.categories(t, ["segment", "priority"])), path, 100)
-    return spark.read.parquet(path).select("c_custkey", F.array_join(F.transform("continuous", lambda x: x.cast("int").cast("string")), ",").alias("continuous"), F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"), "target")
+    M.write_shards(rows, f"{path}/rows", 100)
+    vocabulary.write.parquet(f"{path}/vocabulary")
+    rows, vocabulary = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/vocabulary")
+    out = M.global_codes(rows, vocabulary, M.categories(t, cat), cat).join(M.manifest(rows, "c_custkey"), "shard")
+    return out.select("c_custkey", "shard", "n", "first_id", "last_id", F.array_join(F.transform("continuous", lambda x: x.cast("int").cast("string")), ",").alias("continuous"), F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"), "target")
 
 
-reg("mlf6_shards", shards, f"SELECT c_custkey, c_nationkey || ',' || coalesce(n_orders, 0) || ',' || in_credit::INTEGER AS continuous, s.code || ',' || coalesce(p.code, (SELECT count(*) FROM {CATS} WHERE feature = 'priority')) AS codes, n_orders AS target FROM {T} t LEFT JOIN {CATS} s ON s.feature = 'segment' AND s.value = segment LEFT JOIN {CATS} p ON p.feature = 'priority' AND p.value = priority")
+reg("mlf6_shards", shards, f"""SELECT c_custkey, shard, count(*) OVER w AS n, min(c_custkey) OVER w AS first_id, max(c_custkey) OVER w AS last_id, c_nationkey || ',' || coalesce(n_orders, 0) || ',' || in_credit::INTEGER AS continuous, s.code || ',' || coalesce(p.code, (SELECT count(*) FROM {CATS} WHERE feature = 'priority')) AS codes, n_orders AS target
+  FROM (SELECT *, ((row_number() OVER (ORDER BY c_custkey) - 1) // 100)::INTEGER AS shard FROM {T}) t LEFT JOIN {CATS} s ON s.feature = 'segment' AND s.value = segment LEFT JOIN {CATS} p ON p.feature = 'priority' AND p.value = priority WINDOW w AS (PARTITION BY shard)""")
+# the same through codes that are global from the start
+reg("mlf6_feature_rows", lambda s, d: (lambda t: M.feature_rows(t, "c_custkey", ["c_nationkey", "n_orders"], ["segment", "priority"], "n_orders", M.categories(t, ["segment", "priority"])).select("c_custkey", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"), "target"))(table(s, d)),
+    f"SELECT c_custkey, s.code || ',' || coalesce(p.code, (SELECT count(*) FROM {CATS} WHERE feature = 'priority')) AS codes, n_orders AS target FROM {T} t LEFT JOIN {CATS} s ON s.feature = 'segment' AND s.value = segment LEFT JOIN {CATS} p ON p.feature = 'priority' AND p.value = priority")
 
 
 def trained(spark, sf):
@@ -93,10 +102,19 @@ def guesses(spark, sf):
 
 G = "(SELECT o_orderkey % 100 / 100 AS y, CASE WHEN o_orderkey % 13 > 0 THEN o_custkey % 90 / 100 END AS pred FROM orders)"
 Rd = lambda q: q.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in q.dtypes])
-reg("mlf10_regression_quality", lambda s, d: Rd(M.regression_quality(guesses(s, d).withColumns({"y": F.col("y"), "pred": F.col("pred")}), "y", "pred").drop("over", "under", "within")),
-    f"""SELECT n, null_y, null_pred, round(mean_y, 6) AS mean_y, round(std_y, 6) AS std_y, round(mean_pred, 6) AS mean_pred, round(std_pred, 6) AS std_pred, round(mean_error, 6) AS mean_error, round(std_error, 6) AS std_error, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mae / std_y, 6) AS mae_over_std,
-  CASE WHEN std_pred / std_y < 0.8 THEN 'narrow' WHEN std_pred / std_y > 1.2 THEN 'wide' ELSE 'alike' END AS variance, round(mae, 6) AS r_mse FROM (SELECT count(*) AS n, 0 AS null_y, count(*) - count(pred) AS null_pred, avg(y) AS mean_y, stddev_samp(y) AS std_y, avg(pred) AS mean_pred, stddev_samp(pred) AS std_pred,
-  avg(pred - y) AS mean_error, stddev_samp(pred - y) AS std_error, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse FROM {G})""")
-reg("mlf11_classification_quality", lambda s, d: Rd(M.classification_quality(X.table(s, d, "labels").select("toxic", (F.col("doc_id") % 2).cast("int").alias("pred")), "toxic", "pred")),
-    """SELECT class, support, hits, predicted, round(hits / predicted, 6) AS precision, round(hits / support, 6) AS recall, round(coalesce(2 * (hits / predicted) * (hits / support) / nullif(hits / predicted + hits / support, 0), 0), 6) AS f1, round(sum(hits) OVER () / sum(support) OVER (), 6) AS accuracy, round(max(support) OVER () / sum(support) OVER (), 6) AS majority,
-  round((sum(hits) OVER () / sum(support) OVER ()) / (max(support) OVER () / sum(support) OVER ()), 6) AS lift FROM (SELECT k AS class, count(*) FILTER (toxic = k) AS support, count(*) FILTER (toxic = k AND doc_id % 2 = k) AS hits, count(*) FILTER (doc_id % 2 = k) AS predicted FROM labels, (SELECT unnest([0, 1])::INTEGER AS k) GROUP BY k)""")
+MOMENTS = ", ".join(f"{f}({c}) FILTER (y IS NOT NULL AND pred IS NOT NULL) AS {k}_{name}" for name, c in (("y", "y"), ("pred", "pred")) for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in [f"{k}_{n}" for n in ("y", "pred") for k in ("mean", "std", "min", "max")] + ["mean_error", "std_error", "mae", "rmse"])
+reg("mlf10_regression_quality", lambda s, d: Rd(M.regression_quality(guesses(s, d), "y", "pred")),
+    f"""SELECT n, null_y, null_pred, n_errors, {ROUNDED}, "over", under, within, round(100 * "over" / n_errors, 6) AS over_pct, round(100 * under / n_errors, 6) AS under_pct, round(100 * within / n_errors, 6) AS within_pct, round(mae / std_y, 6) AS mae_over_std,
+  CASE WHEN std_pred / std_y < 0.3 THEN 'severe underfit' WHEN std_pred / std_y < 0.5 THEN 'moderate underfit' WHEN std_pred / std_y > 1.2 THEN 'possibly overfit' ELSE 'healthy' END AS variance, round(mae, 6) AS r_mse
+  FROM (SELECT count(*) AS n, count(*) - count(y) AS null_y, count(*) - count(pred) AS null_pred, count(y - pred) AS n_errors, {MOMENTS}, avg(y - pred) AS mean_error, stddev_pop(y - pred) AS std_error, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse,
+  count(*) FILTER (pred > y) AS "over", count(*) FILTER (pred < y) AS under, count(*) FILTER (abs(y - pred) < 0.01::DOUBLE) AS within FROM {G})""")
+CLASSES = """(SELECT k AS class, count(*) FILTER (toxic = k) AS support, count(*) FILTER (toxic = k AND doc_id % 2 = k) AS hits, count(*) FILTER (doc_id % 2 = k) AS predicted FROM labels, (SELECT unnest([0, 1])::INTEGER AS k) GROUP BY k)"""
+RATES = f"(SELECT *, hits / predicted AS p, hits / support AS r, coalesce(2 * (hits / predicted) * (hits / support) / nullif(hits / predicted + hits / support, 0), 0) AS f FROM {CLASSES})"
+guessed = lambda s, d: X.table(s, d, "labels").select("doc_id", "toxic", (F.col("doc_id") % 2).cast("int").alias("pred"))
+reg("mlf11_classification_quality", lambda s, d: Rd(M.classification_quality(guessed(s, d), "toxic", "pred")),
+    f"""SELECT class, support, hits, predicted, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round(avg(p) OVER (), 6) AS macro_precision, round(avg(r) OVER (), 6) AS macro_recall, round(avg(f) OVER (), 6) AS macro_f1, count(*) OVER () AS n_classes,
+  round(sum(hits) OVER () / sum(support) OVER (), 6) AS accuracy, round(max(support) OVER () / sum(support) OVER (), 6) AS majority, round((sum(hits) OVER () / sum(support) OVER ()) / (max(support) OVER () / sum(support) OVER ()), 6) AS lift FROM {RATES}""")
+reg("mlf11_confusion", lambda s, d: M.confusion(guessed(s, d), "toxic", "pred"), "SELECT toxic AS truth, (doc_id % 2)::INTEGER AS pred, count(*) AS n FROM labels GROUP BY ALL")
+reg("mlf11_top_k", lambda s, d: Rd(M.top_k_accuracy(X.table(s, d, "orders").select("o_orderpriority", F.array(F.lit("1-URGENT"), F.when(F.col("o_orderkey") % 2 == 0, "2-HIGH").otherwise("5-LOW")).alias("top")), "o_orderpriority", "top")),
+    "SELECT round(avg((o_orderpriority = '1-URGENT' OR o_orderpriority = CASE WHEN o_orderkey % 2 = 0 THEN '2-HIGH' ELSE '5-LOW' END)::INTEGER), 6) AS top_k_accuracy FROM orders")
