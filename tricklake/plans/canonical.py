@@ -92,13 +92,21 @@ reg("can7_club_code", lambda s, d: X.table(s, d, "customer").select("c_custkey",
     "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 11 = 0 THEN '0' ELSE c_custkey::VARCHAR END AS code FROM customer")
 
 
+#: dimension: its key, whether a key is in it, the attribute as a text of the key
+DIMS = {
+    "session_name": ("session_id", "session_id % 9 <> 4", "session "), "section_name": ("section_id", "section_id <> 2", "section "), "board_name": ("Board", "true", "board "), "ns_name": ("Pair_Number_NS", "Pair_Number_NS <> 5", "pair "),
+    "ew_name": ("Pair_Number_EW", "Pair_Number_EW <> 7", "pair "), "player_name": ("Player_ID_N", "Player_ID_N <> 'P3'", "player "), "contract_name": ("Contract", "Contract <> 'PASS'", "contract "), "deal_name": ("deal_id", "deal_id % 5 <> 1", "deal "),
+}
+
+
 def star(spark, sf):
-    t = lambda n: X.table(spark, sf, n)
-    dims = [(t("customer").withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"]), (t("nation").withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"]), (t("region").withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"])]
-    return N.star_join(t("orders"), dims).select("o_orderkey", "c_name", "n_name", "r_name")
+    """Results with eight dimensions, each with a row for most of its keys."""
+    b = X.board_results(spark, sf)
+    dims = [(b.where(f"{key} is not null and {there}").select(key).distinct().withColumn(name, F.concat(F.lit(text), F.col(key).cast("string"))), [key]) for name, (key, there, text) in DIMS.items()]
+    return N.star_join(b, dims).select(*PK, *DIMS)
 
 
-reg("can8_star_join", star, "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+reg("can8_star_join", star, f"SELECT {P}, " + ", ".join(f"CASE WHEN {there} THEN '{text}' || {key} END AS {name}" for name, (key, there, text) in DIMS.items()) + " FROM br", "br")
 reg("can9_first_last_player", lambda s, d: N.first_and_last_player(X.table(s, d, "orders").select(F.col("o_custkey").alias("pair"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("n")), ["pair"], "n"), "SELECT o_custkey AS pair, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM orders GROUP BY 1")
 
 
@@ -132,13 +140,13 @@ reg("can12_game_records", records, "SELECT Board, CASE o % 5 WHEN 0 THEN 'None'
 
 
 def standing(spark, sf):
-    st = X.table(spark, sf, "customer").where("c_custkey <= 11").select(F.col("c_custkey").cast("int").alias("pair"), F.concat(F.lit("A"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") != 4, F.concat(F.lit(" & B"), F.col("c_custkey").cast("string"))).otherwise("")).alias("players"), (F.col("c_custkey") / 2).alias("pct"))
+    st = X.table(spark, sf, "customer").where("c_custkey <> 12").select(F.col("c_custkey").cast("int").alias("pair"), F.concat(F.lit("A"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") != 4, F.concat(F.lit(" & B"), F.col("c_custkey").cast("string"))).otherwise("")).alias("players"), (F.col("c_custkey") / 2).alias("pct"))
     return N.with_standings(X.board_results(spark, sf).select(*PK), st)
 
 
-nm = lambda side, a: f"CASE WHEN Pair_Number_{side} <= 11 THEN {a} || Pair_Number_{side} END"
-n2 = lambda side: f"CASE WHEN Pair_Number_{side} <= 11 AND Pair_Number_{side} <> 4 THEN 'B' || Pair_Number_{side} END"
-pc = lambda side: f"CASE WHEN Pair_Number_{side} <= 11 THEN Pair_Number_{side} / 2 END AS Event_Pct_{side}"
+nm = lambda side, a: f"CASE WHEN Pair_Number_{side} <> 12 THEN {a} || Pair_Number_{side} END"
+n2 = lambda side: f"CASE WHEN Pair_Number_{side} NOT IN (4, 12) THEN 'B' || Pair_Number_{side} END"
+pc = lambda side: f"CASE WHEN Pair_Number_{side} <> 12 THEN Pair_Number_{side} / 2 END AS Event_Pct_{side}"
 _A = "'A'"
 reg("can13_standings", standing, f"SELECT {P}, {nm('NS', _A)} AS Player_Name_N, {n2('NS')} AS Player_Name_S, {pc('NS')}, {nm('EW', _A)} AS Player_Name_E, {n2('EW')} AS Player_Name_W, {pc('EW')} FROM br", "br")
 
