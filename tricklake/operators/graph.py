@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import remove
+
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """links(a, b) -> (v, component): each vertex with the smallest one it can reach; without links no rows.
 
     A round gives each vertex the least label among its neighbours, aggregated before the shuffle so that a
-    vertex with very many links is no hot spot, and then that label's own label. Rounds are tables below folder and end when no label changes.
+    vertex with very many links is no hot spot, and then that label's own label. Rounds are tables below folder and end when no label changes; all but
+    the last are removed.
     """
     spark, path = links.sparkSession, f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
 
@@ -31,5 +34,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         jump = step.select(F.col("v").alias("w"), F.col("mid").alias("jumped"))
         new = kept(step.join(jump, step.mid == jump.w).select("v", "old", F.least("mid", "jumped").alias("component")), str(n))
         labels = new.select("v", "component")
+        remove(spark, f"{path}/{n - 1}")
         if not new.where("old <> component").limit(1).count():
+            remove(spark, f"{path}/edges")
             return labels

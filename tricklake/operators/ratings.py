@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
+from ..sources.folders import remove, shared_folder
 from .graph import components
 
 # fixed values of the rating rules
@@ -131,7 +131,7 @@ def _groups(seats: DataFrame, folder: str) -> DataFrame:
     link = F.struct(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("a"), F.concat("pool", F.lit("="), "id").alias("b"))
     links = seats.where("id is not null").select(F.xxhash64(link["a"]).alias("a"), F.xxhash64(link["b"]).alias("b"), "session_id").distinct()
     # equal hashes would only make a group larger
-    found = components(links.select("a", "b"), folder)
+    found = components(links.select("a", "b"), f"{folder}/groups")
     return links.select("session_id", "a").distinct().join(found, F.col("a") == F.col("v")).select("session_id", F.col("component").alias("g"))
 
 
@@ -165,8 +165,8 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
             part, largest = part.withColumn("g", F.lit(0).cast("long")), size
         else:
             groups = _groups(part, folder)
-            groups.write.parquet(f"{folder}/groups-{n}-{width}")
-            groups = spark.read.schema(groups.schema).parquet(f"{folder}/groups-{n}-{width}")
+            groups.write.parquet(f"{folder}/groups/{n}-{width}")
+            groups = spark.read.schema(groups.schema).parquet(f"{folder}/groups/{n}-{width}")
             part = part.join(groups, "session_id", "left").withColumn("g", F.coalesce("g", F.xxhash64("session_id")))
             largest = part.groupBy("g").count().agg(F.max("count")).first()[0]
         if largest > group_seats and end - at > 1:  # too large a group: fewer dates from now on
@@ -191,6 +191,8 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
             width *= 2
     if not n:
         return spark.createDataFrame([], "session_id long, pool string, id string, before double, after double, seen_before double, seen_after double")
+    for done in ("seats", "state", "groups"):
+        remove(spark, f"{folder}/{done}")
     history = spark.read.schema(HISTORY).parquet(*[f"{folder}/history/{i}" for i in range(n)])
     seen = lambda c: F.when(F.col("sessions") >= visible_after, F.col(c))
     return history.select("session_id", "pool", "id", "before", "after", seen("before").alias("seen_before"), seen("after").alias("seen_after"))
