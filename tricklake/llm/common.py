@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import components
-from ..sources.folders import shared_folder
+from ..sources.folders import remove, shared_folder
 
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that written() made and nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, connected_components, run_hashes, table, word_ids, written
+from .common import WordIds, connected_components, discard, run_hashes, table, word_ids, written
 
 COORDS = 48
 #: Posting lists up to this length give all their pairs; longer ones go by leaders and blocks.
@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     cells = [fresh(x).groupBy("key", "i", "j") for x in (strays, everyone)]
     more = written(cells[0].cogroup(cells[1]).applyInPandas(_cross(num, den), "a long, b long"), "more-links")
     final = connected_components(links.unionByName(more)) if more.limit(1).count() else first
+    discard(reps, entries, sets, links, placed, more)
 
     named = classes.join(final.withColumnRenamed("v", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

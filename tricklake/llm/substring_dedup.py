@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.folders import remove
-from .common import WordIds, run_hashes, scratch, sliding_min, table, word_ids, written
+from .common import WordIds, discard, run_hashes, scratch, sliding_min, table, word_ids, written
 
 WINDOW, SHINGLE = 50, 16
 #: Batches that a corpus is taken in, runs that may stand side by side, pending rows of one fingerprint that one task may take.
@@ -217,14 +217,18 @@ def repeated_spans(docs: DataFrame, fps: DataFrame, shared: DataFrame, window: i
     found = written(candidate_windows(texts.join(holders, "doc_id"), window, shingle), "windows")
     settled, pending = found.where("h is null"), found.where("h is not null")
     hot = written(pending.groupBy("fp").count().where(F.col("count") > hot_rows).select("fp"), "hot")
+    thinned = []
     if hot.limit(1).count():
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(64))
         many = pending.join(hot, "fp", "left_semi").repartition("fp", salt)
         thin = written(many.mapInPandas(_thin, _PENDING), "thinned")
+        thinned.append(thin)
         settled = settled.unionByName(thin.where("h is null"))
         pending = pending.join(hot, "fp", "left_anti").unionByName(thin.where("h is not null"))
     pending = pending.repartition("fp").sortWithinPartitions("fp").select("doc_id", "tag", "start", "n", "fp", "h")
-    return settled.select("doc_id", "tag", "start", "n").unionByName(pending.mapInPandas(_settle, "doc_id long, tag long, start int, n int"))
+    spans = written(settled.select("doc_id", "tag", "start", "n").unionByName(pending.mapInPandas(_settle, "doc_id long, tag long, start int, n int")), "spans")
+    discard(found, hot, *thinned)
+    return spans
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -271,14 +275,18 @@ def ingest(fps: DataFrame, index: FingerprintIndex, bounds: list[int]) -> DataFr
 
     An index that holds earlier documents finds what these batches share with them too.
     """
-    shared, lower = None, None
+    founds, lower = [], None
     for upper in [*bounds, None]:
         part = fps if lower is None else fps.where(F.col("doc_id") > lower)
         part = part if upper is None else part.where(F.col("doc_id") <= upper)
-        found = index.merge(part)
-        shared = found if shared is None else shared.unionByName(found)
+        founds.append(index.merge(part))
         lower = upper
-    return written(shared.distinct(), "shared")
+    shared = founds[0]
+    for found in founds[1:]:
+        shared = shared.unionByName(found)
+    shared = written(shared.distinct(), "shared")
+    discard(*founds)
+    return shared
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, batches: int = BATCHES, most_runs: int = MOST_RUNS) -> tuple[DataFrame, DataFrame]:
@@ -297,9 +305,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGL
     index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), most_runs)
     fps = written(fingerprint_rows(docs, window, shingle), "fingerprints")
     shared = ingest(fps, index, sorted(set(cuts or [])) if batches > 1 else [])
-    spans = written(repeated_spans(docs, fps, shared, window, shingle), "spans")
+    spans = repeated_spans(docs, fps, shared, window, shingle)
     index.close()
     changed = written(remove_spans(docs, spans, window), "kept")
+    discard(fps, shared, spans)
     marks = changed.select("doc_id", "whole_sha256", "n_removed", F.col("kept_sha256").alias("new_sha256")).distinct()
     base = word_digests(docs)
     digests = base.join(marks, ["doc_id", "whole_sha256"], "left").select(
