@@ -1,7 +1,7 @@
 """From raw documents to encoded training text: five stages, each one operator over all that the stage before kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a
-DataFrame. run() applies them to the documents, writing each stage's result to the shared folder.
+DataFrame. run() applies them to the documents, writing each stage's result to the shared folder and removing it once the next stage is written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tricklake.llm.common import table, written
+from tricklake.llm.common import discard, table, written
 from tricklake.llm.curriculum import mix, schedule
 from tricklake.llm.line_dedup import line_dedup
 from tricklake.llm.minhash_dedup import near_duplicates
@@ -77,5 +77,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
