@@ -79,9 +79,10 @@ def add_hand_masks(df: DataFrame) -> DataFrame:
 
 def metric_columns(df: DataFrame, name: str, of_suit) -> DataFrame:
     """A suit metric as columns name_d_s, name_d, name_NS, name_EW, name_NS_s, name_EW_s."""
-    h = B.hands(F.col("PBN"))
-    by = {f"{name}_{d}_{s}": of_suit(h[i][j]) for i, d in enumerate(B.SEATS) for j, s in enumerate(B.SUITS)}
-    df = df.withColumns(by)
+    # the sixteen suits are cut out once, in a projection of their own
+    df = df.withColumn("_suits", F.split(F.substring("PBN", F.lit(3), F.length("PBN")), "[ .]", -1))
+    by = {f"{name}_{d}_{s}": of_suit(F.get("_suits", F.lit(4 * i + j))) for i, d in enumerate(B.SEATS) for j, s in enumerate(B.SUITS)}
+    df = df.withColumns(by).drop("_suits")
     total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
     df = df.withColumns({f"{name}_{d}": total([f"{name}_{d}_{s}" for s in B.SUITS]) for d in B.SEATS})
     pairs = {f"{name}_{p}": total([f"{name}_{d}" for d in p]) for p in PAIRS}
