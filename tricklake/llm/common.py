@@ -53,7 +53,7 @@ class WordIds(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
