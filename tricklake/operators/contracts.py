@@ -112,11 +112,20 @@ def trick_flags(df: DataFrame) -> DataFrame:
 
 
 def player_means(df: DataFrame) -> DataFrame:
-    """Mean trick difference of each declarer and mean Defender_Par_GE of each leader and other defender, on every row; aggregated first, so a busy player is no hot window. Rows without such a player have their own mean."""
-    good = F.avg(F.col("Defender_Par_GE").cast("int"))
-    for key, mean, name in (("Declarer_ID", F.avg("DD_Tricks_Diff"), "Declarer_Rating"), ("OnLead_ID", good, "Defender_OnLead_Rating"), ("NotOnLead_ID", good, "Defender_NotOnLead_Rating")):
-        by = df.groupBy(F.col(key).alias("_k")).agg(mean.alias(name))
-        df = df.join(by, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    """Mean trick difference of each declarer and mean Defender_Par_GE of each leader and other defender, on every row; rows without such a player have their own mean.
+
+    All three means come from one aggregate, so a busy player is no hot window; it goes to a table in the shared folder that three joins read.
+    """
+    from ..sources.folders import shared_folder
+
+    good = F.col("Defender_Par_GE").cast("double")
+    means = [("Declarer_ID", F.col("DD_Tricks_Diff").cast("double"), "Declarer_Rating"), ("OnLead_ID", good, "Defender_OnLead_Rating"), ("NotOnLead_ID", good, "Defender_NotOnLead_Rating")]
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("mean"), F.col(key).alias("id"), value.alias("value")) for key, value, name in means])).alias("r")).select("r.*")
+    by, path = rows.groupBy("mean", "id").agg(F.avg("value").alias("value")), shared_folder(df.sparkSession, "player-means")
+    by.write.parquet(path)
+    by = df.sparkSession.read.schema(by.schema).parquet(path)
+    for key, _, name in means:
+        df = df.join(by.where(F.col("mean") == name).select(F.col("id").alias("_k"), F.col("value").alias(name)), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
     return df
 
 

@@ -164,35 +164,44 @@ def expected_values(hist: DataFrame) -> DataFrame:
     return e.select("deal_id", "Board", "seat", "strain", *[F.col(v)[n - 1].alias(f"{v.upper()}{n}") for v in ("nv", "v") for n in range(1, 8)])
 
 
-def _order() -> Column:
-    """Generation order of a seat and strain: side, seat, strain (spades first)."""
-    return F.instr(F.lit("NSEW"), F.col("seat")) * 100 + F.instr(F.lit(B.TRICK_STRAINS), F.col("strain"))
+#: expected values are packed above the place of their contract, so that one number holds both and is aggregated by hash
+_SHIFT, _ZERO = 256, 2**34
 
 
 def _best_level(evs: Column) -> Column:
-    """The best (ev, o, level) of a list of levels; o orders ties: the first in generation order is largest."""
-    return F.array_max(F.transform(evs, lambda e, i: F.struct(e.alias("ev"), (-(_order() * 10 + i)).alias("o"), (i + 1).alias("level"))))
+    """The best of a seat and strain's levels, packed: its value in millionths, then its contract; of equal values the first in generation order (side, seat, strain with spades first, level) is largest."""
+    cell = (F.instr(F.lit("NSEW"), F.col("seat")) - 1) * 35 + (F.instr(F.lit(B.TRICK_STRAINS), F.col("strain")) - 1) * 7
+    return F.array_max(F.transform(evs, lambda e, i: (F.round(e * 1e6).cast("long") + _ZERO) * _SHIFT + (_SHIFT - 1) - (cell + i)))
+
+
+def _value(packed: Column) -> Column:
+    return (F.floor(packed / _SHIFT) - _ZERO) / 1e6
+
+
+def _contract(packed: Column) -> Column:
+    """The packed contract, like 4S N."""
+    place = (_SHIFT - 1) - F.pmod(packed, F.lit(_SHIFT))
+    return F.concat((place % 7 + 1).cast("int").cast("string"), B.nth(B.TRICK_STRAINS, F.floor(place / 7) % 5), F.lit(" "), B.nth("NSEW", F.floor(place / 35)))
 
 
 def best_contracts(evs: DataFrame) -> DataFrame:
     """evs of ev_lists -> best expected value and its contract per deal and vulnerability at five grains: deal, side, seat, strain, seat and strain; ties go to the first in generation order."""
     both = F.explode(F.array(F.struct(F.lit(False).alias("vul"), _best_level(F.col("nv")).alias("b")), F.struct(F.lit(True).alias("vul"), _best_level(F.col("v")).alias("b"))))
     rows = evs.select("deal_id", "seat", "strain", B.side_of(F.col("seat")).alias("side"), both.alias("x")).select("*", "x.vul", "x.b")
-    top = F.max(F.struct("b.ev", "b.o", "b.level", F.col("strain").alias("st"), F.col("seat").alias("se"))).alias("top")
     keys = ["deal_id", "vul"]
     sets = [keys, [*keys, "side"], [*keys, "seat"], [*keys, "strain"], [*keys, "seat", "strain"]]
-    g = rows.groupingSets([[F.col(c) for c in s] for s in sets], "deal_id", "vul", "side", "seat", "strain").agg(top)
-    return g.select("deal_id", "vul", "side", "seat", "strain", "top.ev", F.concat(F.col("top.level").cast("string"), "top.st", F.lit(" "), "top.se").alias("contract"))
+    g = rows.groupingSets([[F.col(c) for c in s] for s in sets], "deal_id", "vul", "side", "seat", "strain").agg(F.max("b").alias("top"))
+    return g.select("deal_id", "vul", "side", "seat", "strain", _value(F.col("top")).alias("ev"), _contract(F.col("top")).alias("contract"))
 
 
 def applicable_ev(evs: DataFrame) -> DataFrame:
     """evs of ev_lists at the board's own vulnerability -> per deal the best of each side and its contract, the best of all and its side (NS on ties)."""
     own = F.when(B.seat_is_vulnerable(B.vul_code(F.col("Board")), F.col("seat")), F.col("v")).otherwise(F.col("nv"))
-    rows = evs.select("deal_id", "seat", "strain", _best_level(own).alias("b"))
-    top = lambda p: F.max(F.when(B.side_of(F.col("seat")) == p, F.struct("b.ev", "b.o", F.concat(F.col("b.level").cast("string"), "strain", F.lit(" "), "seat").alias("contract"))))
+    rows = evs.select("deal_id", "seat", _best_level(own).alias("b"))
+    top = lambda p: F.max(F.when(B.side_of(F.col("seat")) == p, F.col("b")))
     by = rows.groupBy("deal_id").agg(top("NS").alias("n"), top("EW").alias("e"))
-    side = F.when(F.col("n.ev") >= F.col("e.ev"), "NS").otherwise("EW")
-    return by.select("deal_id", F.col("n.ev").alias("EV_Max_NS"), F.col("e.ev").alias("EV_Max_EW"), F.col("n.contract").alias("EV_Contract_NS"), F.col("e.contract").alias("EV_Contract_EW"), F.greatest("n.ev", "e.ev").alias("EV_Max"), side.alias("EV_Side"))
+    by = by.select("deal_id", _value(F.col("n")).alias("EV_Max_NS"), _value(F.col("e")).alias("EV_Max_EW"), _contract(F.col("n")).alias("EV_Contract_NS"), _contract(F.col("e")).alias("EV_Contract_EW"))
+    return by.withColumns({"EV_Max": F.greatest("EV_Max_NS", "EV_Max_EW"), "EV_Side": F.when(F.col("EV_Max_NS") >= F.col("EV_Max_EW"), "NS").otherwise("EW")})
 
 
 def declarer_ev(df: DataFrame) -> DataFrame:
