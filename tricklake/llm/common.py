@@ -103,3 +103,22 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of the graph of links(a, b): rows (v, component), component being the smallest vertex reachable."""
     return components(links, scratch(links.sparkSession, "cc"))
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df, written, with a dense index 0, 1, 2 ... by order (nulls first, strings bytewise); rows that tie are numbered in any order.
+
+    A range sort deals the rows out, each keeps its place in its partition, and only the partitions' sizes, a row each, come to the driver. No task sees all rows.
+    Rows that tie in all of order are spread by a random number, so a third of all rows may tie.
+    """
+    spark = df.sparkSession
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    spread = df.withColumn("_tie", F.rand(11)).repartitionByRange(shuffle_parts(df), *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    placed = written(spread.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, total = [], 0
+    for p, n in sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect())):
+        starts.append((p, total))
+        total += n
+    begin = spark.createDataFrame(starts, "_p long, _start long")  # a row for each partition of the sort
+    return placed.withColumn("_p", part).join(F.broadcast(begin), "_p").withColumn(name, F.col("_start") + place).drop("_p", "_start", "_at")
