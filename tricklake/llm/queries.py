@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from . import curriculum, line_dedup, lm_scoring, minhash_dedup, order_minhash, piece_codec, simhash_dedup, substring_dedup, topk_search, toxicity, warc
+from . import curriculum, line_dedup, lm_scoring, merkle, minhash_dedup, order_minhash, piece_codec, simhash_dedup, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_covering_simhash": simhash_dedup.op11_covering_simhash,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLES = {
     "op1_topk_search": topk_search.ORACLE,
     "op5_curriculum_mix": curriculum.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
