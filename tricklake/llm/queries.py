@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
-from . import curriculum, line_dedup, lm_scoring, merkle, minhash_dedup, order_minhash, piece_codec, simhash_dedup, substring_dedup, topk_search, toxicity, warc
+from . import curriculum, line_dedup, lm_scoring, merkle, minhash_dedup, order_minhash, piece_codec, simhash_dedup, spelling, substring_dedup, topk_search, toxicity, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_covering_simhash": simhash_dedup.op11_covering_simhash,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_curriculum_mix": curriculum.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
