@@ -117,8 +117,10 @@ def links_within(prints: DataFrame, radius: int, most: int = MOST) -> DataFrame:
     found = []
     while masks:
         cover = [(m, _signed(m % (1 << BITS) | sub)) for m in masks for sub in covering_masks(radius, ~m % (1 << BITS))]
-        # 2**(radius + 1) - 1 rows a mask, whatever the data
-        dealt = open_.join(F.broadcast(spark.createDataFrame(cover, "mask long, next long")), "mask")
+        if masks == [0]:
+            dealt = open_.withColumn("next", F.explode(F.array(*(F.lit(x).cast("long") for _, x in cover))))
+        else:  # 2**(radius + 1) - 1 rows a mask, whatever the data
+            dealt = open_.join(F.broadcast(spark.createDataFrame(cover, "mask long, next long")), "mask")
         posts = dealt.select("fp", F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"))
         if masks != [0]:
             posts = posts.distinct()  # two masks may have the same next one
