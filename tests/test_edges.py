@@ -87,3 +87,10 @@ def test_auctions_that_break_the_rules(spark):
     got = df.select(bidding.analyse(F.filter(F.split("t", "-"), lambda b: b != ""), F.lit("N")).alias("x")).select("x.legal", "x.contract").collect()
     for (_, legal, contract), r in zip(rows, got):
         assert r.legal == legal and (not legal or r.contract == contract)
+
+
+def test_top_of_a_board_without_scores(spark):
+    rows = [(1, None, 4), (1, None, None), (2, 50, 4), (2, 60, None), (2, 70, 1), (3, 10, 4)]
+    df = spark.createDataFrame(rows, "Board int, Score_NS int, MP_Top long")
+    assert sorted((r.Board, r.MP_Top) for r in matchpoints.board_top(df, ["Board"]).collect()) == [(2, 1), (2, 2), (2, 2)]
+    assert sorted((r.Board, r.MP_Top) for r in matchpoints.board_top(df.drop("MP_Top"), ["Board"]).collect()) == [(2, 2)] * 3

@@ -43,7 +43,8 @@ def board_top(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -
     """
     n = df.where(F.col(score).isNotNull()).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_top"))
     df = df.join(n, keys, "left")
-    df = df.withColumn("MP_Top", F.least("MP_Top", "_top") if "MP_Top" in df.columns else F.col("_top")).drop("_top")
+    field = F.coalesce("_top", F.lit(-1))  # a board without any score has no field, whatever top is given
+    df = df.withColumn("MP_Top", F.least("MP_Top", field) if "MP_Top" in df.columns else field).drop("_top")
     if {"Pct_NS", "Pct_EW"} <= set(df.columns):
         df = df.withColumns({f"MP_{p}": F.round(F.col(f"Pct_{p}") * F.col("MP_Top"), 2) for p in ("NS", "EW")})
     elif {"MP_NS", "MP_EW"} <= set(df.columns):
