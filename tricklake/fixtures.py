@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import bridge as B
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,15 +21,19 @@ def with_pbn(df: DataFrame, deal_id: str = "deal_id") -> DataFrame:
     """Add PBN, the deal of a number: cards ordered by (i + 1) * k mod 10007, thirteen to each seat."""
     k = 1 + (F.col(deal_id) * 7919 + 13) % 10006
     # place and card in one number: the order of the numbers is that of the places, which differ
-    shuffled = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(51)), lambda i: ((i + 1) * F.col("_k")) % 10007 * 52 + i))
+    shuffled = F.sort_array(F.array(*[((i + 1) * F.col("_k")) % 10007 * 52 + i for i in range(52)]))
+
+    def hand(seat: int) -> Column:
+        """A letter for each card, in the order of the cards."""
+        return F.array_join(F.sort_array(F.transform(F.slice(F.col("_c"), 13 * seat + 1, 13), lambda c: B.nth(_LETTERS, c % 52))), "")
 
-    def hand(seat: int) -> tuple[Column, Column]:
-        cards = F.array_sort(F.transform(F.slice(F.col("_c"), 13 * seat + 1, 13), lambda c: (c % 52).cast("int")))
-        suits = [F.array_join(F.transform(F.filter(F.col(f"_h{seat}"), lambda c: c.between(13 * s, 13 * s + 12)), lambda c: B.nth(B.RANKS, c - 13 * s)), "") for s in range(4)]
-        return cards, F.concat_ws(".", *suits)
+    def suit(seat: int, s: int) -> Column:
+        """The ranks of a suit's letters; other letters go."""
+        own = _LETTERS[13 * s : 13 * s + 13]
+        return F.translate(f"_h{seat}", own + "".join(c for c in _LETTERS if c not in own), B.RANKS)
 
-    df = df.withColumn("_k", k).withColumn("_c", shuffled).withColumns({f"_h{seat}": hand(seat)[0] for seat in range(4)})
-    return df.withColumn("PBN", F.concat(F.lit("N:"), F.concat_ws(" ", *[hand(seat)[1] for seat in range(4)]))).drop("_k", "_c", *[f"_h{seat}" for seat in range(4)])
+    df = df.withColumn("_k", k).withColumn("_c", shuffled).withColumns({f"_h{seat}": hand(seat) for seat in range(4)})
+    return df.withColumn("PBN", F.concat(F.lit("N:"), F.concat_ws(" ", *[F.concat_ws(".", *[suit(seat, s) for s in range(4)]) for seat in range(4)]))).drop("_k", "_c", *[f"_h{seat}" for seat in range(4)])
 
 
 def deal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bridge as B
+from ..functions.rows import computed
 from ..operators.canonical import FRENCH_SEATS
 from .documents import all_matches, text_of
 
@@ -119,22 +120,28 @@ def route(pages: DataFrame) -> DataFrame:
 
 def boards(pages: DataFrame) -> DataFrame:
     """One row a board page: board, deal, top, dealer, vulnerability, contract, lead, result, score, both pairs and ids. Pages without a board number are left out; a deal needs sixteen suits of the hands North, West, East, South."""
-    html = F.col("html")
-    text = text_of(F.regexp_replace("html", "&nbsp;", " "))
-    number = _found(text, r"Donne\s+(\d+)").try_cast("int")
-    # a void is written as a dash or left blank
-    suits = F.transform(all_matches(html, r'(?s)<div class="flex-grow-1 ms-3 gros">\s*(?:&nbsp;)?([^<]*?)\s*</div>'), lambda c: F.translate(F.trim(c), "RDV-— ", "KQJ"))
-    hand = lambda i: F.array_join(F.slice(suits, 4 * i + 1, 4), ".")
-    pbn = F.when(F.size(suits) == 16, F.concat(F.lit("N:"), F.concat_ws(" ", hand(0), hand(2), hand(3), hand(1))))
-    span = F.regexp_extract(html, r"(?s)Contrat\s*\((.*?)<br>", 0)
-    seat = F.regexp_extract(span, r"Contrat\s*\(([NESO])\)", 1)
-    strain = F.coalesce(_found(span, r'<span class="(pique|coeur|carreau|trefle)">'), _found(span, r":\s*\d+\s*(?:&nbsp;)?\s*(SA)"))
+    html, text = F.col("html"), F.col("text")
     own, foe = r"([\p{L}]+)\s+-\s+([\p{L}]+)\s+\((\d+)\s+([A-Za-z]+)\)", r"contre\s+(NS|EW|EO)\s*:\s*([\p{Lu}\s\-]+?)\s*\((\d+)\s+([A-Z])\)"
-    dealer = F.coalesce(B.lookup(DEALERS, _found(text, r"Donneur\s*:\s*(\p{L}+)")), B.dealer_of(number))
-    return pages.where(number.isNotNull()).select(
-        "page_id", number.alias("Board"), pbn.alias("PBN"), _found(text, r"Top\s*=\s*(\d+)").try_cast("int").alias("MP_Top"), dealer.alias("Dealer"), B.lookup(VULS, _found(text, r"Vulnérabilité\s*:\s*([\p{L}\-]+)")).alias("Vul"), B.lookup(FRENCH_SEATS, seat).alias("Declarer"),
-        _card(_found(text, r"Entame\s*:\s*([♠♥♦♣]\s*[^\s—]+)")).alias("Lead"), F.concat(_found(span, r":\s*(\d)"), B.lookup(STRAINS, strain), B.lookup(FRENCH_SEATS, seat)).alias("Contract"), F.replace(_found(text, r"Résultat\s*:\s*([+-]?\d+|=)"), F.lit("="), F.lit("0")).try_cast("int").alias("Result"),
-        _found(html, r'(?s)<div class="row colorise">.*?<div class="col-3">\s*(-?\d+)\s*</div>').try_cast("int").alias("Score"), _found(html, r'(?s)<div class="col p-0 h2">(.*?)</div>').alias("Event_Name"),
-        F.concat(_found(text, own, 1), F.lit(" - "), _found(text, own, 2)).alias("Team_Name"), _found(text, own, 3).try_cast("long").alias("Pair_Number"), _found(text, own, 4).alias("Section"), _query(F.col("url"), "tr").alias("Tournament_ID"), _query(F.col("url"), "cl").alias("Club_ID"),
-        B.lookup(SIDES, _found(text, foe, 1)).alias("Opponent_Pair_Direction"), _found(text, foe, 3).try_cast("long").alias("Opponent_Pair_Number"), _found(text, foe, 2).alias("Opponent_Pair_Names"), _found(text, foe, 4).alias("Opponent_Pair_Section"),
+    # the page's text once; then each pattern once over the page, its groups from what it has found
+    plain = computed(pages, "page_id", "url", "html", text_of(F.regexp_replace("html", "&nbsp;", " ")).alias("text"))
+    whole = lambda source, pattern: F.regexp_extract(source, pattern, 0)
+    p = computed(
+        plain, "page_id", "url", _found(text, r"Donne\s+(\d+)").try_cast("int").alias("number"),
+        # a void is written as a dash or left blank
+        F.transform(all_matches(html, r'(?s)<div class="flex-grow-1 ms-3 gros">\s*(?:&nbsp;)?([^<]*?)\s*</div>'), lambda c: F.translate(F.trim(c), "RDV-— ", "KQJ")).alias("suits"),
+        whole(html, r"(?s)Contrat\s*\((.*?)<br>").alias("span"), whole(text, own).alias("own"), whole(text, foe).alias("foe"), _found(text, r"Donneur\s*:\s*(\p{L}+)").alias("dealer"), _found(text, r"Top\s*=\s*(\d+)").try_cast("int").alias("top"),
+        _found(text, r"Vulnérabilité\s*:\s*([\p{L}\-]+)").alias("vul"), _found(text, r"Entame\s*:\s*([♠♥♦♣]\s*[^\s—]+)").alias("lead"), _found(text, r"Résultat\s*:\s*([+-]?\d+|=)").alias("result"),
+        _found(html, r'(?s)<div class="row colorise">.*?<div class="col-3">\s*(-?\d+)\s*</div>').try_cast("int").alias("score"), _found(html, r'(?s)<div class="col p-0 h2">(.*?)</div>').alias("event"),
+    ).where("number is not null")
+    span = F.col("span")
+    hand = lambda i: F.array_join(F.slice("suits", 4 * i + 1, 4), ".")
+    pbn = F.when(F.size("suits") == 16, F.concat(F.lit("N:"), F.concat_ws(" ", hand(0), hand(2), hand(3), hand(1))))
+    strain = F.coalesce(_found(span, r'<span class="(pique|coeur|carreau|trefle)">'), _found(span, r":\s*\d+\s*(?:&nbsp;)?\s*(SA)"))
+    p = p.withColumns({"seat": B.lookup(FRENCH_SEATS, F.regexp_extract(span, r"Contrat\s*\(([NESO])\)", 1)), "strain": B.lookup(STRAINS, strain)})
+    mine, theirs = (lambda i, name=name, pattern=pattern: _found(F.col(name), pattern, i) for name, pattern in (("own", own), ("foe", foe)))
+    return p.select(
+        "page_id", F.col("number").alias("Board"), pbn.alias("PBN"), F.col("top").alias("MP_Top"), F.coalesce(B.lookup(DEALERS, F.col("dealer")), B.dealer_of(F.col("number"))).alias("Dealer"), B.lookup(VULS, F.col("vul")).alias("Vul"), F.col("seat").alias("Declarer"),
+        _card(F.col("lead")).alias("Lead"), F.concat(_found(span, r":\s*(\d)"), "strain", "seat").alias("Contract"), F.replace("result", F.lit("="), F.lit("0")).try_cast("int").alias("Result"), F.col("score").alias("Score"), F.col("event").alias("Event_Name"),
+        F.concat(mine(1), F.lit(" - "), mine(2)).alias("Team_Name"), mine(3).try_cast("long").alias("Pair_Number"), mine(4).alias("Section"), _query(F.col("url"), "tr").alias("Tournament_ID"), _query(F.col("url"), "cl").alias("Club_ID"),
+        B.lookup(SIDES, theirs(1)).alias("Opponent_Pair_Direction"), theirs(3).try_cast("long").alias("Opponent_Pair_Number"), theirs(2).alias("Opponent_Pair_Names"), theirs(4).alias("Opponent_Pair_Section"),
     )
