@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tricklake.functions import bridge as B
 from tricklake.operators import bidding, contracts, deals, features, matchpoints, scoring
-from tricklake.sources import tables
+
 
 
 def test_quality_flags(spark):
@@ -103,9 +103,6 @@ def test_par_lists_that_mean_the_same(spark):
 
 
 def test_no_caps(spark):
-    # a record with a field of 300 characters
-    df = spark.createDataFrame([("f", f"bn|1|dl|N|vu|0|ct|PASS|sc|0|mb|{'x' * 300}|")], "source_file string, value string")
-    assert tables.parse_records(df).first().bid == ["x" * 300]
     # a chain of 80 rules
     rules = spark.createDataFrame([(i, i - 1, "1C") for i in range(1, 81)], "rule_id int, parent int, bid string")
     assert bidding.with_ancestors(rules).where("rule_id = 80").count() == 80

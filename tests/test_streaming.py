@@ -41,10 +41,12 @@ def test_late_sessions_are_kept_apart(spark, tmp_path):
 
 def test_record_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    src, out, cp = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
-    (tmp_path / "in" / "a.txt").write_text("bn|3|dl|N|vu|1|ct|4S|sc|420|mb|p|mb|4S!|")
-    S.ingest_records(spark, src, out, cp).awaitTermination(120)
-    (tmp_path / "in" / "b.txt").write_text("bn|x|dl|E|vu|0|ct|PASS|sc|0|")
-    S.ingest_records(spark, src, out, cp).awaitTermination(120)
-    got = sorted((r.board_num or 0, r.contract, len(r.issues)) for r in spark.read.parquet(out).collect())
-    assert got == [(0, "PASS", 1), (3, "4S", 0)]
+    src, out, bad, cp = (f"file://{tmp_path}/{x}" for x in ("in", "out", "bad", "cp"))
+    passed = "mb|p|mb|p|mb|p|mb|p|"
+    (tmp_path / "in" / "a.lin").write_text(f"md|1SAK,HAK,DAK,CAK|sv|o|ah|Board 3|{passed}")
+    S.ingest_records(spark, src, out, bad, cp).awaitTermination(120)
+    (tmp_path / "in" / "b.lin").write_text(f"md|2SAK,HAK,DAK,CAK|sv|b|ah|Board 4|{passed}md|2SAK,HAK,DAK,CAK|{passed}")
+    (tmp_path / "in" / "c.lin").write_bytes(b"\xff\xff md|1|")
+    S.ingest_records(spark, src, out, bad, cp).awaitTermination(120)
+    assert sorted((r.board_num, r.dealer, r.contract, r.b) for r in spark.read.parquet(out).collect()) == [(3, "S", "PASS", 0), (4, "W", "PASS", 1)]
+    assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["error", "null_vulnerability"]

@@ -147,11 +147,17 @@ def clean_results(rows: DataFrame) -> DataFrame:
 
 
 def from_game_records(rows: DataFrame) -> DataFrame:
-    """Third provider (record files): its own vulnerability code, placeholder pairs and players, source columns dropped."""
-    side = {"Pair_Number_NS": F.lit(1), "Pair_Number_EW": F.lit(2)} | {f"Player_ID_{d}": F.lit(d) for d in B.SEATS}
-    contract = F.when(F.col("passout"), "PASS").otherwise(F.concat(F.col("level").cast("string"), "denom", "penalty", "declarer"))
-    out = rows.withColumns({"Board": F.col("board_num"), "Vul": B.lookup(RECORD_VULS, F.col("vulnerability")), "Contract": contract, "Score_NS": F.col("score")} | side)
-    return out.select("Board", "Vul", "Contract", "Score_NS", *side)
+    """Third provider (rows of parse_records): its own vulnerability code and names, placeholder pairs and player ids, source columns dropped.
+
+    A board passed out scores 0; one without an auction that is over has no contract, one whose play or claim is missing no score.
+    """
+    side = {"Pair_Number_NS": F.lit(1), "Pair_Number_EW": F.lit(2)} | {f"Player_ID_{d}": F.lit(d) for d in B.SEATS} | {f"Player_Name_{d}": F.col(f"Player_{d}") for d in B.SEATS}
+    sign = F.when(F.col("declarer").isin("north", "south"), 1).otherwise(-1)
+    out = rows.withColumns({
+        "Board": F.col("board_num"), "Vul": B.lookup(RECORD_VULS, F.col("vulnerability")), "Contract": F.col("contract"), "Score_NS": F.when(F.col("passout"), 0).otherwise(F.col("score") * sign),
+        "Result": F.col("result"), "Tricks": F.col("result") + F.col("level") + 6,
+    } | side)
+    return out.select("Board", "Vul", "Contract", "Score_NS", "Result", "Tricks", "PBN", *side)
 
 
 def with_standings(boards: DataFrame, standings: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bidding, canonical, contracts, deals, documents, features, matchpoints, ratings, scoring, tables
+from . import bidding, canonical, contracts, deals, documents, features, matchpoints, ratings, records, scoring, tables
 
-MODULES = (tables, documents, canonical, deals, scoring, contracts, matchpoints, ratings, bidding, features)
+MODULES = (tables, records, documents, canonical, deals, scoring, contracts, matchpoints, ratings, bidding, features)
 QUERIES = {name: run for m in MODULES for name, run in m.Q.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.O.items()}

@@ -1,4 +1,4 @@
-"""Queries CAN1 to CAN23 and their DuckDB equivalents."""
+"""Queries CAN1 to CAN11 and CAN13 to CAN23 and their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -130,15 +130,6 @@ Q["can11_clean_results"] = lambda s, d: N.clean_results(raw_rows(s, d)).select("
 O["can11_clean_results"] = X.oracle("SELECT session_id, Board - 2 AS b, Contract, Result, Score_NS, Tricks, least(1.0, (o % 130) / 100) AS Pct_NS FROM br WHERE Board > 2", "br")
 
 
-def records(spark, sf):
-    b = C.split_contract(X.board_results(spark, sf))
-    r = b.select(F.col("Board").alias("board_num"), (F.col("o") % 5).cast("int").alias("vulnerability"), F.coalesce(F.col("Contract") == "PASS", F.lit(False)).alias("passout"), F.col("BidLvl").alias("level"), F.col("BidSuit").alias("denom"), F.col("Dbl").alias("penalty"), F.col("Declarer_Direction").alias("declarer"), F.col("Score_NS").alias("score"))
-    return N.from_game_records(r)
-
-
-reg("can12_game_records", records, "SELECT Board, CASE o % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'Both' WHEN 2 THEN 'N_S' WHEN 3 THEN 'E_W' END AS Vul, Contract, Score_NS, 1 AS Pair_Number_NS, 2 AS Pair_Number_EW, 'N' AS Player_ID_N, 'E' AS Player_ID_E, 'S' AS Player_ID_S, 'W' AS Player_ID_W FROM br", "br")
-
-
 def standing(spark, sf):
     st = X.table(spark, sf, "customer").where("c_custkey <> 12").select(F.col("c_custkey").cast("int").alias("pair"), F.concat(F.lit("A"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") != 4, F.concat(F.lit(" & B"), F.col("c_custkey").cast("string"))).otherwise("")).alias("players"), (F.col("c_custkey") / 2).alias("pct"))
     return N.with_standings(X.board_results(spark, sf).select(*PK), st)

@@ -1,4 +1,4 @@
-"""Queries SRC1 to SRC15 and their DuckDB equivalents."""
+"""Queries SRC1 to SRC4 and SRC9 to SRC15 and their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -31,42 +31,6 @@ reg("src3_indexed_scan", lambda s, d: S.with_index(S.require(orders(s, d).select
 reg("src4_filtered_scan", lambda s, d: S.scan(s, f"{d}/orders.parquet", ["o_orderkey", "o_orderpriority"], F.col("o_orderstatus") == "F"), "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
 
 
-def record_texts(spark, sf):
-    """Game records as text, one an order."""
-    o = orders(spark, sf).select("o_orderkey", "o_custkey")
-    k = F.col("o_orderkey")
-    part = lambda key, v: F.concat(F.lit(f"{key}|"), v.cast("string"), F.lit("|"))
-    text = F.concat(
-        F.when(k % 13 == 0, "").otherwise(part("bn", k % 36 + 1)), F.when(k % 17 == 0, "").otherwise(part("dl", F.substring(F.lit("NESW"), (k % 4 + 1).cast("int"), F.lit(1)))), part("vu", k % 5),
-        part("ct", F.when(k % 9 == 0, "PASS").otherwise(F.concat((k % 7 + 1).cast("string"), F.lit("S")))), F.when(k % 11 == 0, "sc|n/a|").otherwise(part("sc", k % 900 - 300)),
-        F.lit("mb|p|mb|1N!|mb|"), F.when(k % 2 == 0, "d").otherwise("2H"), F.lit("|pc|SA|pc|H2|"),
-    )
-    return o.select(F.concat(F.lit("f"), (k / 10).cast("int").cast("string")).alias("source_file"), text.alias("value"), k.alias("k"))
-
-
-def fresh(spark, sf):
-    done = orders(spark, sf).where("o_orderkey % 40 = 0").select(F.concat(F.lit("f"), (F.col("o_orderkey") / 10).cast("int").cast("string")).alias("source_file"))
-    return S.new_records(record_texts(spark, sf), done).select("source_file", "board_num", "score")
-
-
-REC = """(SELECT 'f' || o_orderkey // 10 AS source_file, o_orderkey AS k, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 36 + 1 END::INTEGER AS board_num, CASE WHEN o_orderkey % 17 > 0 THEN substr('NESW', (o_orderkey % 4 + 1)::INTEGER, 1) END AS dealer,
-  (o_orderkey % 5)::INTEGER AS vulnerability, CASE WHEN o_orderkey % 9 = 0 THEN 'PASS' ELSE o_orderkey % 7 + 1 || 'S' END AS contract, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 900 - 300 END::INTEGER AS score FROM orders)"""
-reg("src5_incremental_ingest", fresh, f"SELECT source_file, board_num, score FROM {REC} WHERE source_file NOT IN (SELECT 'f' || o_orderkey // 10 FROM orders WHERE o_orderkey % 40 = 0)")
-J = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "-")
-reg("src6_game_records", lambda s, d: S.parse_records(record_texts(s, d)).select("source_file", "board_num", "dealer", "vulnerability", "contract", "passout", "level", "denom", "score", *[J(c).alias(c) for c in ("bid", "bid_alertable", "bid_level", "play_suit", "play_rank", "issues")]),
-    f"""SELECT source_file, board_num, dealer, vulnerability, contract, contract = 'PASS' AS passout, CASE WHEN contract <> 'PASS' THEN left(contract, 1)::INTEGER END AS level, CASE WHEN contract <> 'PASS' THEN 'S' END AS denom, score,
-  'p,1N,' || CASE WHEN k % 2 = 0 THEN 'd' ELSE '2H' END AS bid, 'false,true,false' AS bid_alertable, '-,1,' || CASE WHEN k % 2 = 0 THEN '-' ELSE '2' END AS bid_level, 'S,H' AS play_suit, 'A,2' AS play_rank,
-  concat_ws(',', CASE WHEN board_num IS NULL THEN 'no board' END, CASE WHEN dealer IS NULL THEN 'no dealer' END, CASE WHEN score IS NULL THEN 'no score' END) AS issues FROM {REC}""")
-OK = "board_num IS NOT NULL AND dealer IS NOT NULL AND vulnerability BETWEEN 0 AND 3"
-reg("src7_valid_records", lambda s, d: S.parse_records(record_texts(s, d)).where(S.is_valid_record()).select("source_file", "board_num", "dealer"), f"SELECT source_file, board_num, dealer FROM {REC} WHERE {OK}")
-
-
-def qual(spark, sf):
-    valid, issues = S.quality(S.parse_records(record_texts(spark, sf)))
-    return valid.select(F.col("valid").cast("string").alias("what"), "n").unionByName(issues.select(F.col("issue").alias("what"), "n"))
-
-
-reg("src8_quality_counters", qual, f"SELECT ({OK})::VARCHAR AS what, count(*) AS n FROM {REC} GROUP BY 1 UNION ALL SELECT * FROM (SELECT 'no board', count(*) FROM {REC} WHERE board_num IS NULL UNION ALL SELECT 'no dealer', count(*) FROM {REC} WHERE dealer IS NULL UNION ALL SELECT 'no score', count(*) FROM {REC} WHERE score IS NULL)")
 reg("src9_aligned_union", lambda s, d: S.aligned_union(orders(s, d).where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey"), orders(s, d).where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus"), ("o_orderkey",)),
     "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS o_orderstatus FROM orders")
 

@@ -139,40 +139,3 @@ def read_through(spark: SparkSession, path: str, key: str, compute) -> DataFrame
     if not jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
         compute().write.parquet(target)
     return spark.read.parquet(target)
-
-
-def parse_records(texts: DataFrame) -> DataFrame:
-    """texts(source_file, value), each a game record of `key|value|` fields -> one row a board with the auction and the issues found.
-
-    Fields: bn board, dl dealer, vu vulnerability code, ct contract (or PASS), sc score, mb bid! (a bang marks an alert) repeated, pc card repeated.
-    """
-    fields = F.transform(F.regexp_extract_all("value", F.lit(r"(\w\w\|[^|]*)\|"), F.lit(1)), lambda f: F.struct(F.substring(f, 1, 2).alias("k"), F.substring(f, F.lit(4), F.length(f)).alias("v")))
-    df = texts.withColumn("_f", fields)
-    every = lambda k: F.transform(F.filter("_f", lambda f: f["k"] == k), lambda f: f["v"])
-    one = lambda k: F.try_element_at(every(k), F.lit(1))
-    bids = every("mb")
-    plain = F.transform(bids, lambda b: F.replace(b, F.lit("!"), F.lit("")))
-    contract = one("ct")
-    df = df.select(
-        "source_file", one("bn").try_cast("int").alias("board_num"), one("dl").alias("dealer"), one("vu").try_cast("int").alias("vulnerability"), contract.alias("contract"), (contract == "PASS").alias("passout"),
-        F.when(contract != "PASS", F.substring(contract, 1, 1).try_cast("int")).alias("level"), F.when(contract != "PASS", F.substring(contract, 2, 1)).alias("denom"), one("sc").try_cast("int").alias("score"),
-        plain.alias("bid"), F.transform(bids, lambda b: F.contains(b, F.lit("!"))).alias("bid_alertable"), F.transform(plain, lambda b: F.when(b.rlike("^[1-7]"), F.substring(b, 1, 1).try_cast("int"))).alias("bid_level"),
-        F.transform(every("pc"), lambda c: F.substring(c, 1, 1)).alias("play_suit"), F.transform(every("pc"), lambda c: F.substring(c, 2, 1)).alias("play_rank"),
-    )
-    wrong = F.array(F.when(F.col("board_num").isNull(), "no board"), F.when(F.col("dealer").isNull(), "no dealer"), F.when(F.col("score").isNull(), "no score"))
-    return df.withColumn("issues", F.filter(wrong, lambda x: x.isNotNull()))
-
-
-def is_valid_record() -> Column:
-    """Board and dealer are there and the vulnerability is 0 to 3."""
-    return F.coalesce(F.col("board_num").isNotNull() & F.col("dealer").isNotNull() & F.col("vulnerability").between(0, 3), F.lit(False))
-
-
-def new_records(texts: DataFrame, done: DataFrame) -> DataFrame:
-    """Records of files that are not in the output yet."""
-    return parse_records(texts.join(done.select("source_file").distinct(), "source_file", "left_anti"))
-
-
-def quality(records: DataFrame, top: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Counts of valid and rejected records, and the most frequent issues."""
-    return records.groupBy(is_valid_record().alias("valid")).agg(F.count(F.lit(1)).alias("n")), records.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "issue").limit(top)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import matchpoints as M
-from ..sources.tables import parse_records
+from ..sources import records as R
 
 RESULTS = "session_id long, section_id long, Board int, Date date, Score_NS int, Pair_Number_NS int, Pair_Number_EW int"
 
@@ -51,7 +51,16 @@ def split_late(stream: DataFrame, target: str, late: str, checkpoint: str) -> St
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_records(spark: SparkSession, path: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Game-record files, whole, as they arrive; the checkpoint remembers which files are done."""
-    texts = spark.readStream.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    return parse_records(texts).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_records(spark: SparkSession, path: str, target: str, rejected: str, checkpoint: str) -> StreamingQuery:
+    """Game-record files, whole, as they arrive: valid boards to target, the others and files that cannot be read to rejected with the reason.
+
+    The checkpoint remembers which files are done; a batch writes its own folders, so a replay overwrites them.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = R.parse_records(batch)
+        R.valid_records(rows).write.mode("overwrite").parquet(f"{target}/b={number}")
+        R.quarantined(rows).write.mode("overwrite").parquet(f"{rejected}/b={number}")
+
+    texts = R.read_record_files(spark, path, stream=True)
+    return texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
