@@ -123,11 +123,11 @@ def test_auctions_go_on_to_their_end(spark, tmp_path):
 
 def test_bitmap_is_built_anew_when_a_source_changes(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, "N:AKQJT98765432... .AKQJT98765432.. ..AKQJT98765432. ...AKQJT98765432")], "deal_id long, Board int, PBN string")
-    a = bidding.stored_bitmap(df, ["HCP >= 10"], f"file://{tmp_path}")
-    assert a.count() == 4 and len(list(tmp_path.iterdir())) == 1
-    assert bidding.stored_bitmap(df, ["HCP >= 10"], f"file://{tmp_path}").count() == 4 and len(list(tmp_path.iterdir())) == 1
-    assert bidding.stored_bitmap(df.unionByName(df.withColumn("deal_id", F.lit(2).cast("long"))), ["HCP >= 10"], f"file://{tmp_path}").count() == 8
-    assert bidding.stored_bitmap(df, ["HCP >= 11"], f"file://{tmp_path}").count() == 0 and len(list(tmp_path.iterdir())) == 3
+    bits = lambda df, p: bidding.bitmap(bidding.stored_bitmap(df, p, f"file://{tmp_path}")).count()
+    assert bits(df, ["HCP >= 10"]) == 4 and len(list(tmp_path.iterdir())) == 1
+    assert bits(df, ["HCP >= 10"]) == 4 and len(list(tmp_path.iterdir())) == 1
+    assert bits(df.unionByName(df.withColumn("deal_id", F.lit(2).cast("long"))), ["HCP >= 10"]) == 8
+    assert bits(df, ["HCP >= 11"]) == 0 and len(list(tmp_path.iterdir())) == 3
 
 
 def test_trained_models_are_right(spark):

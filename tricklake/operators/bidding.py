@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bridge as B
+from ..sources.folders import remove, shared_folder
+
+#: Rules that go to every task as one trie; their predicates may be four times as many.
+SMALL_BOOK = 100_000
 
 # fixed values: rule phrases and the predicates they stand for, first match wins; * before a template marks one predicate for each card of that group
 PHRASES = [
@@ -104,9 +113,21 @@ def evaluate(features: DataFrame, predicates: list[str]) -> DataFrame:
     return features.select("deal_id", "seat", "Board", F.array(*[one(p) for p in predicates]).alias("truth"))
 
 
-def bitmap(truth: DataFrame) -> DataFrame:
+def pack(truth: DataFrame) -> DataFrame:
+    """truth as bits: (deal_id, seat, Board, words array<long>), predicate i (from 1) being bit (i - 1) % 64 of word (i - 1) / 64. A row a deal and seat, 64 predicates in 8 bytes."""
+    def word(part: Column) -> Column:
+        bits = F.transform(part, lambda t, i: F.when(t, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda w, x: w.bitwiseOR(x))
+
+    n = F.floor((F.size("truth") + 63) / 64).cast("int")
+    words = F.transform(F.filter(F.sequence(F.lit(0), n), lambda w: w < n), lambda w: word(F.slice("truth", w * 64 + 1, 64)))
+    return truth.select("deal_id", "seat", "Board", words.alias("words"))
+
+
+def bitmap(packed: DataFrame) -> DataFrame:
     """Long form of the true predicates: deal_id, seat, predicate_id (from 1)."""
-    return truth.select("deal_id", "seat", F.posexplode("truth").alias("i", "t")).where("t").select("deal_id", "seat", (F.col("i") + 1).alias("predicate_id"))
+    ids = F.filter(F.sequence(F.lit(1), F.size("words") * 64), lambda i: F.getbit(F.get("words", F.floor((i - 1) / 64).cast("int")), (i - 1) % 64) == 1)
+    return packed.select("deal_id", "seat", F.explode(F.when(F.size("words") > 0, ids)).alias("predicate_id"))
 
 
 def fingerprint(*sources: DataFrame) -> str:
@@ -119,12 +140,12 @@ def fingerprint(*sources: DataFrame) -> str:
 
 
 def stored_bitmap(deals: DataFrame, predicates: list[str], path: str) -> DataFrame:
-    """The bitmap table of these deals and predicates, stored by the fingerprint of both: it is built anew as soon as one of them has changed."""
+    """The packed predicates of these deals, stored by the fingerprint of both: the table is built anew as soon as one of them has changed."""
     from ..sources.tables import read_through
 
     spark = deals.sparkSession
     key = fingerprint(deals, spark.createDataFrame([(i, p) for i, p in enumerate(predicates)], "i int, p string"))
-    return read_through(spark, path, key, lambda: bitmap(evaluate(seat_features(deals), predicates)))
+    return read_through(spark, path, key, lambda: pack(evaluate(seat_features(deals), predicates)))
 
 
 def seat_of_turn(dealer: Column, turn: Column) -> Column:
@@ -136,48 +157,176 @@ def turn_of_seat(dealer: Column, seat: Column) -> Column:
     return F.pmod(F.instr(F.lit(B.SEATS), seat) - F.instr(F.lit(B.SEATS), dealer), F.lit(4)) + 1
 
 
-def rules_that_hold(bits: DataFrame, needs: DataFrame, seats: DataFrame, rules: DataFrame) -> DataFrame:
-    """Relational division: (deal_id, seat, rule_id) of the rules all of whose predicates are true.
+def requirement_trie(rules: list[tuple[int, list[int]]]) -> dict:
+    """(rule_id, predicate ids) as a trie: a node is {"rules": ids that end here, predicate: node}.
 
-    bits(deal_id, seat, predicate_id), needs(rule_id, predicate_id), seats(deal_id, seat); a rule without predicates holds everywhere.
+    A rule's predicates stand in the order of how many rules have them, so rules share long beginnings and a beginning is tested once for all of them.
+    """
+    used = Counter(p for _, needs in rules for p in set(needs))
+    root: dict = {"rules": []}
+    for rule, needs in rules:
+        node = root
+        for p in sorted(set(needs), key=lambda p: (-used[p], p)):
+            node = node.setdefault(p, {"rules": []})
+        node["rules"].append(rule)
+    return root
+
+
+def _matches(trie: dict, words: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """(rows, rules): for each node at which rules end, the rows of words(row, word) that have all its predicates. Rows fall out at the first predicate they lack."""
+    flags: dict[int, np.ndarray] = {}
+    stack = [(trie, np.arange(len(words)))]
+    while stack:
+        node, rows = stack.pop()
+        if node["rules"]:
+            yield rows, node["rules"]
+        for p, below in node.items():
+            if p == "rules":
+                continue
+            if p not in flags:
+                w, bit = divmod(p - 1, 64)
+                flags[p] = (words[:, w] >> np.uint64(bit) & np.uint64(1)).astype(bool) if w < words.shape[1] else np.zeros(len(words), bool)
+            left = rows[flags[p][rows]]
+            if len(left):
+                stack.append((below, left))
+
+
+def _words_of(batch: pa.RecordBatch) -> np.ndarray:
+    lists = batch["words"]
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(batch.num_rows, -1) if batch.num_rows and len(lists.flatten()) else np.zeros((batch.num_rows, 0), np.uint64)
+
+
+def _small_book(needs: DataFrame, rules: DataFrame, most: int) -> dict | None:
+    """The trie of the rules, or None if they or their predicates are more than most."""
+    lists = rules.select("rule_id").distinct().join(needs.groupBy("rule_id").agg(F.collect_set("predicate_id").alias("set")), "rule_id", "left")
+    n, total = lists.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.size("set"), F.lit(0)))).first()
+    if n > most or (total or 0) > 4 * most:
+        return None
+    return requirement_trie([(r.rule_id, r.set or []) for r in lists.collect()])
+
+
+def rules_that_hold(packed: DataFrame, needs: DataFrame, rules: DataFrame, most: int = SMALL_BOOK) -> DataFrame:
+    """(deal_id, seat, rule_id) of the rules all of whose predicates are true.
+
+    packed(deal_id, seat, words), needs(rule_id, predicate_id), rules(rule_id); a rule without predicates holds everywhere. A book of up to
+    most rules goes to the tasks as a trie and is tested where the deals are, without a shuffle; a larger one is divided by joins.
+    """
+    trie = _small_book(needs, rules, most)
+    if trie is None:
+        return _divided(packed, needs, rules)
+    kind = rules.schema["rule_id"].dataType
+    to = pa.int64() if kind.simpleString() == "bigint" else pa.int32()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, ids in _matches(trie, _words_of(batch)):
+                for lo in range(0, len(ids), 64):  # so that a batch stays small where very many rules end
+                    some = ids[lo : lo + 64]
+                    take = pa.array(np.repeat(at, len(some)))
+                    yield pa.RecordBatch.from_arrays([batch["deal_id"].take(take), batch["seat"].take(take), pa.array(np.tile(some, len(at)), to)], ["deal_id", "seat", "rule_id"])
+
+    keys = packed.select("deal_id", "seat", "words")
+    return keys.mapInArrow(rows, f"deal_id {keys.schema['deal_id'].dataType.simpleString()}, seat string, rule_id {kind.simpleString()}")
+
+
+def _divided(packed: DataFrame, needs: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules_that_hold for a book of any size: true predicates are counted against each distinct set of requirements, whose rules follow by a join."""
+    lists = rules.select("rule_id").distinct().join(needs.groupBy("rule_id").agg(F.sort_array(F.collect_set("predicate_id")).alias("set")), "rule_id", "left")
+    lists = lists.select("rule_id", F.coalesce("set", F.array().cast("array<int>")).alias("set")).withColumn("set_id", F.sha2(F.array_join("set", ","), 256))
+    sets = lists.groupBy("set_id").agg(F.first("set").alias("set"))
+    wanted = sets.select("set_id", F.size("set").alias("size"), F.explode("set").alias("predicate_id"))
+    hit = bitmap(packed).join(wanted, "predicate_id").groupBy("deal_id", "seat", "set_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    out = hit.where("n = size").join(lists.select("set_id", "rule_id"), "set_id").select("deal_id", "seat", "rule_id")
+    # rules without requirements are posted under the rows' one key, in parts
+    free = lists.where(F.size("set") == 0).select("rule_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part"))
+    return out.unionByName(packed.select("deal_id", "seat", F.pmod(F.xxhash64("deal_id", "seat"), F.lit(64)).cast("int").alias("part")).join(free, "part").select("deal_id", "seat", "rule_id"))
+
+
+def _steps_up(rules: DataFrame) -> DataFrame:
+    """(rule_id, at): each rule's parent; 0 where that is the root or no rule of the book."""
+    known = rules.select(F.col("rule_id").alias("at")).distinct()
+    up = rules.select("rule_id", F.col("parent").alias("at"))
+    return up.join(known.withColumn("known", F.lit(True)), "at", "left").select("rule_id", F.when(F.col("known"), F.col("at")).otherwise(0).alias("at"))
+
+
+def _doubled(spark, rules: DataFrame):
+    """Yield (rule_id, at) with at 1, 2, 4 ... steps up (0 past the root), until all are past it; a circle of parents is an error.
+
+    Tables of the shared folder, removed with the next one; a book of n rules has no way up longer than n, so rounds end after log n.
     """
-    sizes = needs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("size"))
-    hit = bits.join(needs, "predicate_id").groupBy("deal_id", "seat", "rule_id").agg(F.count(F.lit(1)).alias("n"))
-    out = hit.join(sizes, "rule_id").where("n = size").select("deal_id", "seat", "rule_id")
-    free = [r.rule_id for r in rules.join(sizes, "rule_id", "left_anti").select("rule_id").distinct().collect()]  # of a rule book, a few
-    if not free:
-        return out
-    return out.unionByName(seats.select("deal_id", "seat", F.explode(F.array(*[F.lit(i) for i in free])).alias("rule_id")))
+    path = shared_folder(spark, "steps-up")
+    longest, here = math.ceil(math.log2(max(rules.count(), 1))) + 1, _steps_up(rules)
+    for k in range(longest + 1):
+        here.write.parquet(f"{path}/{k}")
+        here = spark.read.schema(here.schema).parquet(f"{path}/{k}")
+        yield here
+        if not here.where("at <> 0").limit(1).count():
+            remove(spark, path)
+            return
+        here = here.join(here.select(F.col("rule_id").alias("at"), F.col("at").alias("further")), "at", "left").select("rule_id", F.coalesce("further", F.lit(0)).alias("at"))
+    raise ValueError("rules are their own ancestors")
+
+
+def check_tree(rules: DataFrame) -> int:
+    """How often ways up must be doubled to pass the root of rules(rule_id, parent); an error if parents run in a circle."""
+    return sum(1 for _ in _doubled(rules.sparkSession, rules))
 
 
 def with_ancestors(rules: DataFrame) -> DataFrame:
-    """rules(rule_id, parent; 0 is the root) -> (rule_id, ancestor) with the rule itself, level by level down to the last; a circle of parents is an error."""
-    out = level = rules.select("rule_id", F.col("rule_id").alias("ancestor"), "parent")
-    up = rules.select(F.col("rule_id").alias("parent"), F.col("parent").alias("next"))
-    while True:
-        level = level.join(up, "parent").select("rule_id", F.col("parent").alias("ancestor"), F.col("next").alias("parent"))
-        # a rule book's rows: each level goes to the driver's plan as data, so plans do not grow with the depth
-        rows = level.collect()
-        if not rows:
-            return out.select("rule_id", "ancestor")
-        if any(r.rule_id == r.ancestor for r in rows):
-            raise ValueError("rules are their own ancestors")
-        level = rules.sparkSession.createDataFrame(rows, level.schema)
-        out = out.unionByName(level)
+    """rules(rule_id, parent; 0 is the root) -> (rule_id, ancestor) with the rule itself, by doubling: from all ancestors less than 2**k steps up follow those less than 2**(k+1), so the joins grow with the log of the depth."""
+    spark = rules.sparkSession
+    path, k = shared_folder(spark, "ancestors"), 0
+    out = rules.select("rule_id", F.col("rule_id").alias("ancestor"))
+    for up in _doubled(spark, rules):
+        above = up.where("at <> 0").join(out.withColumnRenamed("rule_id", "at"), "at").select("rule_id", "ancestor")
+        out = out.unionByName(above)
+        out.write.parquet(f"{path}/{k}")
+        out = spark.read.schema(out.schema).parquet(f"{path}/{k}")
+        if k:
+            remove(spark, f"{path}/{k - 1}")
+        k += 1
+    return out
 
 
 def hold_with_ancestors(holds: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules that hold together with all rules above them, at the same seat."""
-    a = with_ancestors(rules)
-    depth = a.groupBy("rule_id").agg(F.count(F.lit(1)).alias("depth"))
-    hit = holds.withColumnRenamed("rule_id", "ancestor").join(a, "ancestor").groupBy("deal_id", "seat", "rule_id").agg(F.count(F.lit(1)).alias("n"))
-    return hit.join(depth, "rule_id").where("n = depth").select("deal_id", "seat", "rule_id")
-
+    """Rules that hold together with all rules above them, at the same seat.
 
-def candidates(seats: DataFrame, holds: DataFrame, opening: DataFrame) -> DataFrame:
-    """Per deal and seat the opening rules that hold, in order; empty where none does."""
-    mine = holds.join(opening.select("rule_id"), "rule_id", "left_semi").groupBy("deal_id", "seat").agg(F.sort_array(F.collect_list("rule_id")).alias("rules"))
-    return seats.select("deal_id", "seat").join(mine, ["deal_id", "seat"], "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
+    A rule that holds looks up to its parent at the same deal and seat, then as far again as that one has looked, and so on: a way that meets a rule which does not hold is
+    dropped, and with it, in later rounds, whatever looks through it. Rounds grow with the log of the depth; no table of ancestors is made.
+    """
+    spark = holds.sparkSession
+    path = shared_folder(spark, "held")
+    rounds = check_tree(rules)
+    here = holds.select("deal_id", "seat", "rule_id").join(_steps_up(rules), "rule_id")
+    for k in range(rounds):
+        here.write.parquet(f"{path}/{k}")
+        here = spark.read.schema(here.schema).parquet(f"{path}/{k}")
+        if k:
+            remove(spark, f"{path}/{k - 1}")
+        above = here.select("deal_id", "seat", F.col("rule_id").alias("at"), F.col("at").alias("further"))
+        seen = here.where("at <> 0").join(above, ["deal_id", "seat", "at"]).select("deal_id", "seat", "rule_id", F.col("further").alias("at"))
+        here = here.where("at = 0").select("deal_id", "seat", "rule_id", "at").unionByName(seen)
+    return here.select("deal_id", "seat", "rule_id")
+
+
+def candidates(packed: DataFrame, needs: DataFrame, opening: DataFrame, most: int = SMALL_BOOK) -> DataFrame:
+    """Per deal and seat the opening rules that hold, in order; empty where none does. A book of up to most rules is tested in one pass over the deals."""
+    trie = _small_book(needs.join(opening.select("rule_id"), "rule_id", "left_semi"), opening, most)
+    seats = packed.select("deal_id", "seat")
+    if trie is None:
+        mine = _divided(packed, needs, opening).groupBy("deal_id", "seat").agg(F.sort_array(F.collect_list(F.col("rule_id").cast("int"))).alias("rules"))
+        return seats.join(mine, ["deal_id", "seat"], "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.repeat(at, len(ids)), np.tile(ids, len(at))) for at, ids in _matches(trie, _words_of(batch))]
+            at, ids = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            order = np.lexsort((ids, at))
+            ends = np.r_[0, np.cumsum(np.bincount(at, minlength=batch.num_rows))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["deal_id"], batch["seat"], pa.ListArray.from_arrays(ends, pa.array(ids[order], pa.int32()))], ["deal_id", "seat", "rules"])
+
+    keys = packed.select("deal_id", "seat", "words")
+    return keys.mapInArrow(rows, f"deal_id {keys.schema['deal_id'].dataType.simpleString()}, seat string, rules array<int>")
 
 
 def for_four_seats(rules: DataFrame) -> DataFrame:
@@ -193,9 +342,10 @@ def auctions(deals: DataFrame, holds: DataFrame, rules: DataFrame, folder: str,
     The seat to bid takes each rule below the last bid that holds for its hand, if
     its own side made that bid (any rule of the root before the first bid), else it passes; three passes
     after a bid, or four at the start, end an auction. Openings of 4N or more are not followed. Steps go to tables
-    below folder until no auction is open; as each bid goes one rule down the tree, a tree of rules has an end (with_ancestors refuses circles).
+    below folder until no auction is open; as each bid goes one rule down the tree, a tree of rules has an end (a circle is an error). Only the table of the result stays.
     """
     spark = deals.sparkSession
+    check_tree(rules)
     moves = holds.join(rules.select("rule_id", "parent", "bid"), "rule_id").where("not (parent = 0 and bid >= '4N' and bid < 'p')")
     moves = moves.select("deal_id", (F.instr(F.lit(B.SEATS), F.col("seat")) - 1).alias("turn"), F.col("parent").alias("node"), "rule_id", "bid")
     path = f"{folder.rstrip('/')}/auctions-{uuid.uuid4().hex}"
@@ -216,7 +366,11 @@ def auctions(deals: DataFrame, holds: DataFrame, rules: DataFrame, folder: str,
             break
         step += 1
     every = spark.read.parquet(*[f"{path}/{i}" for i in range(step + 1)])
-    return (every if prefixes else every.where("over")).select("deal_id", "Dealer", "auction").distinct()
+    out = (every if prefixes else every.where("over")).select("deal_id", "Dealer", "auction").distinct()
+    out.write.parquet(f"{path}/result")
+    for name in ("moves", *range(step + 1)):
+        remove(spark, f"{path}/{name}")
+    return spark.read.schema(out.schema).parquet(f"{path}/result")
 
 
 def analyse(auction: Column, dealer: Column) -> Column:

@@ -116,7 +116,7 @@ def stored(spark, sf):
     R.stored_bitmap(deals, PREDICATES[:1], path)
     R.stored_bitmap(deals.unionByName(deals.limit(1)), PREDICATES, path)
     R.stored_bitmap(deals, PREDICATES, path)
-    return R.stored_bitmap(deals, PREDICATES, path)
+    return R.bitmap(R.stored_bitmap(deals, PREDICATES, path))
 
 
 reg("bid5_bitmap", stored, f"SELECT * FROM {BITS}", "suits")
@@ -131,18 +131,23 @@ def turns(spark, sf):
 reg("bid6_turns", turns, "SELECT deal_id, substr('NESW', (Board - 1) % 4 + 1, 1) AS Dealer, turn, substr('NESW', (Board + turn - 2) % 4 + 1, 1) AS seat, turn AS back FROM deal_ids, (SELECT unnest(range(1, 5))::INTEGER AS turn)", "deal_ids")
 
 
+def needs(spark):
+    return R.with_predicate_ids(rules(spark))[1]
+
+
+def packed(spark, sf):
+    return R.pack(truth(spark, sf))
+
+
 def holding(spark, sf):
-    r = rules(spark)
-    ids, needs = R.with_predicate_ids(r)
-    t = truth(spark, sf)
-    return R.rules_that_hold(R.bitmap(t), needs, t, r)
+    return R.rules_that_hold(packed(spark, sf), needs(spark), rules(spark))
 
 
 reg("bid7_rules_that_hold", holding, with_holds("SELECT * FROM holds"))
 reg("bid8_with_ancestors", lambda s, d: R.hold_with_ancestors(holding(s, d), rules(s)),
     with_holds("anc AS (SELECT rule_id, rule_id AS ancestor, parent FROM book UNION ALL SELECT a.rule_id, b.rule_id, b.parent FROM anc a JOIN book b ON b.rule_id = a.parent)\n"
                "SELECT deal_id, seat, x.rule_id FROM (SELECT h.deal_id, h.seat, a.rule_id, count(*) AS n FROM holds h JOIN anc a ON a.ancestor = h.rule_id GROUP BY ALL) x JOIN (SELECT rule_id, count(*) AS depth FROM anc GROUP BY ALL) d ON d.rule_id = x.rule_id WHERE n = depth", True))
-reg("bid9_candidates", lambda s, d: R.candidates(truth(s, d), holding(s, d), rules(s).where("parent = 0")).select("deal_id", "seat", F.array_join(F.transform("rules", lambda x: x.cast("string")), ",").alias("rules")),
+reg("bid9_candidates", lambda s, d: R.candidates(packed(s, d), needs(s), rules(s).where("parent = 0")).select("deal_id", "seat", F.array_join(F.transform("rules", lambda x: x.cast("string")), ",").alias("rules")),
     with_holds("SELECT f.deal_id, f.seat, coalesce(string_agg(h.rule_id::VARCHAR, ',' ORDER BY h.rule_id) FILTER (h.rule_id IN (SELECT rule_id FROM book WHERE parent = 0)), '') AS rules FROM f LEFT JOIN holds h ON h.deal_id = f.deal_id AND h.seat = f.seat GROUP BY ALL"))
 reg("bid10_four_seats", lambda s, d: R.for_four_seats(X.table(s, d, "orders").select(F.col("o_orderkey").alias("bt_index"), F.concat(F.repeat(F.lit("p-"), (F.col("o_orderkey") % 4).cast("int")), F.lit("1N-p")).alias("Auction"), F.concat(F.lit("HCP >= "), (F.col("o_orderkey") % 20).cast("string")).alias("Expr"))),
     "SELECT o_orderkey AS bt_index, seat, o_orderkey * 4 + seat - 1 AS index, '1N-p' AS Auction, e AS Expr, " + ", ".join(f"CASE WHEN seat = {i} THEN e END AS Agg_Expr_Seat_{i}" for i in range(1, 5)) + " FROM (SELECT o_orderkey, 'HCP >= ' || o_orderkey % 20 AS e FROM orders), (SELECT unnest(range(1, 5))::INTEGER AS seat)")
@@ -166,7 +171,7 @@ def analysed(spark, sf):
     a = R.auctions(X.deals(spark, sf), holding(spark, sf), rules(spark), folder(spark, "auctions"), prefixes=True)
     a = a.withColumn("x", R.analyse(F.col("auction"), F.col("Dealer")))
     a = a.withColumn("next", R.seat_of_turn(F.col("Dealer"), F.size("auction") + 1))
-    c = R.candidates(truth(spark, sf), holding(spark, sf), rules(spark).where("parent = 0")).select("deal_id", F.col("seat").alias("next"), F.array_join(F.transform("rules", lambda r: r.cast("string")), ",").alias("candidates"))
+    c = R.candidates(packed(spark, sf), needs(spark), rules(spark).where("parent = 0")).select("deal_id", F.col("seat").alias("next"), F.array_join(F.transform("rules", lambda r: r.cast("string")), ",").alias("candidates"))
     text = F.when(F.col("x.over"), F.concat_ws(" ", "x.contract", F.lit("by"), F.coalesce("x.declarer", F.lit("nobody")))).otherwise(F.concat(F.lit("open, opened by "), F.coalesce("x.opener", F.lit("nobody"))))
     return a.join(c, ["deal_id", "next"]).select("deal_id", F.array_join("auction", "-").alias("auction"), "x.opener", "x.declarer", "x.leader", "x.over", "candidates", text.alias("description"))
 
