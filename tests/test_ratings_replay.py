@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tricklake.operators import ratings as R
 
@@ -85,6 +86,51 @@ def test_rounds_and_groups_do_not_change_ratings(clubs, seats):
     assert history(R.unpivot_players(df), group_seats=seats) == replay(rows, True)
 
 
+@pytest.mark.parametrize("players", [False, True])
+def test_waves_do_not_change_ratings(clubs, players):
+    """Groups of which none fits a task: every date goes by waves."""
+    df, rows = clubs
+    df = df.withColumn("Date", F.lit("2020-01-01").cast("date"))
+    assert history((R.unpivot_players if players else R.unpivot_pairs)(df), group_seats=1) == replay(rows, players)
+
+
+@pytest.mark.parametrize("seed, seats", [(1, 100_000), (2, 100_000), (3, 40)])
+def test_batches_in_any_order_end_in_one_history(spark, clubs, tmp_path, seed, seats):
+    """Sessions come late, in parts and more than one at a time; a batch that is run again changes nothing."""
+    df, rows = clubs
+    r = random.Random(seed)
+    store = f"file://{tmp_path}/store"
+    place = {s: r.randrange(4) for s in range(7)}
+    split = r.choice(sorted(place))  # this session comes in two parts
+    part = F.lit(0)
+    for s, b in place.items():
+        part = F.when(F.col("session_id") == s, F.when((F.lit(s) == split) & (F.col("Board") % 2 == 0), (b + 1) % 4).otherwise(b)).otherwise(part)
+    done = []
+    for number in range(4):
+        batch = R.unpivot_players(df.where(part == number))
+        done.append(R.rate_batch(batch, store, number, group_seats=seats))
+        if number == 2:
+            assert R.rate_batch(batch, store, number, group_seats=seats) == done[-1]
+    # a board is one field whatever the batch of its rows
+    x = lambda v: None if v is None else round(v, 6)
+    got = sorted(((h.session_id, h.pool, h.id, x(h.before), x(h.after), x(h.seen_before), x(h.seen_after)) for h in R.stored_ratings(spark, store, 2).collect()), key=str)
+    assert got == replay(rows, True)
+    assert R.rate_batch(R.unpivot_players(df.limit(0)), store, 4) == 0
+
+
+def test_sessions_apart_keep_their_history(spark, tmp_path):
+    """A late session of one club leaves the other club's later sessions alone."""
+    day = lambda n: datetime.date(2020, 1, n)
+    row = lambda s, who, n: (s, 0, 1, *[f"{who}{i}" for i in range(4)], 0.75, None, day(n))
+    store = f"file://{tmp_path}/store"
+    first = [row(1, "a", 5), row(2, "b", 5), row(3, "a", 9), row(4, "b", 9)]
+    assert R.rate_batch(R.unpivot_pairs(spark.createDataFrame(first, SCHEMA)), store, 0) == 4
+    assert R.rate_batch(R.unpivot_pairs(spark.createDataFrame([row(5, "a", 7)], SCHEMA)), store, 1) == 2
+    whole = spark.createDataFrame([*first, row(5, "a", 7)], SCHEMA)
+    key = lambda x: (x.session_id, x.pool, x.id, round(x.before, 9), round(x.after, 9))
+    assert sorted(map(key, R.stored_ratings(spark, store).collect())) == sorted(map(key, R.rate(R.unpivot_pairs(whole)).collect()))
+
+
 def test_a_board_with_one_row_and_two_sections_by_hand(spark):
     day = datetime.date(2020, 1, 1)
     # alone on board 1: 24 * 1.5 * (1 - 0.5); board 2 in two sections is one field of two: 24 * 1.5 * (0.8 - 0.5) and (0.2 - 0.5)

@@ -4,6 +4,9 @@ A session reads the ratings as they were at its start and writes them at its end
 somebody are rated in order of date. Sessions are taken in rounds of whole dates. In a round
 those that share somebody, directly or through others, form a group; groups are rated side by side, a group's sessions in order. A
 round reads and writes the state of those alone who play in it. History and state are tables in the shared folder.
+
+A group that is too large for one task, which only a single date's can be, is rated in waves instead: the sessions that come first for all who play in them, at once, by joins
+and aggregates; then those that come first among the rest. A store goes on from what it has: see rate_batch.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .graph import components
 # fixed values of the rating rules
 INITIAL, K_BASE, BOOST_UNTIL, BOOST, LOW, HIGH, VISIBLE_AFTER, MOST_PAIRS = 1500.0, 24.0, 100, 1.5, 200.0, 3000.0, 10, 60
 SPREAD = 50.0
-#: seats that one group, which is one task, should not pass; a single date is never divided
+#: seats that one group, which is one task, does not pass; larger groups of a single date go by waves
 GROUP_SEATS = 250_000
 #: state tables are merged into one when there are more
 MOST_STATES = 8
@@ -135,25 +138,89 @@ def _groups(seats: DataFrame, folder: str) -> DataFrame:
     return links.select("session_id", "a").distinct().join(found, F.col("a") == F.col("v")).select("session_id", F.col("component").alias("g"))
 
 
+def rate_wave(seats: DataFrame, spread: float) -> DataFrame:
+    """History rows of sessions of which no two share an id, by the rules of rate_session; seats carry the state at the sessions' start (null: none yet)."""
+    rating, boards, sessions = F.coalesce("rating", F.lit(INITIAL)), F.coalesce("boards", F.lit(0)), F.coalesce("sessions", F.lit(0))
+    seats = seats.withColumns({"rating": rating, "boards": boards, "sessions": sessions})
+    entry, field = ["session_id", "pool", "board", "row"], ["session_id", "pool", "board"]
+    own = seats.groupBy(*entry).agg(F.avg("rating").alias("own"))
+    fields = own.groupBy(*field).agg(F.count(F.lit(1)).alias("pairs"), F.sum("own").alias("total"), F.avg("own").alias("mean"), F.stddev_pop("own").alias("dev"))
+    damp = F.when(F.col("pairs") > 1, stratum_scale(F.col("dev") / spread) * strength_scale((F.col("mean") - INITIAL) / spread)).otherwise(1.0)
+    others = F.when(F.col("pairs") > 1, (F.col("total") - F.col("own")) / (F.col("pairs") - 1)).otherwise(F.col("own"))
+    expected = 1 / (1 + F.pow(F.lit(10.0), -(F.col("own") - F.col("others")) / 400))
+    judged = own.join(fields, field).withColumn("others", others).select(*entry, damp.alias("damp"), expected.alias("expected"))
+    boost = F.when(F.col("boards") < BOOST_UNTIL, BOOST).otherwise(1.0)
+    has = F.col("pct").isNotNull() & ~F.isnan("pct")
+    move = F.when(has, K_BASE * F.col("damp") * F.col("scale") * boost * (F.col("pct") - F.col("expected")) / F.col("n")).otherwise(0.0)
+    out = seats.join(judged, entry).groupBy("session_id", "pool", "id").agg(
+        F.first("rating").alias("before"), F.first("boards").alias("b"), F.first("sessions").alias("s"), F.first("first").alias("first"), F.sum(move).alias("move"), F.sum(has.cast("long")).alias("played")
+    )
+    after = F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col("before") + F.col("move")))
+    return out.select("session_id", "pool", "id", "before", after.alias("after"), (F.col("s") + (F.col("played") > 0).cast("long")).alias("sessions"), "first", (F.col("b") + F.col("played")).alias("boards"))
+
+
+def _by_waves(seats: DataFrame, folder: str, spread: float) -> DataFrame:
+    """History of seats of any number that carry the state at their start, wave by wave; a wave's jobs have as many tasks as its boards need."""
+    spark = seats.sparkSession
+    seats = _kept(seats, f"{folder}/seats")
+    plays = _kept(seats.where("id is not null").select("first", "session_id", "pool", "id").distinct(), f"{folder}/plays")
+    order = F.struct("first", "session_id")
+    rest = _kept(seats.select("first", "session_id").distinct(), f"{folder}/rest-0")
+    state, waves = None, 0
+    while rest.limit(1).count():
+        mine = plays.join(rest.select("session_id"), "session_id")
+        first = mine.groupBy("pool", "id").agg(F.min(order).alias("at"))
+        later = mine.join(first, ["pool", "id"]).where(order != F.col("at")).select("session_id").distinct()
+        ready = _kept(rest.join(later, "session_id", "left_anti"), f"{folder}/ready-{waves}")
+        now = seats.join(ready.select("session_id"), "session_id")
+        if state is not None:
+            new = state.select("pool", "id", *[F.col(c).alias(f"_{c}") for c in ("rating", "boards", "sessions")])
+            now = now.join(new, ["pool", "id"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("rating", "boards", "sessions")}).drop("_rating", "_boards", "_sessions")
+        done = _kept(rate_wave(now, spread).select(*[c.split()[0] for c in HISTORY.split(", ")]), f"{folder}/history/{waves}")
+        fresh = done.where("id is not null").select("pool", "id", F.col("after").alias("rating"), "boards", "sessions")
+        state = _kept(_latest([fresh] if state is None else [state, fresh]), f"{folder}/state-{waves}")
+        waves += 1
+        rest = _kept(rest.join(ready.select("session_id"), "session_id", "left_anti"), f"{folder}/rest-{waves}")
+    return spark.read.schema(HISTORY).parquet(*[f"{folder}/history/{i}" for i in range(waves)])
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _seats(rows: DataFrame) -> DataFrame:
+    """Rows of unpivot_* -> a row a seat, with the session's first date; sessions without any date come first."""
+    dates = rows.groupBy("session_id").agg(F.coalesce(F.min(F.col("Date").cast("date")), F.lit("0001-01-01").cast("date")).alias("first"))
+    return rows.select(F.col("session_id").cast("long").alias("session_id"), "board", "row", "pool", F.explode("ids").alias("id"), F.size("ids").alias("n"), F.col("pct").cast("double").alias("pct"), F.col("scale").cast("double").alias("scale")).join(dates, "session_id")
+
+
+def _visible(history: DataFrame, visible_after: int) -> DataFrame:
+    seen = lambda c: F.when(F.col("sessions") >= visible_after, F.col(c))
+    return history.select("session_id", "pool", "id", "before", "after", seen("before").alias("seen_before"), seen("after").alias("seen_after"))
+
+
 def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_AFTER, group_seats: int = GROUP_SEATS) -> DataFrame:
     """History (session_id, pool, id, before, after, seen_before, seen_after) of all sessions in order.
 
     seen_*: null until the id has played visible_after sessions, this one included;
     a session without a percentage for it does not count. A session whose rows carry several dates is one session
-    at its first date. Null percentages enter the field means but change no rating. group_seats sets how much one task
+    at its first date. Null percentages enter the field means but change no rating. group_seats bounds what one task
     takes; it does not change results. Without rows there is no history.
     """
-    spark = rows.sparkSession
+    return _visible(_history(_seats(rows), None, spread, group_seats), visible_after)
+
+
+def _history(seats: DataFrame, start: DataFrame | None, spread: float, group_seats: int) -> DataFrame:
+    """The full history of the sessions of seats, from the state start(pool, id, rating, boards, sessions) if there is one."""
+    spark = seats.sparkSession
     folder = shared_folder(spark, "ratings")
-    # sessions without any date come first
-    dates = rows.groupBy("session_id").agg(F.coalesce(F.min(F.col("Date").cast("date")), F.lit("0001-01-01").cast("date")).alias("first"))
-    seats = rows.select(F.col("session_id").cast("long").alias("session_id"), "board", "row", "pool", F.explode("ids").alias("id"), F.size("ids").alias("n"), F.col("pct").cast("double").alias("pct"), "scale").join(dates, "session_id")
     # by date, so that a round reads its own files
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seats.repartitionByRange(parts, "first", "session_id").sortWithinPartitions("first", "session_id").write.parquet(f"{folder}/seats")
     seats = spark.read.schema(seats.schema).parquet(f"{folder}/seats")
     days = [(r["first"], r["n"]) for r in seats.groupBy("first").agg(F.count(F.lit(1)).alias("n")).orderBy("first").collect()]  # one row a date
-    states, at, n, width, limit = [], 0, 0, group_seats, None
+    states, at, n, width, limit = [start] if start is not None else [], 0, 0, group_seats, None
     while at < len(days):
         end, size = at, 0
         while end < len(days) and (end == at or size + days[end][1] <= width):
@@ -178,7 +245,14 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
             now = part.join(_latest(states).join(touched, ["pool", "id"], "left_semi"), ["pool", "id"], "left")
         else:
             now = part.withColumns({"rating": F.lit(None).cast("double"), "boards": F.lit(None).cast("long"), "sessions": F.lit(None).cast("long")})
-        now.groupBy("g").applyInPandas(lambda pdf: pd.concat(list(rate_group(pdf, spread)), ignore_index=True), HISTORY).write.parquet(f"{folder}/history/{n}")
+        made = None
+        if largest > group_seats:
+            large = part.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_seats).select("g")
+            made = _by_waves(now.join(large, "g", "left_semi").drop("g"), f"{folder}/waves/{n}", spread)
+            now = now.join(large, "g", "left_anti")
+        grouped = now.groupBy("g").applyInPandas(lambda pdf: pd.concat(list(rate_group(pdf, spread)), ignore_index=True), HISTORY)
+        (grouped if made is None else grouped.unionByName(made)).write.parquet(f"{folder}/history/{n}")
+        remove(spark, f"{folder}/waves/{n}")
         done = spark.read.schema(HISTORY).parquet(f"{folder}/history/{n}")
         last = done.where("id is not null").groupBy("pool", "id").agg(F.max_by(F.struct(F.col("after").alias("rating"), "boards", "sessions"), F.struct("first", "session_id")).alias("s"))
         last.select("pool", "id", "s.*").write.parquet(f"{folder}/state/{n}")
@@ -189,13 +263,71 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
         at, n = end, n + 1
         if limit is None or width * 2 < limit:
             width *= 2
-    if not n:
-        return spark.createDataFrame([], "session_id long, pool string, id string, before double, after double, seen_before double, seen_after double")
     for done in ("seats", "state", "groups"):
         remove(spark, f"{folder}/{done}")
-    history = spark.read.schema(HISTORY).parquet(*[f"{folder}/history/{i}" for i in range(n)])
-    seen = lambda c: F.when(F.col("sessions") >= visible_after, F.col(c))
-    return history.select("session_id", "pool", "id", "before", "after", seen("before").alias("seen_before"), seen("after").alias("seen_after"))
+    if not n:
+        return spark.createDataFrame([], HISTORY)
+    return spark.read.schema(HISTORY).parquet(*[f"{folder}/history/{i}" for i in range(n)])
+
+
+ROWS = "session_id long, Date date, board int, row string, pool string, ids array<string>, pct double, scale double"
+
+
+def _stored(spark: SparkSession, path: str, schema: str, before: int | None) -> DataFrame:
+    """The store's table with the batch b of each row; only batches before a number if one is given."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"{schema}, b int")
+    df = spark.read.schema(f"{schema}, b int").parquet(path)
+    return df if before is None else df.where(F.col("b") < before)
+
+
+def _newest(history: DataFrame) -> DataFrame:
+    """Of a session's rows those of its latest replay: a session is replayed whole."""
+    last = history.groupBy("session_id").agg(F.max("b").alias("b"))
+    return history.join(last, ["session_id", "b"]).drop("b")
+
+
+def rate_batch(rows: DataFrame, store: str, number: int, spread: float = SPREAD, group_seats: int = GROUP_SEATS) -> int:
+    """Take the batch `number` (0, 1, 2 ...) of rows of unpivot_* into the store, a folder; gives how many sessions were rated.
+
+    Sessions may come late, in any order, and in parts. From the first date of the batch on, those stored sessions are rated again which share somebody with the batch's, directly or through others
+    that play from that date on; all others keep their history. The state at that date is looked up in the history, of those who play alone. A batch writes its own folders
+    and reads earlier ones, so that it may be run again. Any split of sessions into batches ends in the same history as one run.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark, "rating-batch")
+    columns = [c.split()[0] for c in ROWS.split(", ")]
+    new = rows.select(*[(F.concat(F.lit(f"{number}-"), F.col("row").cast("string")) if c.startswith("row ") else F.col(c.split()[0])).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in ROWS.split(", ")])
+    new.write.mode("overwrite").parquet(f"{store}/rows/b={number}")
+    every = _stored(spark, f"{store}/rows", ROWS, number + 1)
+    mine = every.where(F.col("b") == number).select("session_id").distinct()
+    day = F.coalesce(F.min("Date"), F.lit("0001-01-01").cast("date"))
+    dates = _kept(every.groupBy("session_id").agg(day.alias("first")), f"{folder}/dates")
+    cut = dates.join(mine, "session_id").agg(F.min("first")).first()[0]  # one date
+    if cut is None:
+        spark.createDataFrame([], HISTORY).write.mode("overwrite").parquet(f"{store}/history/b={number}")
+        remove(spark, folder)
+        return 0
+    open_ = every.join(dates.where(F.col("first") >= F.lit(cut)).select("session_id"), "session_id", "left_semi")
+    seats = _kept(_seats(open_.select(*columns)), f"{folder}/seats")
+    groups = _kept(_groups(seats, folder), f"{folder}/of-session")
+    touched = groups.join(mine, "session_id").select("g").distinct()
+    again = groups.join(touched, "g").select("session_id").union(mine).distinct()
+    seats = seats.join(again, "session_id", "left_semi")
+    history = _newest(_stored(spark, f"{store}/history", HISTORY, number)).where((F.col("first") < F.lit(cut)) & F.col("id").isNotNull())
+    who = seats.where("id is not null").select("pool", "id").distinct()
+    state = history.join(who, ["pool", "id"], "left_semi").groupBy("pool", "id").agg(F.max_by(F.struct(F.col("after").alias("rating"), "boards", "sessions"), F.struct("first", "session_id")).alias("s"))
+    state = _kept(state.select("pool", "id", "s.*"), f"{folder}/state")
+    _history(seats, state, spread, group_seats).write.mode("overwrite").parquet(f"{store}/history/b={number}")
+    done = spark.read.schema(HISTORY).parquet(f"{store}/history/b={number}").select("session_id").distinct().count()
+    remove(spark, folder)
+    return done
+
+
+def stored_ratings(spark: SparkSession, store: str, visible_after: int = VISIBLE_AFTER) -> DataFrame:
+    """The history that a store has now, as rate gives it."""
+    return _visible(_newest(_stored(spark, f"{store}/history", HISTORY, None)), visible_after)
 
 
 def session_start_end(df: DataFrame, pairs: DataFrame | None = None, players: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import matchpoints as M
+from ..operators import ratings
 from ..sources import records as R
 
 RESULTS = "session_id long, section_id long, Board int, Date date, Score_NS int, Pair_Number_NS int, Pair_Number_EW int"
@@ -51,6 +52,15 @@ def split_late(stream: DataFrame, target: str, late: str, checkpoint: str) -> St
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_ratings(stream: DataFrame, unpivot, store: str, checkpoint: str) -> StreamingQuery:
+    """Ratings of a stream of board results with Pct_NS, kept in a store; late sessions are put in their place and what follows from them is rated again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        ratings.rate_batch(unpivot(batch), store, number)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_records(spark: SparkSession, path: str, target: str, rejected: str, checkpoint: str) -> StreamingQuery:
     """Game-record files, whole, as they arrive: valid boards to target, the others and files that cannot be read to rejected with the reason.
 
