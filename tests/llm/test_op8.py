@@ -57,10 +57,16 @@ def test_streaming_equals_the_whole_search(vocab):
             assert math.isclose(score(a, vocab)[0], whole(" " + text, vocab), abs_tol=1e-6)
 
 
-def test_sorted_stretches_equal_the_streaming_search(vocab):
+def test_shared_beginnings_and_memo_do_not_change_ids(vocab, monkeypatch):
     r = random.Random(2)
-    words = sorted({"".join(r.choice(" thea▁éion漢") for _ in range(r.randint(1, 30))) for _ in range(3000)})
-    assert list(P.viterbi_sorted(words, vocab)) == [[i for part in P.viterbi(w, vocab) for i in part] for w in words]
+    words = sorted({"".join(r.choice(" thea▁éion漢") for _ in range(r.randint(1, 50))) for _ in range(3000)})
+    begun, join = P.Beginning(), lambda parts: [i for part in parts for i in part]
+    assert [join(P.viterbi(w, vocab, begun)) for w in words] == [join(P.viterbi(w, vocab)) for w in words]
+    texts = [" ".join(r.choice(words) for _ in range(10)) for _ in range(60)] * 2
+    want = [score(a.tolist(), vocab) for a in P.encode_texts(texts, P._Units(vocab))]
+    monkeypatch.setattr(P, "MEMO_BYTES", 3000)
+    units = P._Units(vocab)
+    assert [score(P.encode_texts([t], units)[0].tolist(), vocab) for t in texts] == want and units.held < 20_000
 
 
 def test_commits_early(vocab):

@@ -3,8 +3,7 @@
 The pieces of the file get log scores by rank. The search goes through a text and keeps the scores of a window as long as
 the longest piece alone; as soon as the backpointer paths of all boundaries in the window meet in one boundary, the ids up
 to it are committed and forgotten. As no piece goes on behind a word's end, all paths meet at each word start, and what lies between
-two such places is a search of its own, whose ids are remembered. A stretch that fits in the window can commit nothing before
-its end; many of those are searched together. Longer ones are searched one by one, with the meeting of paths tested at each step.
+two such places is a piece of the search by itself, whose ids are remembered within a bound of bytes. One search serves all text, whatever its length.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of stretches and ids that a worker remembers from earlier texts.
+MEMO_BYTES = 60_000_000
 
 
 class PieceVocabulary:
@@ -48,8 +49,6 @@ class PieceVocabulary:
         if len(self.byte_ids) < 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.longest = max(map(len, self.ids), default=1)
-        #: every beginning of a piece -> the piece's (id, score), or None if it is only a beginning
-        self.stems = {p[:k]: self.ids.get(p[:k]) for p in self.ids for k in range(1, len(p) + 1)}
         self.tails = {p[k:]: self.ids.get(p[k:]) for p in self.ids for k in range(len(p))}
         free = "".join(c for c in "\n\r\t" if not any(c in p for p in self.ids))
         self.units = re.compile(f" *[^ {free}]+| +|[{free}]" if free else " *[^ ]+| +")
@@ -59,46 +58,79 @@ class PieceVocabulary:
         return ids, -sum(math.log(i + 10) for i in ids) - 10.0
 
 
-def viterbi(chars: str, v: PieceVocabulary) -> Iterator[list[int]]:
-    """Ids of the best segmentation, in parts, each as soon as it is certain. Equal scores go to the longer last piece.
+class Beginning:
+    """Scores and ways back of a stretch's boundaries while its window fills. The next stretch goes on from the characters that both share."""
 
-    best holds the window's boundaries. back, kids and heirs hold those on paths that survive: the way back,
+    def __init__(self):
+        self.chars, self.best, self.back = "", [0.0], [(0, [])]
+
+    def shared(self, chars: str, most: int) -> int:
+        """Keep what holds for chars too; how many characters that are."""
+        same, n = 0, min(len(self.chars), len(chars))
+        while same < n and self.chars[same] == chars[same]:
+            same += 1
+        del self.best[same + 1 :], self.back[same + 1 :]
+        self.chars = chars[:most]
+        return same
+
+
+def _arrive(chars: str, j: int, low: int, best: list | dict, v: PieceVocabulary) -> tuple[float, tuple[int, list[int]]]:
+    """The best score of boundary j, from those of low and later ones, and the way back: the boundary before and the ids between. Equal scores go to the longer last piece."""
+    tails, top, i, at, ids = v.tails, -math.inf, j - 1, 0, []
+    while i >= low and (p := chars[i:j]) in tails:
+        if (e := tails[p]) is not None and (s := best[i] + e[1]) >= top:
+            top, at, ids = s, i, [e[0]]
+        i -= 1
+    if chars[j - 1] not in v.ids:
+        spelled, s = v.spell(chars[j - 1])
+        if (s := best[j - 1] + s) > top:
+            top, at, ids = s, j - 1, spelled
+    return top, (at, ids)
+
+
+def viterbi(chars: str, v: PieceVocabulary, begun: Beginning | None = None) -> Iterator[list[int]]:
+    """Ids of the best segmentation, in parts, each as soon as it is certain.
+
+    best holds the window's boundaries. Once boundaries leave it, back, kids and heirs hold those on paths that survive: the way back,
     the number of boundaries that come directly from one, and their sum, which is the only child when the number is 1. A boundary
     that leaves the window without children dies, and so may those before it; a root outside of the window with one child is certain.
     """
-    tails, singles, longest, n = v.tails, v.ids, v.longest, len(chars)
-    best, back, kids, heirs, root = {0: 0.0}, {}, {0: 0}, {0: 0}, 0
-    for j in range(1, n + 1):
-        top, i = -math.inf, j - 1
-        while i in best and (p := chars[i:j]) in tails:
-            if (e := tails[p]) is not None and (s := best[i] + e[1]) >= top:
-                top, at, ids = s, i, [e[0]]
-            i -= 1
-        if chars[j - 1] not in singles:
-            spelled, s = v.spell(chars[j - 1])
-            if (s := best[j - 1] + s) > top:
-                top, at, ids = s, j - 1, spelled
-        best[j], back[j], kids[j], heirs[j] = top, (at, ids), 0, 0
-        kids[at] += 1
-        heirs[at] += j
-        old = j - longest
-        if old < 0:
-            continue
-        del best[old]
-        while not kids[old]:
-            parent = back.pop(old)[0]
-            del kids[old], heirs[old]
-            kids[parent] -= 1
-            heirs[parent] -= old
-            old = parent
-        sure: list[int] = []
-        while root not in best and kids[root] == 1:
-            child = heirs.pop(root)
-            del kids[root]
-            sure += back.pop(child)[1]
-            root = child
-        if sure:
-            yield sure
+    longest, n, root = v.longest, len(chars), 0
+    begun = begun or Beginning()
+    for j in range(begun.shared(chars, longest) + 1, min(n, longest) + 1):
+        top, way = _arrive(chars, j, 0, begun.best, v)
+        begun.best.append(top)
+        begun.back.append(way)
+    back: list | dict = begun.back
+    if n > longest:
+        best = dict(enumerate(begun.best[: longest + 1]))
+        back = dict(enumerate(begun.back[: longest + 1]))
+        kids, heirs = dict.fromkeys(back, 0), dict.fromkeys(back, 0)
+        for j in range(1, longest + 1):
+            kids[back[j][0]] += 1
+            heirs[back[j][0]] += j
+        for j in range(longest, n + 1):
+            if j > longest:
+                best[j], way = _arrive(chars, j, j - longest, best, v)
+                back[j], kids[j], heirs[j] = way, 0, 0
+                kids[way[0]] += 1
+                heirs[way[0]] += j
+            old = j - longest
+            del best[old]
+            while not kids[old]:
+                parent = back.pop(old)[0]
+                del kids[old], heirs[old]
+                kids[parent] -= 1
+                heirs[parent] -= old
+                old = parent
+            sure: list[int] = []
+            while root not in best and kids[root] == 1:
+                child = heirs.pop(root)
+                del kids[root]
+                sure += back.pop(child)[1]
+                root = child
+            if sure:
+                yield sure
     rest, at = [], n
     while at > root:
         at, ids = back[at]
@@ -106,56 +138,22 @@ def viterbi(chars: str, v: PieceVocabulary) -> Iterator[list[int]]:
     yield [i for part in reversed(rest) for i in part]
 
 
-def viterbi_sorted(stretches: list[str], v: PieceVocabulary) -> Iterator[list[int]]:
-    """The same for stretches no longer than the window, where nothing is committed before the end.
-
-    They come sorted, and the states of the beginning that a stretch shares with the one before are kept.
-    """
-    tails, singles = v.tails, v.ids
-    best, back, before = [0.0], [None], ""
-    for chars in stretches:
-        same, n = 0, min(len(before), len(chars))
-        while same < n and before[same] == chars[same]:
-            same += 1
-        del best[same + 1 :], back[same + 1 :]
-        for j in range(same + 1, len(chars) + 1):
-            top, link, i = -math.inf, None, j - 1
-            while i >= 0 and (p := chars[i:j]) in tails:
-                e = tails[p]
-                if e is not None and (s := best[i] + e[1]) >= top:
-                    top, link = s, (i, e[0])
-                i -= 1
-            if chars[j - 1] not in singles:
-                spelled, s = v.spell(chars[j - 1])
-                if best[j - 1] + s > top:
-                    top, link = best[j - 1] + s, (j - 1, spelled)
-            best.append(top)
-            back.append(link)
-        out, at = [], len(chars)
-        while at:
-            at, e = back[at]
-            out += e[::-1] if isinstance(e, list) else (e,)
-        before = chars
-        yield out[::-1]
-
-
 class _Units(dict):
-    """Ids (as 32-bit words) of the stretches between certain boundaries; a bounded memo."""
+    """Ids (as 32-bit words) of the stretches between certain boundaries, remembered within a bound of bytes."""
 
     def __init__(self, v: PieceVocabulary):
         super().__init__()
-        self.v = v
-
-    def __missing__(self, unit: str) -> bytes:
-        return np.array([i for part in viterbi(unit, self.v) for i in part], np.int32).tobytes()
+        self.v, self.held = v, 0
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Remember the stretches of some texts that are new and fit in the window."""
-        if len(self) > 200_000:
+        """Search the stretches of some texts that are new, sorted, each from the beginning that it shares with the one before."""
+        if self.held > MEMO_BYTES:
             self.clear()
-        new = sorted({u for units in texts for u in units if u not in self and len(u) <= self.v.longest})
-        for unit, ids in zip(new, viterbi_sorted(new, self.v)):
-            self[unit] = array("i", ids).tobytes()
+            self.held = 0
+        begun = Beginning()
+        for unit in sorted({u for units in texts for u in units if u not in self}):
+            ids = self[unit] = array("i", [i for part in viterbi(unit, self.v, begun) for i in part]).tobytes()
+            self.held += len(unit) + len(ids) + 200
 
 
 def encode_texts(texts: list[str | None], units: _Units) -> list[np.ndarray | None]:
