@@ -24,6 +24,8 @@ from .common import table, written
 FIT_ROWS = 16_000
 PRIOR, LEAST_Z, DRIFT, SIGNIFICANT = 0.05, 4.0, 0.15, 0.01
 STEMS = range(3, 11)
+#: Bytes of the words whose weights a worker remembers.
+MEMO_BYTES = 40_000_000
 _SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -75,12 +77,15 @@ class ToxicityModel:
 
     def __post_init__(self):
         self.memo: dict[bytes, float | None] = {}
+        self.held = 0
 
     def weight(self, word: bytes) -> float | None:
-        """Log-odds of the surest of the word's stems; a bounded memo."""
+        """Log-odds of the surest of the word's stems; a memo of MEMO_BYTES at most and one word."""
         if word not in self.memo:
-            if len(self.memo) > 300_000:
+            self.held += len(word) + 100
+            if self.held > MEMO_BYTES:
                 self.memo.clear()
+                self.held = len(word) + 100
             known = [w for s in stems(word) if (w := self.weights.get(s))]
             self.memo[word] = max(known, key=lambda w: abs(w[1]))[0] if known else None
         return self.memo[word]
@@ -99,13 +104,12 @@ class ToxicityModel:
     def features(self, words: list[bytes]) -> tuple[list[tuple[int, int, float]], float, float]:
         """Significant passages (start, end, log10 E), evidence of the best segment, number of significant ones."""
         found = [(a, b, self.log10_e(s, len(words))) for a, b, s in self.segments(words)]
-        return [x for x in found if x[2] <= math.log10(SIGNIFICANT)], *self.evidence([e for _, _, e in found])
+        return [x for x in found if x[2] <= math.log10(SIGNIFICANT)], *self.evidence([e for _, _, e in found], len(words))
 
-    @staticmethod
-    def evidence(log10_e: list[float]) -> tuple[float, float]:
-        """Of the best segment, and of the number of significant ones."""
+    def evidence(self, log10_e: list[float], n: int) -> tuple[float, float]:
+        """Of the best of n tokens' segments, a text without any counting as one of score 0, and of the number of significant ones: on a scale that is linear near 0 and logarithmic beyond, without end."""
         many = sum(e <= math.log10(SIGNIFICANT) for e in log10_e)
-        return min(30.0, max(-3.0, -min(log10_e, default=3.0))), math.log1p(many)
+        return math.asinh(-min(log10_e, default=self.log10_e(0.0, n))), math.log1p(many)
 
     def probability(self, best: float, many: float) -> float:
         z = self.curve[0] + self.curve[1] * best + self.curve[2] * many
