@@ -150,3 +150,31 @@ def test_recentred_probabilities(spark):
     assert out.where("p is null and Recentred is not null").count() == 0
     order = [x.Recentred for x in out.where("p is not null").distinct().orderBy("p").collect()]
     assert order == sorted(order)
+
+
+def test_counts_of_more_samples_are_added(spark):
+    r = random.Random(3)
+    rows = [(d, 1, r.choice("NESW"), r.choice("SH"), r.choice([None, *range(14)])) for d in range(4) for _ in range(120)]
+    df = spark.createDataFrame(rows, "deal_id long, Board int, seat string, strain string, tricks int").withColumn("i", F.monotonically_increasing_id())
+    parts = [scoring.trick_counts(df.where(F.pmod(F.xxhash64("i"), F.lit(3)) == k)) for k in range(3)]
+    key = lambda x: (x.deal_id, x.seat, x.strain, x.trials, x.probs)
+    whole = sorted(map(key, scoring.trick_histograms(df).collect()))
+    for order in ((0, 1, 2), (2, 0, 1)):
+        assert sorted(map(key, scoring.trick_probabilities(scoring.merge_counts(*[parts[k] for k in order])).collect())) == whole
+    once = scoring.merge_counts(scoring.merge_counts(parts[0], parts[1]), parts[2])
+    assert sorted(map(key, scoring.trick_probabilities(once).collect())) == whole
+
+
+def test_par_is_folded_once_a_table(spark):
+    """Deals that share the sides' tricks, vulnerability and the dealer's side are one row of the fold."""
+    cells = [[t % 14 for t in range(k, k + 20)] for k in (1, 4)]
+    deals = spark.createDataFrame([(i, b, cells[i % 2]) for i, b in enumerate([1, 1, 3, 3, 2, 2] * 10)], "deal_id long, Board int, cells array<int>")
+    out = scoring.par(deals)
+    assert out.count() == 60 and out.groupBy("Board", F.col("deal_id") % 2).agg(F.count_distinct("par_score").alias("n")).where("n > 1").count() == 0
+    seen, fold = [], scoring.par_of_tables
+    try:
+        scoring.par_of_tables = lambda t: seen.append(t) or fold(t)
+        scoring.par(deals)
+    finally:
+        scoring.par_of_tables = fold
+    assert seen[0].count() == 2 * 3  # boards 1 and 3 differ in vulnerability, 1 and 2 in the dealer too

@@ -1,7 +1,5 @@
 import datetime
 
-from pyspark.sql import functions as F
-
 from tricklake.operators import matchpoints as M
 from tricklake.streaming import standings as S
 
@@ -19,15 +17,18 @@ def put(spark, data, path):
 
 
 def test_running_standings(spark, tmp_path):
+    """A batch writes the boards that it touches alone; every board's last table is that of all its results."""
     src, out, cp = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
-    put(spark, rows(4, 1), src)
+    put(spark, rows(4, 1) + rows(3, 1, 2) + rows(2, 1, 3), src)
     S.keep_standings(S.results_stream(spark, src), out, cp).awaitTermination(120)
     put(spark, rows(6, 2) + [(1, 0, 2, day(2), None, 1, 2)], src)
     S.keep_standings(S.results_stream(spark, src), out, cp).awaitTermination(120)
-    last = spark.read.parquet(out)
-    last = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0]).select("Board", "score", "n", "mp")
-    want = M.score_frequencies(M.frequencies(spark.read.parquet(src))).select("Board", "score", "n", "mp")
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+    put(spark, rows(1, 3, 4) + rows(5, 3, 2), src)
+    S.keep_standings(S.results_stream(spark, src), out, cp).awaitTermination(120)
+    boards = lambda n: {x.Board for x in spark.read.parquet(f"{out}/b={n}").collect()}
+    assert [boards(n) for n in range(3)] == [{1, 2, 3}, {1}, {2, 4}]
+    want = M.score_frequencies(M.frequencies(spark.read.parquet(src))).select("Board", "score", "n", "mp", "pct")
+    assert sorted(map(tuple, S.latest_standings(spark, out).select("Board", "score", "n", "mp", "pct").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_late_sessions_are_kept_apart(spark, tmp_path):

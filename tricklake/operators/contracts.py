@@ -107,6 +107,13 @@ def roles(df: DataFrame) -> DataFrame:
     })
 
 
+def declarer_probabilities(df: DataFrame, deals: DataFrame) -> DataFrame:
+    """probs, the trick probabilities of the contract's own declarer and strain, from deals(deal_id, hists): a row a deal, hists having seats N, E, S, W by strains S, H, D, C, N. One join; null without a bid or a deal."""
+    cell = (F.instr(F.lit(B.SEATS), F.col("Declarer_Direction")) - 1) * 5 + F.instr(F.lit(B.TRICK_STRAINS), F.col("BidSuit")) - 1
+    joined = df.join(deals.select("deal_id", F.col("hists").alias("_hists")), "deal_id", "left")
+    return joined.withColumn("probs", F.when(F.col("Declarer_Direction").isNotNull() & F.col("BidSuit").isNotNull(), F.get("_hists", cell.cast("int")))).drop("_hists")
+
+
 def trick_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({"OverTricks": F.col("Result") > 0, "JustMade": F.col("Result") == 0, "UnderTricks": F.col("Result") < 0})
 

@@ -81,9 +81,21 @@ def par(dd: DataFrame) -> DataFrame:
     bid down, a side's bid is worth what the opponents leave of it: they pass or take their best higher bid. The side that deals speaks first;
     each seat may pass in turn. contracts: all that give exactly par, as level, strain, X, side and result; none for a passed-out board.
     """
-    by = (dd if "cells" in dd.columns else deal_cells(dd)).withColumn("_code", B.vul_code(F.col("Board")))
+    by = dd if "cells" in dd.columns else deal_cells(dd)
     tricks = F.array(*[F.greatest(F.col("cells")[side * 5 + B.TRICK_STRAINS.index(s)], F.col("cells")[(side + 2) * 5 + B.TRICK_STRAINS.index(s)]) for s in B.STRAINS for side in (0, 1)])
-    by = by.withColumn("_tricks", tricks)
+    # what par depends on, as a text: a letter for each side's tricks in a strain, the vulnerability, the dealer's side
+    table = F.concat(F.array_join(F.transform(tricks, lambda t: F.when(t.between(0, 13), B.nth("0123456789ABCD", t))), "", "-"), B.vul_code(F.col("Board")).cast("string"), B.side_of(B.dealer_of(F.col("Board"))))
+    by = by.withColumn("_table", table)
+    solved = par_of_tables(by.select("_table").distinct())
+    out = by.join(solved, "_table")
+    return out.select(*(c for c in by.columns if c != "_table"), "par_score", "contracts") if "cells" in dd.columns else out.select("deal_id", "par_score", "contracts")
+
+
+def par_of_tables(tables: DataFrame) -> DataFrame:
+    """(_table, par_score, contracts) of distinct texts as par makes them: the bids are folded once for all deals that share a table."""
+    at = lambda i: F.substring("_table", i + 1, 1)
+    tricks = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.nullif(F.instr(F.lit("0123456789ABCD"), F.substring("_table", i + 1, F.lit(1))), F.lit(0)) - 1)
+    by = tables.withColumns({"_tricks": tricks, "_code": at(10).cast("int"), "_ns": F.substring("_table", 12, 2) == "NS"})
 
     def bid(i: Column) -> Column:
         """The i-th of 70: levels and strains from the top, NS before EW."""
@@ -93,7 +105,7 @@ def par(dd: DataFrame) -> DataFrame:
         return F.struct((level * 5 + place + 1).alias("rank"), F.when(ns, "NS").otherwise("EW").alias("side"), F.when(ns, value).otherwise(-value).alias("value"), level.alias("level"), strain.alias("strain"), over.alias("over"))
 
     # sides without tricks in a strain cannot bid it
-    by = by.withColumn("bids", F.filter(F.transform(F.sequence(F.lit(0), F.lit(69)), bid), lambda b: b["over"].isNotNull())).drop("_tricks", "_code")
+    by = by.withColumn("bids", F.filter(F.transform(F.sequence(F.lit(0), F.lit(69)), bid), lambda b: b["over"].isNotNull()))
 
     # sorted by descending rank, NS before EW within a rank; best values over strictly higher bids are kept until the rank changes
     start = F.struct(F.lit(-99999).alias("ns"), F.lit(99999).alias("ew"), F.lit(-99999).alias("ns_at"))
@@ -110,11 +122,11 @@ def par(dd: DataFrame) -> DataFrame:
     ns, ew = F.col("best.ns"), F.col("best.ew")
     first = F.greatest(ns, F.least(ew, F.greatest(ns, F.least(ew, F.lit(0)))))
     second = F.least(ew, F.greatest(ns, F.least(ew, F.greatest(ns, F.lit(0)))))
-    score = F.when(B.side_of(B.dealer_of(F.col("Board"))) == "NS", first).otherwise(second)
+    score = F.when(F.col("_ns"), first).otherwise(second)
     best = best.withColumn("par_score", score)
     text = lambda b: F.concat(b["level"].cast("string"), b["strain"], F.when(b["over"] < 0, "X").otherwise(""), F.lit(" "), b["side"], F.lit(" "), b["over"].cast("string"))
     par_bids = F.when(F.col("par_score") == 0, F.array().cast("array<string>")).otherwise(F.transform(F.filter("bids", lambda b: b["value"] == F.col("par_score")), text))
-    return best.withColumn("contracts", F.sort_array(par_bids)).drop("bids", "best") if "cells" in dd.columns else best.select("deal_id", "par_score", F.sort_array(par_bids).alias("contracts"))
+    return best.select("_table", "par_score", F.sort_array(par_bids).alias("contracts"))
 
 
 def same_par(one: Column, two: Column) -> Column:
@@ -144,11 +156,28 @@ def par_sides(pars: DataFrame) -> DataFrame:
     return pars.withColumns({"Par_NS": F.col("par_score"), "Par_EW": -F.col("par_score")})
 
 
+def trick_counts(samples: DataFrame) -> DataFrame:
+    """samples(deal_id, Board, seat, strain, tricks) -> per deal, seat and strain: trials and counts, how often each trick count 0 to 13 came up. Tables of further samples go together by merge_counts."""
+    n = F.count("tricks")
+    return samples.groupBy("deal_id", "Board", "seat", "strain").agg(n.cast("long").alias("trials"), F.array(*[F.count(F.when(F.col("tricks") == t, 1)) for t in range(14)]).alias("counts"))
+
+
+def merge_counts(*tables: DataFrame) -> DataFrame:
+    """The table of trick_counts over all samples of several ones: counts and trials are added, so the order and the number of tables do not matter. Deals of one table alone are kept."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return every.groupBy("deal_id", "Board", "seat", "strain").agg(F.sum("trials").alias("trials"), F.array(*[F.sum(F.col("counts")[t]) for t in range(14)]).alias("counts"))
+
+
+def trick_probabilities(counts: DataFrame) -> DataFrame:
+    """probs, the share of each trick count in the trials; null without any."""
+    return counts.withColumn("probs", F.transform("counts", lambda c: F.try_divide(c, F.col("trials")))).drop("counts")
+
+
 def trick_histograms(samples: DataFrame) -> DataFrame:
     """samples(deal_id, Board, seat, strain, tricks) -> per deal, seat and strain: trials and probs, the share of each trick count 0 to 13."""
-    n = F.count("tricks")
-    by = samples.groupBy("deal_id", "Board", "seat", "strain").agg(n.cast("long").alias("trials"), F.array(*[F.count(F.when(F.col("tricks") == t, 1)) for t in range(14)]).alias("_c"))
-    return by.withColumn("probs", F.transform("_c", lambda c: c / F.col("trials"))).drop("_c")
+    return trick_probabilities(trick_counts(samples))
 
 
 def ev_lists(hist: DataFrame) -> DataFrame:
@@ -186,11 +215,20 @@ def _contract(packed: Column) -> Column:
 
 def best_contracts(evs: DataFrame) -> DataFrame:
     """evs of ev_lists -> best expected value and its contract per deal and vulnerability at five grains: deal, side, seat, strain, seat and strain; ties go to the first in generation order."""
-    both = F.explode(F.array(F.struct(F.lit(False).alias("vul"), _best_level(F.col("nv")).alias("b")), F.struct(F.lit(True).alias("vul"), _best_level(F.col("v")).alias("b"))))
-    rows = evs.select("deal_id", "seat", "strain", B.side_of(F.col("seat")).alias("side"), both.alias("x")).select("*", "x.vul", "x.b")
-    keys = ["deal_id", "vul"]
-    sets = [keys, [*keys, "side"], [*keys, "seat"], [*keys, "strain"], [*keys, "seat", "strain"]]
-    g = rows.groupingSets([[F.col(c) for c in s] for s in sets], "deal_id", "vul", "side", "seat", "strain").agg(F.max("b").alias("top"))
+    rows = evs.select("deal_id", "seat", "strain", _best_level(F.col("nv")).alias("nv"), _best_level(F.col("v")).alias("v"))
+    # a deal's twenty cells, and no more, side by side; the grains are maxima over some of them
+    cell = lambda who, strain, c: F.max(F.when((F.col("seat") == who) & (F.col("strain") == strain), F.col(c)))
+    places = [(who, strain) for who in B.SEATS for strain in B.TRICK_STRAINS]
+    by = rows.groupBy("deal_id").agg(*[F.array(*[cell(who, strain, c) for who, strain in places]).alias(c) for c in ("nv", "v")])
+    grains = [(None, None, None), *[(p, None, None) for p in ("NS", "EW")], *[(None, w, None) for w in B.SEATS], *[(None, None, s) for s in B.TRICK_STRAINS], *[(None, w, s) for w, s in places]]
+
+    def top(c: str, side: str | None, seat: str | None, strain: str | None) -> Column:
+        own = [F.col(c)[i] for i, (w, s) in enumerate(places) if (side is None or w in side) and seat in (None, w) and strain in (None, s)]
+        return own[0] if len(own) == 1 else F.greatest(*own)
+
+    text = lambda x: F.lit(x).cast("string")
+    out = [F.struct(F.lit(vul).alias("vul"), *[text(x).alias(k) for k, x in zip(("side", "seat", "strain"), g)], top(c, *g).alias("top")) for vul, c in ((False, "nv"), (True, "v")) for g in grains]
+    g = by.select("deal_id", F.inline(F.array(*out))).where("top is not null")
     return g.select("deal_id", "vul", "side", "seat", "strain", _value(F.col("top")).alias("ev"), _contract(F.col("top")).alias("contract"))
 
 

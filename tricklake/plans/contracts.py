@@ -117,20 +117,28 @@ FLAGS = ["Contract", "OnLead", "NotOnLead", "OnLead_ID", "NotOnLead_ID", "Dummy_
 reg("fin11_roles", lambda s, d: C.roles(with_pars(s, d)).select(*KEYS, *FLAGS), with_dd_par(f"SELECT {K}, {', '.join(FLAGS)} FROM {ROLES}"))
 
 
+def _probs(tricks):
+    """Stored trick probabilities: of forty layouts half take one count and half another."""
+    one = (F.col("deal_id") * 13 + tricks) % 14
+    return F.array(*[F.when((one == t) | (one == (t + 7) % 14), 0.5).otherwise(0.0) for t in range(14)])
+
+
+def result_hists(spark, sf):
+    """(deal_id, Board, hists) of the results' deals, a row a deal."""
+    return result_deals(spark, sf).select("deal_id", "Board", F.transform("cells", _probs).alias("hists"))
+
+
 def result_histograms(spark, sf):
-    """Stored trick probabilities of the results' deals, (deal_id, Board, seat, strain, probs): of forty layouts half take one count and half another."""
+    """The same with a row a seat and strain: (deal_id, Board, seat, strain, probs)."""
     from ..functions import bridge as B
 
     rows = result_deals(spark, sf).select("deal_id", "Board", F.posexplode("cells").alias("g", "tricks"))
-    one = (F.col("deal_id") * 13 + F.col("tricks")) % 14
-    probs = F.array(*[F.when((one == t) | (one == (t + 7) % 14), 0.5).otherwise(0.0) for t in range(14)])
-    return rows.select("deal_id", "Board", B.nth("NESW", F.floor(F.col("g") / 5)).alias("seat"), B.nth("SHDCN", F.col("g") % 5).alias("strain"), probs.alias("probs"))
+    return rows.select("deal_id", "Board", B.nth("NESW", F.floor(F.col("g") / 5)).alias("seat"), B.nth("SHDCN", F.col("g") % 5).alias("strain"), _probs(F.col("tricks")).alias("probs"))
 
 
 def probabilities(spark, sf):
     """P(t) of the contract's own declarer and strain."""
-    h = result_histograms(spark, sf).select("deal_id", F.col("seat").alias("Declarer_Direction"), F.col("strain").alias("BidSuit"), "probs")
-    return split(spark, sf).join(h, ["deal_id", "Declarer_Direction", "BidSuit"], "left")
+    return C.declarer_probabilities(split(spark, sf), result_hists(spark, sf))
 
 
 reg("fin12_trick_probabilities", lambda s, d: probabilities(s, d).select(*KEYS, "Contract", *[F.col("probs")[t].alias(f"P_{t}") for t in range(14)]),

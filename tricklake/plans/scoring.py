@@ -87,7 +87,16 @@ Q["sco6_compare_tables"], O["sco6_compare_tables"] = compare_dd, with_par("""SEL
 SELECT deal_id, 'par', par_score || ' ' || n, par_score + CASE WHEN deal_id % 90 = 0 THEN 10 ELSE 0 END || ' ' || n - gone FROM (SELECT deal_id, par_score, len(contracts) AS n, CASE WHEN len(contracts) > 0 AND deal_id % 3 <> 0 AND deal_id % 130 = 0 THEN 1 ELSE 0 END AS gone FROM ("""
 + PAR_TAIL + ")) WHERE deal_id % 90 = 0 OR gone = 1")
 Q["sco7_par_sides"], O["sco7_par_sides"] = (lambda s, d: S.par_sides(S.par(X.dd_long(s, d))).select("deal_id", "Par_NS", "Par_EW")), with_par("SELECT deal_id, par_score AS Par_NS, -par_score AS Par_EW FROM b")
-reg("sco8_trick_histograms", lambda s, d: S.trick_histograms(X.samples(s, d)).select("deal_id", "seat", "strain", "trials", *[F.col("probs")[t].alias(f"P{t}") for t in range(14)]),
+
+
+def merged_histograms(spark, sf):
+    """Samples that come in three parts, counted by themselves."""
+    x = X.samples(spark, sf)
+    part = F.col("tricks") % 3
+    return S.trick_probabilities(S.merge_counts(*[S.trick_counts(x.where(part == i)) for i in range(3)]))
+
+
+reg("sco8_trick_histograms", lambda s, d: merged_histograms(s, d).select("deal_id", "seat", "strain", "trials", *[F.col("probs")[t].alias(f"P{t}") for t in range(14)]),
     f"SELECT deal_id, seat, strain, count(*) AS trials, {', '.join(f'count(*) FILTER (tricks = {t}) / count(*) AS P{t}' for t in range(14))} FROM samples GROUP BY deal_id, seat, strain", "samples")
 #: failing contracts count as doubled
 EV = f"""ev AS (SELECT h.deal_id, Board, seat, h.strain, level, vul, round(sum(score * n) / sum(n), 6) AS ev FROM (SELECT deal_id, Board, seat, strain, tricks, count(*) AS n FROM samples GROUP BY ALL) h

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import matchpoints as M
 from ..operators import ratings
@@ -20,20 +25,38 @@ def results_stream(spark: SparkSession, path: str, schema: str = RESULTS) -> Dat
 
 
 def running_frequencies(stream: DataFrame) -> DataFrame:
-    """Score frequencies of every board, kept up to date; state is one row a board and distinct score."""
-    return stream.where("Score_NS is not null").groupBy(*M.BOARD, F.col("Score_NS").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    """(board, score, n) of the boards that a batch touches, with all scores that they ever had; the state of a board is one count for each of its scores."""
+    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in M.BOARD)
+
+    def add(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts = Counter(dict(zip(*state.get))) if state.exists else Counter()
+        for part in parts:
+            counts.update(Counter(part["Score_NS"].astype("int64").tolist()))
+        scores = sorted(counts)
+        state.update((scores, [counts[s] for s in scores]))
+        yield pd.DataFrame(dict(zip(M.BOARD, key)) | {"score": scores, "n": [counts[s] for s in scores]})
+
+    rows = stream.where("Score_NS is not null").select(*M.BOARD, "Score_NS")
+    return rows.groupBy(*M.BOARD).applyInPandasWithState(add, f"{kinds}, score int, n long", "scores array<int>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def keep_standings(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Boards touched by a batch get their matchpoint table again; each batch writes its own folder below target, so a replay overwrites it.
+    """Boards touched by a batch get their matchpoint table again, and no others; each batch writes its own folder below target, so a replay overwrites it.
 
-    The latest batch of a board holds its standings.
+    The latest batch of a board holds its standings: latest_standings reads them.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         M.score_frequencies(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/b={number}")
 
-    return running_frequencies(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return running_frequencies(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_standings(spark: SparkSession, target: str) -> DataFrame:
+    """The matchpoint tables of all boards as of the last batch that touched each."""
+    every = spark.read.parquet(target).drop("b")
+    last = every.groupBy(*M.BOARD).agg(F.max("batch").alias("batch"))
+    return every.join(last, [*M.BOARD, "batch"])
 
 
 def split_late(stream: DataFrame, target: str, late: str, checkpoint: str) -> StreamingQuery:
