@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..sources import tables as S
 from ..sources.folders import shared_folder as folder
+from ..sources.stored import StoredTable
 
 Q, O = {}, {}
 
@@ -36,8 +37,14 @@ reg("src9_aligned_union", lambda s, d: S.aligned_union(orders(s, d).where("o_ord
 
 
 def merged(spark, sf):
+    """Parts with columns of their own, appended to a stored table and packed into fewer files, without invalid rows."""
     o = orders(spark, sf).select("o_orderkey", "o_custkey")
-    return S.save(S.compact([o.where(F.col("o_orderkey") % 3 == i).withColumns({f"x{i}": F.lit(i)}) for i in range(3)], F.col("o_custkey") % 2 == 0, ("o_custkey",)), folder(spark, "compact"))
+    parts = [o.where(F.col("o_orderkey") % 3 == i).withColumns({f"x{i}": F.lit(i)}) for i in range(3)]
+    t = StoredTable(spark, folder(spark, "compact")).create(parts[0], ["o_orderkey"])
+    for p in parts[1:]:
+        t.append(p)
+    t.compact(valid=F.col("o_custkey") % 2 == 0)
+    return t.read()
 
 
 reg("src10_compaction", merged, "SELECT o_orderkey, o_custkey, " + ", ".join(f"CASE WHEN o_orderkey % 3 = {i} THEN {i} END AS x{i}" for i in range(3)) + " FROM orders WHERE o_custkey % 2 = 0")
@@ -59,11 +66,27 @@ def new_rows(spark, sf):
 
 
 NEW = "(SELECT 'd' || floor(o_orderkey / 3 + o_orderkey % 5 / 4)::BIGINT AS PBN, substr('NESW', (o_orderkey % 3 + 1)::INTEGER, 1) AS Dealer, max(CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 50 END) AS par FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 1, 2)"
-reg("src11_upsert", lambda s, d: S.upsert(cache(s, d), new_rows(s, d), ["PBN", "Dealer"]),
+KEYS = ["PBN", "Dealer"]
+
+
+def upserted(spark, sf):
+    """In place, in a stored table."""
+    t = StoredTable(spark, folder(spark, "stored")).create(cache(spark, sf), KEYS)
+    t.upsert(new_rows(spark, sf))
+    return t.read()
+
+
+def migrated(spark, sf):
+    t = StoredTable(spark, folder(spark, "stored")).create(cache(spark, sf), KEYS)
+    t.migrate_null_keys(new_rows(spark, sf))
+    return t.read()
+
+
+reg("src11_upsert", upserted,
     f"""SELECT c.PBN, c.Dealer, coalesce(n.par, c.par) AS par, c.trials FROM {CACHE} c LEFT JOIN {NEW} n ON c.PBN = n.PBN AND c.Dealer = n.Dealer UNION ALL
   SELECT n.PBN, n.Dealer, coalesce(n.par, f.par), f.trials FROM {NEW} n LEFT JOIN {CACHE} c ON c.PBN = n.PBN AND c.Dealer = n.Dealer
   LEFT JOIN (SELECT * FROM {CACHE} QUALIFY row_number() OVER (PARTITION BY PBN ORDER BY Dealer NULLS FIRST) = 1) f ON f.PBN = n.PBN WHERE c.PBN IS NULL""")
-reg("src12_migrate_null_keys", lambda s, d: S.migrate_null_keys(cache(s, d), new_rows(s, d), "PBN", ["Dealer"]),
+reg("src12_migrate_null_keys", migrated,
     f"""SELECT * FROM {CACHE} WHERE Dealer IS NOT NULL UNION ALL SELECT * FROM {CACHE} WHERE Dealer IS NULL AND PBN NOT IN (SELECT PBN FROM {NEW}) UNION ALL
   SELECT n.PBN, n.Dealer, c.par, c.trials FROM {NEW} n JOIN {CACHE} c ON c.PBN = n.PBN AND c.Dealer IS NULL WHERE NOT EXISTS (SELECT 1 FROM {CACHE} x WHERE x.PBN = n.PBN AND x.Dealer = n.Dealer)""")
 reg("src13_missing_work", lambda s, d: S.missing_work(new_rows(s, d), cache(s, d), ["PBN", "Dealer"], "par", 300),
