@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..operators import canonical as N
 from ..sources import documents as D
 from ..sources import pages as G
+from ..sources.folders import shared_folder as folder
 
 Q, O = {}, {}
 
@@ -21,12 +22,17 @@ def reg(name, run, sql, *ctes):
 SCHEMA = "id long, name string, place struct<nation:string,region:struct<name:string,no:int>>, orders array<struct<id:long,price:string,day:string,tags:array<string>>>"
 
 
-def documents(spark, sf):
+def document_texts(spark, sf):
+    """(id, j): the documents as JSON text."""
     t = lambda n: X.table(spark, sf, n)
     o = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.regexp_replace(F.col("o_totalprice").cast("decimal(15,2)").cast("string"), "\\.", ",").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.array("o_orderstatus", "o_orderpriority").alias("tags")))).alias("orders"))
     c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     j = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.struct(F.col("n_name").alias("nation"), F.struct(F.col("r_name").alias("name"), F.col("r_regionkey").alias("no")).alias("region")).alias("place"), "orders"))
-    return c.select(F.from_json(j, SCHEMA).alias("d")).select("d.*")
+    return c.select(F.col("c_custkey").alias("id"), j.alias("j"))
+
+
+def documents(spark, sf):
+    return document_texts(spark, sf).select(F.from_json("j", SCHEMA).alias("d")).select("d.*")
 
 
 BASE = "FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -49,12 +55,22 @@ reg("jsn4_record_paths", lambda s, d: (lambda t: t["orders"].select("orders_no",
 
 
 def walked(spark, sf):
-    docs = documents(spark, sf).select(F.col("id").alias("doc"), "name", F.transform("orders", lambda o: F.struct(o["price"].alias("price"), o["day"].alias("day"))).alias("orders"))
-    t = D.walk(docs, "doc")
-    return t["orders"].select("id", "parent", "price").unionByName(t["root"].select("id", F.lit("").alias("parent"), F.col("name").alias("price")))
-
-
-reg("jsn5_walk", walked, f"SELECT o_custkey || '-' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS id, o_custkey::VARCHAR AS parent, replace({PRICE}::VARCHAR, '.', ',') AS price FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL SELECT c_custkey::VARCHAR, '', c_name FROM customer")
+    """Every field of every object, whatever the shape; each fifth document has its orders under digit keys."""
+    d = document_texts(spark, sf)
+    as_map = F.to_json(F.struct(F.map_from_entries(F.transform(F.from_json("j", SCHEMA)["orders"], lambda o, i: F.struct(i.cast("string"), F.struct(o["id"].alias("id"), o["price"].alias("price"), o["day"].alias("day"), o["tags"].alias("tags"))))).alias("orders")))
+    j = F.when((F.col("id") % 5 == 0) & F.from_json("j", SCHEMA)["orders"].isNotNull(), as_map).otherwise(F.col("j"))
+    rows = D.walk_variants(d.select("id", F.parse_json(j).alias("v")), "id", "v", folder(spark, "walk"))
+    return rows.select("doc", "tbl", "id", "parent", "field", "value")
+
+
+reg("jsn5_walk", walked, f"""
+WITH o AS (SELECT o_custkey::VARCHAR AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, * FROM orders JOIN customer ON c_custkey = o_custkey),
+d AS (SELECT *, c_custkey % 5 = 0 AND c_custkey IN (SELECT o_custkey FROM orders) AS bare {BASE}), k AS (SELECT c_custkey::VARCHAR AS c, * FROM d)
+SELECT c AS doc, 'root' AS tbl, c AS id, NULL AS parent, unnest(CASE WHEN bare THEN [NULL] ELSE ['id', 'name'] END) AS field, unnest(CASE WHEN bare THEN [NULL] ELSE [c, c_name] END) AS value FROM k
+UNION ALL SELECT c, 'place', c, c, 'nation', n_name FROM k WHERE NOT bare
+UNION ALL SELECT c, 'region', c, c, unnest(['name', 'no']), unnest([r_name, r_regionkey::VARCHAR]) FROM k WHERE NOT bare
+UNION ALL SELECT c, 'orders', c || '-' || i, c, unnest(['id', 'price', 'day']), unnest([o_orderkey::VARCHAR, replace({PRICE}::VARCHAR, '.', ','), strftime(o_orderdate, '%Y-%m-%d')]) FROM o
+UNION ALL SELECT c, 'tags', c || '-' || i || '-' || unnest([0, 1]), c || '-' || i, 'value', unnest([o_orderstatus, o_orderpriority]) FROM o""")
 reg("jsn6_newest", lambda s, d: D.newest(X.table(s, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", ["event_id"]).select("user_id", "event_id").unionByName(D.orphans(X.table(s, d, "orders"), X.table(s, d, "customer").where("c_custkey % 3 > 0"), "o_custkey", "c_custkey").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id"))),
     "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 UNION ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)")
 reg("jsn7_leaf_paths", lambda s, d: D.leaf_paths(documents(s, d), "id").where("value is not null"),

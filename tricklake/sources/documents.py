@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.canonical import keep_first
+from .folders import remove
 
 
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
@@ -81,6 +84,54 @@ def walk(df: DataFrame, key: str) -> dict[str, DataFrame]:
     return out
 
 
+def walk_variants(docs: DataFrame, doc: str, value: str, folder: str, primary_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc, tbl, id, parent, field, value as text) of documents whose shape differs from row to row: docs has a key and a VARIANT of parse_json.
+
+    An object is a row of the table that its own key names (root at the top); an object inside it is a row of its own table under the same id. A list's elements have the id of what holds the list, a dash
+    and the position; an object all of whose keys are digits counts as a list with those keys for positions. Elements that are no objects have the field `value`. If an object
+    has one of primary_keys (a number or text), that is its id. parent is the id of the row above, null at the top; an object without plain fields has one row with a null field. A null
+    document has no rows, and a JSON null the value null. Each level of nesting is one step over all documents, and a table below folder.
+    """
+    spark = docs.sparkSession
+    names = ["doc", "tbl", "id", "parent"]
+    front = docs.select(F.col(doc).cast("string").alias("doc"), F.lit("root").alias("tbl"), F.col(doc).cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.col(value).alias("v")).where("v is not null")
+    digits = F.forall(F.json_object_keys(F.to_json("v")), lambda k: k.rlike("^[0-9]+$"))
+    kind = lambda v: F.substring(F.schema_of_variant(v), 1, 5)
+    own = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in primary_keys], F.col("id")) if primary_keys else F.col("id")
+    schema, step = "doc string, tbl string, id string, parent string, field string, value string", 0
+    while True:
+        front = front.withColumn("kind", F.when(kind(F.col("v")) == "OBJEC", F.when(digits & (F.length(F.to_json("v")) > 2), "map").otherwise("object")).when(kind(F.col("v")) == "ARRAY", "list").otherwise("plain"))
+        front = front.withColumn("id", F.when(F.col("kind") == "object", own).otherwise(F.col("id")))
+        front.write.parquet(f"{folder}/front-{step}")
+        front = spark.read.parquet(f"{folder}/front-{step}")
+        view = f"front_{uuid.uuid4().hex}"
+        front.createOrReplaceTempView(view)
+        parts = spark.sql(f"SELECT f.doc, f.tbl, f.id, f.parent, f.kind, x.pos, x.key, x.value AS v FROM {view} f, LATERAL variant_explode(f.v) x WHERE f.kind <> 'plain'")
+        plain = ~kind(F.col("v")).isin("OBJEC", "ARRAY")
+        fields = parts.where((F.col("kind") == "object") & plain).select(*names, F.col("key").alias("field"), F.col("v").cast("string").alias("value"))
+        elements = front.where("kind = 'plain'").select(*names, F.lit("value").alias("field"), F.col("v").cast("string").alias("value"))
+        rows = front.where("kind = 'object'").select(*names, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
+        rows = rows.join(fields.select("doc", "tbl", "id").distinct(), ["doc", "tbl", "id"], "left_anti").select(*names, "field", "value")
+        fields.unionByName(elements).unionByName(rows).write.parquet(f"{folder}/rows/{step}")
+        spark.catalog.dropTempView(view)
+        inside = F.col("kind") == "object"
+        place = F.concat_ws("-", "id", F.coalesce("key", F.col("pos").cast("string")))
+        front = parts.where(~inside | ~plain).select(
+            "doc", F.when(inside, F.col("key")).otherwise(F.col("tbl")).alias("tbl"), F.when(inside, F.col("id")).otherwise(place).alias("id"), F.when(inside, F.col("id")).otherwise(F.col("parent")).alias("parent"), "v"
+        )
+        step += 1
+        if not spark.read.parquet(f"{folder}/front-{step - 1}").where("kind <> 'plain'").limit(1).count():
+            break
+    for i in range(step):
+        remove(spark, f"{folder}/front-{i}")
+    return spark.read.schema(schema).parquet(*[f"{folder}/rows/{i}" for i in range(step)])
+
+
+def walked_table(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    """One table of walk_variants with the given fields as columns."""
+    return rows.where(F.col("tbl") == name).groupBy("doc", "id", "parent").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
+
+
 def newest(rows: DataFrame, keys: list[str], updated: str, ties: list[str]) -> DataFrame:
     """Insert-or-update: of each key the row updated last; ties by further columns, largest first."""
     return keep_first(rows, keys, [F.col(updated).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ties]])
