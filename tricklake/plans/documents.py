@@ -92,6 +92,8 @@ def made(spark, sf):
 
 
 reg("web1_embedded_json", lambda s, d: made(s, d).select("page_id", D.embedded_json(F.col("html"), "id long, n long").alias("j")).select("page_id", "j.id", "j.n"), "SELECT o_custkey AS page_id, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS id, CASE WHEN o_custkey % 4 > 0 THEN count(*) END AS n FROM orders GROUP BY o_custkey")
+reg("web2_page_links", lambda s, d: D.links(pages(s, d)).select("page_id", "href", "text"), """SELECT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a [^>]*>.*?</a>')) AS a FROM pages)""")
 reg("web2_result_links", lambda s, d: D.result_links(made(s, d)), "SELECT o_custkey AS page_id, o_orderkey::INTEGER AS n, concat_ws(', ', o_orderkey, o_orderpriority, (o_orderkey % 100) || ',5', 'x', 'go c') AS label, (o_orderkey % 9)::VARCHAR AS club FROM orders")
 
 
@@ -114,7 +116,7 @@ def tables(spark, sf):
 
 reg("web3_results_table", lambda s, d: D.results_table(tables(s, d)), """SELECT o_custkey AS page_id, CASE WHEN r <= 2 THEN 'NS' ELSE 'EW' END AS section, (o_orderkey % 50)::INTEGER AS place, (o_orderkey % 90)::INTEGER AS pair, 'A & ' || o_orderpriority AS name, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 300 + 0.5 END AS points, (o_orderkey % 100)::DOUBLE AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE o_orderkey % 7 > 0""")
-reg("web4_info_table", lambda s, d: made(s, d).select("page_id", D.info_table(F.col("html")).alias("m")).select("page_id", F.col("m")["event_name_"].alias("event"), F.col("m")["place"].alias("place")), "SELECT DISTINCT o_custkey AS page_id, 'E' || o_custkey AS event, 'Here' AS place FROM orders")
+reg("web4_info_table", lambda s, d: D.info_table(made(s, d)).select("page_id", F.col("m")["event_name_"].alias("event"), F.col("m")["place"].alias("place")), "SELECT DISTINCT o_custkey AS page_id, 'E' || o_custkey AS event, 'Here' AS place FROM orders")
 
 
 def freq_pages(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.canonical import keep_first
+from . import elements as E
 from .folders import remove
 
 
@@ -186,18 +187,16 @@ def text_of(html: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, text) of every anchor."""
-    rows = pages.select("page_id", F.posexplode(all_matches(F.col("html"), r"(?s)(<a\s[^>]*>.*?</a>)")).alias("pos", "a"))
-    return rows.select("page_id", "pos", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), text_of(F.col("a")).alias("text"))
+    """(page_id, pos, href, text) of every anchor with an address."""
+    return E.anchors(E.elements(pages))
 
 
 def result_links(pages: DataFrame) -> DataFrame:
     """Rows of tables with an anchor .../details/<n>: n (once a page, descending), cells 0, 1, 2, 3 and 5 joined, club id of the row's club link."""
-    rows = pages.select("page_id", F.posexplode(all_matches(F.col("html"), r"(?s)<tr[^>]*>(.*?)</tr>")).alias("pos", "row"))
-    cells = F.transform(all_matches(F.col("row"), r"(?s)<td[^>]*>(.*?)</td>"), text_of)
-    n = F.regexp_extract("row", r'href="[^"]*/details/(\d+)"', 1).try_cast("int")
-    df = rows.withColumns({"n": n, "club": F.regexp_extract("row", r"/clubs/(\d+)", 1)}).where("n is not null")
-    label = F.concat_ws(", ", *[F.try_element_at(cells, F.lit(i + 1)) for i in (0, 1, 2, 3, 5)])
+    rows = E.table_rows(E.elements(pages))
+    of = lambda pattern: F.get(F.filter(F.transform("hrefs", lambda h: F.regexp_extract(h, pattern, 1)), lambda x: x != ""), F.lit(0))
+    df = rows.withColumns({"n": of(r"/details/(\d+)").try_cast("int"), "club": F.coalesce(of(r"/clubs/(\d+)"), F.lit(""))}).where("n is not null")
+    label = F.concat_ws(", ", *[F.try_element_at("c", F.lit(i + 1)) for i in (0, 1, 2, 3, 5)])
     return keep_first(df.withColumn("label", label), ["page_id", "n"], [F.col("pos")]).select("page_id", "n", "label", "club")
 
 
@@ -211,9 +210,7 @@ def results_table(pages: DataFrame) -> DataFrame:
     A row whose cells name the players and the score gives the columns of the rows after it, by HEADERS. Rows before any header,
     with too few cells or whose place is no number are skipped, as are those whose pair, points or score is no number; empty points and scores are 0.
     """
-    rows = pages.select("page_id", F.posexplode(all_matches(F.col("html"), r"(?s)<tr[^>]*>(.*?)</tr>")).alias("pos", "row"))
-    cells = F.transform(all_matches(F.col("row"), r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), text_of)
-    df = rows.withColumn("c", cells)
+    df = E.table_rows(E.elements(pages)).where(F.size("c") > 0)
     whole, low = F.array_join("c", " "), F.transform("c", F.lower)
     head = F.when(whole.rlike(r"(?i)north\s*/\s*south"), "NS").when(whole.rlike(r"(?i)east\s*/\s*west"), "EW")
     titles = F.contains(whole, F.lit("Players")) & F.contains(whole, F.lit("Score"))
@@ -225,17 +222,17 @@ def results_table(pages: DataFrame) -> DataFrame:
     df = df.where(~F.coalesce("other", F.lit(False)) & F.col("section").isNotNull() & (F.least(*[F.col(f"at.{k}") for k in HEADERS]) > 0) & (F.greatest(*[F.col(f"at.{k}") for k in HEADERS]) <= F.size("c")))
     cell = lambda k: F.get("c", F.col(f"at.{k}") - 1)
     number = lambda k: F.when(cell(k) == "", 0.0).otherwise(F.replace(cell(k), F.lit(","), F.lit(".")).try_cast("double"))
-    out = df.select("page_id", "section", F.when(cell("place").rlike(r"^\d+$"), cell("place").try_cast("int")).alias("place"), cell("pair").try_cast("int").alias("pair"), F.replace(cell("name"), F.lit("&amp;"), F.lit("&")).alias("name"), number("points").alias("points"), number("score").alias("score"))
+    out = df.select("page_id", "section", F.when(cell("place").rlike(r"^\d+$"), cell("place").try_cast("int")).alias("place"), cell("pair").try_cast("int").alias("pair"), cell("name").alias("name"), number("points").alias("points"), number("score").alias("score"))
     return out.where("place is not null and pair is not null and points is not null and score is not null")
 
 
-def info_table(html: Column) -> Column:
-    """Map of a three-column table: label in lower case with _ for blanks -> value of the third cell; the first of equal labels counts."""
-    rows = F.transform(all_matches(html, r"(?s)<tr[^>]*>(.*?)</tr>"), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), text_of))
-    rows = F.filter(rows, lambda c: F.size(c) == 3)
-    keys = F.transform(rows, lambda c: F.regexp_replace(F.lower(c[0]), r"[\s:]+", "_"))
-    firsts = F.filter(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: F.array_position(keys, x["k"]) == x["i"] + 1)
-    return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["k"], F.get(rows, x["i"])[2])))
+def info_table(pages: DataFrame) -> DataFrame:
+    """(page_id, m): a map of a page's three-column table rows, label in lower case with _ for blanks -> value of the third cell; the first of equal labels counts. Pages without such rows have an empty map."""
+    rows = E.table_rows(E.elements(pages)).where(F.size("c") == 3)
+    rows = rows.select("page_id", "pos", F.regexp_replace(F.lower(F.col("c")[0]), r"[\s:]+", "_").alias("k"), F.col("c")[2].alias("v"))
+    first = rows.groupBy("page_id", "k").agg(F.min_by("v", "pos").alias("v"))
+    maps = first.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    return pages.select("page_id").join(maps, "page_id", "left").select("page_id", F.coalesce("m", F.create_map().cast("map<string,string>")).alias("m"))
 
 
 def frequency_lines(pages: DataFrame, text: str, header: int = 4) -> DataFrame:
