@@ -178,3 +178,21 @@ def test_par_is_folded_once_a_table(spark):
     finally:
         scoring.par_of_tables = fold
     assert seen[0].count() == 2 * 3  # boards 1 and 3 differ in vulnerability, 1 and 2 in the dealer too
+
+
+def test_trick_table_and_theoretical_score_of_a_contract(spark):
+    """FIN8 and FIN9 by hand: boards 1 (nobody vulnerable), 2 (North-South) and 4 (both)."""
+    cells = [10, 9, 8, 7, 6, 1, 2, 3, 4, 5, 9, 9, 8, 7, 6, 2, 2, 3, 13, 0]  # N, E, S, W by S, H, D, C, N
+    deals = spark.createDataFrame([(1, 1, cells), (2, 2, cells), (4, 4, cells)], "deal_id long, Board int, cells array<int>")
+    rows = [(1, 1, "4SN"), (1, 1, "4SXS"), (2, 2, "4SS"), (4, 4, "6CW"), (1, 1, "7CXXW"), (1, 1, "1NE"), (1, 1, "PASS"), (1, 1, None), (9, 1, "1CN")]
+    df = contracts.dd_score(contracts.join_deals(contracts.split_contract(spark.createDataFrame(rows, "deal_id long, Board int, Contract string")), deals))
+    got = {(r.deal_id, r.Contract): (r.DD_Tricks, r.DD_Tricks_Dummy, r.DD_Score_Declarer, r.DD_Score_Max_Declarer, r.DD_Score_NS, r.DD_Score_EW) for r in df.collect()}
+    assert got == {
+        (1, "4SN"): (10, 9, 420, 420, 420, -420),
+        (1, "4SXS"): (9, 10, -100, 140, -100, 100),  # one down, doubled whatever the contract's own doubling; two spades or three would make 140
+        (2, "4SS"): (9, 10, -200, 140, -200, 200),  # vulnerable
+        (4, "6CW"): (13, 4, 1390, 2140, -1390, 1390),  # a small slam and one over; the grand slam is worth most
+        (1, "7CXXW"): (13, 4, 1440, 1440, -1440, 1440),
+        (1, "1NE"): (5, 0, -300, -300, 300, -300),
+        (1, "PASS"): (None, None, None, None, 0, 0), (1, None): (None, None, None, None, 0, 0), (9, "1CN"): (None, None, None, None, None, None),
+    }

@@ -62,7 +62,8 @@ DD = f"""(SELECT s.*, a.tricks AS DD_Tricks, b.tricks AS DD_Tricks_Dummy FROM {S
 
 
 def with_dd(main):
-    return X.oracle("", "br").rstrip() + f",\nddr AS ({DDR})\n" + main
+    # tables of their own, not text that is put into each use
+    return X.oracle("", "br").rstrip().replace("br AS (", "br AS MATERIALIZED (", 1) + f",\nddr AS MATERIALIZED ({DDR})\n" + main
 
 
 def with_dd_par(main):
