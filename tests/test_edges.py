@@ -72,7 +72,8 @@ def test_free_sql_reports_errors(spark):
     assert out is None and "nothing" in error
     out, error = query.try_sql(df, 'WHERE k = :k', k=1)
     assert error == "" and out.count() == 1
-    assert query.run_sql(df, 'SELECT v FROM "self";').first().v == "a"
+    out = query.run_sql(df, 'SELECT v FROM "self";')
+    assert out.first().v == "a" and not [t for t in spark.catalog.listTables() if t.name.startswith("self")]
 
 
 def test_pages_without_content(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,12 @@ def run_sql(df: DataFrame, sql: str, macros: dict[str, str] | None = None, view:
     elif not re.search(r"\bfrom\b", sql, re.I):
         sql = f"FROM {view} {sql}"
     session = df.sparkSession
-    name = f"{view}_{abs(hash((id(df), sql)))}"
+    name = f"{view}_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(name)
-    return session.sql(re.sub(rf"\b{view}\b", name, sql), args=args or None)
+    try:
+        return session.sql(re.sub(rf"\b{view}\b", name, sql), args=args or None)
+    finally:
+        session.catalog.dropTempView(name)  # the result holds the plan, not the name
 
 
 def try_sql(df: DataFrame, sql: str, **kw) -> tuple[DataFrame | None, str]:
