@@ -110,12 +110,14 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df, written, with a dense index 0, 1, 2 ... by order (nulls first, strings bytewise); rows that tie are numbered in any order.
 
     A range sort deals the rows out, each keeps its place in its partition, and only the partitions' sizes, a row each, come to the driver. No task sees all rows.
-    Rows that tie in all of order are spread by a random number, so a third of all rows may tie.
+    Rows that tie in all of order are spread by a random number, so a third of all rows may tie; the number is written with its row before the sort, so a task that is run again deals its rows out as before.
     """
     spark = df.sparkSession
     keys = [F.col(c).asc_nulls_first() for c in order]
-    spread = df.withColumn("_tie", F.rand(11)).repartitionByRange(shuffle_parts(df), *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    base = written(df.withColumn("_tie", F.rand(11)), "unranked")
+    spread = base.repartitionByRange(shuffle_parts(df), *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
     placed = written(spread.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    discard(base)
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     starts, total = [], 0
     for p, n in sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect())):
