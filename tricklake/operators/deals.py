@@ -148,7 +148,11 @@ FORCING = ("Forcing_One_Round", "Opponents_Cannot_Play_Undoubled_Below_2N", "For
 
 def suit_flags(cards: Column, rules: dict | None = None) -> dict[str, Column]:
     """The flags of a suit: those of a table of choices, by default QUALITY and QUALITY_BELOW."""
-    n, p = F.length(cards), B.suit_hcp(cards)
+    return quality_flags(F.length(cards), B.suit_hcp(cards), rules)
+
+
+def quality_flags(n: Column, p: Column, rules: dict | None = None) -> dict[str, Column]:
+    """The flags of a suit by its length and high card points."""
     out = {}
     for name, choices in (QUALITY if rules is None else rules).items():
         out[name] = F.lit(False)
@@ -165,15 +169,16 @@ def add_suit_quality(df: DataFrame, rules: dict | None = None) -> DataFrame:
 
 
 def balanced(hand: Column) -> Column:
-    """4-3-3-3 or 4-4-3-2; 5-3-3-2 or 5-4-2-2 if the five-card suit is a minor."""
-    shape = F.array_join(F.sort_array(F.transform(hand, F.length), asc=False).cast("array<string>"), "")
-    minor = (F.length(hand[2]) == 5) | (F.length(hand[3]) == 5)
-    return shape.isin("4333", "4432") | (shape.isin("5332", "5422") & minor)
+    """4-3-3-3 or 4-4-3-2; 5-3-3-2 or 5-4-2-2 if the five-card suit is a minor: no suit shorter than two, none longer than four but a minor of five."""
+    n = [F.length(hand[j]) for j in range(4)]
+    minor = (n[2] == 5) | (n[3] == 5)
+    top = F.greatest(*n)
+    return (n[0] + n[1] + n[2] + n[3] == 13) & (F.least(*n) >= 2) & ((top == 4) | (top == 5) & minor)
 
 
 def add_balanced(df: DataFrame) -> DataFrame:
-    h = B.hands(F.col("PBN"))
-    return df.withColumns({f"Balanced_{d}": balanced(h[i]) for i, d in enumerate(B.SEATS)})
+    h = F.col("_hands")
+    return df.withColumn("_hands", B.hands(F.col("PBN"))).withColumns({f"Balanced_{d}": balanced(h[i]) for i, d in enumerate(B.SEATS)}).drop("_hands")
 
 
 def expand_metric(df: DataFrame, nested: str, name: str) -> DataFrame:
