@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bridge as B
 from ..sources.folders import remove, shared_folder
@@ -89,13 +90,17 @@ _ALLOWED = re.compile(r"^[A-Za-z_]\w*( *(==|=|<=|>=|<|>|!=) *(\d+|True|False|tru
 
 def seat_features(deals: DataFrame) -> DataFrame:
     """deals(deal_id, Board, PBN) -> per deal and seat: HCP, Total_Points, Losers, SL_s, Balanced, quality flags by suit."""
-    from .deals import balanced, suit_flags
+    from .deals import balanced, quality_flags
 
     rows = deals.select("deal_id", "Board", F.posexplode(B.hands(F.col("PBN"))).alias("_i", "h"))
-    add = lambda f: sum((f(F.col("h")[j]) for j in range(1, 4)), f(F.col("h")[0]))
+    # lengths, points and losers are worked out once, in a projection of their own
+    kinds = {"n": F.length, "p": B.suit_hcp, "l": B.suit_losers}
+    rows = rows.select("deal_id", "Board", "_i", balanced(F.col("h")).alias("Balanced"), *[f(F.col("h")[j]).alias(f"_{k}{j}") for k, f in kinds.items() for j in range(4)])
+    n, p, losers = ([F.col(f"_{k}{j}") for j in range(4)] for k in kinds)
+    total = lambda c: c[0] + c[1] + c[2] + c[3]
     return rows.select(
-        "deal_id", "Board", B.nth(B.SEATS, F.col("_i")).alias("seat"), add(B.suit_hcp).alias("HCP"), add(lambda s: B.suit_hcp(s) + B.suit_distribution(s)).alias("Total_Points"), add(B.suit_losers).alias("Losers"),
-        balanced(F.col("h")).alias("Balanced"), *[F.length(F.col("h")[j]).alias(f"SL_{s}") for j, s in enumerate(B.SUITS)], *[c.alias(f"{k}_{s}") for j, s in enumerate(B.SUITS) for k, c in suit_flags(F.col("h")[j]).items()],
+        "deal_id", "Board", B.nth(B.SEATS, F.col("_i")).alias("seat"), total(p).alias("HCP"), total([p[j] + F.greatest(F.lit(0), 3 - n[j]) for j in range(4)]).alias("Total_Points"), total(losers).alias("Losers"),
+        "Balanced", *[n[j].alias(f"SL_{s}") for j, s in enumerate(B.SUITS)], *[c.alias(f"{k}_{s}") for j, s in enumerate(B.SUITS) for k, c in quality_flags(n[j], p[j]).items()],
     )
 
 
@@ -134,7 +139,11 @@ def fingerprint(*sources: DataFrame) -> str:
     """What tables hold, as a text: rows and the sum of the rows' hashes, whatever their order."""
     parts = []
     for df in sources:
-        r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[F.to_json(F.struct(*df.columns))]).cast("decimal(38,0)")).alias("h")).first()
+        # a hash leaves nulls out, so where they stand is hashed too; what nests is hashed as text
+        nested = lambda c: isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))  # noqa: E731, B023
+        values = [F.to_json(F.struct(c)) if nested(c) else F.col(c) for c in df.columns]
+        nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*values, nulls).cast("decimal(38,0)")).alias("h")).first()
         parts.append(f"{r.n}.{r.h or 0}")
     return "_".join(parts)
 
@@ -288,22 +297,29 @@ def with_ancestors(rules: DataFrame) -> DataFrame:
     return out
 
 
+def _with_rules(rows: DataFrame, book: DataFrame) -> DataFrame:
+    """Rows of deals joined to columns of their rules. A book of up to SMALL_BOOK rules goes to the rows; the rows, whose size is underrated before they are worked out, never go to the book."""
+    small = book.limit(SMALL_BOOK + 1).count() <= SMALL_BOOK
+    return rows.join(F.broadcast(book) if small else book.hint("merge"), "rule_id")
+
+
 def hold_with_ancestors(holds: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules that hold together with all rules above them, at the same seat.
 
     A rule that holds looks up to its parent at the same deal and seat, then as far again as that one has looked, and so on: a way that meets a rule which does not hold is
-    dropped, and with it, in later rounds, whatever looks through it. Rounds grow with the log of the depth; no table of ancestors is made.
+    dropped, and with it, in later rounds, whatever looks through it. Rounds grow with the log of the depth; no table of ancestors is made. Rows of deals meet in merge
+    joins: their files are small for what they hold, so that by size they would be taken for tables to broadcast.
     """
     spark = holds.sparkSession
     path = shared_folder(spark, "held")
     rounds = check_tree(rules)
-    here = holds.select("deal_id", "seat", "rule_id").join(_steps_up(rules), "rule_id")
+    here = _with_rules(holds.select("deal_id", "seat", "rule_id"), _steps_up(rules))
     for k in range(rounds):
         here.write.parquet(f"{path}/{k}")
         here = spark.read.schema(here.schema).parquet(f"{path}/{k}")
         if k:
             remove(spark, f"{path}/{k - 1}")
-        above = here.select("deal_id", "seat", F.col("rule_id").alias("at"), F.col("at").alias("further"))
+        above = here.select("deal_id", "seat", F.col("rule_id").alias("at"), F.col("at").alias("further")).hint("merge")
         seen = here.where("at <> 0").join(above, ["deal_id", "seat", "at"]).select("deal_id", "seat", "rule_id", F.col("further").alias("at"))
         here = here.where("at = 0").select("deal_id", "seat", "rule_id", "at").unionByName(seen)
     return here.select("deal_id", "seat", "rule_id")
@@ -315,7 +331,7 @@ def candidates(packed: DataFrame, needs: DataFrame, opening: DataFrame, most: in
     seats = packed.select("deal_id", "seat")
     if trie is None:
         mine = _divided(packed, needs, opening).groupBy("deal_id", "seat").agg(F.sort_array(F.collect_list(F.col("rule_id").cast("int"))).alias("rules"))
-        return seats.join(mine, ["deal_id", "seat"], "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
+        return seats.join(mine.hint("merge"), ["deal_id", "seat"], "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,19 +359,23 @@ def auctions(deals: DataFrame, holds: DataFrame, rules: DataFrame, folder: str,
     its own side made that bid (any rule of the root before the first bid), else it passes; three passes
     after a bid, or four at the start, end an auction. Openings of 4N or more are not followed. Steps go to tables
     below folder until no auction is open; as each bid goes one rule down the tree, a tree of rules has an end (a circle is an error). Only the table of the result stays.
+    A step reads the moves of the seats whose turn it is, by merge joins, as the compressed moves of all deals would be taken for a table to broadcast.
     """
     spark = deals.sparkSession
     check_tree(rules)
-    moves = holds.join(rules.select("rule_id", "parent", "bid"), "rule_id").where("not (parent = 0 and bid >= '4N' and bid < 'p')")
+    moves = _with_rules(holds, rules.select("rule_id", "parent", "bid")).where("not (parent = 0 and bid >= '4N' and bid < 'p')")
     moves = moves.select("deal_id", (F.instr(F.lit(B.SEATS), F.col("seat")) - 1).alias("turn"), F.col("parent").alias("node"), "rule_id", "bid")
     path = f"{folder.rstrip('/')}/auctions-{uuid.uuid4().hex}"
-    moves.write.parquet(f"{path}/moves")  # read at every step
-    moves = spark.read.schema(moves.schema).parquet(f"{path}/moves")
+    dealers = deals.select("deal_id", "Board").distinct().hint("merge")
+    after = F.pmod(F.col("turn") - F.instr(F.lit(B.SEATS), B.dealer_of(F.col("Board"))) + 1, F.lit(4)).cast("int")
+    moves.join(dealers, "deal_id").select(*moves.columns, after.alias("after")).write.partitionBy("after").parquet(f"{path}/moves")
+    every_move = spark.read.schema(f"{', '.join(f'{c} {t}' for c, t in moves.dtypes)}, after int").parquet(f"{path}/moves")
     front = deals.select("deal_id", B.dealer_of(F.col("Board")).alias("Dealer"), F.array().cast("array<string>").alias("auction"), F.lit(0).alias("node"), F.lit(-1).alias("bidder"), F.lit(0).alias("passes"))
     front = front.withColumn("turn", F.instr(F.lit(B.SEATS), F.col("Dealer")) - 1)
     step = 0
     while True:
-        m = front.join(moves, ["deal_id", "turn", "node"], "left")
+        moves = every_move.where(F.col("after") == step % 4).drop("after")
+        m = front.join(moves.hint("merge"), ["deal_id", "turn", "node"], "left")
         mine = F.col("rule_id").isNotNull() & ((F.col("bidder") < 0) | (F.pmod(F.col("turn") - F.col("bidder"), F.lit(2)) == 0))
         m = m.select("deal_id", "Dealer", F.concat("auction", F.array(F.when(mine, F.col("bid")).otherwise("p"))).alias("auction"), F.when(mine, F.col("rule_id")).otherwise(F.col("node")).alias("node"),
                      F.when(mine, F.col("turn")).otherwise(F.col("bidder")).alias("bidder"), F.when(mine, 0).otherwise(F.col("passes") + 1).alias("passes"), F.pmod(F.col("turn") + 1, F.lit(4)).alias("turn")).distinct()

@@ -173,7 +173,7 @@ def analysed(spark, sf):
     a = a.withColumn("next", R.seat_of_turn(F.col("Dealer"), F.size("auction") + 1))
     c = R.candidates(packed(spark, sf), needs(spark), rules(spark).where("parent = 0")).select("deal_id", F.col("seat").alias("next"), F.array_join(F.transform("rules", lambda r: r.cast("string")), ",").alias("candidates"))
     text = F.when(F.col("x.over"), F.concat_ws(" ", "x.contract", F.lit("by"), F.coalesce("x.declarer", F.lit("nobody")))).otherwise(F.concat(F.lit("open, opened by "), F.coalesce("x.opener", F.lit("nobody"))))
-    return a.join(c, ["deal_id", "next"]).select("deal_id", F.array_join("auction", "-").alias("auction"), "x.opener", "x.declarer", "x.leader", "x.over", "candidates", text.alias("description"))
+    return a.join(c.hint("merge"), ["deal_id", "next"]).select("deal_id", F.array_join("auction", "-").alias("auction"), "x.opener", "x.declarer", "x.leader", "x.over", "candidates", text.alias("description"))
 
 
 W = lambda i: f"substr('NESW', ({i})::INTEGER % 4 + 1, 1)"
