@@ -90,18 +90,26 @@ def elements(pages: DataFrame) -> DataFrame:
     """
     kept = set().union(*TEXTS)
 
+    def table(batch: pa.RecordBatch, at: list[int], part: list[list]) -> pa.RecordBatch:
+        cols = list(zip(*part))
+        text = [" ".join("".join(x[7]).split()) if x[4] in kept else None for x in part]
+        return pa.RecordBatch.from_arrays([
+            batch["page_id"].take(pa.array(at, pa.int32())), *(pa.array(cols[c], pa.int32()) for c in range(4)), pa.array(cols[4], pa.string()), pa.array([list(x.items()) for x in cols[5]], pa.map_(pa.string(), pa.string())),
+            pa.array(cols[6], pa.int32()), pa.array(text, pa.string()),
+        ], ["page_id", "seq", "end", "depth", "parent", "tag", "attrs", "row", "text"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, found = [], []  # small pages go together, large ones in parts
             for i, html in enumerate(batch["html"].to_pylist()):
-                found = _Elements(html).rows if html else []
-                for lo in range(0, len(found), 5000):
-                    part = found[lo : lo + 5000]
-                    cols = list(zip(*part))
-                    text = [" ".join("".join(x[7]).split()) if x[4] in kept else None for x in part]
-                    yield pa.RecordBatch.from_arrays([
-                        batch["page_id"].slice(i, 1).take(pa.array([0] * len(part))), *(pa.array(cols[c], pa.int32()) for c in range(4)), pa.array(cols[4], pa.string()), pa.array([list(x.items()) for x in cols[5]], pa.map_(pa.string(), pa.string())),
-                        pa.array(cols[6], pa.int32()), pa.array(text, pa.string()),
-                    ], ["page_id", "seq", "end", "depth", "parent", "tag", "attrs", "row", "text"])
+                found += _Elements(html).rows if html else []
+                at += [i] * (len(found) - len(at))
+                if len(found) >= 5000:
+                    for lo in range(0, len(found), 5000):
+                        yield table(batch, at[lo : lo + 5000], found[lo : lo + 5000])
+                    at, found = [], []
+            if found:
+                yield table(batch, at, found)
 
     return pages.select("page_id", "html").mapInArrow(rows, SCHEMA.format(pages.schema["page_id"].dataType.simpleString()))
 
