@@ -91,7 +91,8 @@ def walk_variants(docs: DataFrame, doc: str, value: str, folder: str, primary_ke
     An object is a row of the table that its own key names (root at the top); an object inside it is a row of its own table under the same id. A list's elements have the id of what holds the list, a dash
     and the position; an object all of whose keys are digits counts as a list with those keys for positions. Elements that are no objects have the field `value`. If an object
     has one of primary_keys (a number or text), that is its id. parent is the id of the row above, null at the top; an object without plain fields has one row with a null field. A null
-    document has no rows, and a JSON null the value null. Each level of nesting is one step over all documents, and a table below folder.
+    document has no rows, and a JSON null the value null. Each level of nesting is one step over all documents, and a table below folder. Objects meet their
+    fields in a merge join: keys that compress well would be taken for a table to broadcast.
     """
     spark = docs.sparkSession
     names = ["doc", "tbl", "id", "parent"]
@@ -112,7 +113,7 @@ def walk_variants(docs: DataFrame, doc: str, value: str, folder: str, primary_ke
         fields = parts.where((F.col("kind") == "object") & plain).select(*names, F.col("key").alias("field"), F.col("v").cast("string").alias("value"))
         elements = front.where("kind = 'plain'").select(*names, F.lit("value").alias("field"), F.col("v").cast("string").alias("value"))
         rows = front.where("kind = 'object'").select(*names, F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
-        rows = rows.join(fields.select("doc", "tbl", "id").distinct(), ["doc", "tbl", "id"], "left_anti").select(*names, "field", "value")
+        rows = rows.join(fields.select("doc", "tbl", "id").distinct().hint("merge"), ["doc", "tbl", "id"], "left_anti").select(*names, "field", "value")
         fields.unionByName(elements).unionByName(rows).write.parquet(f"{folder}/rows/{step}")
         spark.catalog.dropTempView(view)
         inside = F.col("kind") == "object"
