@@ -39,8 +39,9 @@ def with_pbn(df: DataFrame, deal_id: str = "deal_id") -> DataFrame:
 
 
 def deal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(deal_id, Board), one an order."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("deal_id"), (F.col("o_orderkey") % 36 + 1).cast("int").alias("Board"))
+    """(deal_id, Board), one an order, dealt by deal: what is made of a deal spreads over all tasks however few files there are, and groups of a deal need no further shuffle."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("deal_id"), (F.col("o_orderkey") % 36 + 1).cast("int").alias("Board")).repartition(parts, "deal_id")
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bridge as B
 
@@ -172,7 +176,7 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
 
 def trick_probabilities(counts: DataFrame) -> DataFrame:
     """probs, the share of each trick count in the trials; null without any."""
-    return counts.withColumn("probs", F.transform("counts", lambda c: F.try_divide(c, F.col("trials")))).drop("counts")
+    return counts.withColumn("probs", F.array(*[F.try_divide(F.col("counts")[t], F.col("trials")) for t in range(14)])).drop("counts")
 
 
 def trick_histograms(samples: DataFrame) -> DataFrame:
@@ -180,11 +184,32 @@ def trick_histograms(samples: DataFrame) -> DataFrame:
     return trick_probabilities(trick_counts(samples))
 
 
+#: by tricks and strain: the scores of levels 1 to 7 not vulnerable, then vulnerable, failing contracts doubled
+_SET_SCORES = np.array([[[B.score_rule(level, B.STRAINS.index(s), int(t < level + 6), vul, t) for vul in (False, True) for level in range(1, 8)] for s in B.TRICK_STRAINS] for t in range(14)], float)
+
+
+@F.arrow_udf(T.StructType([T.StructField(v, T.ArrayType(T.DoubleType())) for v in ("nv", "v")]))
+def _mean_scores(strain: pa.Array, probs: pa.Array) -> pa.Array:
+    """Means of a batch's rows, fourteen a row; nulls where a probability is missing."""
+    n, whole = len(probs), pc.fill_null(pc.equal(pc.list_value_length(probs), 14), False)
+    values = probs.filter(whole).flatten()
+    rows, p = np.flatnonzero(whole.to_numpy(zero_copy_only=False)), values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, 14)
+    lacks = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, 14).any(axis=1)
+    place = pc.index_in(strain, pa.array(list(B.TRICK_STRAINS))).to_numpy(zero_copy_only=False)[rows].astype(int)
+    mean = np.zeros((len(rows), 14))
+    for t in range(14):
+        mean += p[:, t, None] * _SET_SCORES[t][place]
+    out, none = np.zeros((n, 14)), np.ones(n, bool)
+    out[rows], none[rows] = np.copysign(np.floor(np.abs(mean) * 1e6 + 0.5) / 1e6, mean) + 0.0, lacks
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * 7)
+    side = lambda x: pa.ListArray.from_arrays(ends, pa.array(x.ravel(), mask=np.repeat(none, 7)))
+    return pa.StructArray.from_arrays([side(out[:, :7]), side(out[:, 7:])], ["nv", "v"])
+
+
 def ev_lists(hist: DataFrame) -> DataFrame:
-    """hist(..., strain, probs) with nv and v: per level the mean score over the trick probabilities, rounded to six places."""
-    mean = lambda s: F.round(F.aggregate(F.zip_with("probs", s, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x), 6)
-    both = hist.join(F.broadcast(score_lists(hist.sparkSession)), "strain")
-    return both.withColumns({v: F.transform(v, mean) for v in ("nv", "v")})
+    """hist(..., strain, probs) with nv and v: per level the mean score over the trick probabilities, rounded to six places. Rows of unknown strains are left out."""
+    both = hist.where(F.col("strain").isin(*B.TRICK_STRAINS)).withColumn("_means", _mean_scores("strain", "probs"))
+    return both.withColumns({v: F.col(f"_means.{v}") for v in ("nv", "v")}).drop("_means")
 
 
 def expected_values(hist: DataFrame) -> DataFrame:
@@ -200,7 +225,8 @@ _SHIFT, _ZERO = 256, 2**34
 def _best_level(evs: Column) -> Column:
     """The best of a seat and strain's levels, packed: its value in millionths, then its contract; of equal values the first in generation order (side, seat, strain with spades first, level) is largest."""
     cell = (F.instr(F.lit("NSEW"), F.col("seat")) - 1) * 35 + (F.instr(F.lit(B.TRICK_STRAINS), F.col("strain")) - 1) * 7
-    return F.array_max(F.transform(evs, lambda e, i: (F.round(e * 1e6).cast("long") + _ZERO) * _SHIFT + (_SHIFT - 1) - (cell + i)))
+    # values have six places, so there are no halves to round
+    return F.greatest(*[(F.rint(F.get(evs, F.lit(i)) * 1e6).cast("long") + _ZERO) * _SHIFT + (_SHIFT - 1 - i) - cell for i in range(7)])
 
 
 def _value(packed: Column) -> Column:
