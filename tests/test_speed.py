@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tricklake import fixtures, plans
-from tricklake.operators import scoring
+from tricklake.operators import ratings, scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,14 @@ def test_mean_scores_of_odd_rows(spark):
             else:
                 want = [sum(p * x for p, x in zip(probs, s)) for s in lists[strain][side]]
                 assert all(math.isclose(a, b, abs_tol=6e-7) and round(a, 6) == a for a, b in zip(got[i][side], want))
+
+
+def test_player_ratings_do_not_read_pair_ratings_columns(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ratings, "rate", lambda rows, *_: rows)
+    monkeypatch.setattr(ratings, "session_start_end", lambda d, pairs=None, players=None: d.withColumns({f"Elo_{n}_{e}": F.lit(0.0) for n in (("NS", "EW") if pairs is not None else "NESW") for e in ("Start", "End")}))
+    monkeypatch.setattr(ratings, "unpivot_pairs", lambda d: d)
+    monkeypatch.setattr(ratings, "unpivot_players", lambda d: seen.append(d.columns) or d)
+    df = spark.createDataFrame([], "session_id long, section_id long, Board int, Date date, Score_NS int, " + ", ".join(f"Player_ID_{d} string" for d in "NESW"))
+    ratings.rating_pipeline(df)
+    assert seen and "Pct_NS" in seen[0] and "Elo_NS_Start" not in seen[0]

@@ -11,8 +11,6 @@ and aggregates; then those that come first among the rest. A store goes on from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +23,7 @@ from .graph import components
 INITIAL, K_BASE, BOOST_UNTIL, BOOST, LOW, HIGH, VISIBLE_AFTER, MOST_PAIRS = 1500.0, 24.0, 100, 1.5, 200.0, 3000.0, 10, 60
 SPREAD = 50.0
 #: seats that one group, which is one task, does not pass; larger groups of a single date go by waves
-GROUP_SEATS = 250_000
+GROUP_SEATS = 1_000_000
 #: state tables are merged into one when there are more
 MOST_STATES = 8
 
@@ -80,43 +78,59 @@ def _sides(df: DataFrame, side) -> DataFrame:
     return rows.select("session_id", "Date", "board", F.monotonically_increasing_id().alias("row"), "x.pool", "x.ids", "x.pct", "scale")
 
 
-def rate_session(seats: pd.DataFrame, state: dict, spread: float) -> pd.DataFrame:
-    """One session: its history rows from seats(session_id, board, row, pool, id, n, pct, scale) and the state at its start.
+def rate_group(seats: pd.DataFrame, spread: float) -> pd.DataFrame:
+    """History of a group of sessions, in order of date and id, from seats(first, session_id, board, row, pool, id, n, pct, scale) with the state at the round's start.
 
-    state: pool and id -> (rating, boards, sessions); it becomes the state at the session's end. A null id starts anew each time.
-    The field of a result is its board in the whole session, all sections together. Alone on a board, one is measured against oneself.
+    A session reads the state at its start and writes it at its end. A null id starts anew in each. The field of a result is its board in the whole session, all sections together.
+    Alone on a board, one is measured against oneself. What does not depend on ratings is numbered once for the whole group, so that a session is some sums over slices.
     """
-    key = seats["pool"] + ("=" + seats["id"]).fillna("")
-    who, keys = pd.factorize(key)
-    rating, boards, sessions = np.array([state.get(k, (INITIAL, 0, 0)) for k in keys], float).T
-    entry = pd.factorize(seats["row"])[0]
-    lead, seen = np.unique(entry, return_index=True)[1], np.unique(who, return_index=True)[1]
-    own = np.bincount(entry, rating[who]) / np.bincount(entry)
-    field = pd.factorize(seats["pool"] + seats["board"].astype(str))[0][lead]
-    pairs, total = np.bincount(field), np.bincount(field, own)
-    mean = total / pairs
-    dev = np.sqrt(np.bincount(field, (own - mean[field]) ** 2) / pairs)
-    # the rules of stratum_scale and strength_scale
-    ratio, z = dev / spread, (mean - INITIAL) / spread
-    damp = np.where(ratio <= 0.8, 1.0, np.where(ratio >= 1.3, 0.25, 1 - 0.75 * (ratio - 0.8) / 0.5)) * np.where(z >= 0, 1.0, np.where(z <= -2, 0.25, 1 + 0.375 * z))
-    damp = np.where(pairs > 1, damp, 1.0)
-    others = np.where(pairs[field] > 1, (total[field] - own) / np.maximum(pairs[field] - 1, 1), own)
-    expected, at, pct = 1 / (1 + 10.0 ** (-(own - others) / 400)), field[entry], seats["pct"].to_numpy(float)
-    boost, has = np.where(boards[who] < BOOST_UNTIL, BOOST, 1.0), ~np.isnan(pct)
-    move = np.where(has, K_BASE * damp[at] * seats["scale"].to_numpy(float) * boost * (pct - expected[entry]) / seats["n"].to_numpy(), 0.0)
-    after, played = np.clip(rating + np.bincount(who, move), LOW, HIGH), np.bincount(who, has).astype("int64")
-    boards, sessions = boards.astype("int64") + played, sessions.astype("int64") + (played > 0)
-    state.update((x, s) for x, s in zip(keys, zip(after, boards, sessions)) if "=" in x)
-    return pd.DataFrame({"session_id": seats["session_id"].iat[0], "pool": seats["pool"].to_numpy()[seen], "id": seats["id"].to_numpy()[seen], "before": rating, "after": after, "sessions": sessions, "first": seats["first"].iat[0], "boards": boards})
-
-
-def rate_group(seats: pd.DataFrame, spread: float) -> Iterator[pd.DataFrame]:
-    """History of a group of sessions, in order of date and id; seats carry the state at the round's start."""
     seats = seats.sort_values(["first", "session_id"], kind="stable", ignore_index=True)
-    known = seats[seats["rating"].notna()].drop_duplicates(["pool", "id"])
-    state = {f"{r.pool}={r.id}": (r.rating, r.boards, r.sessions) for r in known.itertuples()}
-    for _, part in seats.groupby(["first", "session_id"], sort=False):
-        yield rate_session(part, state, spread)
+    code = lambda c: pd.factorize(c, use_na_sentinel=False)[0].astype("int64")
+    session, pool, entry_key, board = code(seats["session_id"]), code(seats["pool"]), code(seats["row"]), code(seats["board"])
+    # sessions come in order and numbers grow with them, so a session's persons, entries and fields are intervals
+    person = code(pd.Series(pool * (len(seats) + 1) + code(seats["id"])))
+    pairs_of = lambda a, b: np.unique(a * (b.max() + 1) + b, return_index=True, return_inverse=True)
+    who_key, who_at, who = pairs_of(session, person)
+    _, entry_at, entry = pairs_of(session, entry_key)
+    _, field_at, field = pairs_of(session[entry_at], code(pd.Series(pool * (len(seats) + 1) + board))[entry_at])
+    persons = who_key % (person.max() + 1)
+    named = seats["id"].notna().to_numpy()[who_at]
+    ends = np.arange(session[-1] + 2)
+    rows, whos, entries, fields = (np.searchsorted(x, ends) for x in (session, session[who_at], session[entry_at], session[entry_at][field_at]))
+    size, pairs = np.bincount(entry), np.bincount(field)
+    pct, scale, n = (seats[c].to_numpy(float) for c in ("pct", "scale", "n"))
+    has = ~np.isnan(pct)
+    played = np.bincount(who, has).astype("int64")
+    # the state by person; a null id's is never kept
+    rating, boards, sessions = np.full(person.max() + 1, INITIAL), np.zeros(person.max() + 1, "int64"), np.zeros(person.max() + 1, "int64")
+    known = np.flatnonzero((seats["rating"].notna() & seats["id"].notna()).to_numpy())
+    rating[person[known]], boards[person[known]], sessions[person[known]] = (seats[c].to_numpy()[known].astype(t) for c, t in (("rating", float), ("boards", "int64"), ("sessions", "int64")))
+    before, after, total_boards, total_sessions = np.empty(len(persons)), np.empty(len(persons)), np.empty(len(persons), "int64"), np.empty(len(persons), "int64")
+    for s in range(len(ends) - 1):
+        r, w, e, f = (slice(x[s], x[s + 1]) for x in (rows, whos, entries, fields))
+        mine, who_, entry_, field_ = persons[w], who[r] - w.start, entry[r] - e.start, field[e] - f.start
+        old, old_boards = rating[mine], boards[mine]
+        own = np.bincount(entry_, old[who_]) / size[e]
+        total, many = np.bincount(field_, own), pairs[f]
+        mean = total / many
+        dev = np.sqrt(np.bincount(field_, (own - mean[field_]) ** 2) / many)
+        # the rules of stratum_scale and strength_scale
+        ratio, z = dev / spread, (mean - INITIAL) / spread
+        damp = np.where(ratio <= 0.8, 1.0, np.where(ratio >= 1.3, 0.25, 1 - 0.75 * (ratio - 0.8) / 0.5)) * np.where(z >= 0, 1.0, np.where(z <= -2, 0.25, 1 + 0.375 * z))
+        damp = np.where(many > 1, damp, 1.0)
+        others = np.where(many[field_] > 1, (total[field_] - own) / np.maximum(many[field_] - 1, 1), own)
+        expected = 1 / (1 + 10.0 ** (-(own - others) / 400))
+        boost = np.where(old_boards < BOOST_UNTIL, BOOST, 1.0)[who_]
+        move = np.where(has[r], K_BASE * damp[field_][entry_] * scale[r] * boost * (pct[r] - expected[entry_]) / n[r], 0.0)
+        new, new_boards, new_sessions = np.clip(old + np.bincount(who_, move), LOW, HIGH), old_boards + played[w], sessions[mine] + (played[w] > 0)
+        before[w], after[w], total_boards[w], total_sessions[w] = old, new, new_boards, new_sessions
+        keep = named[w]
+        stay = mine[keep]
+        rating[stay], boards[stay], sessions[stay] = new[keep], new_boards[keep], new_sessions[keep]
+    who_is = seats.iloc[who_at]
+    return pd.DataFrame({
+        "session_id": who_is["session_id"].to_numpy(), "pool": who_is["pool"].to_numpy(), "id": who_is["id"].to_numpy(), "before": before, "after": after, "sessions": total_sessions, "first": who_is["first"].to_numpy(), "boards": total_boards,
+    })
 
 
 def _latest(states: list[DataFrame]) -> DataFrame:
@@ -139,7 +153,7 @@ def _groups(seats: DataFrame, folder: str) -> DataFrame:
 
 
 def rate_wave(seats: DataFrame, spread: float) -> DataFrame:
-    """History rows of sessions of which no two share an id, by the rules of rate_session; seats carry the state at the sessions' start (null: none yet)."""
+    """History rows of sessions of which no two share an id, by the rules of rate_group; seats carry the state at the sessions' start (null: none yet)."""
     rating, boards, sessions = F.coalesce("rating", F.lit(INITIAL)), F.coalesce("boards", F.lit(0)), F.coalesce("sessions", F.lit(0))
     seats = seats.withColumns({"rating": rating, "boards": boards, "sessions": sessions})
     entry, field = ["session_id", "pool", "board", "row"], ["session_id", "pool", "board"]
@@ -250,7 +264,7 @@ def _history(seats: DataFrame, start: DataFrame | None, spread: float, group_sea
             large = part.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_seats).select("g")
             made = _by_waves(now.join(large, "g", "left_semi").drop("g"), f"{folder}/waves/{n}", spread)
             now = now.join(large, "g", "left_anti")
-        grouped = now.groupBy("g").applyInPandas(lambda pdf: pd.concat(list(rate_group(pdf, spread)), ignore_index=True), HISTORY)
+        grouped = now.groupBy("g").applyInPandas(lambda pdf: rate_group(pdf, spread), HISTORY)
         (grouped if made is None else grouped.unionByName(made)).write.parquet(f"{folder}/history/{n}")
         remove(spark, f"{folder}/waves/{n}")
         done = spark.read.schema(HISTORY).parquet(f"{folder}/history/{n}")
@@ -359,13 +373,13 @@ def rating_pipeline(df: DataFrame, spread: float = SPREAD, visible_after: int =
     """Board results -> top, percentages, pair ratings, player ratings, start and end columns of both."""
     from . import matchpoints as M
 
-    pairs = stage("pair ratings", ["Pct_NS", "Date"], ["Elo_NS_Start", "Elo_EW_End"], lambda d: session_start_end(d, pairs=rate(unpivot_pairs(d), spread, visible_after)))
-    players = stage("player ratings", ["Pct_NS", "Date"], ["Elo_N_Start", "Elo_W_End"], lambda d: session_start_end(d, players=rate(unpivot_players(d), spread, visible_after)))
-    stages = [
-        stage("matchpoints", ["session_id", "section_id", "Board", "Score_NS"], ["MP_NS", "MP_Top"], M.matchpoints),
-        stage("percentages", ["MP_NS", "MP_Top"], ["Pct_NS"], M.percentages), pairs, players,
-    ]
-    for s in stages:
+    for s in (stage("matchpoints", ["session_id", "section_id", "Board", "Score_NS"], ["MP_NS", "MP_Top"], M.matchpoints), stage("percentages", ["MP_NS", "MP_Top"], ["Pct_NS"], M.percentages)):
+        df = df.transform(s)
+    # both ratings are made from the percentages, not through the joins of the other's columns
+    scored = df
+    pairs = stage("pair ratings", ["Pct_NS", "Date"], ["Elo_NS_Start", "Elo_EW_End"], lambda d: session_start_end(d, pairs=rate(unpivot_pairs(scored), spread, visible_after)))
+    players = stage("player ratings", ["Pct_NS", "Date"], ["Elo_N_Start", "Elo_W_End"], lambda d: session_start_end(d, players=rate(unpivot_players(scored), spread, visible_after)))
+    for s in (pairs, players):
         df = df.transform(s)
     return df
 
