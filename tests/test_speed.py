@@ -53,3 +53,12 @@ def test_player_ratings_do_not_read_pair_ratings_columns(spark, monkeypatch):
     df = spark.createDataFrame([], "session_id long, section_id long, Board int, Date date, Score_NS int, " + ", ".join(f"Player_ID_{d} string" for d in "NESW"))
     ratings.rating_pipeline(df)
     assert seen and "Pct_NS" in seen[0] and "Elo_NS_Start" not in seen[0]
+
+
+def test_route_numbers_boards_without_a_second_window(spark):
+    # a page's lists of contracts and leads were copied to each of its rows, which grew with the square of the page
+    plan = plans.QUERIES["web6_route"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 1 and not any("contracts" in line for line in plan.splitlines()[: plan.splitlines().index(windows[0]) + 2])
+
+

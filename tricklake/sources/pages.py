@@ -92,28 +92,40 @@ def route(pages: DataFrame) -> DataFrame:
 
     Boards come in order of their number; the contracts and leads of the page belong to them in turn, by position.
     """
-    html, text = F.col("html"), text_of(F.regexp_replace("html", "&nbsp;", " "))
+    html, text = F.col("html"), F.col("text")
     foe = r"(NS|EW|EO)\s+(\d+)\s+([\p{Lu}\s\-]+?)\s+\(\d+[,.]\d+\s*%\)"
     own = r"([\p{Lu}][\p{Lu}\s\-]*?)\s*\((NS|EO|EW)(\d+)\s*([A-Z])\)"
-    p = pages.select(
-        "page_id", F.col("url"), _found(html, EVENT).alias("Event_Name"), _found(text, own, 1).alias("Pair_Names"), B.lookup(SIDES, _found(text, own, 2)).alias("Pair_Direction"), _found(text, own, 3).try_cast("long").alias("Pair_Number"), _found(text, own, 4).alias("Section"),
-        F.transform(all_matches(html, r'<div class="col contrat">([^<]*)</div>'), lambda c: F.trim(c)).alias("contracts"), F.transform(all_matches(html, r'<div class="col entame">([^<]*)</div>'), lambda c: F.trim(c)).alias("leads"),
-        F.posexplode(F.slice(F.split(html, '<div class="row">'), 2, 2**31 - 1)).alias("pos", "row"),
+
+    def parsed(row: Column, pos: Column) -> Column:
+        adv = F.regexp_replace(F.regexp_extract(row, r'(?s)<div class="col adv">(.*?)</div>', 1), "&nbsp;", " ")
+        mp = _found(row, r'<div class="col-4 text-right">([^<]*)</div>')
+        return F.struct(
+            _found(row, r'(?s)<div class="col-1">\s*<a [^>]*>\s*(\d+)\s*</a>').try_cast("int").alias("Board"), pos.alias("pos"), _found(row, r'<div class="col-2 text-right">([^<]*)</div>').try_cast("int").alias("Score"),
+            F.when(F.contains(mp, F.lit("(")) & F.contains(mp, F.lit("%")), mp).alias("mp"), F.regexp_extract(text_of(adv), foe, 0).alias("adv"),
+        )
+
+    # the page's text once, and each row once; a page's lists are never copied to its rows
+    p = computed(pages, "page_id", "url", "html", text_of(F.regexp_replace("html", "&nbsp;", " ")).alias("text"), F.split("html", '<div class="row">').alias("parts"))
+    listed = lambda kind: F.transform(all_matches(html, rf'<div class="col {kind}">([^<]*)</div>'), lambda c: F.trim(c))
+    p = computed(
+        p, "page_id", _found(html, EVENT).alias("Event_Name"), F.regexp_extract(text, own, 0).alias("own"), _query(F.col("url"), "tr").alias("Tournament_ID"), _query(F.col("url"), "cl").alias("Club_ID"), listed("contrat").alias("contracts"), listed("entame").alias("leads"),
+        F.transform(F.slice("parts", F.lit(2), F.size("parts")), parsed).alias("rows"),
     )
-    plain = text_of(F.regexp_replace(F.regexp_extract("row", r'(?s)<div class="col adv">(.*?)</div>', 1), "&nbsp;", " "))
-    against = F.when(plain.rlike(foe), F.struct(B.lookup(SIDES, _found(plain, foe, 1)).alias("side"), _found(plain, foe, 2).try_cast("long").alias("number"), _found(plain, foe, 3).alias("names")))
+    whole = lambda r: r["Board"].isNotNull() & r["Score"].isNotNull() & r["mp"].isNotNull()
+    # boards in order of their number take the contracts and leads in turn; the other rows, which may name opponents, come after them
+    ordered = F.concat(F.sort_array(F.filter("rows", whole)), F.filter("rows", lambda r: ~whole(r)))
+    p = p.select("page_id", "Event_Name", "own", "Tournament_ID", "Club_ID", F.inline(F.arrays_zip(ordered.alias("r"), F.col("contracts").alias("called"), F.col("leads").alias("lead")))).where("r is not null")
+    of = lambda i: _found(F.col("adv"), foe, i)
+    p = p.select("page_id", "Event_Name", "own", "Tournament_ID", "Club_ID", "called", "lead", "r.*")
+    against = F.when(F.col("adv") != "", F.struct(B.lookup(SIDES, of(1)).alias("side"), of(2).try_cast("long").alias("number"), of(3).alias("names")))
     before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # a page's rows
-    p = p.withColumn("against", F.last(against, ignorenulls=True).over(before))
-    mp = _found(F.col("row"), r'<div class="col-4 text-right">([^<]*)</div>')
-    p = p.withColumns({"Board": _found(F.col("row"), r'(?s)<div class="col-1">\s*<a [^>]*>\s*(\d+)\s*</a>').try_cast("int"), "Score": _found(F.col("row"), r'<div class="col-2 text-right">([^<]*)</div>').try_cast("int"), "mp": F.when(F.contains(mp, F.lit("(")) & F.contains(mp, F.lit("%")), mp)})
-    p = p.where("Board is not null and Score is not null and mp is not null")
-    p = p.withColumn("i", F.row_number().over(Window.partitionBy("page_id").orderBy("Board", "pos")))
-    called = F.try_element_at("contracts", F.col("i"))
-    seat, bid = F.regexp_extract(called, r"^([NESO])\s*:", 1), F.trim(F.regexp_extract(called, r"^[NESO]\s*:\s*(.*)$", 1))
+    p = p.withColumn("against", F.last(against, ignorenulls=True).over(before)).where("Board is not null and Score is not null and mp is not null")
+    seat, bid = F.regexp_extract("called", r"^([NESO])\s*:", 1), F.trim(F.regexp_extract("called", r"^[NESO]\s*:\s*(.*)$", 1))
     share = lambda k: F.coalesce(_number(F.regexp_extract("mp", r"(\d+[,.]\d+)\s*\((\d+[,.]\d+)\s*%\)", k)), F.lit(0.0))
+    mine = lambda i: _found(F.col("own"), own, i)
     return p.select(
-        "page_id", "Board", "Score", share(1).alias("Matchpoints"), share(2).alias("Percentage"), B.lookup(FRENCH_SEATS, seat).alias("Declarer"), _contract(bid, seat).alias("Contract"), F.when(seat != "", _result(bid)).alias("Result"), _card(F.try_element_at("leads", F.col("i"))).alias("Lead"),
-        "Pair_Names", "Pair_Direction", "Pair_Number", "Section", "Event_Name", _query(F.col("url"), "tr").alias("Tournament_ID"), _query(F.col("url"), "cl").alias("Club_ID"),
+        "page_id", "Board", "Score", share(1).alias("Matchpoints"), share(2).alias("Percentage"), B.lookup(FRENCH_SEATS, seat).alias("Declarer"), _contract(bid, seat).alias("Contract"), F.when(seat != "", _result(bid)).alias("Result"), _card(F.col("lead")).alias("Lead"),
+        mine(1).alias("Pair_Names"), B.lookup(SIDES, mine(2)).alias("Pair_Direction"), mine(3).try_cast("long").alias("Pair_Number"), mine(4).alias("Section"), "Event_Name", "Tournament_ID", "Club_ID",
         F.col("against.side").alias("Opponent_Pair_Direction"), F.col("against.number").alias("Opponent_Pair_Number"), F.col("against.names").alias("Opponent_Pair_Names"),
     )
 
