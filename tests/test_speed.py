@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tricklake import fixtures, plans
 from tricklake.operators import ratings, scoring
+from tricklake.sources import records
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,15 @@ def test_route_numbers_boards_without_a_second_window(spark):
     assert len(windows) == 1 and not any("contracts" in line for line in plan.splitlines()[: plan.splitlines().index(windows[0]) + 2])
 
 
+def test_quality_reads_the_records_once(spark):
+    texts = spark.createDataFrame([("a", "vg|E|qx|o1|md|1|mb|p|"), ("b", None)], "source_file string, value string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    reasons, issues = records.quality(records.parse_records(texts.mapInArrow(counted, texts.schema)))
+    assert {(r.reason, r.n) for r in reasons.collect()} == {("error", 1), ("invalid_pbn", 1)}
+    assert issues.count() == 3 and read.value == 2

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bridge as B
 from ..functions.rows import computed
+from .folders import shared_folder
 
 # fixed values of the record format and of the names in board rows
 EMPTY_DEAL = "N:... ... ... ..."
@@ -216,6 +217,16 @@ def new_records(texts: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def quality(records: DataFrame, top: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(reason, n): rows by reason of rejection, `valid` for those kept; (issue, n): the most frequent issues."""
-    reasons = records.groupBy(F.coalesce(rejection(), F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    return reasons, records.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "issue").limit(top)
+    """(reason, n): rows by reason of rejection, `valid` for those kept; (issue, n): the most frequent issues.
+
+    Both are counted in one reading of the records; the counts, a row a reason or issue, are a table in the shared folder.
+    """
+    spark, path = records.sparkSession, shared_folder(records.sparkSession, "quality")
+    told = lambda kind, what: F.struct(F.lit(kind).alias("kind"), what.alias("what"))
+    rows = computed(records, F.coalesce(rejection(), F.lit("valid")).alias("reason"), "issues")
+    found = rows.select(F.inline(F.concat(F.array(told("reason", F.col("reason"))), F.coalesce(F.transform("issues", lambda i: told("issue", i)), F.array().cast("array<struct<kind:string,what:string>>")))))
+    counts = found.groupBy("kind", "what").agg(F.count(F.lit(1)).alias("n"))
+    counts.write.parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
+    of = lambda kind: counts.where(F.col("kind") == kind).select(F.col("what").alias(kind), "n")
+    return of("reason"), of("issue").orderBy(F.desc("n"), "issue").limit(top)
