@@ -96,3 +96,19 @@ def test_no_rules(spark):
     rules = spark.createDataFrame([], "rule_id int, parent int, bid string")
     holds = spark.createDataFrame([], "deal_id long, seat string, rule_id int")
     assert R.with_ancestors(rules).collect() == [] and R.hold_with_ancestors(holds, rules).collect() == []
+
+
+def test_predicates_go_straight_to_bits(spark):
+    # packing an array, and reading places out of words, called a function for each predicate of each row
+    features = spark.createDataFrame([(d, s, 1, d if d % 5 else None, d % 3 == 0) for d in range(30) for s in "NE"], "deal_id long, seat string, Board int, HCP int, Balanced boolean")
+    assert R.bitmap(R.evaluate_packed(features, [])).count() == 0
+    for n in (1, 63, 64, 65):
+        predicates = [("Balanced", "No_Such >= 1", f"HCP >= {i // 5}", f"HCP == {i % 30}", "HCP >= 0")[i % 5] for i in range(n)]
+        long_way = R.pack(R.evaluate(features, predicates))
+        packed = R.evaluate_packed(features, predicates)
+        assert packed.dtypes == long_way.dtypes and sorted(map(str, packed.collect())) == sorted(map(str, long_way.collect()))
+        held = {(x.deal_id, x.seat, i) for x in R.evaluate(features, predicates).collect() for i, t in enumerate(x.truth, 1) if t}
+        got = [tuple(x) for x in R.bitmap(packed).collect()]
+        assert len(got) == len(held) and set(got) == held
+    plan = R.bitmap(packed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan

@@ -7,6 +7,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,18 +105,30 @@ def seat_features(deals: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(features: DataFrame, predicates: list[str]) -> DataFrame:
-    """(deal_id, seat, Board, truth array<boolean>) of all predicates in one projection.
-
-    Only `name` or `name operator constant` is accepted; a predicate on a column that isn't there is false.
-    """
+def _tests(features: DataFrame, predicates: list[str]) -> list[Column]:
+    """Each predicate as a column that is never null; on a column that isn't there it is false."""
     def one(p: str) -> Column:
         if not _ALLOWED.match(p.strip()):
             raise ValueError(f"not a predicate: {p!r}")
         name = re.match(r"\w+", p.strip())[0]
         return F.coalesce(F.expr(p.replace("==", "=")), F.lit(False)) if name in features.columns else F.lit(False)
 
-    return features.select("deal_id", "seat", "Board", F.array(*[one(p) for p in predicates]).alias("truth"))
+    return [one(p) for p in predicates]
+
+
+def evaluate(features: DataFrame, predicates: list[str]) -> DataFrame:
+    """(deal_id, seat, Board, truth array<boolean>) of all predicates in one projection.
+
+    Only `name` or `name operator constant` is accepted; a predicate on a column that isn't there is false.
+    """
+    return features.select("deal_id", "seat", "Board", F.array(*_tests(features, predicates)).alias("truth"))
+
+
+def evaluate_packed(features: DataFrame, predicates: list[str]) -> DataFrame:
+    """pack(evaluate(features, predicates)), where each predicate's bit is known beforehand, so that nothing runs over an array."""
+    bits = [F.when(t, F.lit(1 << i % 64 if i % 64 < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(_tests(features, predicates))]
+    words = [reduce(Column.bitwiseOR, bits[at : at + 64]) for at in range(0, len(bits), 64)]
+    return features.select("deal_id", "seat", "Board", F.array(*words).cast("array<long>").alias("words"))
 
 
 def pack(truth: DataFrame) -> DataFrame:
@@ -130,9 +143,13 @@ def pack(truth: DataFrame) -> DataFrame:
 
 
 def bitmap(packed: DataFrame) -> DataFrame:
-    """Long form of the true predicates: deal_id, seat, predicate_id (from 1)."""
-    ids = F.filter(F.sequence(F.lit(1), F.size("words") * 64), lambda i: F.getbit(F.get("words", F.floor((i - 1) / 64).cast("int")), (i - 1) % 64) == 1)
-    return packed.select("deal_id", "seat", F.explode(F.when(F.size("words") > 0, ids)).alias("predicate_id"))
+    """Long form of the true predicates: deal_id, seat, predicate_id (from 1).
+
+    Places of bits are rows that a filter tests, which is generated code; a filter over an array would call a function for each of 64 places.
+    """
+    words = packed.select("deal_id", "seat", F.posexplode("words").alias("_w", "_word")).where("_word <> 0")
+    places = words.select("deal_id", "seat", "_w", "_word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_i"))
+    return places.where(F.getbit("_word", F.col("_i")) == 1).select("deal_id", "seat", (F.col("_w") * 64 + F.col("_i") + 1).alias("predicate_id"))
 
 
 def fingerprint(*sources: DataFrame) -> str:
@@ -154,7 +171,7 @@ def stored_bitmap(deals: DataFrame, predicates: list[str], path: str) -> DataFra
 
     spark = deals.sparkSession
     key = fingerprint(deals, spark.createDataFrame([(i, p) for i, p in enumerate(predicates)], "i int, p string"))
-    return read_through(spark, path, key, lambda: pack(evaluate(seat_features(deals), predicates)))
+    return read_through(spark, path, key, lambda: evaluate_packed(seat_features(deals), predicates))
 
 
 def seat_of_turn(dealer: Column, turn: Column) -> Column:

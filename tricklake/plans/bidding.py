@@ -136,7 +136,7 @@ def needs(spark):
 
 
 def packed(spark, sf):
-    return R.pack(truth(spark, sf))
+    return R.evaluate_packed(R.seat_features(X.deals(spark, sf)), PREDICATES)
 
 
 def holding(spark, sf):
