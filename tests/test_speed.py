@@ -75,3 +75,14 @@ def test_quality_reads_the_records_once(spark):
     reasons, issues = records.quality(records.parse_records(texts.mapInArrow(counted, texts.schema)))
     assert {(r.reason, r.n) for r in reasons.collect()} == {("error", 1), ("invalid_pbn", 1)}
     assert issues.count() == 3 and read.value == 2
+
+
+def test_nulls_of_par_are_not_looked_for_below_the_deals(spark):
+    # the test for null tables was copied to each result row, with all that makes a table, and each use read the results for itself
+    plan = plans.QUERIES["fin11_roles"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("array_join" in line for line in plan.splitlines() if "Filter" in line)
+    df = spark.createDataFrame([(1, 1), (2, None), (None, 3), (4, 3)], "deal_id long, Board int")
+    cells = fixtures.trick_cells(df).withColumn("other", F.lit("x"))
+    got = scoring.par(cells)
+    assert got.columns == ["deal_id", "Board", "cells", "other", "par_score", "contracts"]
+    assert {(r.deal_id, r.Board) for r in got.collect()} == {(1, 1), (None, 3), (4, 3)}

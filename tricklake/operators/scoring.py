@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bridge as B
+from ..functions.rows import computed
 
 
 def score_table(spark: SparkSession) -> DataFrame:
@@ -89,7 +90,8 @@ def par(dd: DataFrame) -> DataFrame:
     tricks = F.array(*[F.greatest(F.col("cells")[side * 5 + B.TRICK_STRAINS.index(s)], F.col("cells")[(side + 2) * 5 + B.TRICK_STRAINS.index(s)]) for s in B.STRAINS for side in (0, 1)])
     # what par depends on, as a text: a letter for each side's tricks in a strain, the vulnerability, the dealer's side
     table = F.concat(F.array_join(F.transform(tricks, lambda t: F.when(t.between(0, 13), B.nth("0123456789ABCD", t))), "", "-"), B.vul_code(F.col("Board")).cast("string"), B.side_of(B.dealer_of(F.col("Board"))))
-    by = by.withColumn("_table", table)
+    # one generated struct a row: the join's test for nulls is not copied to below what makes the deals distinct
+    by = computed(by, *by.columns, table.alias("_table"))
     solved = par_of_tables(by.select("_table").distinct())
     out = by.join(solved, "_table")
     return out.select(*(c for c in by.columns if c != "_table"), "par_score", "contracts") if "cells" in dd.columns else out.select("deal_id", "par_score", "contracts")

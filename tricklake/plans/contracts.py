@@ -53,8 +53,8 @@ reg("fin7_side_scores", lambda s, d: C.side_scores(split(s, d).drop("Score_NS"))
 
 
 def result_deals(spark, sf):
-    """(deal_id, Board, cells) of the results' own deals, by the same formula."""
-    return X.trick_cells(X.board_results(spark, sf).select("deal_id", "Board").distinct())
+    """(deal_id, Board, cells) of the results' own deals, by the same formula. Without null deals, which no join finds, so that all joins of a query read one and the same shuffle."""
+    return X.trick_cells(X.board_results(spark, sf).select("deal_id", "Board").where("deal_id is not null").distinct())
 
 
 DDR = X.CTES["dd"][1].replace("FROM deal_ids", "FROM (SELECT DISTINCT deal_id, Board FROM br)")
@@ -133,7 +133,7 @@ def result_histograms(spark, sf):
     """The same with a row a seat and strain: (deal_id, Board, seat, strain, probs)."""
     from ..functions import bridge as B
 
-    rows = result_deals(spark, sf).select("deal_id", "Board", F.posexplode("cells").alias("g", "tricks"))
+    rows = result_deals(spark, sf).select("deal_id", "Board", F.posexplode_outer("cells").alias("g", "tricks"))
     return rows.select("deal_id", "Board", B.nth("NESW", F.floor(F.col("g") / 5)).alias("seat"), B.nth("SHDCN", F.col("g") % 5).alias("strain"), _probs(F.col("tricks")).alias("probs"))
 
 
