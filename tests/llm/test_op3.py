@@ -119,3 +119,16 @@ def test_each_round_scores_held_out_words_better(spark):
         totals.append(sum(c * lattice.forward(L.MARK + w)[-1] for w, c in held.items()))
         scores = L.learn_scores(words, scores)
     assert totals == sorted(totals) and totals[1] > 0.8 * totals[0]
+
+
+def test_chunks_are_small_and_added_up_in_arrow(spark):
+    # a worker that held a chunk of 16 MB as Python objects took an executor's memory
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} only{i} w{i % 7}") for i in range(3500)] + [(None, "w1"), (9000, None)], "doc_id long, text string").coalesce(1)
+    postings = L.word_postings(docs.withColumn("held_out", F.lit(False)), True)
+    assert postings.where("word is null").count() == 2
+    out = L.lm_scores(docs, F.col("doc_id") % 7 == 2, rounds=1)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == 3502 and sorted(r.doc_id for r in got if r.doc_id is not None) == [*range(3500), 9000]
+    by = {r.doc_id: r for r in got}
+    assert by[None].n_tokens == 2 and by[9000].n_tokens == 1 and all(by[i].n_tokens == 5 and by[i].n_known == (4 if i % 7 == 2 else 5) for i in range(3500))

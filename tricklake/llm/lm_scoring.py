@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from .common import table, written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 END = b""  # a token that no word can equal
-CHUNK_BYTES, CHUNK_DOCS = 16_000_000, 8_000
+#: what a task holds of one chunk: its words while postings are made, its postings while they are added up
+CHUNK_BYTES, CHUNK_DOCS = 6_000_000, 3_000
 #: rounds of expectation maximisation
 ROUNDS = 3
 
@@ -278,22 +280,24 @@ def lm_scores(docs: DataFrame, held_out, model_file: str = MODEL, rounds: int =
     logs = words.mapInPandas(marginal, "word binary, c long, logp double")
     seen = word_postings(docs, True).drop("c").join(logs, "word", "left").select("chunk", "c", "logp", "posts")
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf["posts"][pdf["logp"].isna()].iloc[0]
+    def total(group: pa.Table) -> pa.Table:
+        # stays in Arrow: a Python object for each word of a chunk, and copies of them, took most of a worker's memory
+        lone = pc.is_null(group["logp"])
+        head = group["posts"].filter(lone)[0].as_py()
         nd = len(head) // 18
         ids, valid = np.frombuffer(head, np.int64, nd), np.frombuffer(head, np.uint8, nd, 8 * nd).astype(bool)
         held, sizes = np.frombuffer(head, np.uint8, nd, 9 * nd).astype(bool), np.frombuffer(head, np.int64, nd, 10 * nd)
-        pdf = pdf[pdf["logp"].notna()].sort_values(["c", "logp"])
-        e = np.frombuffer(b"".join(pdf["posts"]), np.uint32)
-        times = np.array([len(x) // 4 for x in pdf["posts"]])
+        rows = group.select(["c", "logp", "posts"]).filter(pc.invert(lone)).sort_by([("c", "ascending"), ("logp", "ascending")])
+        posts = pa.concat_arrays(rows["posts"].cast(pa.binary()).chunks)
+        off = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset : posts.offset + len(posts) + 1]
+        e, times = np.frombuffer(posts.buffers()[2], np.uint32)[off[0] // 4 : off[-1] // 4], np.diff(off) // 4
         doc, tf = (e & 0xFFFF).astype(np.int64), (e >> 16).astype(np.float64)
-        c, p = np.repeat(pdf["c"].to_numpy(), times), np.repeat(pdf["logp"].to_numpy(), times)
-        known = np.bincount(doc, weights=tf * (c > 0), minlength=nd)
-        base = np.bincount(doc, weights=tf * np.log10((c + 1) / (n + v + 1)), minlength=nd)
-        score = np.bincount(doc, weights=tf * p, minlength=nd)
-        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), ~valid), "held_out": held, "n_tokens": sizes, "n_known": known.astype(np.int64), "train_tokens": n, "base_score": base, "score": score})
+        c, p = rows["c"].to_numpy(), rows["logp"].to_numpy()
+        uses = lambda x: np.bincount(doc, weights=tf * np.repeat(x, times), minlength=nd)
+        columns = {"doc_id": pa.array(ids, mask=~valid), "held_out": held, "n_tokens": sizes, "n_known": uses(c > 0).astype(np.int64), "train_tokens": np.full(nd, n, np.int64), "base_score": uses(np.log10((c + 1) / (n + v + 1))), "score": uses(p)}
+        return pa.table(columns)
 
-    return seen.groupBy("chunk").applyInPandas(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return seen.groupBy("chunk").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
