@@ -5,8 +5,12 @@ One board an order, ten orders a file. Deals, auctions and play follow from the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixtures as X
 from ..functions import bridge as B
@@ -16,42 +20,55 @@ from ..sources import records as R
 Q, O = {}, {}
 
 
-def _playing(df: DataFrame) -> DataFrame:
-    """cards in the order of play: each seat plays its hand from the top, the winner leads."""
-    codes = F.transform(B.hands(F.col("PBN")), lambda suits: F.flatten(F.transform(suits, lambda s, i: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: i * 13 + F.instr(F.lit(B.RANKS), c) - 1))))
-    df = df.withColumns({"codes": codes, "trump_no": F.instr(F.lit("SHDCN"), F.col("strain")) - 1})
-
-    def trick(state: Column, t: Column) -> Column:
-        four = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.get("codes", F.pmod(state["leader"] + i, F.lit(4))), t))
-        suit = lambda c: F.floor(c / 13)
-        power = F.transform(four, lambda c: F.when(suit(c) == F.col("trump_no"), 200).when(suit(c) == suit(F.get(four, F.lit(0))), 100).otherwise(0) + 12 - c % 13)
-        return F.struct(F.pmod(state["leader"] + F.array_position(power, F.array_max(power)).cast("int") - 1, F.lit(4)).alias("leader"), F.concat(state["cards"], four).alias("cards"))
-
-    start = F.struct(F.pmod(F.col("declarer_no") + 1, F.lit(4)).alias("leader"), F.array().cast("array<int>").alias("cards"))
-    return df.withColumn("cards", F.aggregate(F.sequence(F.lit(0), F.lit(12)), start, trick)["cards"])
+@F.arrow_udf(T.StringType())
+def _played(pbn: pa.Array, declarer: pa.Array, trump: pa.Array, n: pa.Array) -> pa.Array:
+    """The first n cards as fields: each seat plays its hand from the top, the winner leads."""
+    ints = lambda a: a.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int16)
+    some = pbn.fill_null("N:" + " ".join(["AKQJT98765432..."] * 4))
+    hands = np.frombuffer("".join(some.to_pylist()).encode(), np.uint8).reshape(-1, 69)[:, (2 + 17 * np.arange(4))[:, None] + np.arange(16)]
+    dots = hands == ord(".")
+    codes = (np.cumsum(dots, axis=2) * 13 + _RANK[hands])[~dots].reshape(-1, 4, 13).astype(np.int16)
+    leader, trump, i = (ints(declarer) + 1) % 4, ints(trump), np.arange(len(pbn))
+    cards = np.empty((len(pbn), 13, 4), np.int16)
+    for t in range(13):
+        cards[:, t] = codes[i[:, None], (leader[:, None] + np.arange(4)) % 4, t]
+        leader = (leader + R.winners(cards[:, t], trump)) % 4
+    cards = cards.reshape(-1, 52)
+    text = np.empty((len(pbn), 52, 6), np.uint8)
+    text[:], text[:, :, 3], text[:, :, 4] = np.frombuffer(b"pc|..|", np.uint8), _SUITS[cards // 13], _RANKS[cards % 13]
+    kept = np.minimum(ints(n), 52)
+    texts = pa.StringArray.from_buffers(len(pbn), pa.py_buffer(np.concatenate(([0], np.cumsum(6 * kept.astype(np.int64)))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(text[np.arange(52) < kept[:, None]])))
+    return pc.if_else(pbn.is_valid(), texts, None)
+
+
+_SUITS, _RANKS = (np.frombuffer(x.encode(), np.uint8) for x in (B.SUITS, B.RANKS))
+_RANK = np.zeros(256, np.int16)
+_RANK[_RANKS] = np.arange(13)
 
 
 def record_texts(spark, sf) -> DataFrame:
     """(source_file, value): whole files of up to ten boards."""
-    df = X.deals(spark, sf).withColumn("k", F.col("deal_id"))
     k = F.col("k")
-    df = df.withColumns({"dealer_no": (k % 4).cast("int"), "strain": B.nth("CDHSN", k % 5), "lvl": (k % 6 + 2).cast("string")})
-    df = _playing(df.withColumn("declarer_no", F.pmod(F.col("dealer_no") + F.when(F.col("strain") == "C", 0).otherwise(2), F.lit(4)).cast("int")))
+    # dealt by file, so that a file's texts leave their task as one row
+    ids = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 36 + 1).cast("int").alias("Board"), F.floor(F.col("o_orderkey") / 10).alias("file"))
+    df = X.with_pbn(ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file"), "k")
+    df = df.withColumns({"dealer_no": (k % 4).cast("int"), "strain": B.nth("CDHSN", k % 5), "lvl": (k % 6 + 2).cast("string"), "four": F.split(F.substring("PBN", 3, 67), " ")})
+    df = df.withColumn("declarer_no", F.pmod(F.col("dealer_no") + F.when(F.col("strain") == "C", 0).otherwise(2), F.lit(4)).cast("int"))
+    n = F.when(k % 4 == 0, 52).when(k % 4 == 1, 48 + k % 3).when(k % 4 == 2, 4 * (k % 11)).otherwise(4 * (k % 12)).cast("int")
+    df = df.withColumn("cards", _played(F.col("PBN"), F.col("declarer_no"), F.instr(F.lit(B.TRICK_STRAINS), F.col("strain")) - 1, n))
     part = lambda key, v: F.concat(F.lit(f"{key}|"), v, F.lit("|"))
-    hand = lambda i: F.concat(*[x for s in range(4) for x in (F.lit(B.SUITS[s]), F.get(F.get(B.hands(F.col("PBN")), F.lit(i)), F.lit(s)))])
+    hand = lambda i: F.regexp_replace(F.get("four", F.lit(i)), r"^(\w*)\.(\w*)\.(\w*)\.(\w*)$", "S$1H$2D$3C$4")
     hands = F.concat_ws(",", hand(2), hand(3), hand(0), F.when(k % 2 == 0, "").otherwise(hand(1)))
     md = F.concat(F.when(k % 17 == 0, "").otherwise((F.pmod(F.col("dealer_no") + 2, F.lit(4)) + 1).cast("string")), F.when(k % 13 == 0, "").otherwise(hands))
     doubled = F.when(k % 12 == 1, "mb|d|mb|r|").when(k % 3 == 1, "mb|d|").otherwise("")
     bid = F.concat(F.lit("mb|1C!|an|strong|mb|p|mb|"), "lvl", "strain", F.lit("|"), doubled, F.lit("mb|p|mb|p|mb|p|"))
     calls = F.when(k % 9 == 0, "mb|p|mb|p|mb|p|mb|p|").when(k % 10 == 3, "mb|1N|mb|p|").otherwise(bid)
-    n = F.when(k % 4 == 0, 52).when(k % 4 == 1, 48 + k % 3).when(k % 4 == 2, 4 * (k % 11)).otherwise(4 * (k % 12)).cast("int")
-    cards = F.transform(F.slice("cards", 1, n), lambda c: F.concat(F.lit("pc|"), B.nth(B.SUITS, F.floor(c / 13)), B.nth(B.RANKS, c % 13), F.lit("|")))
-    played = F.when((k % 9 == 0) | (k % 10 == 3) | (k % 13 == 0) | (k % 17 == 0), "").otherwise(F.array_join(cards, ""))
+    played = F.when((k % 9 == 0) | (k % 10 == 3) | (k % 13 == 0) | (k % 17 == 0), "").otherwise(F.col("cards"))
     text = F.concat(
         F.when(k % 7 == 0, "qx|o|").otherwise(part("qx", F.concat(F.lit("o"), (k % 30 + 1).cast("string")))), part("md", md), F.when(k % 5 == 4, "").otherwise(part("sv", B.nth("obne", k % 5))),
         F.when(k % 7 == 0, "").otherwise(part("ah", F.concat(F.lit("Board "), F.col("Board").cast("string")))), calls, played, F.when(k % 4 == 2, part("mc", ((k * 7) % 15).cast("string"))).otherwise(""), F.lit("pg||\n"),
     )
-    files = df.select(F.floor(k / 10).alias("file"), k.alias("k"), text.alias("text")).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("b"))
+    files = df.select("file", "k", text.alias("text")).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("b"))
     head = F.concat(F.lit("vg|Event "), (F.col("file") % 5).cast("string"), F.lit(",x|pn|S"), F.col("file").cast("string"), F.lit(",W,N,E|"))
     value = F.when(F.col("file") % 19 == 3, F.lit(None)).when(F.col("file") % 19 == 5, "<html>moved</html>").otherwise(F.concat(head, F.array_join("b.text", "")))
     return files.select(F.concat(F.lit("f"), F.col("file").cast("string")).alias("source_file"), value.alias("value"))

@@ -4,14 +4,20 @@ Keys read: qx (a board begins; o or c and its number), pn (players: South, West,
 md (dealer 1 to 4 for South, West, North, East; hands in that order, the last may be left out), sv (vulnerability), mb (a call; a bang alerts it),
 an (what the call before means), pc (a card played), mc (tricks of the declaring side, claimed). Others are passed over.
 
-A hand is a mask of 52 bits, so the hand that is left out is what three leave over. Who wins a trick depends on its four cards alone, by their places;
-leaders are running sums of those places. All of it is expressions: no Python runs for a board.
+Fields are found by the bars of whole files, a few megabytes at a time, hands and play are worked out in arrays of a batch's boards; no Python runs for a board.
+A hand is a row of 52 marks, so the hand that is left out is what three leave over. Auctions, contracts, scores and issues are expressions.
 """
 
 from __future__ import annotations
 
+import string
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bridge as B
 from ..functions.rows import computed
@@ -26,7 +32,6 @@ VULS = {"o": 0, "0": 0, "-": 0, "": 0, "b": 1, "n": 2, "e": 3}
 #: Seats by N, E, S, W = 0 to 3 in the order of the record's hands and players.
 RECORD_SEATS = (2, 3, 0, 1)
 
-_ALL = (1 << 52) - 1
 _int = lambda c: c.cast("int")
 
 
@@ -36,69 +41,217 @@ def read_record_files(spark: SparkSession, path: str, stream: bool = False) -> D
     return reader.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
 
 
-def _values(fields: str, key: str) -> Column:
-    return F.transform(F.filter(fields, lambda f: f["k"] == key), lambda f: f["v"])
-
-
-def _first(fields: str, key: str) -> Column:
-    return F.get(_values(fields, key), F.lit(0))
+def _word_bytes() -> np.ndarray:
+    """The lower-cased byte for each byte of a word, 0 for others."""
+    out = np.zeros(256, np.int32)
+    for c in string.ascii_letters + string.digits + "_":
+        out[ord(c)] = ord(c.lower())
+    return out
+
+
+_WORD = _word_bytes()
+_key = lambda k: ord(k[0]) * 256 + ord(k[1])
+
+
+def _runs(n: np.ndarray) -> pa.Array:
+    """Offsets of lists of so many elements."""
+    return pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+
+
+def _card_codes(texts: pa.Array) -> pa.Array:
+    """Codes of cards, suit by suit from spades, high to low; null for what is no card. Each distinct text is read once."""
+    different = texts.dictionary_encode()
+    plain = [t.upper().replace("10", "T") for t in different.dictionary.to_pylist()]
+    codes = [B.SUITS.index(t[0]) * 13 + B.RANKS.index(t[1]) if len(t) == 2 and t[0] in B.SUITS and t[1] in B.RANKS else None for t in plain]
+    return pa.array(codes, pa.int8()).take(different.indices)
+
+
+def _fields(files: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """Whole files to a row a board (see _BOARD); a file without boards gives one row without a board's number."""
+    lists = pc.split_pattern(texts.fill_null(""), "|")
+    pieces, ends = lists.flatten(), lists.offsets.to_numpy()
+    off = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(b"\0\0" + (pieces.buffers()[2] or b""), np.uint8)
+    # a key is the two word bytes before a bar, its value is what follows up to the next bar
+    one, two = _WORD[data[off[1:]]], _WORD[data[off[1:] + 1]]
+    open_end = np.zeros(len(pieces), bool)
+    open_end[ends[1:] - 1] = True
+    may = (np.diff(off) >= 2) & (one > 0) & (two > 0) & ~open_end
+    # after a piece that can't be a key a key may follow; in a run of those that can, keys and values alternate
+    fresh = np.concatenate(([True], ~may[:-1])) if len(may) else may
+    fresh[ends[:-1]] = True
+    at = np.arange(len(pieces))
+    is_key = may & ((at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0)
+    is_key[:-1] &= ~open_end[1:]
+    keys = np.flatnonzero(is_key)
+    code, file = one[keys] * 256 + two[keys], np.repeat(np.arange(len(texts)), np.diff(ends))[keys]
+    has_qx = np.zeros(len(texts), bool)
+    has_qx[file[code == _key("qx")]] = True
+    start = np.flatnonzero(code == np.where(has_qx[file], _key("qx"), _key("md")))
+    n, owner = len(start), file[start]
+    board = np.searchsorted(start, np.arange(len(keys)), "right") - 1
+    board[(board >= 0) & (owner[board] != file if n else False)] = -1
+    end = np.searchsorted(file, owner, "right")
+    if n:
+        end[:-1] = np.minimum(end[:-1], start[1:])
+    bare = np.setdiff1d(np.arange(len(texts)), owner)
+    whose = np.concatenate((owner, bare))
+    value = lambda i: pc.utf8_trim(pieces.take(pa.array(np.where(i < 0, 0, keys[np.maximum(i, 0)] + 1) if len(keys) else np.zeros(len(i), int), mask=i < 0)), " ")
+
+    def first(key: str, group: np.ndarray, n: int) -> np.ndarray:
+        """The place of the first field of a key in each group, -1 without one."""
+        i, out = np.flatnonzero((code == _key(key)) & (group >= 0)), np.full(n, -1)
+        out[group[i][::-1]] = i[::-1]
+        return out
+
+    def last_names() -> np.ndarray:
+        i = np.flatnonzero(code == _key("pn"))
+        k = np.searchsorted(i, np.concatenate((end, np.searchsorted(file, bare, "right")))) - 1
+        found = i[np.maximum(k, 0)] if len(i) else np.zeros(len(k), int)
+        return np.where((k >= 0) & (file[found] == whose if len(i) else False), found, -1)
+
+    def each(key: str) -> tuple[np.ndarray, pa.Array]:
+        """All fields of a key and where each row's begin."""
+        i = np.flatnonzero((code == _key(key)) & (board >= 0))
+        return i, _runs(np.concatenate((np.bincount(board[i], minlength=n), np.zeros(len(bare), int))))
+
+    none = pa.array(np.arange(n + len(bare)) >= n)
+    listed = lambda runs, values: pa.ListArray.from_arrays(runs, values, mask=none)
+    (calls, of_calls), (cards, of_cards) = each("mb"), each("pc")
+    after = np.minimum(calls + 1, len(keys) - 1)
+    told = np.where((after > calls) & (code[after] == _key("an")) & (board[after] == board[calls]), after, -1)
+    numbers = np.arange(n) - np.searchsorted(owner, owner)
+    single = [value(np.concatenate((first(k, board, n), np.full(len(bare), -1)))) for k in ("md", "sv", "ah", "qx", "mc")]
+    return pa.RecordBatch.from_arrays([
+        files.take(pa.array(whose)), pa.array(np.concatenate((numbers, bare)), pa.int32(), mask=none.to_numpy(zero_copy_only=False)), *single, value(last_names()), value(first("vg", file, len(texts))[whose]),
+        listed(of_calls, value(calls)), listed(of_calls, value(told)), listed(of_cards, _card_codes(value(cards))),
+    ], ["source_file", "board", "md", "sv", "ah", "qx", "mc", "names", "event", "said", "told", "cards"])
+
+
+_BOARD = "source_file string, board int, md string, sv string, ah string, qx string, mc string, names string, event string, said array<string>, told array<string>, cards array<tinyint>"
+#: bytes of text whose fields a task holds at once; one file may be longer
+CHUNK = 2 << 20
 
 
 def _boards(texts: DataFrame) -> DataFrame:
-    """A row a board: source_file, board (its place in the file; null without any), f (its fields) and names (of the players, given last up to its end), event."""
-    pairs = F.transform(F.regexp_extract_all("value", F.lit(r"(\w\w\|[^|]*)\|"), F.lit(1)), lambda x: F.struct(F.lower(F.substring(x, 1, 2)).alias("k"), F.trim(F.substring(x, F.lit(4), F.length(x))).alias("v")))
-    df = texts.select("source_file", pairs.alias("all"))
-    df = df.withColumn("mark", F.when(F.exists("all", lambda x: x["k"] == "qx"), "qx").otherwise("md"))
-    df = df.withColumn("starts", F.filter(F.transform("all", lambda x, i: F.when(x["k"] == F.col("mark"), i)), lambda i: i.isNotNull()))
-    df = df.select("*", F.posexplode_outer("starts").alias("board", "start"))
-    df = df.withColumn("end", F.coalesce(F.get("starts", F.col("board") + 1), F.size("all")))
-    names = F.get(F.reverse(_values(F.slice("all", 1, F.col("end")), "pn")), F.lit(0))
-    return df.select("source_file", "board", F.slice("all", F.col("start") + 1, F.col("end") - F.col("start")).alias("f"), F.split(names, ",").alias("names"), F.get(F.split(_first("all", "vg"), ","), F.lit(0)).alias("event"))
-
-
-def _hand_mask(text: Column) -> Column:
-    """Bits of a hand's cards, suit by suit from spades, high to low."""
-    mask = F.lit(0).cast("long")
-    for s, suit in enumerate(B.SUITS):
-        places = F.filter(F.transform(F.split(F.regexp_extract(text, f"{suit}([^SHDC]*)", 1), ""), lambda c: F.instr(F.lit(B.RANKS), c) * F.length(c)), lambda p: p > 0)
-        bits = F.aggregate(places, F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), _int(p - 1))))
-        mask = mask.bitwiseOR(F.shiftleft(bits, 13 * s))
-    return mask
-
-
-def _hand_text(mask: Column) -> Column:
-    suit = lambda s: F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda r: F.when(F.getbit(mask, r + 13 * s) == 1, B.nth(B.RANKS, r))), lambda c: c.isNotNull()), "")
-    return F.concat_ws(".", *[suit(s) for s in range(4)])
-
-
-def _with_deal(df: DataFrame) -> DataFrame:
-    """dealer_no (N = 0), masks and hands (N, E, S, W), whether the deal is whole."""
-    given = F.transform(F.split(F.replace(F.upper(F.regexp_replace("md", r"^\d", "")), F.lit("10"), F.lit("T")), ","), _hand_mask)
-    df = df.withColumn("given", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.get(given, i), F.lit(0).cast("long"))))
-    df = df.withColumns({"union": F.aggregate("given", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x)), "sizes": F.transform("given", lambda m: _int(F.bit_count(m)))})
-    # three hands of thirteen different cards leave the fourth
-    left = (F.bit_count("union") == 39) & (F.sort_array("sizes") == F.array(*map(F.lit, (0, 13, 13, 13))))
-    full = F.transform("given", lambda m: F.when(left & (m == 0), F.bitwise_not("union").bitwiseAND(F.lit(_ALL))).otherwise(m))
-    df = df.withColumn("full", full).withColumn("masks", F.array(*[F.get("full", F.lit(RECORD_SEATS.index(seat))) for seat in range(4)]))
-    whole = F.forall("masks", lambda m: F.bit_count(m) == 13) & (F.aggregate("masks", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x)) == _ALL)
-    dealer = F.instr(F.lit("1234"), F.substring("md", 1, 1))
-    return df.withColumns({"whole": F.coalesce(whole, F.lit(False)), "hands": F.transform("masks", _hand_text), "dealer_no": F.when((dealer > 0) & (F.length("md") > 0), F.pmod(dealer + 1, F.lit(4)))}).drop("given", "union", "sizes", "full")
+    """A row a board: source_file, board (its place in the file; null without any), the first of each single field, names (of the players, given last up to its end), event, what was said and told with it, cards as codes."""
+
+    def rows(batches):
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHUNK, "right")))
+                yield _fields(batch.column(0).slice(a, b - a), pa.concat_arrays([batch.column(1).slice(a, b - a)]))
+                a = b
+
+    df = texts.select("source_file", "value").mapInArrow(rows, _BOARD)
+    return df.withColumns({"names": F.split("names", ","), "event": F.get(F.split("event", ","), F.lit(0))})
+
+
+_KIND = np.full(256, 99, np.int16)  # ranks by their place, suits from 20, a comma 30
+for _i, _c in enumerate(B.RANKS):
+    _KIND[ord(_c)] = _i
+for _i, _c in enumerate(B.SUITS):
+    _KIND[ord(_c)] = 20 + _i
+_KIND[ord(",")] = 30
+
+
+def _held(deals: pa.Array) -> np.ndarray:
+    """Which cards the hands (N, E, S, W) hold, row by row: the cards after the first letter of each suit, of a hand left out what three leave over."""
+    n, deals = len(deals), deals.fill_null("")
+    off = np.frombuffer(deals.buffers()[1], np.int32)[deals.offset : deals.offset + n + 1]
+    kind = _KIND[np.frombuffer(deals.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]]
+    row, at = np.repeat(np.arange(n), np.diff(off)), np.arange(len(kind))
+    begin = (off[:-1] - off[0])[row]
+    commas = np.cumsum(kind == 30) - (kind == 30)
+    hand = commas - commas[begin]
+    suit = (kind >= 20) & (kind < 24)
+    # the suit letter, comma or beginning that a card follows
+    owner = np.maximum.accumulate(np.where(suit | (kind == 30) | (at == begin), at, 0))
+    letters = np.flatnonzero(suit & (hand < 4))
+    good = np.zeros(len(kind), bool)
+    good[letters[np.unique((row[letters] * 4 + hand[letters]) * 4 + kind[letters] - 20, return_index=True)[1]]] = True
+    use = np.flatnonzero((kind < 13) & good[owner])
+    held = np.zeros((n, 4, 52), bool)
+    held[row[use], hand[use], (kind[owner[use]] - 20) * 13 + kind[use]] = True
+    sizes, union = held.sum(2), held.any(1)
+    left = (union.sum(1) == 39) & (np.sort(sizes, axis=1) == (0, 13, 13, 13)).all(1)
+    i, seat = np.nonzero(left[:, None] & (sizes == 0))
+    held[i, seat] = ~union[i]
+    return held[:, [RECORD_SEATS.index(seat) for seat in range(4)]]
+
+
+def _hand_texts(held: np.ndarray) -> pa.Array:
+    """Lists of four hands, suits from spades joined by dots."""
+    shown = np.ones((len(held) * 4, 55), bool)
+    at = np.arange(52) + np.arange(52) // 13
+    shown[:, at] = held.reshape(-1, 52)
+    chars = np.full(55, ord("."), np.uint8)
+    chars[at] = np.frombuffer((B.RANKS * 4).encode(), np.uint8)
+    texts = pa.StringArray.from_buffers(len(shown), _runs(shown.sum(1)).buffers()[1], pa.py_buffer(np.ascontiguousarray(np.broadcast_to(chars, shown.shape)[shown])))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * 4), texts)
+
+
+def winners(four: np.ndarray, trump: np.ndarray) -> np.ndarray:
+    """Places (0 to 3) of the cards that take tricks of four: the highest trump, else the highest of the suit led."""
+    suit = four // 13
+    return (np.where(suit == trump[:, None], 200, np.where(suit == suit[:, :1], 100, 0)) + 12 - four % 13).argmax(1)
+
+
+_FLAGS = ("dealt", "whole", "known", "twice", "unheld")
+_LIST = T.ArrayType(T.StringType())
+_PLAY = T.StructType([T.StructField("hands", _LIST), *[T.StructField(x, T.BooleanType()) for x in _FLAGS], T.StructField("taken", T.IntegerType()), T.StructField("play_rank", _LIST), T.StructField("play_suit", _LIST)])
+
+
+@F.arrow_udf(_PLAY)
+def _play(deal: pa.Array, cards: pa.Array, declarer: pa.Array, trump: pa.Array) -> pa.Array:
+    """Hands of record texts and what the cards played tell: of _PLAY, unheld is whether one was not in its hand, taken the tricks of the declaring side (the last trick may be left out)."""
+    n, ints = len(deal), lambda a: a.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int16)
+    held, decl, trump = _held(deal), ints(declarer), ints(trump)
+    whole = (held.sum(2) == 13).all(1) & held.any(1).all(1)
+    every, size = cards.flatten(), cards.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, row = ints(every), np.repeat(np.arange(n), size)
+    place = np.arange(len(codes)) - (np.cumsum(size) - size)[row]
+    count = np.bincount(row * 53 + codes + 1, minlength=53 * n).reshape(n, 53)
+    known, played = count[:, 0] == 0, count[:, 1:] > 0
+    card = np.full((n, 52), -1, np.int16)
+    card[row[place < 52], place[place < 52]] = codes[place < 52]
+    tricks = np.where(known & (decl >= 0), np.minimum(size // 4, 12), 0)
+    leader = np.full((n, 13), -1, np.int16)
+    leader[:, 0] = np.where(decl >= 0, (decl + 1) % 4, -1)
+    for t in range(12):
+        leader[:, t + 1] = np.where(tricks > t, (leader[:, t] + winners(card[:, 4 * t : 4 * t + 4], trump)) % 4, -1)
+    # the last trick may be left out: each hand has one card then
+    rest = held & ~played[:, None]
+    only, last, who = np.where(rest.sum(2) == 1, rest.argmax(2), -1), card[:, 48:].copy(), leader[:, 12]
+    for i in range(4):
+        last[:, i] = np.where(size > 48 + i, last[:, i], np.where(who >= 0, only[np.arange(n), (who + i) % 4], -1))
+    told = known & (size >= 48) & (size <= 52) & (who >= 0) & (last >= 0).all(1)
+    ours = lambda seat: (seat - decl) % 2 == 0
+    taken = sum(ours(leader[:, t]).astype(np.int32) for t in range(1, 13)) + ours(who + winners(last, trump))
+    led = np.repeat(leader, 4, axis=1)
+    i, c = np.nonzero((led >= 0) & (card >= 0))
+    unheld = np.bincount(i[~held[i, (led[i, c] + c) % 4, card[i, c]]], minlength=n) > 0
+    runs, null = _runs(size), cards.is_null()
+    rank, suit = (pa.array(x).take(pa.array(np.maximum(codes, 0) // d % 13, mask=codes < 0)) for x, d in ((["R" + r for r in B.RANKS], 1), ([DENOMS[s] for s in B.SUITS], 13)))
+    lists = [pa.ListArray.from_arrays(runs, x, mask=null) for x in (rank, suit)]
+    parts = [_hand_texts(held), held.any((1, 2)), whole, known, (count > 1).any(1), whole & unheld, pa.array(taken.astype(np.int32), mask=~told), *lists]
+    return pa.StructArray.from_arrays([p if isinstance(p, pa.Array) else pa.array(p) for p in parts], _PLAY.names)
 
 
 def _with_calls(df: DataFrame) -> DataFrame:
     """calls: the auction as structs, each with the explanation that follows it."""
-    said = F.filter(F.transform("f", lambda x, i: F.when(x["k"] == "mb", F.struct(x["v"].alias("v"), F.when(F.get("f", i + 1)["k"] == "an", F.get("f", i + 1)["v"]).alias("an")))), lambda x: x.isNotNull())
-
-    def call(x: Column) -> Column:
-        plain = F.upper(F.replace(x["v"], F.lit("!"), F.lit("")))
+    def call(x: Column, i: Column) -> Column:
+        plain = F.upper(F.replace(x, F.lit("!"), F.lit("")))
         bid = plain.rlike("^[1-7](C|D|H|S|N|NT)$")
         penalty = F.when(plain.isin("P", "PASS"), "passed").when(plain.isin("D", "DBL", "X"), "doubled").when(plain.isin("R", "RDBL", "XX"), "redoubled")
         return F.struct(
             F.when(bid, "Contract").when(penalty.isNotNull(), "Penalty").alias("type"), F.when(bid, B.lookup(DENOMS, F.substring(plain, 2, 1))).alias("denom"), penalty.alias("penalty"),
-            F.when(bid, _int(F.substring(plain, 1, 1))).alias("level"), F.contains(x["v"], F.lit("!")).alias("alertable"), x["an"].alias("announcement"),
+            F.when(bid, _int(F.substring(plain, 1, 1))).alias("level"), F.contains(x, F.lit("!")).alias("alertable"), F.get("told", i).alias("announcement"),
         )
 
-    return df.withColumn("calls", F.transform(said, call))
+    return df.withColumn("calls", F.transform("said", call))
 
 
 def _with_contract(df: DataFrame) -> DataFrame:
@@ -116,37 +269,11 @@ def _with_contract(df: DataFrame) -> DataFrame:
     }).drop("final", "last")
 
 
-def _winner(four: Column, trump: Column) -> Column:
-    """Place (0 to 3) of the card that takes a trick of four: the highest trump, else the highest of the suit led."""
-    suit = lambda c: F.floor(c / 13)
-    power = F.transform(four, lambda c: F.when(suit(c) == trump, 200).when(suit(c) == suit(F.get(four, F.lit(0))), 100).otherwise(0) + 12 - c % 13)
-    return _int(F.array_position(power, F.array_max(power)) - 1)
-
-
 def _with_play(df: DataFrame) -> DataFrame:
-    """cards (codes as the masks' bits; null if unknown), the tricks that the declaring side took, the seats of the cards."""
-    text = F.transform(_values("f", "pc"), lambda c: F.replace(F.upper(c), F.lit("10"), F.lit("T")))
-    place = lambda text, c: F.when(F.length(c) > 0, F.instr(F.lit(text), c))
-    code = F.transform(text, lambda c: F.when(F.length(c) == 2, F.nullif(place(B.SUITS, F.substring(c, 1, 1)), F.lit(0)) * 13 + F.nullif(place(B.RANKS, F.substring(c, 2, 1)), F.lit(0)) - 14))
-    df = df.withColumn("cards", code).withColumns({"known": F.forall("cards", lambda c: c.isNotNull()), "trump_no": F.instr(F.lit("SHDCN"), F.upper(F.substring(F.when(F.col("denom") == "nt", "N").otherwise(F.col("denom")), 1, 1))) - 1})
-    # the twelve tricks before the last, each as the place of its winner
-    tricks = F.when(F.col("known") & F.col("declarer_no").isNotNull(), F.least(F.floor(F.size("cards") / 4).cast("int"), F.lit(12))).otherwise(0)
-    early = F.transform(F.filter(F.sequence(F.lit(0), F.lit(11)), lambda t: t < tricks), lambda t: _winner(F.slice("cards", 4 * t + 1, 4), F.col("trump_no")))
-    df = df.withColumn("early", early)
-    start = F.pmod(F.col("declarer_no") + 1, F.lit(4))
-    # leaders[t]: who leads to trick t
-    df = df.withColumn("leaders", F.aggregate("early", F.array(_int(start)), lambda s, w: F.concat(s, F.array(_int(F.pmod(F.get(F.reverse(s), F.lit(0)) + w, F.lit(4)))))))
-    played = F.aggregate("cards", F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), _int(c))))
-    rest = F.transform("masks", lambda m: m.bitwiseAND(F.bitwise_not(played)))
-    # the last trick may be left out: each hand has one card then
-    closing = F.col("known") & F.size("cards").between(48, 52)
-    ended = F.when(closing, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.coalesce(F.get("cards", 48 + i), F.get("rest", F.pmod(F.get("leaders", F.lit(12)) + i, F.lit(4))))))
-    df = df.withColumn("rest", F.transform(rest, lambda m: F.when(F.bit_count(m) == 1, _int(F.bit_count(m - 1))))).withColumn("ended", ended)
-    df = df.withColumn("ending", F.when(F.forall("ended", lambda c: c.isNotNull()), _winner(F.col("ended"), F.col("trump_no"))))
-    ours = lambda seat: (F.pmod(seat - F.col("declarer_no"), F.lit(2)) == 0).cast("int")
-    taken = F.aggregate(F.slice("leaders", 2, 12), F.lit(0), lambda n, seat: n + ours(seat)) + ours(F.get("leaders", F.lit(12)) + F.col("ending"))
-    seat = F.transform("cards", lambda c, i: _int(F.pmod(F.get("leaders", _int(F.floor(i / 4))) + i % 4, F.lit(4))))
-    return df.withColumns({"taken": taken, "seats": seat}).drop("early", "leaders", "rest", "ended", "ending")
+    """Hands, what is known of them and of the cards, and the tricks that the declaring side took."""
+    deal = F.replace(F.upper(F.regexp_replace("md", r"^\d", "")), F.lit("10"), F.lit("T"))
+    trump = F.instr(F.lit(B.TRICK_STRAINS), F.upper(F.substring(F.when(F.col("denom") == "nt", "N").otherwise(F.col("denom")), 1, 1))) - 1
+    return df.withColumn("p", _play(deal, F.col("cards"), _int(F.col("declarer_no")), trump)).withColumns({name: F.col(f"p.{name}") for name in _PLAY.names}).drop("p")
 
 
 def parse_records(texts: DataFrame) -> DataFrame:
@@ -157,11 +284,12 @@ def parse_records(texts: DataFrame) -> DataFrame:
     issues: what is missing or does not fit; a row with issues may be valid. Fields and files of any length are read whole.
     """
     df = _boards(texts)
-    df = df.withColumns({k: _first("f", k) for k in ("md", "sv", "ah", "qx", "mc")})
-    df = _with_play(_with_contract(_with_calls(_with_deal(df))))
+    dealer = F.instr(F.lit("1234"), F.substring("md", 1, 1))
+    df = df.withColumn("dealer_no", F.when((dealer > 0) & (F.length("md") > 0), F.pmod(dealer + 1, F.lit(4))))
+    df = _with_play(_with_contract(_with_calls(df)))
     df = df.withColumns({
         "board_num": F.coalesce(F.regexp_extract("ah", r"(\d+)\s*$", 1).try_cast("int"), F.regexp_extract("qx", r"(\d+)", 1).try_cast("int")), "vulnerability": B.lookup(VULS, F.lower(F.substring("sv", 1, 1))),
-        "PBN": F.when(F.exists("masks", lambda m: m != 0), F.concat(F.lit("N:"), F.concat_ws(" ", "hands"))).otherwise(EMPTY_DEAL), "claim": F.col("mc").try_cast("int"),
+        "PBN": F.when(F.col("dealt"), F.concat(F.lit("N:"), F.concat_ws(" ", "hands"))).otherwise(EMPTY_DEAL), "claim": F.col("mc").try_cast("int"),
     })
     tricks = F.when(F.col("claim").between(0, 13), F.col("claim")).otherwise(F.when(F.col("mc").isNull(), F.col("taken")))
     df = df.withColumn("result", tricks - 6 - F.col("level"))
@@ -170,11 +298,10 @@ def parse_records(texts: DataFrame) -> DataFrame:
     vulnerable = (F.col("vulnerability") == 1) | (F.col("vulnerability") == 2 + F.col("declarer_no") % 2)
     score = F.when(F.col("vulnerability").isNotNull() & F.col("declarer_no").isNotNull(), B.contract_score(F.col("level"), letter(F.col("denom")), doubled, vulnerable, F.col("result")))
     contract = F.when(F.col("passout"), "PASS").otherwise(F.concat(F.col("level").cast("string"), letter(F.col("denom")), doubled, seat))
-    held = lambda c, i: F.get("masks", F.get("seats", i)).isNull() | (F.getbit(F.get("masks", F.get("seats", i)), c) == 1)
     wrong = {
         "no board": F.col("board_num").isNull(), "no dealer": F.col("dealer_no").isNull(), "no vulnerability": F.col("vulnerability").isNull(), "no deal": F.col("PBN") == EMPTY_DEAL,
         "deal not whole": (F.col("PBN") != EMPTY_DEAL) & ~F.col("whole"), "unknown call": F.exists("calls", lambda c: c["type"].isNull()), "auction not over": ~F.col("over"), "unknown card": ~F.col("known"),
-        "card played twice": F.size(F.array_distinct("cards")) < F.size("cards"), "card not held": F.col("whole") & F.exists(F.transform("cards", lambda c, i: ~held(c, i)), lambda x: x),
+        "card played twice": F.col("twice"), "card not held": F.col("unheld"),
         "claim out of range": F.col("mc").isNotNull() & ~F.coalesce(F.col("claim").between(0, 13), F.lit(False)), "play not over": F.col("level").isNotNull() & F.col("mc").isNull() & F.col("taken").isNull(),
     }
     no_board = F.col("board").isNull()
@@ -190,7 +317,7 @@ def parse_records(texts: DataFrame) -> DataFrame:
         F.when(F.col("passout"), "nt").otherwise(F.col("denom")).alias("trump"), "penalty", whose.alias("declarer"), F.col("result").cast("int").alias("result"), score.alias("score"), given(F.col("mc").isNotNull()).alias("claimed"), "PBN",
         *[given(hand(i)).alias(f"Hand_{s}") for i, s in enumerate(B.SEATS)], given(F.struct(*[player(i).alias(p.title()) for i, p in enumerate(PLAYERS)], F.col("event").alias("Event"))).alias("info"),
         *[part(p).alias(f"bid_{p}") for p in ("type", "denom", "penalty", "level", "alertable", "announcement")],
-        F.transform("cards", lambda c: F.concat(F.lit("R"), B.nth(B.RANKS, c % 13))).alias("play_rank"), F.transform("cards", lambda c: F.get(F.array(*[F.lit(DENOMS[s]) for s in B.SUITS]), _int(F.floor(c / 13)))).alias("play_suit"),
+        "play_rank", "play_suit",
         *[player(i).alias(f"Player_{s}") for i, s in enumerate(B.SEATS)], given(issues).alias("issues"), no_board.alias("error"), F.when(no_board, "no board in the file, or no text").alias("error_message"),
     )
 
