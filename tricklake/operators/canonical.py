@@ -17,7 +17,8 @@ RECORD_VULS = {0: "None", 1: "Both", 2: "N_S", 3: "E_W"}
 
 def french_strain(text: Column) -> Column:
     """Strain of a text like 3SA or 4P."""
-    return B.lookup(FRENCH_STRAINS, F.regexp_extract(F.upper(text), "^[1-7](SA|[PCKT])", 1))
+    # a map, as a chain of cases would look for the pattern in each
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in FRENCH_STRAINS.items() for x in pair]), F.regexp_extract(F.upper(text), "^[1-7](SA|[PCKT])", 1))
 
 
 def french_contract(text: Column, declarer: Column) -> Column:
@@ -91,11 +92,27 @@ def with_seats(df: DataFrame, players: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def from_simultaneous(rows: DataFrame, deals: DataFrame, players: DataFrame) -> DataFrame:
-    """First provider: repeated rows go, deals join by (section, board), codes are mapped, scores ranked over all sections of a board."""
-    df = rows.distinct().join(deals, ["section", "board"])
-    df = df.withColumns({"Contract": french_contract(F.col("contrat"), F.col("declarant")), "Result": result_number(F.col("resultat")), "Score_NS": F.col("score").try_cast("int")})
-    df = with_seats(df, players, ["section"])
-    df = M.matchpoints(df, ["board"], "Score_NS")
+    """First provider: repeated rows go, deals join by (section, board), codes are mapped, scores ranked over all sections of a board.
+
+    A section is a room: its deals and the players of its pairs are maps, so rows are shuffled once, by section. What a board's scores are worth, a row a board and score, is broadcast.
+    """
+    entries = lambda key, value: F.map_from_entries(F.collect_list(F.when(key, value)))
+    # told as conditions of their own, so that both readings of the rows have the same ones and share a shuffle
+    known = F.col("section").isNotNull() & F.col("board").isNotNull()
+    at = deals.where(known).repartition("section").groupBy("section", "board").agg(F.collect_list(F.struct(*[c for c in deals.columns if c not in ("section", "board")])).alias("d"))
+    at = at.groupBy("section").agg(F.map_from_entries(F.collect_list(F.struct("board", "d"))).alias("_deals"))
+    two = F.struct(F.max(F.when(F.col("position") == 1, F.col("id"))).alias("p1"), F.max(F.when(F.col("position") == 2, F.col("id"))).alias("p2"))
+    seats = players.dropna(subset=["section", "pair"]).repartition("section").groupBy("section", "side", "pair").agg(two.alias("two"))
+    seats = seats.groupBy("section").agg(*[entries(F.col("side") == side, F.struct("pair", "two")).alias(f"_{side}") for side in ("NS", "EW")])
+    rows = rows.where(known).repartition("section").distinct()
+    score = F.col("score").try_cast("int").alias("Score_NS")
+    worth = F.broadcast(M.score_points(rows.join(at, "section").select("board", score, F.inline(F.try_element_at("_deals", F.col("board")))), ["board"], "Score_NS"))
+    df = rows.join(at.join(seats, "section", "left"), "section").select("*", score, F.inline(F.try_element_at("_deals", F.col("board")))).drop("_deals")
+    df = df.withColumns({"Contract": french_contract(F.col("contrat"), F.col("declarant")), "Result": result_number(F.col("resultat"))})
+    for side in ("NS", "EW"):
+        who = F.try_element_at(f"_{side}", F.col(f"Pair_Number_{side}").cast(players.schema["pair"].dataType))
+        df = df.withColumns({f"Player_ID_{side[0]}": who["p1"], f"Player_ID_{side[1]}": who["p2"]})
+    df = df.drop("_NS", "_EW").join(worth, ["board", "Score_NS"], "left")
     return M.percentages(df).drop("contrat", "declarant", "resultat", "score")
 
 

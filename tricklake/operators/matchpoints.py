@@ -29,11 +29,15 @@ def score_frequencies(freq: DataFrame, keys: list[str] = BOARD) -> DataFrame:
     return df.withColumn("pct", F.when(F.col("pairs") > 1, F.try_divide(F.col("mp"), F.col("pairs") - 1)).otherwise(F.col("mp")))
 
 
-def matchpoints(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -> DataFrame:
-    """MP_NS, MP_EW, MP_Top: average rank less one for both sides; rows without a score get null and don't count."""
+def score_points(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -> DataFrame:
+    """(keys, score) -> MP_NS, MP_EW, MP_Top: average rank less one for both sides."""
     f = score_frequencies(frequencies(df, keys, score), keys)
-    f = f.select(*keys, F.col("score").alias(score), F.col("mp").alias("MP_NS"), (F.col("pairs") - 1 - F.col("mp")).alias("MP_EW"), (F.col("pairs") - 1).alias("MP_Top"))
-    return df.join(f, [*keys, score], "left")
+    return f.select(*keys, F.col("score").alias(score), F.col("mp").alias("MP_NS"), (F.col("pairs") - 1 - F.col("mp")).alias("MP_EW"), (F.col("pairs") - 1).alias("MP_Top"))
+
+
+def matchpoints(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -> DataFrame:
+    """MP_NS, MP_EW, MP_Top as by score_points; rows without a score get null and don't count."""
+    return df.join(score_points(df, keys, score), [*keys, score], "left")
 
 
 def board_top(df: DataFrame, keys: list[str] = BOARD, score: str = "Score_NS") -> DataFrame:
