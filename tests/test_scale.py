@@ -55,3 +55,10 @@ def test_small_pages_share_batches(spark):
     got = E.elements(pages)
     assert got.count() == 240 * 41
     assert {r.page_id: r.text[: len(str(r.page_id))] for r in got.where("tag = 'p'").collect()} == {i: str(i) for i in range(300) if i % 5}
+
+
+def test_total_tricks_broadcast_no_rows_of_deals(spark):
+    sf = "/root/testdata/sf0.001"
+    lengths = D.suits_long(X.deals(spark, sf)).groupBy("deal_id", B.side_of(F.col("seat")).alias("side"), "suit").agg(F.sum(F.length("cards")).cast("int").alias("length"))
+    plan = _plan(D.total_tricks(X.dd_long(spark, sf), lengths))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

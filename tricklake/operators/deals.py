@@ -198,9 +198,10 @@ def add_pair_length_sums(df: DataFrame) -> DataFrame:
 def total_tricks(dd: DataFrame, lengths: DataFrame) -> DataFrame:
     """dd(deal_id, seat, strain, tricks), lengths(deal_id, side, suit, length) -> per deal: tricks, trumps, difference of both sides' best suits.
 
-    A side's best suit is the longest; of equal ones that with more tricks, then the higher suit.
+    A side's best suit is the longest; of equal ones that with more tricks, then the higher suit. Both sides of the join have rows of deals, which are never
+    broadcast: their files are small for what they hold.
     """
     best = dd.where("strain <> 'N'").groupBy("deal_id", B.side_of(F.col("seat")).alias("side"), F.col("strain").alias("suit")).agg(F.max("tricks").alias("tricks"))
-    top = best.join(lengths, ["deal_id", "side", "suit"]).groupBy("deal_id", "side").agg(F.max(F.struct("length", "tricks", F.instr(F.lit("CDHS"), F.col("suit")))).alias("top"))
+    top = best.join(lengths.hint("merge"), ["deal_id", "side", "suit"]).groupBy("deal_id", "side").agg(F.max(F.struct("length", "tricks", F.instr(F.lit("CDHS"), F.col("suit")))).alias("top"))
     out = top.groupBy("deal_id").agg(F.sum("top.tricks").alias("tricks"), F.sum("top.length").alias("trumps"))
     return out.withColumn("difference", F.col("tricks") - F.col("trumps"))
