@@ -2,8 +2,11 @@
 
 A session reads the ratings as they were at its start and writes them at its end, so sessions that share
 somebody are rated in order of date. Sessions are taken in rounds of whole dates. In a round
-those that share somebody, directly or through others, form a group; groups are rated side by side, a group's sessions in order. A
-round reads and writes the state of those alone who play in it. History and state are tables in the shared folder.
+those that share somebody in a pool, directly or through others, form a group; groups are rated side by side, a group's sessions in order. Pools
+never meet, so each has groups of its own. A round reads and writes the state of those alone who play in it. History and state are tables in the shared folder.
+
+What does not depend on ratings is worked out beforehand, for all sessions side by side: a session's results in a pool are one row of short arrays (pack), and a
+group only runs over them.
 
 A group that is too large for one task, which only a single date's can be, is rated in waves instead: the sessions that come first for all who play in them, at once, by joins
 and aggregates; then those that come first among the rest. A store goes on from what it has: see rate_batch.
@@ -11,10 +14,14 @@ and aggregates; then those that come first among the rest. A store goes on from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.folders import remove, shared_folder
 from .graph import components
@@ -23,11 +30,18 @@ from .graph import components
 INITIAL, K_BASE, BOOST_UNTIL, BOOST, LOW, HIGH, VISIBLE_AFTER, MOST_PAIRS = 1500.0, 24.0, 100, 1.5, 200.0, 3000.0, 10, 60
 SPREAD = 50.0
 #: seats that one group, which is one task, does not pass; larger groups of a single date go by waves
-GROUP_SEATS = 1_000_000
+GROUP_SEATS = 4_000_000
+#: results in one row of a session; those beyond go to further rows
+PIECE = 65_536
+#: bytes of a row group of packed sessions: each file has all dates in order, and a round reads the groups of its own
+ROW_GROUP = 8 << 20
+#: tasks that the groups of a round are dealt over at least, so that few groups seldom meet in one
+LANES = 64
 #: state tables are merged into one when there are more
 MOST_STATES = 8
 
 HISTORY = "session_id long, pool string, id string, before double, after double, sessions long, first date, boards long"
+STATE = "pool string, id string, rating double, boards long, sessions long"
 
 
 def stratum_scale(ratio: Column) -> Column:
@@ -53,14 +67,20 @@ def unpivot_pairs(df: DataFrame) -> DataFrame:
 
     scale grows with the size of the section: Section_Pairs, else Num_Pairs, else half of MP_Top and one, at most sixty; 1 without any.
     """
-    side = lambda p, pct: F.struct(F.lit(p).alias("pool"), F.array(pair_id(p)).alias("ids"), pct.alias("pct"))
-    return _sides(df, side)
+    return _sides(df, [_pairs_of])
 
 
 def unpivot_players(df: DataFrame) -> DataFrame:
     """The same with the side's two players as ids."""
-    side = lambda p, pct: F.struct(F.lit(p).alias("pool"), F.array(*[F.col(f"Player_ID_{d}") for d in p]).alias("ids"), pct.alias("pct"))
-    return _sides(df, side)
+    return _sides(df, [_players_of])
+
+
+def _pairs_of(side: str, pct: Column) -> Column:
+    return F.struct(F.lit(side).alias("pool"), F.array(pair_id(side)).alias("ids"), pct.alias("pct"))
+
+
+def _players_of(side: str, pct: Column, pool: str = "") -> Column:
+    return F.struct(F.lit(pool + side).alias("pool"), F.array(*[F.col(f"Player_ID_{d}") for d in side]).alias("ids"), pct.alias("pct"))
 
 
 def pair_id(side: str) -> Column:
@@ -69,68 +89,193 @@ def pair_id(side: str) -> Column:
     return F.concat(F.array_min(F.array(*both)), F.lit("-"), F.array_max(F.array(*both)))
 
 
-def _sides(df: DataFrame, side) -> DataFrame:
+def _sides(df: DataFrame, kinds: list) -> DataFrame:
     size = next((F.col(c) for c in ("Section_Pairs", "Num_Pairs") if c in df.columns), F.col("MP_Top") / 2 + 1 if "MP_Top" in df.columns else F.lit(None))
     size = F.coalesce(F.nanvl(size.cast("double"), F.lit(1.0)), F.lit(1.0))
     size = F.when(size == float("inf"), 1.0).otherwise(F.least(size, F.lit(float(MOST_PAIRS))))
     scale = F.when(size > 1, F.sqrt(F.greatest(size - 1, F.lit(1.0)) / 11)).otherwise(1.0)
-    rows = df.select("session_id", "Date", F.col("Board").alias("board"), scale.alias("scale"), F.explode(F.array(side("NS", F.col("Pct_NS")), side("EW", 1 - F.col("Pct_NS")))).alias("x"))
+    rows = df.select("session_id", "Date", F.col("Board").alias("board"), scale.alias("scale"), F.explode(F.array(*[side(p, pct) for side in kinds for p, pct in (("NS", F.col("Pct_NS")), ("EW", 1 - F.col("Pct_NS")))])).alias("x"))
     return rows.select("session_id", "Date", "board", F.monotonically_increasing_id().alias("row"), "x.pool", "x.ids", "x.pct", "scale")
 
 
-def rate_group(seats: pd.DataFrame, spread: float) -> pd.DataFrame:
-    """History of a group of sessions, in order of date and id, from seats(first, session_id, board, row, pool, id, n, pct, scale) with the state at the round's start.
+def _numbered(run: np.ndarray, code: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes as numbers from 0 within each run; where each number first stands; where each run's numbers begin. Runs ascend."""
+    _, at, number = np.unique(run * (code.max(initial=0) + 1) + code, return_index=True, return_inverse=True)
+    begin = np.searchsorted(run[at], np.arange(runs + 1))
+    return number - begin[run], at, begin
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Equal values by equal numbers; null is a value."""
+    return values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _bytes(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Slices of numbers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all binary values, end to end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind) if len(column) else np.empty(0, kind)
+
+
+def _one(t: pa.Table, column: str) -> pa.Array:
+    c = t[column].combine_chunks()
+    return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+
+
+def _ends(lengths) -> np.ndarray:
+    return np.r_[0, np.cumsum(lengths)]
+
+
+PIECES = "session_id long, first date, pool string, seats long, entries long, ids array<string>, who binary, n binary, field binary, pct binary, scale binary"
+
+
+def pack(batches: Iterator[pa.RecordBatch], piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Entries(session_id, Date, pool, board, ids, pct, scale), sorted by session, date (null last) and pool -> a row a session and pool: PIECES and boards.
+
+    first is the session's first date; ids and boards are the distinct ones. As bytes: who has the place of each seat's id, n the seats of each entry, field the place of its board (ints), pct (NaN for null)
+    and scale are by entry (doubles). A session of several dates or of more than about `piece` entries goes to several rows.
+    """
+    held: list[pa.RecordBatch] = []
+    open_session, open_first = None, 0
+
+    def made(t: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        nonlocal open_session, open_first
+        begin, run, runs = np.flatnonzero(new), np.cumsum(new) - 1, int(new.sum())
+        # a session's first row has its first date; what has none comes first
+        session, day = t["session_id"].to_numpy()[begin], t["Date"].cast(pa.int32()).fill_null(-719162).to_numpy()[begin]
+        leads = np.r_[session[0] != open_session, session[1:] != session[:-1]]
+        first = np.r_[open_first, day[leads]][np.cumsum(leads)]
+        open_session, open_first = session[-1], first[-1]
+        ends, n, flat = np.r_[begin, len(new)], pc.list_value_length(t["ids"]).to_numpy(), t["ids"].flatten()
+        who, id_at, id_begin = _numbered(np.repeat(run, n), _codes(flat), runs)
+        field, board_at, board_begin = _numbered(run, _codes(t["board"]), runs)
+        seat_ends = _ends(n)[ends]
+        floats = [_bytes(ends, t[c].to_numpy(zero_copy_only=False).astype(float)) for c in ("pct", "scale")]
+        columns = [pa.array(session), pa.array(first.astype(np.int32)).cast(pa.date32()), t["pool"].take(pa.array(begin)), pa.array(np.diff(seat_ends).astype(np.int64)), pa.array(np.diff(ends).astype(np.int64)), _lists(id_begin, flat.take(pa.array(id_at))),
+                   _bytes(seat_ends, who.astype(np.int32)), _bytes(ends, n.astype(np.int32)), _bytes(ends, field.astype(np.int32)), *floats, _lists(board_begin, t["board"].take(pa.array(board_at)))]
+        return pa.RecordBatch.from_arrays(columns, [*(c.split()[0] for c in PIECES.split(", ")), "boards"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        session, pool = t["session_id"].to_numpy(), _codes(t["pool"])
+        new = np.r_[True, (session[1:] != session[:-1]) | (pool[1:] != pool[:-1])]
+        cut = int(np.flatnonzero(new)[-1])
+        if t.num_rows - cut >= piece:
+            cut = t.num_rows
+        held = [t.slice(cut)] if cut < t.num_rows else []
+        if cut:
+            yield made(t.slice(0, cut), new[:cut])
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield made(t, np.arange(t.num_rows) == 0)  # what is held is of one session and pool
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of packed sessions: session_id, first, pool, board, ids, pct, scale."""
+    for t in batches:
+        who, n, field = (_numbers(t[c], "int32") for c in ("who", "n", "field"))
+        row = np.repeat(np.arange(t.num_rows), t["entries"].to_numpy())
+        place = lambda c: _ends(pc.list_value_length(t[c]).to_numpy())[:-1]  # noqa: E731, B023
+        ids = t["ids"].flatten().take(pa.array(who + np.repeat(place("ids"), t["seats"].to_numpy())))
+        columns = [*[t[c].take(pa.array(row)) for c in ("session_id", "first", "pool")], t["boards"].flatten().take(pa.array(field + place("boards")[row])), _lists(_ends(n), ids), *[pa.array(_numbers(t[c], "float64")) for c in ("pct", "scale")]]
+        yield pa.RecordBatch.from_arrays(columns, ["session_id", "first", "pool", "board", "ids", "pct", "scale"])
+
+
+#: history by session and pool, numbers as bytes; rows without a session are the state that a group leaves
+RATED = "session_id long, pool string, first date, ids array<string>, before binary, after binary, sessions binary, boards binary"
+
+
+def rate_group(pieces: pa.Table, state: pa.Table, spread: float) -> pa.Table:
+    """RATED of a group of packed sessions, in order of date and id, from the state(pool, id, rating, boards, sessions) at the round's start.
 
     A session reads the state at its start and writes it at its end. A null id starts anew in each. The field of a result is its board in the whole session, all sections together.
-    Alone on a board, one is measured against oneself. What does not depend on ratings is numbered once for the whole group, so that a session is some sums over slices.
+    Alone on a board, one is measured against oneself.
     """
-    seats = seats.sort_values(["first", "session_id"], kind="stable", ignore_index=True)
-    code = lambda c: pd.factorize(c, use_na_sentinel=False)[0].astype("int64")
-    session, pool, entry_key, board = code(seats["session_id"]), code(seats["pool"]), code(seats["row"]), code(seats["board"])
-    # sessions come in order and numbers grow with them, so a session's persons, entries and fields are intervals
-    person = code(pd.Series(pool * (len(seats) + 1) + code(seats["id"])))
-    pairs_of = lambda a, b: np.unique(a * (b.max() + 1) + b, return_index=True, return_inverse=True)
-    who_key, who_at, who = pairs_of(session, person)
-    _, entry_at, entry = pairs_of(session, entry_key)
-    _, field_at, field = pairs_of(session[entry_at], code(pd.Series(pool * (len(seats) + 1) + board))[entry_at])
-    persons = who_key % (person.max() + 1)
-    named = seats["id"].notna().to_numpy()[who_at]
-    ends = np.arange(session[-1] + 2)
-    rows, whos, entries, fields = (np.searchsorted(x, ends) for x in (session, session[who_at], session[entry_at], session[entry_at][field_at]))
-    size, pairs = np.bincount(entry), np.bincount(field)
-    pct, scale, n = (seats[c].to_numpy(float) for c in ("pct", "scale", "n"))
+    t = pieces.take(pa.array(np.lexsort((_codes(_one(pieces, "pool")), pieces["session_id"].to_numpy(), pieces["first"].to_numpy()))))
+    session, pools, lists = t["session_id"].to_numpy(), _one(t, "pool").dictionary_encode(), _one(t, "ids")
+    pool, many_ids = pools.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+    ids, board_lists = lists.flatten().dictionary_encode(null_encoding="encode"), _one(t, "boards")
+    code, names, board = ids.indices.to_numpy().astype(np.int64), ids.dictionary, _codes(board_lists.flatten())
+    person, named = np.repeat(pool, many_ids) * len(names) + code, names.is_valid().to_numpy(zero_copy_only=False)[code]
+    of_ids, of_boards, of_entries, of_seats = (_ends(x) for x in (many_ids, pc.list_value_length(board_lists).to_numpy(), t["entries"].to_numpy(), t["seats"].to_numpy()))
+    who, n, field = (_numbers(_one(t, c), "int32") for c in ("who", "n", "field"))
+    pct, scale = (_numbers(_one(t, c), "float64") for c in ("pct", "scale"))
     has = ~np.isnan(pct)
-    played = np.bincount(who, has).astype("int64")
+    gain, factor = np.where(has, pct, 0.0), np.where(has, K_BASE * scale / n, 0.0)
+    played = np.bincount(who + np.repeat(of_ids[:-1], np.diff(of_seats)), np.repeat(has, n), minlength=len(person)).astype(np.int64)
+    paired = np.bincount(field + np.repeat(of_boards[:-1], np.diff(of_entries)), minlength=len(board))
+    begins, all_single = _ends(n)[:-1], len(who) == len(n)
     # the state by person; a null id's is never kept
-    rating, boards, sessions = np.full(person.max() + 1, INITIAL), np.zeros(person.max() + 1, "int64"), np.zeros(person.max() + 1, "int64")
-    known = np.flatnonzero((seats["rating"].notna() & seats["id"].notna()).to_numpy())
-    rating[person[known]], boards[person[known]], sessions[person[known]] = (seats[c].to_numpy()[known].astype(t) for c, t in (("rating", float), ("boards", "int64"), ("sessions", "int64")))
-    before, after, total_boards, total_sessions = np.empty(len(persons)), np.empty(len(persons)), np.empty(len(persons), "int64"), np.empty(len(persons), "int64")
-    for s in range(len(ends) - 1):
-        r, w, e, f = (slice(x[s], x[s + 1]) for x in (rows, whos, entries, fields))
-        mine, who_, entry_, field_ = persons[w], who[r] - w.start, entry[r] - e.start, field[e] - f.start
+    kinds = len(names) * len(pools.dictionary)
+    rating, boards, sessions = np.full(kinds, INITIAL), np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+    place, own_pool = (pc.index_in(_one(state, c), value_set=x) for c, x in (("id", names), ("pool", pools.dictionary)))
+    known = np.flatnonzero(pc.and_(place.is_valid(), own_pool.is_valid()).to_numpy(zero_copy_only=False))
+    at = own_pool.take(pa.array(known)).to_numpy().astype(np.int64) * len(names) + place.take(pa.array(known)).to_numpy()
+    rating[at], boards[at], sessions[at] = (state[c].to_numpy()[known] for c in ("rating", "boards", "sessions"))
+    before, after, total_boards, total_sessions, keep = np.empty(len(person)), np.empty(len(person)), np.empty(len(person), np.int64), np.empty(len(person), np.int64), np.ones(len(person), bool)
+    units = np.flatnonzero(np.r_[True, (session[1:] != session[:-1]) | (pool[1:] != pool[:-1]), True])  # the rows of a session and pool
+    for lo, hi in zip(units[:-1].tolist(), units[1:].tolist()):
+        slots, e, r = slice(of_ids[lo], of_ids[hi]), slice(of_entries[lo], of_entries[hi]), slice(of_seats[lo], of_seats[hi])
+        mine, played_, who_, field_, pairs = person[slots], played[slots], who[r], field[e], paired[of_boards[lo] : of_boards[hi]]
+        if hi - lo > 1:  # persons and fields of several rows are numbered anew
+            mine, first_at, number = np.unique(mine, return_index=True, return_inverse=True)
+            who_, played_ = number[who_ + np.repeat(of_ids[lo:hi] - of_ids[lo], np.diff(of_seats[lo : hi + 1]))], np.bincount(number, played_).astype(np.int64)
+            keep[slots] = False
+            slots = slots.start + first_at
+            keep[slots] = True
+            number = np.unique(board[of_boards[lo] : of_boards[hi]], return_inverse=True)[1]
+            field_, pairs = number[field_ + np.repeat(of_boards[lo:hi] - of_boards[lo], np.diff(of_entries[lo : hi + 1]))], np.bincount(number, pairs)
         old, old_boards = rating[mine], boards[mine]
-        own = np.bincount(entry_, old[who_]) / size[e]
-        total, many = np.bincount(field_, own), pairs[f]
-        mean = total / many
-        dev = np.sqrt(np.bincount(field_, (own - mean[field_]) ** 2) / many)
+        own = old[who_]
+        if not all_single:
+            own = np.add.reduceat(own, begins[e] - r.start) / n[e]
+        total = np.bincount(field_, own)
+        mean = total / pairs
+        dev = np.sqrt(np.bincount(field_, (own - mean[field_]) ** 2) / pairs)
         # the rules of stratum_scale and strength_scale
-        ratio, z = dev / spread, (mean - INITIAL) / spread
-        damp = np.where(ratio <= 0.8, 1.0, np.where(ratio >= 1.3, 0.25, 1 - 0.75 * (ratio - 0.8) / 0.5)) * np.where(z >= 0, 1.0, np.where(z <= -2, 0.25, 1 + 0.375 * z))
-        damp = np.where(many > 1, damp, 1.0)
-        others = np.where(many[field_] > 1, (total[field_] - own) / np.maximum(many[field_] - 1, 1), own)
-        expected = 1 / (1 + 10.0 ** (-(own - others) / 400))
-        boost = np.where(old_boards < BOOST_UNTIL, BOOST, 1.0)[who_]
-        move = np.where(has[r], K_BASE * damp[field_][entry_] * scale[r] * boost * (pct[r] - expected[entry_]) / n[r], 0.0)
-        new, new_boards, new_sessions = np.clip(old + np.bincount(who_, move), LOW, HIGH), old_boards + played[w], sessions[mine] + (played[w] > 0)
-        before[w], after[w], total_boards[w], total_sessions[w] = old, new, new_boards, new_sessions
-        keep = named[w]
-        stay = mine[keep]
-        rating[stay], boards[stay], sessions[stay] = new[keep], new_boards[keep], new_sessions[keep]
-    who_is = seats.iloc[who_at]
-    return pd.DataFrame({
-        "session_id": who_is["session_id"].to_numpy(), "pool": who_is["pool"].to_numpy(), "id": who_is["id"].to_numpy(), "before": before, "after": after, "sessions": total_sessions, "first": who_is["first"].to_numpy(), "boards": total_boards,
-    })
+        damp = np.interp(dev / spread, (0.8, 1.3), (1.0, 0.25)) * np.interp((mean - INITIAL) / spread, (-2.0, 0.0), (0.25, 1.0))
+        damp[pairs == 1] = 1.0
+        rest = np.maximum(pairs - 1, 1)[field_]
+        others = np.where(pairs[field_] > 1, (total[field_] - own) / rest, own)
+        move = damp[field_] * factor[e] * (gain[e] - 1 / (1 + 10.0 ** ((others - own) / 400)))
+        moves = np.bincount(who_, move if all_single else np.repeat(move, n[e]), minlength=len(mine))
+        new = np.minimum(np.maximum(old + np.where(old_boards < BOOST_UNTIL, BOOST, 1.0) * moves, LOW), HIGH)
+        new_boards, new_sessions = old_boards + played_, sessions[mine] + (played_ > 0)
+        before[slots], after[slots], total_boards[slots], total_sessions[slots] = old, new, new_boards, new_sessions
+        stay = named[slots]
+        if not stay.all():
+            mine, new, new_boards, new_sessions = mine[stay], new[stay], new_boards[stay], new_sessions[stay]
+        rating[mine], boards[mine], sessions[mine] = new, new_boards, new_sessions
+    if not keep.all():
+        lists = _lists(_ends(np.bincount(np.repeat(np.arange(len(session)), many_ids), keep, len(session)).astype(np.int64)), lists.flatten().filter(pa.array(keep)))
+        before, after, total_boards, total_sessions = before[keep], after[keep], total_boards[keep], total_sessions[keep]
+    ends = _ends(pc.list_value_length(lists).to_numpy())
+    history = [t["session_id"], t["pool"], t["first"], lists, *[_bytes(ends, x) for x in (before, after, total_sessions, total_boards)]]
+    there = np.unique(person[named])
+    ends = np.searchsorted(there, np.arange(len(pools.dictionary) + 1) * len(names))
+    of_pool = [pools.dictionary, _lists(ends, names.take(pa.array(there % len(names)))), *[_bytes(ends, x[there]) for x in (rating, rating, sessions, boards)]]
+    none = lambda kind: pa.nulls(len(pools.dictionary), kind)
+    columns = [c.split()[0] for c in RATED.split(", ")]
+    return pa.concat_tables([pa.table(history, names=columns), pa.table([none(pa.int64()), of_pool[0], none(pa.date32()), *of_pool[1:]], names=columns)]).cast(pa.schema([(c, pa.table(history, names=columns).schema.field(c).type) for c in columns]))
+
+
+def _unrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RATED -> HISTORY."""
+    for t in batches:
+        row = pa.array(np.repeat(np.arange(t.num_rows), pc.list_value_length(t["ids"]).to_numpy()))
+        before, after, sessions, boards = (pa.array(_numbers(t[c], kind)) for c, kind in (("before", "float64"), ("after", "float64"), ("sessions", "int64"), ("boards", "int64")))
+        yield pa.RecordBatch.from_arrays([t["session_id"].take(row), t["pool"].take(row), t["ids"].flatten(), before, after, sessions, t["first"].take(row), boards], [c.split()[0] for c in HISTORY.split(", ")])
 
 
 def _latest(states: list[DataFrame]) -> DataFrame:
@@ -143,13 +288,13 @@ def _latest(states: list[DataFrame]) -> DataFrame:
     return last.select("pool", "id", "s.rating", "s.boards", "s.sessions")
 
 
-def _groups(seats: DataFrame, folder: str) -> DataFrame:
-    """(session_id, g): sessions that share a pool's id, directly or through others. Sessions without ids have none."""
-    link = F.struct(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("a"), F.concat("pool", F.lit("="), "id").alias("b"))
-    links = seats.where("id is not null").select(F.xxhash64(link["a"]).alias("a"), F.xxhash64(link["b"]).alias("b"), "session_id").distinct()
+def _groups(seats: DataFrame, folder: str, *more: str) -> DataFrame:
+    """(session_id, *more, g): sessions that share a pool's id, directly or through others; with more = pool, each pool by itself. Sessions without ids have none."""
+    link = F.struct(F.concat_ws("=", F.lit("s"), F.col("session_id").cast("string"), *more).alias("a"), F.concat("pool", F.lit("="), "id").alias("b"))
+    links = seats.where("id is not null").select(F.xxhash64(link["a"]).alias("a"), F.xxhash64(link["b"]).alias("b"), "session_id", *more).distinct()
     # equal hashes would only make a group larger
     found = components(links.select("a", "b"), f"{folder}/groups")
-    return links.select("session_id", "a").distinct().join(found, F.col("a") == F.col("v")).select("session_id", F.col("component").alias("g"))
+    return links.select("session_id", *more, "a").distinct().join(found, F.col("a") == F.col("v")).select("session_id", *more, F.col("component").alias("g"))
 
 
 def rate_wave(seats: DataFrame, spread: float) -> DataFrame:
@@ -203,10 +348,29 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _seats(rows: DataFrame) -> DataFrame:
-    """Rows of unpivot_* -> a row a seat, with the session's first date; sessions without any date come first."""
-    dates = rows.groupBy("session_id").agg(F.coalesce(F.min(F.col("Date").cast("date")), F.lit("0001-01-01").cast("date")).alias("first"))
-    return rows.select(F.col("session_id").cast("long").alias("session_id"), "board", "row", "pool", F.explode("ids").alias("id"), F.size("ids").alias("n"), F.col("pct").cast("double").alias("pct"), F.col("scale").cast("double").alias("scale")).join(dates, "session_id")
+def _entries(rows: DataFrame) -> DataFrame:
+    """Rows of unpivot_*, dealt by session and sorted as pack needs them."""
+    rows = rows.where(F.size("ids") > 0).select(F.col("session_id").cast("long").alias("session_id"), F.col("Date").cast("date").alias("Date"), "pool", "board", "ids", F.col("pct").cast("double").alias("pct"), F.col("scale").cast("double").alias("scale"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "session_id").sortWithinPartitions("session_id", F.asc_nulls_last("Date"), "pool")
+
+
+def _seats(entries: DataFrame) -> DataFrame:
+    """A row a seat."""
+    numbered = entries.select("*", F.monotonically_increasing_id().alias("row"), F.size("ids").alias("n"))
+    return numbered.select("session_id", "first", "board", "row", "pool", F.explode("ids").alias("id"), "n", "pct", "scale")
+
+
+def _packed(entries: DataFrame, path: str) -> DataFrame:
+    """Packed sessions as a table, each file in order of date."""
+    schema = T.StructType.fromDDL(PIECES).add("boards", T.ArrayType(entries.schema["board"].dataType))
+    entries.mapInArrow(pack, schema).sortWithinPartitions("first", "session_id").write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return entries.sparkSession.read.schema(schema).parquet(path)
+
+
+def _unpacked(pieces: DataFrame) -> DataFrame:
+    board = pieces.schema["boards"].dataType.elementType.simpleString()
+    return pieces.mapInArrow(unpack, f"session_id long, first date, pool string, board {board}, ids array<string>, pct double, scale double")
 
 
 def _visible(history: DataFrame, visible_after: int) -> DataFrame:
@@ -222,66 +386,72 @@ def rate(rows: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_A
     at its first date. Null percentages enter the field means but change no rating. group_seats bounds what one task
     takes; it does not change results. Without rows there is no history.
     """
-    return _visible(_history(_seats(rows), None, spread, group_seats), visible_after)
+    return _visible(_history(_entries(rows), None, spread, group_seats), visible_after)
 
 
-def _history(seats: DataFrame, start: DataFrame | None, spread: float, group_seats: int) -> DataFrame:
-    """The full history of the sessions of seats, from the state start(pool, id, rating, boards, sessions) if there is one."""
-    spark = seats.sparkSession
+def rate_both(df: DataFrame, spread: float = SPREAD, visible_after: int = VISIBLE_AFTER, group_seats: int = GROUP_SEATS) -> tuple[DataFrame, DataFrame]:
+    """The histories of pairs and of players, rated side by side in the same rounds: rate(unpivot_pairs(df)) and rate(unpivot_players(df))."""
+    mark = "players "
+    done = rate(_sides(df, [_pairs_of, lambda side, pct: _players_of(side, pct, mark)]), spread, visible_after, group_seats)
+    single = F.startswith("pool", F.lit(mark))
+    return done.where(~single), done.where(single).withColumn("pool", F.substring("pool", len(mark) + 1, 2))
+
+
+def _history(entries: DataFrame, start: DataFrame | None, spread: float, group_seats: int) -> DataFrame:
+    """The full history of the sessions of entries, from the state start(pool, id, rating, boards, sessions) if there is one."""
+    spark = entries.sparkSession
     folder = shared_folder(spark, "ratings")
-    # by date, so that a round reads its own files
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seats.repartitionByRange(parts, "first", "session_id").sortWithinPartitions("first", "session_id").write.parquet(f"{folder}/seats")
-    seats = spark.read.schema(seats.schema).parquet(f"{folder}/seats")
-    days = [(r["first"], r["n"]) for r in seats.groupBy("first").agg(F.count(F.lit(1)).alias("n")).orderBy("first").collect()]  # one row a date
-    states, at, n, width, limit = [start] if start is not None else [], 0, 0, group_seats, None
+    pieces = _packed(entries, f"{folder}/pieces")
+    of_pool = pieces.groupBy("first", "pool").agg(F.sum("seats").alias("n"))
+    sizes = of_pool.groupBy("first").agg(F.max("n").alias("n")).orderBy("first").toArrow()  # twelve bytes a date
+    days, until = sizes["first"].to_numpy(), _ends(sizes["n"].to_numpy())
+    lanes = max(LANES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    states, waves, at, n, width, limit = [] if start is None else [start], [], 0, 0, group_seats, None
     while at < len(days):
-        end, size = at, 0
-        while end < len(days) and (end == at or size + days[end][1] <= width):
-            size += days[end][1]
-            end += 1
-        own = F.col("first").between(F.lit(days[at][0]), F.lit(days[end - 1][0]))
-        part = seats.where(own)
+        end = max(at + 1, int(np.searchsorted(until, until[at] + width, "right")) - 1)
+        size = until[end] - until[at]
+        part = pieces.where(F.col("first").between(F.lit(days[at].item()), F.lit(days[end - 1].item())))
         if size <= group_seats:
-            part, largest = part.withColumn("g", F.lit(0).cast("long")), size
+            part, largest = part.withColumn("g", F.xxhash64("pool")), size
         else:
-            groups = _groups(part, folder)
-            groups.write.parquet(f"{folder}/groups/{n}-{width}")
-            groups = spark.read.schema(groups.schema).parquet(f"{folder}/groups/{n}-{width}")
-            part = part.join(groups, "session_id", "left").withColumn("g", F.coalesce("g", F.xxhash64("session_id")))
-            largest = part.groupBy("g").count().agg(F.max("count")).first()[0]
+            groups = _kept(_groups(part.select("session_id", "pool", F.explode("ids").alias("id")), folder, "pool"), f"{folder}/groups/{n}-{width}")
+            part = part.join(groups, ["session_id", "pool"], "left").withColumn("g", F.coalesce("g", F.xxhash64("session_id", "pool")))
+            largest = part.groupBy("g").agg(F.sum("seats").alias("n")).agg(F.max("n")).first()[0]
         if largest > group_seats and end - at > 1:  # too large a group: fewer dates from now on
             limit, width = width, max(1, width // 2)
             continue
-        now = part
+        # each state goes to the group that its id plays in
+        state = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in f"{STATE}, g long".split(", "))])
         if states:
-            touched = part.where("id is not null").select("pool", "id").distinct()
-            now = part.join(_latest(states).join(touched, ["pool", "id"], "left_semi"), ["pool", "id"], "left")
-        else:
-            now = part.withColumns({"rating": F.lit(None).cast("double"), "boards": F.lit(None).cast("long"), "sessions": F.lit(None).cast("long")})
-        made = None
+            home = part.select(F.col("g").alias("g"), "pool", F.explode("ids").alias("id")).where("id is not null").distinct()
+            state = _latest(states).join(home.hint("merge"), ["pool", "id"])
+        fresh = []
         if largest > group_seats:
-            large = part.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_seats).select("g")
-            made = _by_waves(now.join(large, "g", "left_semi").drop("g"), f"{folder}/waves/{n}", spread)
-            now = now.join(large, "g", "left_anti")
-        grouped = now.groupBy("g").applyInPandas(lambda pdf: rate_group(pdf, spread), HISTORY)
-        (grouped if made is None else grouped.unionByName(made)).write.parquet(f"{folder}/history/{n}")
-        remove(spark, f"{folder}/waves/{n}")
-        done = spark.read.schema(HISTORY).parquet(f"{folder}/history/{n}")
-        last = done.where("id is not null").groupBy("pool", "id").agg(F.max_by(F.struct(F.col("after").alias("rating"), "boards", "sessions"), F.struct("first", "session_id")).alias("s"))
-        last.select("pool", "id", "s.*").write.parquet(f"{folder}/state/{n}")
-        states.append(spark.read.parquet(f"{folder}/state/{n}"))
+            large = part.groupBy("g").agg(F.sum("seats").alias("size")).where(F.col("size") > group_seats).select("g")
+            made = _by_waves(_seats(_unpacked(part.join(large, "g", "left_semi").drop("g"))).join(state.drop("g"), ["pool", "id"], "left"), f"{folder}/waves/{n}", spread)
+            waves.append(f"{folder}/history/waves-{n}")
+            last = _kept(made.select(*[c.split()[0] for c in HISTORY.split(", ")]), waves[-1]).where("id is not null")
+            last = last.groupBy("pool", "id").agg(F.max_by(F.struct(F.col("after").alias("rating"), "boards", "sessions"), F.struct("first", "session_id")).alias("s"))
+            fresh.append(_kept(last.select("pool", "id", "s.*"), f"{folder}/state/waves-{n}"))
+            remove(spark, f"{folder}/waves/{n}")
+            part, state = (x.join(large, "g", "left_anti") for x in (part, state))
+        one = part.repartition(lanes, "g").groupBy("g").cogroup(state.repartition(lanes, "g").groupBy("g"))
+        rated = _kept(one.applyInArrow(lambda a, b: rate_group(a, b, spread), RATED), f"{folder}/history/{n}")
+        left = rated.where("session_id is null").mapInArrow(_unrated, HISTORY)
+        fresh.append(_kept(left.select("pool", "id", F.col("after").alias("rating"), "boards", "sessions"), f"{folder}/state/{n}"))
+        states.extend(fresh)
         if len(states) > MOST_STATES:
-            _latest(states).write.parquet(f"{folder}/state/to-{n}")
-            states = [spark.read.parquet(f"{folder}/state/to-{n}")]
+            states = [_kept(_latest(states), f"{folder}/state/to-{n}")]
         at, n = end, n + 1
         if limit is None or width * 2 < limit:
             width *= 2
-    for done in ("seats", "state", "groups"):
+    for done in ("pieces", "state", "groups"):
         remove(spark, f"{folder}/{done}")
     if not n:
         return spark.createDataFrame([], HISTORY)
-    return spark.read.schema(HISTORY).parquet(*[f"{folder}/history/{i}" for i in range(n)])
+    rated = spark.read.schema(RATED).parquet(*[f"{folder}/history/{i}" for i in range(n)])
+    done = rated.where("session_id is not null").mapInArrow(_unrated, HISTORY)
+    return done if not waves else done.unionByName(spark.read.schema(HISTORY).parquet(*waves))
 
 
 ROWS = "session_id long, Date date, board int, row string, pool string, ids array<string>, pct double, scale double"
@@ -324,7 +494,8 @@ def rate_batch(rows: DataFrame, store: str, number: int, spread: float = SPREAD,
         remove(spark, folder)
         return 0
     open_ = every.join(dates.where(F.col("first") >= F.lit(cut)).select("session_id"), "session_id", "left_semi")
-    seats = _kept(_seats(open_.select(*columns)), f"{folder}/seats")
+    entries = _kept(_entries(open_.select(*columns)), f"{folder}/entries")
+    seats = entries.select("session_id", "pool", F.explode("ids").alias("id"))
     groups = _kept(_groups(seats, folder), f"{folder}/of-session")
     touched = groups.join(mine, "session_id").select("g").distinct()
     again = groups.join(touched, "g").select("session_id").union(mine).distinct()
@@ -333,7 +504,7 @@ def rate_batch(rows: DataFrame, store: str, number: int, spread: float = SPREAD,
     who = seats.where("id is not null").select("pool", "id").distinct()
     state = history.join(who, ["pool", "id"], "left_semi").groupBy("pool", "id").agg(F.max_by(F.struct(F.col("after").alias("rating"), "boards", "sessions"), F.struct("first", "session_id")).alias("s"))
     state = _kept(state.select("pool", "id", "s.*"), f"{folder}/state")
-    _history(seats, state, spread, group_seats).write.mode("overwrite").parquet(f"{store}/history/b={number}")
+    _history(_entries(entries.join(again, "session_id", "left_semi")), state, spread, group_seats).write.mode("overwrite").parquet(f"{store}/history/b={number}")
     done = spark.read.schema(HISTORY).parquet(f"{store}/history/b={number}").select("session_id").distinct().count()
     remove(spark, folder)
     return done
@@ -345,11 +516,21 @@ def stored_ratings(spark: SparkSession, store: str, visible_after: int = VISIBLE
 
 
 def session_start_end(df: DataFrame, pairs: DataFrame | None = None, players: DataFrame | None = None) -> DataFrame:
-    """Elo_p_Start and Elo_p_End of both pairs and Elo_d_Start and Elo_d_End of the four players on every board result, from their histories; null until they are seen."""
-    jobs = [(p, p, pair_id(p), pairs) for p in ("NS", "EW") if pairs is not None] + [(d, "NS" if d in "NS" else "EW", F.col(f"Player_ID_{d}"), players) for d in "NESW" if players is not None]
-    for name, pool, who, history in jobs:
-        mine = history.where((F.col("pool") == pool) & F.col("id").isNotNull()).select("session_id", F.col("id").alias("_id"), F.col("seen_before").alias(f"Elo_{name}_Start"), F.col("seen_after").alias(f"Elo_{name}_End"))
-        df = df.withColumn("_id", who).join(mine, ["session_id", "_id"], "left").drop("_id")
+    """Elo_p_Start and Elo_p_End of both pairs and Elo_d_Start and Elo_d_End of the four players on every board result, from their histories; null until they are seen.
+
+    A side's two players meet the histories once a session, not once a result; results then meet their sides.
+    """
+    given = [("pair", pairs)] * (pairs is not None) + [("player", players)] * (players is not None)
+    for side in ("NS", "EW"):
+        a, b = (f"Player_ID_{d}" for d in side)
+        jobs = [x for kind, history in given for x in ([(side, pair_id(side), history)] if kind == "pair" else [(d, F.col(f"Player_ID_{d}"), history) for d in side])]
+        seated = df.select("session_id", a, b).distinct()
+        for name, who, history in jobs:
+            mine = history.where((F.col("pool") == side) & F.col("id").isNotNull()).select("session_id", F.col("id").alias("_id"), F.col("seen_before").alias(f"Elo_{name}_Start"), F.col("seen_after").alias(f"Elo_{name}_End"))
+            seated = seated.withColumn("_id", who).join(mine.hint("merge"), ["session_id", "_id"], "left").drop("_id")
+        if jobs:
+            seated = seated.withColumnsRenamed({"session_id": "_session", a: "_a", b: "_b"}).hint("merge")
+            df = df.join(seated, (F.col("session_id") == F.col("_session")) & F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")), "left").drop("_session", "_a", "_b")
     return df
 
 
@@ -375,10 +556,13 @@ def rating_pipeline(df: DataFrame, spread: float = SPREAD, visible_after: int =
 
     for s in (stage("matchpoints", ["session_id", "section_id", "Board", "Score_NS"], ["MP_NS", "MP_Top"], M.matchpoints), stage("percentages", ["MP_NS", "MP_Top"], ["Pct_NS"], M.percentages)):
         df = df.transform(s)
-    # both ratings are made from the percentages, not through the joins of the other's columns
+    # both ratings are made from the percentages, not through the joins of the other's columns, and together if neither is there
     scored = df
-    pairs = stage("pair ratings", ["Pct_NS", "Date"], ["Elo_NS_Start", "Elo_EW_End"], lambda d: session_start_end(d, pairs=rate(unpivot_pairs(scored), spread, visible_after)))
-    players = stage("player ratings", ["Pct_NS", "Date"], ["Elo_N_Start", "Elo_W_End"], lambda d: session_start_end(d, players=rate(unpivot_players(scored), spread, visible_after)))
+    of_pairs, of_players = ["Elo_NS_Start", "Elo_EW_End"], ["Elo_N_Start", "Elo_W_End"]
+    if not any(c in df.columns for c in of_pairs + of_players):
+        return df.transform(stage("ratings", ["Pct_NS", "Date"], of_pairs + of_players, lambda d: session_start_end(d, *rate_both(scored, spread, visible_after))))
+    pairs = stage("pair ratings", ["Pct_NS", "Date"], of_pairs, lambda d: session_start_end(d, pairs=rate(unpivot_pairs(scored), spread, visible_after)))
+    players = stage("player ratings", ["Pct_NS", "Date"], of_players, lambda d: session_start_end(d, players=rate(unpivot_players(scored), spread, visible_after)))
     for s in (pairs, players):
         df = df.transform(s)
     return df

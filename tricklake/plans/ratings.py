@@ -16,9 +16,9 @@ Q, O = {}, {}
 
 
 def results(spark, sf):
-    """Board results with what the ratings read."""
-    b = X.board_results(spark, sf)
-    return b.select("session_id", "section_id", "Board", "Date", "Score_NS", *[f"Player_ID_{d}" for d in "NESW"])
+    """Board results with what the ratings read, dealt by session, so that the frequencies of scores need no further shuffle."""
+    b = X.board_results(spark, sf).select("session_id", "section_id", "Board", "Date", "Score_NS", *[f"Player_ID_{d}" for d in "NESW"])
+    return b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id")
 
 
 def scored(spark, sf):
@@ -50,7 +50,7 @@ WHO = ["NS", "EW", *"NESW"]
 
 def start_end(spark, sf):
     b = scored(spark, sf)
-    out = R.session_start_end(b, R.rate(R.unpivot_pairs(b)), R.rate(R.unpivot_players(b)))
+    out = R.session_start_end(b, *R.rate_both(b))
     return rounded(out.select("session_id", "Board", *[f"Player_ID_{d}" for d in "NESW"], *[f"Elo_{w}_{e}" for w in WHO for e in ("Start", "End")]))
 
 
