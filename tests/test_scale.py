@@ -62,3 +62,15 @@ def test_total_tricks_broadcast_no_rows_of_deals(spark):
     lengths = D.suits_long(X.deals(spark, sf)).groupBy("deal_id", B.side_of(F.col("seat")).alias("side"), "suit").agg(F.sum(F.length("cards")).cast("int").alias("length"))
     plan = _plan(D.total_tricks(X.dd_long(spark, sf), lengths))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_shared_auctions_are_analysed_once(spark):
+    auctions = [("N", "1S-p-2S-p-p-p"), ("E", "1S-p-2S-p-p-p"), ("N", "p-p-p-p"), ("S", "1N-p-p-p"), ("S", "1N-p"), (None, "1N-p"), ("W", "1N-1C-p-p-p")]
+    text = "deal_id long, Dealer string, t string"
+    rows = spark.createDataFrame([(i, *auctions[i % 7]) for i in range(700)] + [(700, "N", None)], text).select("deal_id", "Dealer", F.split("t", "-").alias("auction"))
+    shared, each = R.with_analysis(rows), R.with_analysis(rows, most=7)
+    by_row = rows.withColumn("x", R.analyse(F.col("auction"), F.col("Dealer")))
+    own = lambda df: sorted((x.asDict(recursive=True) for x in df.collect()), key=lambda x: x["deal_id"])
+    assert own(shared) == own(each) == own(by_row)
+    # eight different auctions: one more than the second call's bound
+    assert "BroadcastHashJoin" in _plan(shared) and "Join" not in _plan(each)

@@ -20,6 +20,8 @@ from ..sources.folders import remove, shared_folder
 
 #: Rules that go to every task as one trie; their predicates may be four times as many.
 SMALL_BOOK = 100_000
+#: Different auctions that are analysed once each and go to every task.
+FEW_AUCTIONS = 20_000
 
 # fixed values: rule phrases and the predicates they stand for, first match wins; * before a template marks one predicate for each card of that group
 PHRASES = [
@@ -446,3 +448,19 @@ def analyse(auction: Column, dealer: Column) -> Column:
         return F.struct(s["legal"].alias("legal"), over.alias("over"), F.when(over, F.when(s["last"] < 0, "PASS").otherwise(F.concat(s["bid"], s["dbl"], seat(declarer)))).alias("contract"), seat(s["opener"]).alias("opener"), seat(declarer).alias("declarer"), seat(declarer + 1).alias("leader"))
 
     return F.aggregate(auction, state, step, finish)
+
+
+def with_analysis(rows: DataFrame, most: int = FEW_AUCTIONS) -> DataFrame:
+    """rows(auction, Dealer) with x, the analysis of their auction.
+
+    Deals share their auctions, as those are ways through one rule book: up to most different ones, counted first, are analysed once each and go to the rows; more are analysed row by row.
+    """
+    x = analyse(F.col("auction"), F.col("Dealer"))
+    path = shared_folder(rows.sparkSession, "auction-kinds")
+    kinds = rows.select("auction", "Dealer").distinct()
+    kinds.limit(most + 1).write.parquet(path)
+    kinds = rows.sparkSession.read.schema(kinds.schema).parquet(path)
+    if kinds.count() > most:
+        return rows.withColumn("x", x)
+    kinds = kinds.select(F.col("auction").alias("_auction"), F.col("Dealer").alias("_dealer"), x.alias("x"))
+    return rows.join(F.broadcast(kinds), F.col("auction").eqNullSafe(F.col("_auction")) & F.col("Dealer").eqNullSafe(F.col("_dealer")), "left").drop("_auction", "_dealer")

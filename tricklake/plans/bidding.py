@@ -169,7 +169,7 @@ reg("bid11_auctions", lambda s, d: reached(s, d).select("deal_id", "Dealer", F.a
 def analysed(spark, sf):
     """A row for each beginning of each auction, with the candidates of the seat to bid next."""
     a = R.auctions(X.deals(spark, sf), holding(spark, sf), rules(spark), folder(spark, "auctions"), prefixes=True)
-    a = a.withColumn("x", R.analyse(F.col("auction"), F.col("Dealer")))
+    a = R.with_analysis(a)
     a = a.withColumn("next", R.seat_of_turn(F.col("Dealer"), F.size("auction") + 1))
     c = R.candidates(packed(spark, sf), needs(spark), rules(spark).where("parent = 0")).select("deal_id", F.col("seat").alias("next"), F.array_join(F.transform("rules", lambda r: r.cast("string")), ",").alias("candidates"))
     text = F.when(F.col("x.over"), F.concat_ws(" ", "x.contract", F.lit("by"), F.coalesce("x.declarer", F.lit("nobody")))).otherwise(F.concat(F.lit("open, opened by "), F.coalesce("x.opener", F.lit("nobody"))))
